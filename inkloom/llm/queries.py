@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import bpe, canonical, mixing, packing, spans
+from inkloom.llm import bpe, canonical, encoding, mixing, packing, spans
 from inkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.detect(encoding.records_of(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "books")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("key").alias("block_id"))
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(spark, sf_dir).withColumnsRenamed({"source": "book_id", "key": "block_id"})
+
+
 def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.plan_batches(table(spark, sf_dir, "runs"), table(spark, sf_dir, "blocks"), table(spark, sf_dir, "providers"))
 
@@ -74,7 +86,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_batches, p3_fill, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
+    for f in (p2_found, p2_restored, p3_batches, p3_fill, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
 }
 
 #: What SQL can say of these operators' results on whole tables.
