@@ -44,7 +44,7 @@ BUCKETS = 1 << 20
 SMOOTH = 4.0
 #: Least gain (nats) for a word to count as evidence, and the weight of the field's share in a source's prior.
 WORD_GAIN = 2.5
-FIELD_WEIGHT = 20.0
+FIELD_WEIGHT = 300.0
 ROUNDS = 4
 #: A repair may only consist of characters that the corpus has so many times.
 LEAST_SEEN = 3

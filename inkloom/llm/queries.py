@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import bpe, canonical, encoding, mixing, packing, spans
+from inkloom.llm import bpe, canonical, encoding, language, mixing, packing, spans
 from inkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,28 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled(spark, sf_dir).withColumnsRenamed({"source": "book_id", "key": "block_id"})
 
 
+def languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Languages by block and by book."""
+    books = table(spark, sf_dir, "books")
+    by_block = language.block_languages(table(spark, sf_dir, "blocks"), books)
+    return by_block, language.book_languages(books, by_block)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_block, by_book = languages(spark, sf_dir)
+    labels = language.label_cases(by_book).select("book_id", F.lit(-1).cast("long").alias("block_id"), "language")
+    mixed = language.foreign_segments(by_block, by_book).select("book_id", "block_id", "language").distinct()
+    return labels.unionByName(mixed)
+
+
+def p4_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(spark, sf_dir)[1]
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.foreign_segments(*languages(spark, sf_dir))
+
+
 def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.plan_batches(table(spark, sf_dir, "runs"), table(spark, sf_dir, "blocks"), table(spark, sf_dir, "providers"))
 
@@ -86,7 +108,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_restored, p3_batches, p3_fill, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
+    for f in (p2_found, p2_restored, p3_batches, p3_fill, p4_found, p4_books, p4_segments, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
 }
 
 #: What SQL can say of these operators' results on whole tables.
