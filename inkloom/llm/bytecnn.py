@@ -21,8 +21,9 @@ WIDTHS = (2, 3, 4, 5)
 FILTERS = 40
 
 MARKUP = re.compile(r"<[^<>]{0,200}>|\{\{\d+\}\}|@@\d+@@|&#?\w{1,10};")
-#: A sentence ends at its stop and closing quotes before a blank; a line break ends one too.
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”“»’)\]]*(?=\s|$)|(?=\n|$))")
+#: A sentence ends at its stop and closing quotes before a blank and no small letter or closing sign; a line break ends
+#: one too.
+SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”“»’)\]]*(?=\s+[^\s)\],;:a-zß-öø-ÿа-яё]|\s*$)|(?=\n|$))")
 RUNS = re.compile("[ \t]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 CYRILLIC = re.compile("[Ѐ-ӿ]")

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import bpe, canonical, encoding, language, mixing, packing, spans
+from inkloom.llm import bpe, canonical, encoding, language, mixing, packing, pairs, spans
 from inkloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "translation_state"), table(spark, sf_dir, "runs"), table(spark, sf_dir, "blocks"))
+
+
 def garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.detect(encoding.records_of(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "books")))
 
@@ -108,7 +112,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_restored, p3_batches, p3_fill, p4_found, p4_books, p4_segments, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
+    for f in (p1_found, p2_found, p2_restored, p3_batches, p3_fill, p4_found, p4_books, p4_segments, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
 }
 
 #: What SQL can say of these operators' results on whole tables.
