@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +17,28 @@ MAX_BROADCAST_BYTES = 32 << 20
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that Python workers find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_inkloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="inkloom-code-")) / "inkloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(archive))
+    sc._inkloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    ship(spark)
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if where:
@@ -47,6 +65,7 @@ def checked_broadcast(spark: SparkSession, value: object, n_bytes: int):
     """A broadcast variable for data whose size has been measured."""
     if n_bytes > MAX_BROADCAST_BYTES:
         raise ValueError(f"{n_bytes} bytes are more than the {MAX_BROADCAST_BYTES} that may be broadcast")
+    ship(spark)
     return spark.sparkContext.broadcast(value)
 
 
@@ -55,6 +74,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     execution would join small partitions into a few tasks. A later groupBy, window or join on the keys needs no
     further exchange."""
     spark = df.sparkSession
+    ship(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
 
