@@ -16,6 +16,8 @@ are left out. ``restored`` is null where nothing could be undone.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +48,8 @@ SMOOTH = 4.0
 WORD_GAIN = 2.5
 FIELD_WEIGHT = 300.0
 ROUNDS = 4
+#: Times the garbled text found so far is taken from the model's counts, and the suspects weighed again.
+CLEANINGS = 2
 #: A repair may only consist of characters that the corpus has so many times.
 LEAST_SEEN = 3
 #: A word's gain counts up to this: no single word is certain.
@@ -54,6 +58,7 @@ MOST_GAIN = 14.0
 MOST_TOTAL = 60.0
 
 MULTIBYTE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+AROUND = " .,;:!?()[]\"'«»“”„’‘…\xa0"
 LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 PLAUSIBLE = re.compile("[\xa0-\u017f\u0400-\u045f\u2010-\u203a\u20ac\u2122]")
@@ -152,19 +157,25 @@ def keys(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mix((two[:-1] * np.uint64(2654435761)) ^ c[2:]), mix(two ^ np.uint64(0xABCD << 44)), mix(c ^ np.uint64(0x77 << 50))
 
 
+def place(word: str) -> int:
+    """Table place of a word without the punctuation around it."""
+    return zlib.crc32(word.strip(AROUND).encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 class Model:
-    """Trigram model in tables of fixed size."""
+    """Words by their frequency, and by character trigrams beside that, in tables of fixed size."""
 
-    def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray):
-        self.tri, self.bi, self.uni = tri, bi, uni
-        self.total = max(1.0, float(uni.sum()))
+    def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray, whole: np.ndarray):
+        self.tri, self.bi, self.uni, self.whole = tri, bi, uni, whole
+        self.total, self.n_words = max(1.0, float(uni.sum())), max(1.0, float(whole.sum()))
         self.seen: dict[str, list[tuple[int, float, str]]] = {}
 
     def score(self, word: str) -> float:
         t, b, u = keys(codes(word))
         one, two = self.uni[u], self.bi[b]
         back = (two[1:] + SMOOTH * (one[2:] + 0.01) / self.total) / (one[1:-1] + SMOOTH)
-        return float(np.log((self.tri[t] + SMOOTH * back) / (two[:-1] + SMOOTH)).sum())
+        spelled = float(np.log((self.tri[t] + SMOOTH * back) / (two[:-1] + SMOOTH)).sum())
+        return float(np.logaddexp(spelled, np.log(max(self.whole[place(word)] - 1.0, 1e-9) / self.n_words)))
 
     def known(self, word: str) -> bool:
         """Whether all its characters occur in the corpus."""
@@ -205,18 +216,20 @@ class Model:
         return " ".join(out)
 
 
-def count_texts(texts: Iterator[list[str]], plain: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tri, bi, uni = (np.zeros(BUCKETS, np.int64) for _ in range(3))
+def count_texts(texts: Iterator[list[str]], plain: bool = True) -> tuple[np.ndarray, ...]:
+    tri, bi, uni, whole = (np.zeros(BUCKETS, np.int64) for _ in range(4))
     for part in texts:
         # sequences that only a wrong encoding makes would teach the model garbled text
         words = [w for t in part for w in t.split(" ") if w.isascii() or not plain or not (TRACE.search(w) or has_sequences(w))]
+        for w, n in Counter(words).items():
+            whole[place(w)] += n
         c = codes("  ".join(words))
         t, b, u = keys(c)
         inside = c[1:] != 32  # what is foretold: characters, and the first blank after a word
         inside[1:] |= c[1:-1] != 32
         for table, k in ((tri, t[inside[1:]]), (bi, b[inside]), (uni, u)):
             table += np.bincount(k, minlength=BUCKETS)
-    return tri, bi, uni
+    return tri, bi, uni, whole
 
 
 TABLES = "kind int, place int, n long"
@@ -229,11 +242,11 @@ def table_rows(tables) -> Iterator[pa.RecordBatch]:
 
 
 def gathered(rows: DataFrame) -> list[np.ndarray]:
-    """Sums of table rows; at most 3 x BUCKETS of them reach the driver, whatever the corpus."""
+    """Sums of table rows; at most 4 x BUCKETS of them reach the driver, whatever the corpus."""
     counts = rows.groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
-    out = [np.zeros(BUCKETS, np.float32) for _ in range(3)]
+    out = [np.zeros(BUCKETS, np.float32) for _ in range(4)]
     kind, place, n = (counts.column(c).to_numpy() for c in ("kind", "place", "n"))
-    for k in range(3):
+    for k in range(4):
         out[k][place[kind == k]] = n[kind == k]
     return out
 
@@ -299,24 +312,30 @@ def detect(records: DataFrame) -> DataFrame:
     shared = weigh(tables)
     suspects = cut(scored(records, shared))
     sizes = cut(records.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")))
-    first = best_chains(suspects, sizes).where("chain is not null").select("text", "chain")
 
-    def differences(batches):
-        model = Model(*shared.value)
-        old, new = [], []
-        for batch in batches:
-            for text, chain in zip(*[c.to_pylist() for c in batch.columns]):
-                for a, b in zip(text.split(" "), model.repair(text, chain).split(" ")):
-                    if a != b:
-                        old.append(a)
-                        new.append(b)
-        minus, plus = count_texts([old]), count_texts([new], plain=False)
-        yield from table_rows([p - m for p, m in zip(plus, minus)])
-
-    change = gathered(first.mapInArrow(differences, TABLES))
-    cleaned = weigh([np.maximum(t + c, 0) for t, c in zip(tables, change)])
-    again = cut(scored(suspects, cleaned))
+    def differences(model_of):
+        def run(batches):
+            model = Model(*model_of.value)
+            old, new = [], []
+            for batch in batches:
+                for text, chain in zip(*[c.to_pylist() for c in batch.columns]):
+                    for a, b in zip(text.split(" "), model.repair(text, chain).split(" ")):
+                        if a != b:
+                            old.append(a)
+                            new.append(b)
+            minus, plus = count_texts([old]), count_texts([new], plain=False)
+            yield from table_rows([p - m for p, m in zip(plus, minus)])
+
+        return run
+
+    again = suspects
+    for _ in range(CLEANINGS):
+        known = best_chains(again, sizes).where("chain is not null").select("text", "chain")
+        change = gathered(known.mapInArrow(differences(shared), TABLES))
+        shared = weigh([np.maximum(t + c, 0) for t, c in zip(tables, change)])
+        again = cut(scored(suspects, shared))
     named = best_chains(again, sizes).where("lost or chain is not null")
+    cleaned = shared
 
     def mend(batches):
         model = Model(*cleaned.value)
