@@ -6,8 +6,8 @@ Every saved translation in force gets at most one defect, in this order: ``empty
 * empty: nothing readable, unless the source has nothing readable either and the answer shows some sign.
 * refusal: a grammar of sentences (inability or declining, with the task as its object) in seven languages.
 * copied: greedy string tiling over words: tiles of the source cover it and most of the answer.
-* wrong_language: script and byte network (trained on a bounded sample of the translations by their target language)
-  agree on a language that is neither source nor target.
+* wrong_language: script, and words that belong to one language (learned from a bounded sample of the translations by
+  their target language), speak for a language that is neither source nor target.
 * truncated: a pushdown parser follows tags, brackets, quotations, fences and list items of both sides; an answer that
   ends inside an open construct, without a stop, on an ellipsis, or with fewer sentences than the source, and is
   shorter than the pair of languages usually makes it, was cut.
@@ -19,17 +19,17 @@ the greatest; rows without key are left out.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata as ud
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm import bytecnn as net
-from inkloom.llm.language import TRAIN_BLOCKS, label_language, train
-from inkloom.session import checked_broadcast, cut, latest_blocks, spread
+from inkloom.llm.language import label_language
+from inkloom.session import checked_broadcast, latest_blocks, spread, stored
 
 #: For each language, phrases of inability or declining, and of the task that is declined.
 REFUSAL_GRAMMAR = {
@@ -42,6 +42,8 @@ REFUSAL_GRAMMAR = {
     "ru": (r"не могу|нельзя|невозможно|не имею права|не разрешено|не в состоянии|не удастся|отказ\w+|отклон\w+", r"перев[оеё]\w+|эт\w+ (?:текст\w*|отрыв\w+|запрос\w*|содержим\w+|просьб\w+|материал\w*)|вашу просьбу"),
 }
 
+#: One pattern for any task: most answers need no other.
+TASK = re.compile("|".join(b for _, b in REFUSAL_GRAMMAR.values()))
 REFUSALS = [(re.compile(rf"\b(?:{a})(?!\w)"), re.compile(rf"\b(?:{b})")) for a, b in REFUSAL_GRAMMAR.values()]
 
 #: What opens and what closes a construct.
@@ -56,8 +58,18 @@ ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
 WORD = re.compile(r"\w+")
 RUN = re.compile(r"\s+")
 CUT_END = re.compile(r"(?:\[?\s*(?:\.{2,}|…)\s*\]?|[,;:—–-])\s*$")
+STOP = re.compile(r"[.!?…]+[\"'”“»’)\]]*(?=\s+[^\s{)\],;:a-zß-öø-ÿа-яё]|\s*$)")
+LETTER = re.compile(r"[^\W_]")
+SMALL = re.compile(r"\b[a-zß-öø-ÿœа-яё]{2,}")
+LETTERS = re.compile(r"[^\W\d_]{2,}")
 STOP_END = re.compile(r"[.!?…][\"'”“»’)\]\s]*$")
 
+#: The word table is learned from at most so many translations, chosen by hash; it has at most so many words.
+TRAIN_ROWS = 9000
+TRAIN_WORDS = 20_000
+#: Least evidence (nats) for a language, and greatest share of it that the target may have.
+SURE = 4.0
+STILL_TARGET = 0.3
 #: Tiles shorter than this many words are left to chance; shares that tiles must cover of the source and the answer.
 LEAST_TILE = 3
 COPY_OF_SOURCE, COPY_OF_ANSWER = 0.85, 0.7
@@ -66,10 +78,9 @@ COPY_OF_SOURCE, COPY_OF_ANSWER = 0.85, 0.7
 SHORT, FEWER, NO_STOP, VERY_SHORT = 0.93, 0.9, 0.76, 0.6
 
 
-def readable(text: str) -> str:
-    """Letters and digits of a text outside of markup, entities and placeholders."""
-    t = ENTITY.sub(" ", HOLE.sub(" ", TAG.sub(" ", text)))
-    return "".join(c for c in t if c.isalnum())
+def readable(text: str) -> bool:
+    """Whether there are letters or digits outside of markup, entities and placeholders."""
+    return bool(LETTER.search(ENTITY.sub(" ", HOLE.sub(" ", TAG.sub(" ", text)))))
 
 
 def shows(text: str) -> bool:
@@ -81,14 +92,19 @@ def shows(text: str) -> bool:
 
 
 def is_empty(answer: str | None, source: str | None) -> bool:
-    if answer is None or not shows(answer):
+    if answer is None:
         return True
-    return not readable(answer) and bool(source) and bool(readable(source))
+    if LETTER.search(answer) and not ("<" in answer or "&" in answer or "{" in answer) or readable(answer):
+        return False
+    return not shows(answer) or bool(source) and readable(source)
 
 
 def is_refusal(answer: str, source: str | None) -> bool:
     """Some sentence declines the task; the source does not say the same."""
-    t = RUN.sub(" ", TAG.sub(" ", answer)).casefold().replace("’", "'")
+    t = answer.casefold()
+    if not TASK.search(t):
+        return False
+    t = RUN.sub(" ", TAG.sub(" ", t)).replace("’", "'")
     for a, b in REFUSALS:
         for s in re.split(r"(?<=[.?!])\s", t):
             if a.search(s) and b.search(s):
@@ -129,11 +145,18 @@ def tiles(a: list[str], b: list[str], least: int) -> int:
 
 def has_words(source: str) -> bool:
     """Something to translate: a word that is no name, number or sign."""
-    found = net.LETTERS.findall(net.plain(source))
-    return any(w[0].islower() and len(w) > 1 for w in found) or sum(len(w) > 1 and w.isupper() for w in found) >= 3
+    bare = ENTITY.sub(" ", HOLE.sub(" ", TAG.sub(" ", source)))
+    if SMALL.search(bare):
+        return True
+    bare = ud.normalize("NFKC", bare)
+    return bool(SMALL.search(bare)) or sum(w.isupper() for w in LETTERS.findall(bare)) >= 3
 
 
 def is_copy(source: str, answer: str) -> bool:
+    # a copy shares most words even before markup and the like are taken off
+    plain_a, plain_b = set(WORD.findall(source.casefold())), set(WORD.findall(answer.casefold()))
+    if source.isascii() and len(plain_a & plain_b) < 0.5 * len(plain_a):
+        return False
     a, b = words(source), words(answer)
     if not a or not b or not has_words(source):
         return False
@@ -184,110 +207,144 @@ def scan(part: str, stack: list[str]) -> None:
             stack.append(c)
 
 
+def sentence_count(text: str) -> int:
+    n = len(STOP.findall(text))
+    return n + (not STOP_END.search(text))
+
+
 def is_truncated(source: str, answer: str, usual: float | None) -> bool:
     """Judged by how the answer ends, what it leaves out, and its length against the usual one for its languages."""
-    if not has_words(source):
-        return False
     s, t = source.rstrip(), answer.rstrip()
-    n_s, n_t = len(net.sentences(net.plain(s))), len(net.sentences(net.plain(t)))
     share = len(t) / max(1.0, len(s) * (usual or 1.0))
-    unclosed = open_at_end(t) > open_at_end(s)
-    ellipsis = bool(CUT_END.search(t)) and not CUT_END.search(s)
-    no_stop = bool(STOP_END.search(s)) and not STOP_END.search(t)
+    if share >= SHORT or not has_words(source):
+        return False
+    if CUT_END.search(t) and not CUT_END.search(s) or open_at_end(t) > open_at_end(s):
+        return True
+    if bool(STOP_END.search(s)) and not STOP_END.search(t) and share < NO_STOP:
+        return True
     lost = len(HOLE.findall(t)) < len(HOLE.findall(s)) or len(TAG.findall(t)) < len(TAG.findall(s)) or len(ITEM.findall(t)) < len(ITEM.findall(s))
-    fewer = n_t < n_s
-    if ellipsis or unclosed:
-        return share < SHORT or fewer
-    if no_stop:
-        return share < NO_STOP or (fewer or lost) and share < SHORT
-    if fewer:
-        return share < FEWER or lost and share < SHORT
+    if bool(STOP_END.search(s)) and not STOP_END.search(t) and lost:
+        return True
+    if sentence_count(TAG.sub("", t)) < sentence_count(TAG.sub("", s)):
+        return share < FEWER or lost or not STOP_END.search(t)
     return share < VERY_SHORT and lost
 
 
-def in_force(state: DataFrame) -> DataFrame:
-    """(state_key, block_id, text): the latest saved text of each key."""
-    rows = state.where("state_key is not null and block_id is not null").select("state_key", "block_id", "text", "saved_at")
-    latest = F.max(F.struct("saved_at", "text")).alias("r")
-    return spread(rows, "state_key", "block_id").groupBy("state_key", "block_id").agg(latest).select("state_key", "block_id", "r.text")
+class WordTable:
+    """Words that belong to one language more than to any other, with their weight."""
+
+    def __init__(self, weights: dict[str, tuple[str, float]]):
+        self.weights = weights
+
+    @classmethod
+    def learn(cls, texts: list[str], languages: list[str]) -> WordTable:
+        counts: dict[str, dict[str, int]] = {}
+        totals: dict[str, int] = {}
+        for t, lang in zip(texts, languages):
+            for w in set(small_words(t)):
+                own = counts.setdefault(w, {})
+                own[lang] = own.get(lang, 0) + 1
+                totals[lang] = totals.get(lang, 0) + 1
+        kept = sorted((w for w, c in counts.items() if sum(c.values()) >= 3), key=lambda w: (-sum(counts[w].values()), w))[:TRAIN_WORDS]
+        weights = {}
+        for w in kept:
+            share = sorted((((counts[w].get(k, 0) + 0.5) / (n + 1), k) for k, n in totals.items()), reverse=True)
+            gain = math.log(share[0][0] / share[1][0]) if len(share) > 1 else 1.0
+            if gain > 0.7:
+                weights[w] = (share[0][1], min(gain, 3.0))
+        return cls(weights)
+
+    def scores(self, text: str) -> dict[str, float]:
+        out: dict[str, float] = {}
+        get = self.weights.get
+        for w in small_words(text):
+            hit = get(w)
+            if hit:
+                out[hit[0]] = out.get(hit[0], 0.0) + hit[1]
+        return out
+
+    def language(self, text: str | None) -> str | None:
+        got = self.scores(text) if text else None
+        if not got:
+            return None
+        best = max(got, key=got.get)
+        return best if got[best] >= SURE and got[best] >= 0.7 * sum(got.values()) else None
+
+    def against(self, text: str, target: str | None) -> tuple[bool, str | None]:
+        """Whether the text is surely in the target language; the language it is in if that is surely another."""
+        got = self.scores(text)
+        if not got or target is None:
+            return False, None
+        best = max(got, key=got.get)
+        if best == target:
+            return got[best] >= SURE and got[best] >= 0.9 * sum(got.values()), None
+        sure = got[best] >= SURE and got.get(target, 0.0) <= STILL_TARGET * got[best]
+        return False, best if sure else None
+
+
+def small_words(text: str) -> list[str]:
+    """The words that are no names; of a text in capitals, all."""
+    found = SMALL.findall(text)
+    return found or [w.lower() for w in LETTERS.findall(text) if w.isupper()]
+
+
+def defect(source: str | None, answer: str | None, target: str | None, label: str | None, table: WordTable, usual: dict) -> str | None:
+    if is_empty(answer, source):
+        return "empty"
+    if is_refusal(answer, source):
+        return "refusal"
+    if not source:
+        return None
+    settled, other = table.against(answer, target)
+    # an answer in the target language copies nothing, unless the source is in that language as well
+    if not settled and is_copy(source, answer) and (table.language(source) or label or "?") != target:
+        return "copied"
+    if other and other != table.language(source) and has_words(source):
+        return "wrong_language"
+    if len(answer) < 1.5 * len(source):
+        known = table.language(source) or label
+        return "truncated" if is_truncated(source, answer, usual.get((known, target))) else None
+    return None
 
 
 def pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(state_key, block_id, source, answer, target, label): every translation in force with its source block."""
+    """(state_key, block_id, source, answer, target, label): every translation in force with its source block.
+
+    Saved rows get their book before the latest is taken, so that one exchange by (book_id, block_id) serves both that
+    and the join with the blocks."""
     r = runs.where("state_key is not null").groupBy("state_key").agg(F.max(F.struct("book_id", "source_language", "target_language")).alias("r"))
     r = r.select("state_key", "r.book_id", label_language(F.col("r.source_language")).alias("label"), label_language(F.col("r.target_language")).alias("target"))
+    rows = state.where("state_key is not null and block_id is not null").select("state_key", "block_id", "text", "saved_at").join(r, "state_key", "left")
+    keys = ["book_id", "block_id"]
+    latest = spread(rows, *keys).groupBy(*keys, "state_key", "label", "target").agg(F.max(F.struct("saved_at", "text")).alias("t"))
     b = latest_blocks(blocks, "text").withColumnRenamed("text", "source")
-    rows = in_force(state).withColumnRenamed("text", "answer").join(r, "state_key", "left").join(b, ["book_id", "block_id"], "left")
-    return rows.select("state_key", "block_id", "source", "answer", "target", "label")
-
-
-FIELDS = "state_key string, block_id long, defect string, source string, answer string, from_lang string, target string"
-
+    return latest.join(b, keys, "left").select("state_key", "block_id", "source", F.col("t.text").alias("answer"), "target", "label")
 
-def first_look(rows: DataFrame, model: net.ByteCnn | None) -> DataFrame:
-    """All defects but truncation, and the source's language."""
-    spark = rows.sparkSession
-    shared = checked_broadcast(spark, model, sum(v.nbytes for v in model.p.values()) if model else 0)
 
-    def language_of(texts: list[str | None], model: net.ByteCnn | None) -> list[np.ndarray | None]:
-        kept = [(i, p) for i, t in enumerate(texts) if t for p in [net.plain(t)] if net.worth(p)]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        if model is not None:
-            for (i, _), p in zip(kept, model.texts([p for _, p in kept])):
-                out[i] = p
-        return out
-
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000).to_pydict()
-                of_source, of_answer = language_of(part["source"], model), language_of(part["answer"], model)
-                defects, langs = [], []
-                for s, a, target, label, p, q in zip(part["source"], part["answer"], part["target"], part["label"], of_source, of_answer):
-                    known = net.LANGUAGES[int(p.argmax())] if p is not None and p.max() > 0.9 else label
-                    langs.append(known)
-                    if is_empty(a, s):
-                        defects.append("empty")
-                    elif is_refusal(a, s):
-                        defects.append("refusal")
-                    elif s and (known is None or known != target) and is_copy(s, a):
-                        defects.append("copied")
-                    elif s and q is not None and is_foreign(q, target, known, label):
-                        defects.append("wrong_language")
-                    else:
-                        defects.append(None)
-                columns = [part["state_key"], part["block_id"], defects, part["source"], part["answer"], langs, part["target"]]
-                types = [pa.string(), pa.int64(), *[pa.string()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["state_key", "block_id", "defect", "source", "answer", "from_lang", "target"])
-
-    return rows.mapInArrow(run, FIELDS)
-
-
-def is_foreign(q: np.ndarray, target: str | None, known: str | None, label: str | None) -> bool:
-    got = net.LANGUAGES[int(q.argmax())]
-    if target not in net.LANGUAGES or got in (target, known):
-        return False
-    return q.max() >= 0.7 and q[net.LANGUAGES.index(target)] <= 0.1
-
-
-def broken_pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame, bound: int = TRAIN_BLOCKS) -> DataFrame:
+def broken_pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
     """(state_key, block_id, defect) of the defective pairs in force."""
     spark = state.sparkSession
-    rows = cut(pairs(state, runs, blocks))
-    model = train(rows.select(F.col("answer").alias("text"), F.col("target").alias("language"), F.col("state_key").alias("grp")).where("language is not null and text is not null"), bound)
-    seen = cut(first_look(rows, model))
-    fine = seen.where("defect is null and source is not null and answer is not null")
-    # the usual length of an answer against its source, for each pair of languages
-    ratio = F.length("answer") / F.length("source")
-    usual = fine.where("from_lang is not null and target is not null and length(source) > 20").groupBy("from_lang", "target").agg(F.percentile_approx(ratio, 0.5, 1000).alias("usual"))
+    rows = stored(pairs(state, runs, blocks), "pairs")
+    sample = rows.where("target is not null and length(answer) between 12 and 4000").select("answer", "target").orderBy(F.xxhash64("state_key", "block_id"), "answer").limit(bound).toArrow()
+    table = WordTable.learn(sample.column("answer").to_pylist(), sample.column("target").to_pylist())
+    shared = checked_broadcast(spark, table, 100 * len(table.weights))
+
+    # the usual length of an answer against its source, for each pair of languages: at most as many rows as such pairs
+    @F.pandas_udf("string")
+    def source_language(source: pd.Series) -> pd.Series:
+        return source.map(shared.value.language)
+
+    long_enough = rows.where("target is not null and length(source) > 20 and length(answer) > 0.5 * length(source)")
+    ratios = long_enough.select(F.coalesce(source_language("source"), "label").alias("known"), "target", (F.length("answer") / F.length("source")).alias("ratio"))
+    medians = ratios.where("known <> target").groupBy("known", "target").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual")).collect()
+    usual = {(m.known, m.target): m.usual for m in medians}
 
     def run(batches):
         for batch in batches:
-            c = batch.to_pydict()
-            out = ["truncated" if is_truncated(s, a, u) else None for s, a, u in zip(c["source"], c["answer"], c["usual"])]
-            yield pa.RecordBatch.from_arrays([batch.column("state_key"), batch.column("block_id"), pa.array(out, pa.string())], ["state_key", "block_id", "defect"])
+            c = [batch.column(k).to_pylist() for k in ("source", "answer", "target", "label")]
+            found = [defect(s, a, t, k, shared.value, usual) for s, a, t, k in zip(*c)]
+            keep = pa.array([d is not None for d in found])
+            out = pa.RecordBatch.from_arrays([batch.column("state_key"), batch.column("block_id"), pa.array(found, pa.string())], ["state_key", "block_id", "defect"])
+            yield out.filter(keep)
 
-    short = fine.join(usual, ["from_lang", "target"], "left").select("state_key", "block_id", "source", "answer", "usual")
-    cut_off = short.mapInArrow(run, "state_key string, block_id long, defect string").where("defect is not null")
-    return seen.where("defect is not null").select("state_key", "block_id", "defect").unionByName(cut_off)
+    return rows.mapInArrow(run, "state_key string, block_id long, defect string")
