@@ -61,6 +61,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Like ``cut``, as a compressed table: for wide rows, whose checkpoint would take several times the space."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checked_broadcast(spark: SparkSession, value: object, n_bytes: int):
     """A broadcast variable for data whose size has been measured."""
     if n_bytes > MAX_BROADCAST_BYTES:
