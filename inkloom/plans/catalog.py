@@ -1,6 +1,400 @@
-"""All queries of the core and their SQL."""
+"""All queries of the core, and their SQL for a second engine."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkloom.functions import json as J
+from inkloom.functions import text as T
+from inkloom.operators import greedy, sequence
+from inkloom.session import is_blank, table
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+#: SQL: blocks without repeats, and what is translatable.
+B = "b AS (SELECT DISTINCT book_id, chapter_idx, path, block_id, kind, text, protected FROM blocks WHERE book_id IS NOT NULL AND block_id IS NOT NULL)"
+BLANK = r"regexp_full_match({0}, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]*')".replace("{85}", "{{85}}").replace(r"\p{Z}", r"\p{{Z}}")
+OPEN = "NOT coalesce(protected, false) AND text IS NOT NULL AND NOT " + BLANK.format("text")
+WORDS = r"len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> ''))"
+TAG = r"</?[A-Za-z][\w:-]*(?:\s[^>]*)?/?>"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.one_row_blocks(table(spark, d, "blocks"))
+
+
+def open_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return blocks(spark, d).where(T.translatable(F.col("text"), F.col("protected")))
+
+
+def packed_sql(rows: str, cap: str, most: str = "NULL") -> str:
+    """Greedy packing as a recursive query over (grp, pos, size, cap, most)."""
+    return f"""WITH RECURSIVE {rows},
+    o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos) AS n FROM items),
+    w AS (
+      SELECT grp, pos, n, size AS total, 1 AS cnt, 0::BIGINT AS batch FROM o WHERE n = 1
+      UNION ALL
+      SELECT o.grp, o.pos, o.n,
+        CASE WHEN coalesce(w.total + o.size > {cap}, false) OR coalesce(w.cnt + 1 > {most}, false) THEN o.size ELSE w.total + o.size END,
+        CASE WHEN coalesce(w.total + o.size > {cap}, false) OR coalesce(w.cnt + 1 > {most}, false) THEN 1 ELSE w.cnt + 1 END,
+        w.batch + CASE WHEN coalesce(w.total + o.size > {cap}, false) OR coalesce(w.cnt + 1 > {most}, false) THEN 1 ELSE 0 END
+      FROM w JOIN o ON o.grp = w.grp AND o.n = w.n + 1
+    ) """
+
+
+BOOK_ITEMS = f"{B}, items AS (SELECT book_id AS grp, block_id AS pos, {WORDS} AS size FROM b WHERE {OPEN})"
+
+
+def token_packed(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("long")
+    return greedy.greedy_batches(open_blocks(spark, d), F.col("book_id"), F.col("block_id"), T.word_count(F.col("text")), F.lit(400), none)
+
+
+@query(packed_sql(BOOK_ITEMS, "400") + "SELECT grp AS book_id, pos AS block_id, batch FROM w")
+def token_batches(spark, d):
+    """Blocks in order into batches of at most 400 tokens; one over the limit rides alone."""
+    return token_packed(spark, d).select(F.col("grp").alias("book_id"), F.col("pos").alias("block_id"), "batch")
+
+
+@query(
+    packed_sql(BOOK_ITEMS, "400")
+    + f""", k AS (SELECT grp, max(batch) + 1 AS batches FROM w GROUP BY grp)
+    SELECT b.book_id, count(*) AS blocks, count(DISTINCT chapter_idx) AS chapters, sum(length(text))::BIGINT AS characters,
+      sum({WORDS})::BIGINT AS tokens, any_value(k.batches) AS batches
+    FROM b JOIN k ON k.grp = b.book_id WHERE {OPEN} GROUP BY b.book_id"""
+)
+def plan_books(spark, d):
+    """The pre-flight plan: chapters, blocks, characters, tokens and batches of every book."""
+    sums = open_blocks(spark, d).groupBy("book_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("chapter_idx").alias("chapters"), F.sum(F.length("text")).cast("long").alias("characters"), F.sum(T.word_count(F.col("text"))).cast("long").alias("tokens"))
+    made = token_packed(spark, d).groupBy(F.col("grp").alias("book_id")).agg((F.max("batch") + 1).alias("batches"))
+    return sums.join(made, "book_id")
+
+
+RUN_ITEMS = f"""{B}, r AS (SELECT DISTINCT state_key, book_id, provider_id FROM runs),
+    items AS (SELECT r.state_key AS grp, block_id AS pos, length(text) AS size, p.max_batch_chars AS cap, p.max_batch_items AS most
+      FROM r JOIN b USING (book_id) JOIN providers p USING (provider_id) WHERE {OPEN})"""
+
+
+@query(packed_sql(RUN_ITEMS, "o.cap", "o.most") + "SELECT grp AS state_key, pos AS block_id, batch FROM w")
+def char_item_batches(spark, d):
+    """In order, by the characters and items a provider takes; null limits are none."""
+    runs = table(spark, d, "runs").select("state_key", "book_id", "provider_id").distinct()
+    p = table(spark, d, "providers").select("provider_id", "max_batch_chars", "max_batch_items")
+    rows = runs.join(p, "provider_id").join(open_blocks(spark, d), "book_id")
+    got = greedy.greedy_batches(rows, F.col("state_key"), F.col("block_id"), F.length("text"), F.col("max_batch_chars"), F.col("max_batch_items"))
+    return got.select(F.col("grp").alias("state_key"), F.col("pos").alias("block_id"), "batch")
+
+
+@query(f"WITH {B} SELECT book_id, block_id, length(text) AS n_chars, {WORDS}::BIGINT AS tokens FROM b WHERE {OPEN}")
+def translatable_blocks(spark, d):
+    """F1, P1, P2."""
+    return open_blocks(spark, d).select("book_id", "block_id", F.length("text").cast("long").alias("n_chars"), T.word_count(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH {B} SELECT book_id, block_id, row_number() OVER (PARTITION BY book_id ORDER BY block_id) - 1 AS global_id FROM b")
+def global_block_ids(spark, d):
+    """W1."""
+    return sequence.global_ids(blocks(spark, d)).select("book_id", "block_id", "global_id")
+
+
+@query(
+    f"""WITH {B}, s AS (SELECT book_id, block_id, text, length(text) AS n,
+      coalesce(sum(length(text)) OVER (PARTITION BY book_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM b WHERE chapter_idx < 10 AND {OPEN})
+    SELECT book_id, string_agg(text[1:least(n, 2000 - before)::BIGINT], chr(10) || chr(10) ORDER BY block_id) AS sample FROM s WHERE before < 2000 GROUP BY book_id"""
+)
+def sample_budget(spark, d):
+    """Text of the first ten chapters up to 2000 characters (Z10, Z11 start from it)."""
+    return sequence.sample_text(blocks(spark, d), 10, 2000)
+
+
+@query(
+    f"""WITH {B}, r AS (SELECT DISTINCT state_key, book_id FROM runs)
+    SELECT r.state_key, r.book_id, b.block_id FROM r JOIN b USING (book_id) WHERE {OPEN}
+      AND NOT EXISTS (SELECT 1 FROM translation_state t WHERE t.state_key = r.state_key AND t.block_id = b.block_id)"""
+)
+def pending_blocks(spark, d):
+    """What a resumed run still has to do."""
+    return sequence.pending(table(spark, d, "runs"), table(spark, d, "blocks"), table(spark, d, "translation_state"))
+
+
+LATEST = "t AS (SELECT state_key, block_id, arg_max(text, struct_pack(a := saved_at, b := coalesce(text, ''), c := batch_id)) AS text FROM (SELECT * FROM translation_state WHERE text IS NOT NULL OR true) GROUP BY state_key, block_id)"
+LATEST = "t AS (SELECT state_key, block_id, text, batch_id FROM (SELECT *, row_number() OVER (PARTITION BY state_key, block_id ORDER BY saved_at DESC, text DESC NULLS LAST, batch_id DESC) AS n FROM translation_state) WHERE n = 1)"
+
+
+@query(
+    f"""WITH {B}, {LATEST}, r AS (SELECT DISTINCT state_key, book_id FROM runs)
+    SELECT r.state_key, r.book_id, b.block_id, coalesce(t.text, b.text) AS text, t.text IS NOT NULL AS translated
+    FROM r JOIN b USING (book_id) LEFT JOIN t ON t.state_key = r.state_key AND t.block_id = b.block_id"""
+)
+def applied_translations(spark, d):
+    """The translated book, block by block."""
+    return sequence.apply_translations(table(spark, d, "runs"), table(spark, d, "blocks"), table(spark, d, "translation_state"))
+
+
+@query(
+    f"""WITH {B}, x AS (SELECT book_id, block_id, CASE block_id % 5 WHEN 0 THEN text || ' [Nota: original]' WHEN 1 THEN '(N. T.) ' || text
+      WHEN 2 THEN text || ' TRADUÇÃO automática por X' WHEN 3 THEN 'a' || chr(10) || ' Original: ' || text ELSE text END AS text FROM b)
+    SELECT book_id, block_id, regexp_matches(text, '(?i)\\[[^\\]]*(?:tradu[çc][aã]o|original|nt\\.)[^\\]]*\\]') OR regexp_matches(text, '(?i)\\(\\s*n\\.?\\s*t\\.?\\s*\\)')
+      OR regexp_matches(text, '(?i)nota\\s+(?:do|da)\\s+tradutor') OR regexp_matches(text, '(?i)traduzid[oa]\\s+(?:por|com)\\s+(?:ia|intelig[eê]ncia\\s+artificial)')
+      OR regexp_matches(text, '(?i)tradu[çc][aã]o\\s+(?:automatica|automática|gerada|feita)\\s+(?:por|com|via)') OR regexp_matches(text, '(?im)^\\s*original:') AS marked
+    FROM x WHERE text IS NOT NULL"""
+)
+def machine_marks(spark, d):
+    """F3, X9, over blocks with marks added to four fifths of them."""
+    t, k = F.col("text"), F.col("block_id") % 5
+    dressed = F.when(k == 0, F.concat(t, F.lit(" [Nota: original]"))).when(k == 1, F.concat(F.lit("(N. T.) "), t)).when(k == 2, F.concat(t, F.lit(" TRADUÇÃO automática por X"))).when(k == 3, F.concat(F.lit("a\n Original: "), t)).otherwise(t)
+    return blocks(spark, d).where("text is not null").select("book_id", "block_id", T.has_machine_mark(dressed).alias("marked"))
+
+
+TIDY = r"regexp_replace(regexp_replace(regexp_replace(x, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), ' +/>', '/>', 'g'), ' +>', '>', 'g')"
+
+
+@query(f"WITH {B} SELECT book_id, block_id, array_to_string(list_transform(regexp_extract_all(text, '{TAG}'), lambda x: {TIDY}), '|') AS tags FROM b WHERE text IS NOT NULL")
+def markup_tags(spark, d):
+    """The sequence of inline tags."""
+    return blocks(spark, d).where("text is not null").select("book_id", "block_id", F.array_join(T.markup_sequence(F.col("text")), "|").alias("tags"))
+
+
+@query(rf"WITH {B} SELECT book_id, block_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{TAG}', '', 'g'), '@@\d+@@', '', 'g'), ' +', ' ', 'g'), '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g') AS plain FROM b WHERE text IS NOT NULL")
+def stripped_markup(spark, d):
+    """X8."""
+    return blocks(spark, d).where("text is not null").select("book_id", "block_id", T.strip_markup(F.col("text")).alias("plain"))
+
+
+CLEAN = r"regexp_replace(regexp_replace(z, '\{\{[\s\p{Z}]*(\d+)[\s\p{Z}]*\}\}', '{{\1}}', 'g'), '@[\s\p{Z}]*@[\s\p{Z}]*(\d+)[\s\p{Z}]*@[\s\p{Z}]*@', '@@\1@@', 'g')"
+
+
+@query(f"WITH {B}, x AS (SELECT book_id, block_id, replace(replace(text, '{{{{', '{{{{ '), '}}}}', ' }}}}') || ' @ @ 7 @ @' AS z FROM b WHERE text IS NOT NULL) SELECT book_id, block_id, {CLEAN} AS cleaned, array_to_string(regexp_extract_all({CLEAN}, '\\{{\\{{(\\d+)\\}}\\}}', 1), ',') AS numbers FROM x")
+def placeholder_numbers(spark, d):
+    """X3, X4, over blocks whose placeholders were pulled apart."""
+    z = F.concat(F.replace(F.replace("text", F.lit("{{"), F.lit("{{ ")), F.lit("}}"), F.lit(" }}")), F.lit(" @ @ 7 @ @"))
+    rows = blocks(spark, d).where("text is not null").select("book_id", "block_id", z.alias("z"))
+    return rows.select("book_id", "block_id", T.clean_placeholders(F.col("z")).alias("cleaned"), F.array_join(T.placeholder_sequence(F.col("z")).cast("array<string>"), ",").alias("numbers"))
+
+
+def answered(spark, d):
+    """Saved translations in force with their source."""
+    runs = table(spark, d, "runs").select("state_key", "book_id").distinct()
+    saved = sequence.latest_state(table(spark, d, "translation_state")).join(runs, "state_key")
+    return saved.join(blocks(spark, d).select("book_id", "block_id", F.col("text").alias("source")), ["book_id", "block_id"]).where("source is not null")
+
+
+SQL_SEQ = lambda c: f"regexp_extract_all({c}, '\\{{\\{{(\\d+)\\}}\\}}', 1)"
+SQL_TAGS = lambda c: f"list_transform(regexp_extract_all({c}, '{TAG}'), lambda x: {TIDY})"
+SQL_PAIRS = f"{B}, {LATEST}, a AS (SELECT t.state_key, t.block_id, t.batch_id, b.text AS s, t.text AS z FROM t JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id AND b.block_id = t.block_id WHERE b.text IS NOT NULL), c AS (SELECT *, {CLEAN} AS f FROM a)"
+SQL_BLANK_F = "(f IS NULL OR " + BLANK.format("f") + ")"
+SQL_PH = f"{SQL_SEQ('s')} = {SQL_SEQ('f')}"
+SQL_FMT = f"({SQL_PH} AND {SQL_TAGS('s')} = {SQL_TAGS('f')})"
+
+
+@query(f"WITH {SQL_PAIRS} SELECT state_key, block_id, CASE WHEN {SQL_BLANK_F} THEN 'empty' WHEN NOT {SQL_FMT} THEN 'markup' END AS reason FROM c WHERE {SQL_BLANK_F} OR NOT {SQL_FMT}")
+def reject_reasons(spark, d):
+    """answers sent back, with the reason (no saved text has a machine mark of F3's patterns)."""
+    rows = answered(spark, d).select("state_key", "block_id", T.reject_reason(F.col("source"), F.col("text")).alias("reason"))
+    return rows.where("reason is not null")
+
+
+@query(f"WITH {SQL_PAIRS} SELECT state_key, batch_id, count(*) AS blocks, bool_and(NOT {SQL_BLANK_F} AND {SQL_FMT}) AS clean, max(CASE WHEN {SQL_BLANK_F} OR NOT ({SQL_PH}) THEN 1 ELSE 0 END) AS lost FROM c GROUP BY state_key, batch_id")
+def batch_quality(spark, d):
+    """Whether a batch is clean, and whether salvaging it fails on any block."""
+    s, t = F.col("source"), F.col("text")
+    rows = answered(spark, d).select("state_key", "batch_id", T.reject_reason(s, t).isNull().alias("ok"), T.salvage(s, t).isNull().cast("int").alias("gone"))
+    return rows.groupBy("state_key", "batch_id").agg(F.count(F.lit(1)).alias("blocks"), F.bool_and("ok").alias("clean"), F.max("gone").alias("lost"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(12), chr(10)), chr(10))) AS line FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+    s AS (SELECT doc_id, trim(regexp_replace(trim(line), '^[",\[\]]+|[",\[\]]+$', '', 'g')) AS z FROM l),
+    p AS (SELECT doc_id, CASE WHEN instr(z, '->') > 0 THEN '->' WHEN instr(z, ':') > 0 THEN ':' END AS sep, z FROM s)
+    SELECT doc_id, trim(z[1:instr(z, sep) - 1]) AS term, trim(z[instr(z, sep) + length(sep):]) AS translation, count(*) AS n FROM p
+    WHERE sep IS NOT NULL AND trim(z[1:instr(z, sep) - 1]) <> '' AND trim(z[instr(z, sep) + length(sep):]) <> '' GROUP BY ALL"""
+)
+def glossary_pairs(spark, d):
+    """X10, over the lines of all documents (line ends are unified first)."""
+    docs = table(spark, d, "documents").where("text is not null and doc_id is not null").select("doc_id", F.regexp_replace("text", "\r\n|\r|\f", "\n").alias("text")).distinct()
+    return docs.select("doc_id", F.explode(T.glossary_lines(F.col("text"))).alias("p")).select("doc_id", "p.term", "p.translation").groupBy("doc_id", "term", "translation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT book_id, substr(sha256(to_json(list([path, coalesce(title, '')] ORDER BY path, coalesce(title, '')))::VARCHAR), 1, 16) AS version FROM (SELECT DISTINCT book_id, path, title FROM chapters WHERE path IS NOT NULL) GROUP BY book_id")
+def glossary_versions(spark, d):
+    """Hash of a sorted list of pairs (a book's chapters and titles)."""
+    rows = table(spark, d, "chapters").where("path is not null").select("book_id", "path", "title").distinct()
+    pairs = F.collect_list(F.array("path", F.coalesce("title", F.lit(""))))
+    return rows.groupBy("book_id").agg(J.glossary_version(pairs).alias("version"))
+
+
+@query(
+    """SELECT DISTINCT r.state_key, substr(sha256(CASE WHEN p.family = 'llm' AND r.provider_id = 'llm-umbra' THEN array_to_string([r.book_id, coalesce(r.source_language, ''), r.target_language, coalesce(r.model, ''), 'hibrido', 'v1'], chr(0))
+      ELSE array_to_string([r.book_id, p.family, r.provider_id, p.transport_variant, coalesce(r.source_language, ''), r.target_language, CASE WHEN p.family = 'llm' THEN coalesce(r.model, '') ELSE '' END, CASE WHEN p.family = 'llm' THEN 'hibrido' ELSE '' END, CASE WHEN p.family = 'llm' THEN 'v1' ELSE '' END], chr(0)) END), 1, 16) AS compat
+    FROM runs r JOIN providers p USING (provider_id)"""
+)
+def state_keys(spark, d):
+    """X15; one provider plays the old default."""
+    rows = table(spark, d, "runs").join(table(spark, d, "providers").select("provider_id", "family", "transport_variant"), "provider_id")
+    c = F.col
+    provider = F.when(c("provider_id") == "llm-umbra", "").otherwise(c("provider_id"))
+    key = T.state_key(c("book_id"), c("source_language"), c("target_language"), c("model"), F.lit("hibrido"), F.lit("v1"), c("family"), provider, c("transport_variant"))
+    return rows.select("state_key", key.alias("compat")).distinct()
+
+
+@query(
+    """WITH s AS (SELECT state_key, count(DISTINCT block_id) AS n FROM translation_state GROUP BY state_key)
+    SELECT DISTINCT r.state_key, coalesce(s.n, 0) AS saved, s.n IS NOT NULL AS resumable FROM runs r LEFT JOIN s USING (state_key)"""
+)
+def cache_status(spark, d):
+    """F9, A5."""
+    saved = table(spark, d, "translation_state").groupBy("state_key").agg(F.count_distinct("block_id").alias("n"))
+    return table(spark, d, "runs").select("state_key").distinct().join(saved, "state_key", "left").select("state_key", F.coalesce("n", F.lit(0)).alias("saved"), F.col("n").isNotNull().alias("resumable"))
+
+
+@query(
+    """SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM (SELECT state_key, CASE WHEN count(prompt_tokens) = count(*) THEN sum(prompt_tokens)::BIGINT END AS prompt_tokens,
+      CASE WHEN count(completion_tokens) = count(*) THEN sum(completion_tokens)::BIGINT END AS completion_tokens, coalesce(sum(characters), 0)::BIGINT AS characters, coalesce(sum(blocks), 0)::BIGINT AS blocks, count(*) AS batches
+    FROM (SELECT DISTINCT * FROM usage_log) GROUP BY state_key)"""
+)
+def usage_sums(spark, d):
+    """A3, A4: a sum of tokens is unknown as soon as one part is."""
+    return sequence.usage_totals(table(spark, d, "usage_log"))
+
+
+@query(f"WITH {B}, {LATEST} SELECT t.state_key, t.batch_id, sum(length(b.text))::BIGINT AS characters, count(*) AS blocks FROM t JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id AND b.block_id = t.block_id WHERE b.text IS NOT NULL GROUP BY ALL")
+def batch_usage(spark, d):
+    """Characters and blocks of each batch."""
+    return answered(spark, d).groupBy("state_key", "batch_id").agg(F.sum(F.length("source")).cast("long").alias("characters"), F.count(F.lit(1)).alias("blocks"))
+
+
+@query("SELECT state_key, batch_id, (sum(blocks) OVER (PARTITION BY state_key ORDER BY batch_id))::BIGINT AS done, (sum(blocks) OVER (PARTITION BY state_key))::BIGINT AS total FROM (SELECT DISTINCT * FROM usage_log)")
+def progress_counter(spark, d):
+    """W8."""
+    return sequence.progress(table(spark, d, "usage_log"))
+
+
+@query("SELECT user_id, done, floor(100.0 * us / done / 1e6 + 0.5)::BIGINT AS seconds_left FROM (SELECT user_id, count(*) AS done, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY user_id) WHERE us > 0")
+def remaining_time(spark, d):
+    """W9, T2."""
+    return sequence.eta(table(spark, d, "events"))
+
+
+@query(f"WITH {B} SELECT book_id, chapter_idx, arg_min(text, block_id) AS title FROM b WHERE kind = 'titulo' AND text IS NOT NULL AND NOT {BLANK.format('text')} GROUP BY book_id, chapter_idx")
+def chapter_titles(spark, d):
+    """W10."""
+    return sequence.first_heading(table(spark, d, "blocks"))
+
+
+@query("SELECT path, min(book_id) AS first_book, max(book_id) AS last_book, count(DISTINCT book_id) AS books FROM chapters WHERE path IS NOT NULL GROUP BY path")
+def distinct_paths(spark, d):
+    """First and last wins."""
+    rows = table(spark, d, "chapters").where("path is not null").select("path", "book_id")
+    first = sequence.first_of(rows, ["path"], ["book_id"]).withColumnRenamed("book_id", "first_book")
+    last = sequence.first_of(rows, ["path"], ["book_id"], last=True).withColumnRenamed("book_id", "last_book")
+    return first.join(last, "path").join(rows.groupBy("path").agg(F.count_distinct("book_id").alias("books")), "path")
+
+
+@query(f"WITH {B} SELECT book_id, block_id, replace(replace(text, 'lamp', '***'), 'the', '***') AS redacted FROM b WHERE text IS NOT NULL")
+def redacted(spark, d):
+    """X11."""
+    secrets = F.array(F.lit("lamp"), F.lit(""), F.lit("the"))
+    return blocks(spark, d).where("text is not null").select("book_id", "block_id", T.redact(F.col("text"), secrets).alias("redacted"))
+
+
+@query(
+    """SELECT DISTINCT book_id, opf_path, regexp_replace(opf_path, '\\.[^./]*$', '') || '-pt' || regexp_extract(opf_path, '(\\.[^./]*)$', 1) AS out_path,
+      regexp_replace(coalesce(title, ''), '[^\\p{L}\\p{N}_-]', '-', 'g') AS slug, lower(split_part(trim(language), '-', 1)) AS subtag, upper(book_id) || '_API_KEY' AS key_name,
+      coalesce(CASE lower(split_part(trim(language), '-', 1)) WHEN 'pt' THEN 1.2 WHEN 'es' THEN 1.05 WHEN 'fr' THEN 1.05 WHEN 'it' THEN 1.05 WHEN 'de' THEN 1.1 END, 1.0)::DOUBLE AS factor FROM books"""
+)
+def book_names(spark, d):
+    """K12, X12, X13, X17, J6."""
+    c = F.col
+    return table(spark, d, "books").select("book_id", "opf_path", T.output_path(c("opf_path"), F.lit("pt")).alias("out_path"), T.slug(F.coalesce("title", F.lit(""))).alias("slug"), T.primary_subtag(c("language")).alias("subtag"), T.key_name(c("book_id")).alias("key_name"), T.growth_factor(c("language")).alias("factor")).distinct()
+
+
+@query(
+    """SELECT provider_id, family || ':' || provider_id || ':' || version || ':' || transport_variant AS cache_key, coalesce(max_batch_chars >= 1, true) AND coalesce(max_batch_items >= 1, true) AND max_concurrency >= 1 AND delay_seconds >= 0 AND (family <> 'llm' OR reports_token_usage) AS valid,
+      reports_token_usage OR reports_character_usage AS metered, least(6, max_concurrency) AS parallel, count(*) OVER (PARTITION BY family, provider_id) > 1 AS doubled, row_number() OVER (ORDER BY family, provider_id) AS place FROM providers"""
+)
+def provider_checks(spark, d):
+    """F11, F12, A7, L1, X14, M6, J7."""
+    from pyspark.sql import Window
+
+    c = F.col
+    ok = F.coalesce(c("max_batch_chars") >= 1, F.lit(True)) & F.coalesce(c("max_batch_items") >= 1, F.lit(True)) & (c("max_concurrency") >= 1) & (c("delay_seconds") >= 0) & ((c("family") != "llm") | c("reports_token_usage"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("family", "provider_id")) > 1
+    place = F.row_number().over(Window.orderBy("family", "provider_id"))  # nine rows, fixed
+    return table(spark, d, "providers").select("provider_id", T.cache_key(c("family"), c("provider_id"), c("version"), c("transport_variant")).alias("cache_key"), ok.alias("valid"), (c("reports_token_usage") | c("reports_character_usage")).alias("metered"), F.least(F.lit(6), "max_concurrency").alias("parallel"), n.alias("doubled"), place.alias("place"))
+
+
+@query("SELECT DISTINCT r.provider_id FROM providers r WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.provider_id = r.provider_id AND model IS NULL)")
+def unused_providers(spark, d):
+    """Anti join."""
+    used = table(spark, d, "runs").where("model is null").select("provider_id")
+    return table(spark, d, "providers").select("provider_id").join(used, "provider_id", "left_anti").distinct()
+
+
+@query(
+    """SELECT event_id, CASE WHEN s = 429 OR s >= 500 THEN 'transient' WHEN s IN (401, 403) THEN 'auth' WHEN s >= 400 THEN 'definitive' ELSE 'ok' END AS class, least(60.0, power(2.0, event_id % 9))::DOUBLE AS ceiling, greatest(coalesce(try_cast(props AS BIGINT), 0), 0)::BIGINT AS whole,
+      strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, ((year(ts) - 1980) * 512 + month(ts) * 32 + day(ts))::BIGINT AS dos_date, (hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2)::BIGINT AS dos_time
+    FROM (SELECT *, [200, 400, 401, 403, 404, 429, 500, 503][event_id % 8 + 1] AS s FROM events)"""
+)
+def transport_rules(spark, d):
+    """S17, S18 (classifier), M5, M8, M9, T1, N10, over the events."""
+    c = F.col
+    s = F.element_at(F.array(*map(F.lit, (200, 400, 401, 403, 404, 429, 500, 503))), (c("event_id") % 8 + 1).cast("int"))
+    dos = T.dos_datetime(c("ts"))
+    return table(spark, d, "events").select("event_id", T.retry_class(s).alias("class"), T.backoff_ceiling(c("event_id") % 9).alias("ceiling"), T.at_least_zero(c("props")).alias("whole"), T.utc_stamp(c("ts")).alias("stamp"), dos["date"].alias("dos_date"), dos["time"].alias("dos_time"))
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT 'v' || block_id || '.' || chapter_idx AS v FROM blocks), p AS (SELECT v, list_transform(string_split(regexp_replace(v, '^[vV]+', ''), '.'), lambda x: x::INT) AS p FROM v)
+    SELECT v, array_to_string(p, '.') AS parts, p > [100, 2] AS newer FROM p"""
+)
+def versions(spark, d):
+    """X18, L6."""
+    v = table(spark, d, "blocks").select(F.concat(F.lit("v"), F.col("block_id").cast("string"), F.lit("."), F.col("chapter_idx").cast("string")).alias("v")).distinct()
+    p = T.version_parts(F.col("v"))
+    return v.select("v", F.array_join(p.cast("array<string>"), ".").alias("parts"), (p > F.array(F.lit(100), F.lit(2))).alias("newer"))
+
+
+@query(
+    f"""WITH {LATEST} SELECT state_key, sum(length(text))::BIGINT AS characters, count(text) AS texts, count(*) AS blocks, md5(string_agg(block_id || '=' || coalesce(md5(text), ''), ';' ORDER BY block_id)) AS digest FROM t GROUP BY state_key"""
+)
+def flattened_state(spark, d):
+    """The state of each run after all its saves, the last write winning."""
+    rows = sequence.latest_state(table(spark, d, "translation_state"))
+    line = F.concat(F.col("block_id").cast("string"), F.lit("="), F.coalesce(F.md5("text"), F.lit("")))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_id", line.alias("l")))), lambda x: x["l"]), ";")
+    return rows.groupBy("state_key").agg(F.sum(F.length("text")).cast("long").alias("characters"), F.count("text").alias("texts"), F.count(F.lit(1)).alias("blocks"), F.md5(lines).alias("digest"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split(tags, ';'), lambda x: list_contains(['ben', 'stol', 'zind'], x)), ';') AS kept, len(string_split(tags, ';')) AS n FROM (SELECT DISTINCT doc_id, tags FROM documents WHERE tags IS NOT NULL)")
+def tag_sets(spark, d):
+    """Intersection with a fixed set, in order."""
+    tags = F.split("tags", ";")
+    rows = table(spark, d, "documents").where("tags is not null").select("doc_id", "tags").distinct()
+    return rows.select("doc_id", F.array_join(F.filter(tags, lambda x: x.isin("ben", "stol", "zind")), ";").alias("kept"), F.size(tags).cast("long").alias("n"))
+
+
+@query("SELECT DISTINCT q.doc_id AS question_id, a.doc_id AS answer_id, a.answer_rank FROM documents q JOIN documents a ON a.question_id = q.doc_id WHERE q.post_kind = 'question' AND a.post_kind = 'answer'")
+def threads(spark, d):
+    """Equi-join of two roles of one table."""
+    docs = table(spark, d, "documents")
+    q = docs.where("post_kind = 'question'").select(F.col("doc_id").alias("question_id"))
+    return q.join(docs.where("post_kind = 'answer'").select("question_id", F.col("doc_id").alias("answer_id"), "answer_rank"), "question_id").distinct()
+
+
+@query(f"WITH {B}, {LATEST}, a AS (SELECT r.state_key, b.block_id, b.text AS s FROM (SELECT DISTINCT state_key, book_id FROM runs) r JOIN b USING (book_id)) SELECT a.state_key, a.block_id, a.s = t.text AS same FROM a JOIN t ON t.state_key = a.state_key AND t.block_id = a.block_id WHERE a.s IS NOT NULL AND t.text IS NOT NULL")
+def positional_zip(spark, d):
+    """Sources and answers side by side by position."""
+    return answered(spark, d).where("text is not null").select("state_key", "block_id", (F.col("source") == F.col("text")).alias("same"))
