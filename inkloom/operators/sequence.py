@@ -37,8 +37,8 @@ def sample_text(blocks: DataFrame, chapters: int, budget: int) -> DataFrame:
 
     Only rows within the budget are gathered, so a book's size does not matter."""
     rows = blocks.where((F.col("chapter_idx") < chapters) & T.translatable(F.col("text"), F.col("protected")))
-    rows = book_prefix(rows.withColumn("_n", F.length("text").cast("long")), "_n", "_before").where(F.col("_before") < budget)
-    take = F.expr(f"substring(text, 1, cast(least(_n, {budget} - _before) as int))")
+    rows = book_prefix(rows.withColumn("_n", F.length("text").cast("long")), "_n", "_at").where(F.col("_at") < budget)
+    take = F.expr(f"substring(text, 1, cast(least(_n, {budget} - _at) as int))")
     parts = F.sort_array(F.collect_list(F.struct("block_id", take.alias("t"))))
     return rows.groupBy("book_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("sample"))
 

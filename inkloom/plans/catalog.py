@@ -130,7 +130,6 @@ def pending_blocks(spark, d):
     return sequence.pending(table(spark, d, "runs"), table(spark, d, "blocks"), table(spark, d, "translation_state"))
 
 
-LATEST = "t AS (SELECT state_key, block_id, arg_max(text, struct_pack(a := saved_at, b := coalesce(text, ''), c := batch_id)) AS text FROM (SELECT * FROM translation_state WHERE text IS NOT NULL OR true) GROUP BY state_key, block_id)"
 LATEST = "t AS (SELECT state_key, block_id, text, batch_id FROM (SELECT *, row_number() OVER (PARTITION BY state_key, block_id ORDER BY saved_at DESC, text DESC NULLS LAST, batch_id DESC) AS n FROM translation_state) WHERE n = 1)"
 
 
@@ -197,17 +196,19 @@ SQL_TAGS = lambda c: f"list_transform(regexp_extract_all({c}, '{TAG}'), lambda x
 SQL_PAIRS = f"{B}, {LATEST}, a AS (SELECT t.state_key, t.block_id, t.batch_id, b.text AS s, t.text AS z FROM t JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id AND b.block_id = t.block_id WHERE b.text IS NOT NULL), c AS (SELECT *, {CLEAN} AS f FROM a)"
 SQL_BLANK_F = "(f IS NULL OR " + BLANK.format("f") + ")"
 SQL_PH = f"{SQL_SEQ('s')} = {SQL_SEQ('f')}"
+SQL_MARK = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '(?i{'m' if p.startswith('(?m)') else ''}){p.removeprefix('(?m)')}')" for p in T.MACHINE_MARKS) + ")"
+SQL_NEW_MARK = f"({SQL_MARK('f')} AND NOT {SQL_MARK('s')})"
 SQL_FMT = f"({SQL_PH} AND {SQL_TAGS('s')} = {SQL_TAGS('f')})"
 
 
-@query(f"WITH {SQL_PAIRS} SELECT state_key, block_id, CASE WHEN {SQL_BLANK_F} THEN 'empty' WHEN NOT {SQL_FMT} THEN 'markup' END AS reason FROM c WHERE {SQL_BLANK_F} OR NOT {SQL_FMT}")
+@query(f"WITH {SQL_PAIRS} SELECT state_key, block_id, CASE WHEN {SQL_BLANK_F} THEN 'empty' WHEN {SQL_NEW_MARK} THEN 'mark' WHEN NOT {SQL_FMT} THEN 'markup' END AS reason FROM c WHERE {SQL_BLANK_F} OR {SQL_NEW_MARK} OR NOT {SQL_FMT}")
 def reject_reasons(spark, d):
-    """answers sent back, with the reason (no saved text has a machine mark of F3's patterns)."""
+    """answers sent back, with the reason."""
     rows = answered(spark, d).select("state_key", "block_id", T.reject_reason(F.col("source"), F.col("text")).alias("reason"))
     return rows.where("reason is not null")
 
 
-@query(f"WITH {SQL_PAIRS} SELECT state_key, batch_id, count(*) AS blocks, bool_and(NOT {SQL_BLANK_F} AND {SQL_FMT}) AS clean, max(CASE WHEN {SQL_BLANK_F} OR NOT ({SQL_PH}) THEN 1 ELSE 0 END) AS lost FROM c GROUP BY state_key, batch_id")
+@query(f"WITH {SQL_PAIRS} SELECT state_key, batch_id, count(*) AS blocks, bool_and(NOT {SQL_BLANK_F} AND NOT {SQL_NEW_MARK} AND {SQL_FMT}) AS clean, max(CASE WHEN {SQL_BLANK_F} OR {SQL_NEW_MARK} OR NOT ({SQL_PH}) THEN 1 ELSE 0 END) AS lost FROM c GROUP BY state_key, batch_id")
 def batch_quality(spark, d):
     """Whether a batch is clean, and whether salvaging it fails on any block."""
     s, t = F.col("source"), F.col("text")
