@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUL = "\0"
 LITERAL = re.compile(r"\{\{\d+\}\}")
@@ -79,8 +80,9 @@ def unmask(text: str, tags: list[str], empties: list[str]) -> str:
     return text
 
 
-PROTECTED = "template string, protected map<int,string>"
-MASKED = "masked string, tags array<string>, empties array<string>"
+STRING = T.StringType()
+PROTECTED = T.StructType().add("template", STRING).add("protected", T.MapType(T.IntegerType(), STRING))
+MASKED = T.StructType().add("masked", STRING).add("tags", T.ArrayType(STRING)).add("empties", T.ArrayType(STRING))
 
 
 @F.pandas_udf(PROTECTED)
@@ -89,7 +91,7 @@ def protect_udf(text: pd.Series, snippets: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["template", "protected"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def restore_udf(template: pd.Series, saved: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else restore(t, dict(s) if s is not None else {}) for t, s in zip(template, saved)])
 
@@ -99,6 +101,6 @@ def mask_udf(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None, None) if t is None else mask(t) for t in text], columns=["masked", "tags", "empties"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def unmask_udf(text: pd.Series, tags: pd.Series, empties: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unmask(t, list(a), list(e)) for t, a, e in zip(text, tags, empties)])
