@@ -26,18 +26,28 @@ MARKUP = re.compile(r"<[^<>]{0,200}>|\{\{\d+\}\}|@@\d+@@|&#?\w{1,10};")
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”“»’)\]]*(?=\s+[^\s)\],;:a-zß-öø-ÿа-яё]|\s*$)|(?=\n|$))")
 RUNS = re.compile("[ \t]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-CYRILLIC = re.compile("[Ѐ-ӿ]")
+OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
 
+def one_script(m: re.Match) -> str:
+    """A word of Latin letters and look-alikes of other scripts in Latin only; a word with a letter that only another
+    script has is left as it is."""
+    word = m.group()
+    if word.isascii() or not LATIN.search(word):
+        return word
+    folded_word = "".join(LOOK_ALIKES.get(c, c) for c in word)
+    return word if OTHER.search(folded_word) else folded_word
+
+
 def plain(text: str) -> str:
     """Text without markup and placeholders, with one form of blanks, wide and look-alike letters."""
     text = MARKUP.sub(" ", text)
     if not text.isascii():
         text = "".join(c if c < "\x80" else (folded(c) if c not in LOOK_ALIKES else c) for c in text)
         text = ud.normalize("NFC", text)
-        if len(LATIN.findall(text)) > len(CYRILLIC.findall(text)):
-            text = "".join(LOOK_ALIKES.get(c, c) for c in text)
+        if LATIN.search(text) and OTHER.search(text):
+            text = LETTERS.sub(one_script, text)
     return RUNS.sub(" ", text)
 
 

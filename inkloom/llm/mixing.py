@@ -183,7 +183,7 @@ class Mixture:
         got = self.uses.where("times > 0").groupBy("plan_id", "source").agg(F.sum(used).alias("tokens"), F.sum("times").cast("long").alias("records"), F.max("times").alias("most_repeats"))
         all_of = Window.partitionBy("plan_id")
         both = goal.join(got, ["plan_id", "source"], "left").na.fill({"tokens": 0, "records": 0, "most_repeats": 0})
-        return both.withColumn("reached_share", F.col("tokens") / F.sum("tokens").over(all_of)).withColumn("reached_of_target", F.when(F.col("target_tokens") > 0, F.col("tokens") / F.col("target_tokens")))
+        return both.withColumn("reached_share", F.try_divide("tokens", F.sum("tokens").over(all_of))).withColumn("reached_of_target", F.when(F.col("target_tokens") > 0, F.col("tokens") / F.col("target_tokens")))
 
     def sequence(self, shards: int = SHARDS) -> DataFrame:
         """(plan_id, shard, position_key, doc_id, source, tokens, copy): the mixture; sort a shard by position_key."""

@@ -116,6 +116,7 @@ def pack_items(items: DataFrame, chunk_items: int = CHUNK_ITEMS, fan: int = FAN,
     """``items``: grp string, item string (unique in its group), size long, cap long, max_n long (equal in a group).
 
     Gives grp, item, piece, start, size, batch_id: every piece of every item, once."""
+    items = items.select("grp", "item", "size", "cap", "max_n")
     limits = items.withColumn("cap", F.when(F.col("cap") >= 1, F.col("cap"))).withColumn("max_n", F.when(F.col("max_n") >= 1, F.col("max_n")))
     n_pieces = F.when(F.col("size") > F.col("cap"), F.ceil(F.col("size") / F.col("cap"))).otherwise(1).cast("int")
     parts = (
