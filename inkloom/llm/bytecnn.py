@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from functools import lru_cache
 
 import numpy as np
 
@@ -30,6 +31,12 @@ OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
 
+@lru_cache(maxsize=4096)
+def form(c: str) -> str:
+    """Wide forms, blanks, ligatures and invisible characters in their plain form; letters as they are."""
+    return c if c in LOOK_ALIKES or ud.decomposition(c)[:1] not in ("", "<") else folded(c)
+
+
 def one_script(m: re.Match) -> str:
     """A word of Latin letters and look-alikes of other scripts in Latin only; a word with a letter that only another
     script has is left as it is."""
@@ -44,7 +51,7 @@ def plain(text: str) -> str:
     """Text without markup and placeholders, with one form of blanks, wide and look-alike letters."""
     text = MARKUP.sub(" ", text)
     if not text.isascii():
-        text = "".join(c if c < "\x80" else (folded(c) if c not in LOOK_ALIKES else c) for c in text)
+        text = "".join(c if c < "\x80" else form(c) for c in text)
         text = ud.normalize("NFC", text)
         if LATIN.search(text) and OTHER.search(text):
             text = LETTERS.sub(one_script, text)
