@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -22,12 +23,15 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_inkloom_shipped", False):
         return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="inkloom-code-")) / "inkloom.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    package, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")
-    sc.addPyFile(str(archive))
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/inkloom-code-{uuid.uuid4().hex[:12]}.zip")
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(place.toString())
     sc._inkloom_shipped = True
 
 
@@ -39,6 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
     ship(spark)
+    return _folder(spark)
+
+
+def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if where:
