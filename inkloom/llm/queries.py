@@ -115,5 +115,16 @@ QUERIES: dict[str, Query] = {
     for f in (p1_found, p2_found, p2_restored, p3_batches, p3_fill, p4_found, p4_books, p4_segments, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
 }
 
-#: What SQL can say of these operators' results on whole tables.
-ORACLE: dict[str, str] = {}
+#: SQL: all 200-character windows, and those that stand in two documents.
+WINDOWS = """WITH d AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+w AS (SELECT doc_id, i, text[i:i + 199] AS s FROM d, unnest(range(1, length(text) - 198)) AS t(i) WHERE length(text) >= 200),
+k AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)), h AS (SELECT doc_id, i FROM w JOIN k USING (s))"""
+
+#: What SQL can say of these operators on whole tables; the others are tested against brute force in tests/llm.
+ORACLE: dict[str, str] = {
+    "p6_round_trip": "SELECT doc_id, coalesce(length(max(text)), 0)::BIGINT AS n_chars, true AS same FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id",
+    "p8_found": WINDOWS + " SELECT DISTINCT doc_id FROM h",
+    "p8_coverage": WINDOWS
+    + """, g AS (SELECT doc_id, sum(least(200, coalesce(i - before, 200)))::BIGINT AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(g.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(g.n, 0) / length(d.text) ELSE 0 END AS share FROM d LEFT JOIN g USING (doc_id)""",
+}

@@ -191,3 +191,18 @@ def test_query_runs(spark, small, name):
     assert rows
     if name.endswith("_found") or name == "p6_ids":
         assert len({tuple(map(str, r)) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_query_equals_sql(spark, small, name):
+    import glob
+    import os
+
+    import duckdb
+
+    db = duckdb.connect()
+    for f in glob.glob(f"{small}/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want = db.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, small).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
