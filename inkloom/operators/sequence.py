@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as T
-from inkloom.session import latest_blocks
+from inkloom.session import is_blank, latest_blocks
 
 
 def one_row_blocks(blocks: DataFrame) -> DataFrame:
@@ -91,8 +91,6 @@ def eta(events: DataFrame, every: str = "1 hour") -> DataFrame:
 
 def first_heading(blocks: DataFrame) -> DataFrame:
     """(book_id, chapter_idx, title): the first heading with text of each chapter."""
-    from inkloom.session import is_blank
-
     heads = one_row_blocks(blocks).where((F.col("kind") == "titulo") & ~is_blank(F.col("text")))
     return heads.groupBy("book_id", "chapter_idx").agg(F.min_by("text", "block_id").alias("title"))
 
