@@ -399,3 +399,10 @@ def threads(spark, d):
 def positional_zip(spark, d):
     """Sources and answers side by side by position."""
     return answered(spark, d).where("text is not null").select("state_key", "block_id", (F.col("source") == F.col("text")).alias("same"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, array_to_string(string_split(tags, ';')[1:3], ';') AS head FROM (SELECT DISTINCT doc_id, text, tags FROM documents WHERE text IS NOT NULL)")
+def content_hashes(spark, d):
+    """SHA-256 of contents; the first three of a list."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", "tags").distinct()
+    return rows.select("doc_id", F.sha2("text", 256).alias("digest"), F.array_join(F.slice(F.split("tags", ";"), 1, 3), ";").alias("head"))
