@@ -6,9 +6,13 @@ positions, and a softmax. It is trained here, on labelled text, by Adam on the c
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata as ud
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
@@ -190,6 +194,30 @@ class ByteCnn:
         return e / e.sum(1, keepdims=True)
 
 
+@contextmanager
+def one_thread() -> Iterator[None]:
+    """Keeps the linear algebra library to one thread: the matrices are small, and its threads would wait on each other
+    and on the engine's. Does nothing where the library offers no such switch."""
+    switches = []
+    try:
+        for path in {line.split()[-1] for line in Path("/proc/self/maps").read_text().splitlines() if "openblas" in line}:
+            lib = ctypes.CDLL(path)
+            for name in ("{}_num_threads64_", "{}_num_threads"):
+                for prefix in ("scipy_openblas", "openblas"):
+                    get, put = (getattr(lib, name.format(f"{prefix}_{verb}"), None) for verb in ("get", "set"))
+                    if get and put:
+                        switches.append((put, get()))
+    except OSError:
+        pass
+    for put, _ in switches:
+        put(1)
+    try:
+        yield
+    finally:
+        for put, before in switches:
+            put(before)
+
+
 def balanced(y: np.ndarray, n_out: int, per_class: int, seed: int) -> np.ndarray:
     """Places of ``per_class`` rows of every class that occurs, repeated where it has fewer."""
     rng = np.random.default_rng(seed)
@@ -202,7 +230,11 @@ def fit(texts: list[str], labels: list[int], groups: list, n_out: int, per_class
 
     A first network, trained on the labels as given, says which language a group is in; the final one is trained on
     the texts whose group and own prediction agree."""
-    y = np.asarray(labels)
+    with one_thread():
+        return _fit(texts, np.asarray(labels), groups, n_out, per_class, epochs)
+
+
+def _fit(texts: list[str], y: np.ndarray, groups: list, n_out: int, per_class: int, epochs: int) -> ByteCnn:
     x = as_array([windows(t)[0] for t in texts])
     rows = balanced(y, n_out, per_class, 3)
     p = ByteCnn.fresh(n_out).train(x[rows], y[rows], 2).predict(x)
