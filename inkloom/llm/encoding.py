@@ -7,6 +7,9 @@ word or two, so expectation-maximization pools it: the share of every chain in a
 field, is estimated from the posteriors of the records, and is the prior of the next round. A record is garbled where
 its posterior of being clean is below one half, and is repaired by its likeliest chain.
 
+Texts are inner markup: character references are read as their characters (``opened``) wherever words are counted,
+weighed or undone; a repair keeps the references of what it does not change.
+
 Replacement characters (U+FFFD) and stray C1 controls are traces of a wrong encoding as well, restorable or not.
 
 Defined results: null and empty texts are clean; of repeated rows of one key the greatest counts; rows without key
@@ -19,7 +22,10 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import lru_cache
+from html import unescape
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +69,40 @@ LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 PLAUSIBLE = re.compile("[\xa0-\u017f\u0400-\u045f\u2010-\u203a\u20ac\u2122]")
 TRACE = re.compile("[\x80-\x9f�]")
+REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+#: References to these stay: they are markup's own, or would part words.
+KEPT = set('&<>" \t\n\r\f')
+
+
+@lru_cache(maxsize=None)
+def referred(ref: str) -> str:
+    """The characters a reference stands for, or the reference itself where it stays."""
+    got = unescape(ref) if ref[1] == "#" else html5.get(ref[1:], ref)
+    return ref if not got or got in KEPT else got
+
+
+def opened(text: str) -> str:
+    """The text with its character references read, all but those of markup's own characters; the same words by blanks."""
+    return REFERENCE.sub(lambda m: referred(m.group()), text) if "&" in text else text
+
+
+def closed(raw: str, new: str) -> str:
+    """A repaired word, where nothing was changed as it stands in the raw one."""
+    word = opened(raw)
+    if word == raw:
+        return new
+    spots, at = [], 0  # for each character read, what stands for it
+    for m in REFERENCE.finditer(raw):
+        got = referred(m.group())
+        spots += [*raw[at : m.start()], *([m.group()] if len(got) == 1 else m.group() if got == m.group() else [m.group(), *[""] * (len(got) - 1)])]
+        at = m.end()
+    spots += raw[at:]
+    out, before = [], ""
+    for kind, a, b, c, d in SequenceMatcher(None, word, new, False).get_opcodes():
+        # what follows a deleted lead is the sequence's own character, not an old one
+        out += [new[c], *spots[a + 1 : b]] if kind == "equal" and before == "delete" else spots[a:b] if kind == "equal" else new[c:d]
+        before = kind
+    return "".join(out)
 
 
 @lru_cache(maxsize=None)
@@ -202,6 +242,7 @@ class Model:
     def evidence(self, text: str) -> tuple[dict[int, float], bool]:
         """Gain by chain of the whole record; whether it has lost characters."""
         total: dict[int, float] = {}
+        text = opened(text)
         for w in text.split(" "):
             if not w.isascii():
                 for n, gain, _ in self.gains(w):
@@ -210,9 +251,10 @@ class Model:
 
     def repair(self, text: str, chain: int) -> str:
         out = []
-        for w in text.split(" "):
+        for raw in text.split(" "):
+            w = opened(raw)
             new = next((r for n, _, r in self.gains(w) if n == chain), None) if not w.isascii() else None
-            out.append(w if new is None else new)
+            out.append(raw if new is None else closed(raw, new))
         return " ".join(out)
 
 
@@ -220,7 +262,7 @@ def count_texts(texts: Iterator[list[str]], plain: bool = True) -> tuple[np.ndar
     tri, bi, uni, whole = (np.zeros(BUCKETS, np.int64) for _ in range(4))
     for part in texts:
         # sequences that only a wrong encoding makes would teach the model garbled text
-        words = [w for t in part for w in t.split(" ") if w.isascii() or not plain or not (TRACE.search(w) or has_sequences(w))]
+        words = [w for t in part for w in opened(t).split(" ") if w.isascii() or not plain or not (TRACE.search(w) or has_sequences(w))]
         for w, n in Counter(words).items():
             whole[place(w)] += n
         c = codes("  ".join(words))
@@ -283,7 +325,7 @@ def scored(records: DataFrame, shared) -> DataFrame:
             rows = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 text = row[3]
-                if not text or text.isascii():
+                if not text or opened(text).isascii():
                     continue
                 gains, lost = model.evidence(text)
                 if gains or lost:
@@ -319,7 +361,7 @@ def detect(records: DataFrame) -> DataFrame:
             old, new = [], []
             for batch in batches:
                 for text, chain in zip(*[c.to_pylist() for c in batch.columns]):
-                    for a, b in zip(text.split(" "), model.repair(text, chain).split(" ")):
+                    for a, b in zip(opened(text).split(" "), opened(model.repair(text, chain)).split(" ")):
                         if a != b:
                             old.append(a)
                             new.append(b)

@@ -115,6 +115,25 @@ def test_detection_and_repair(spark):
     assert encoding.detect(encoding.records_of(blocks.limit(0), books.limit(0))).count() == 0
 
 
+def test_garbled_character_references(spark):
+    """Wrong decodings written as references are found and undone; the references of clean text stay."""
+    clean, blocks, books = garbled_tables(spark)
+    texts = {600: "O pastor guarda a can&Atilde;&#167;&Atilde;&#163;o no s&Atilde;&sup3;t&Atilde;&#163;o.", 601: "A &amp; B: a can&Atilde;&#167;&atilde;o &lt;no&gt; p&atilde;o.", 602: "Tom &amp; Rita: a can&ccedil;&atilde;o do s&oacute;t&atilde;o&nbsp;&#8212; &quot;n&#227;o&quot;."}
+    more = spark.createDataFrame([("b", k, t, 1) for k, t in texts.items()], blocks.schema)
+    titles = spark.createDataFrame([("e", "A can&Atilde;&#167;&Atilde;&#163;o")], books.schema)
+    got = {(r.source, r.key): r.restored for r in encoding.detect(encoding.records_of(blocks.union(more), books.union(titles))).collect()}
+    assert set(got) == {("b", 500), ("b", 501), ("b", 502), ("b", 503), ("b", 600), ("b", 601), ("b", -1), ("e", -1)}
+    assert got["b", 600] == clean[0] and got["b", 601] == "A &amp; B: a canç&atilde;o &lt;no&gt; p&atilde;o." and got["e", -1] == "A canção"
+
+
+@pytest.mark.parametrize(
+    ("raw", "word", "new", "out"),
+    [("B&Atilde;&#188;chern", "BÃ¼chern", "Büchern", "Büchern"), ("&#xC3;&#xBC;b&eacute;&amp;", "Ã¼bé&amp;", "übé&amp;", "üb&eacute;&amp;"), ("a&#32;&foo;&#10;b", "a&#32;&foo;&#10;b", "x", "x"), ("&NotEqualTilde;&Atilde;&copy;", "≂̸Ã©", "≂̸é", "&NotEqualTilde;é"), ("&Acirc;&#171;s&igrave;&Acirc;&raquo;", "Â«sìÂ»", "«sì»", "«s&igrave;»")],
+)
+def test_references_are_kept(raw, word, new, out):
+    assert encoding.opened(raw) == word and encoding.closed(raw, new) == out
+
+
 # --- languages
 
 
