@@ -10,7 +10,9 @@ its posterior of being clean is below one half, and is repaired by its likeliest
 Texts are inner markup: character references are read as their characters (``opened``) wherever words are counted,
 weighed or undone; a repair keeps the references of what it does not change.
 
-Replacement characters (U+FFFD) and stray C1 controls are traces of a wrong encoding as well, restorable or not.
+Replacement characters (U+FFFD) and stray C1 controls are traces of a wrong encoding as well, restorable or not; so
+are those that come out where a chain of UTF-8 is undone. (Other chains only give controls for bytes that the true
+encoding does not have: they are no readings of the text.)
 
 Defined results: null and empty texts are clean; of repeated rows of one key the greatest counts; rows without key
 are left out. ``restored`` is null where nothing could be undone.
@@ -69,6 +71,8 @@ LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 PLAUSIBLE = re.compile("[\xa0-\u017f\u0400-\u045f\u2010-\u203a\u20ac\u2122]")
 TRACE = re.compile("[\x80-\x9f�]")
+#: In Cyrillic texts a word's last letter and its punctuation, not a control's two bytes in cp1251.
+ENDS_IN_VE = re.compile("В(?=[‚„…‹›‘’“”–—™])")
 REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
 #: References to these stay: they are markup's own, or would part words.
 KEPT = set('&<>" \t\n\r\f')
@@ -208,7 +212,7 @@ class Model:
     def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray, whole: np.ndarray):
         self.tri, self.bi, self.uni, self.whole = tri, bi, uni, whole
         self.total, self.n_words = max(1.0, float(uni.sum())), max(1.0, float(whole.sum()))
-        self.seen: dict[str, list[tuple[int, float, str]]] = {}
+        self.seen: dict[str, tuple[list[tuple[int, float, str]], bool]] = {}
 
     def score(self, word: str) -> float:
         t, b, u = keys(codes(word))
@@ -221,14 +225,17 @@ class Model:
         """Whether all its characters occur in the corpus."""
         return bool((self.uni[keys(codes(word))[2]] >= LEAST_SEEN).all())
 
-    def gains(self, word: str) -> list[tuple[int, float, str]]:
-        """(chain, gain, repaired) of the chains that make a word likelier."""
-        got = self.seen.get(word)
-        if got is None:
-            got, base = [], None
+    def gains(self, word: str) -> tuple[list[tuple[int, float, str]], bool]:
+        """(chain, gain, repaired) of the chains that make a word likelier; whether the word has lost characters."""
+        found = self.seen.get(word)
+        if found is None:
+            got, base, lost = [], None, bool(TRACE.search(word))
             for n, (wrong, true) in enumerate(CHAINS):
                 new = undo(word, wrong, true)
-                if new == word or TRACE.search(new) or not self.known(new) or mixes_scripts(new) and not mixes_scripts(word):
+                if new != word and TRACE.search(new):
+                    lost = lost or true == "utf-8" and bool(TRACE.search(undo(ENDS_IN_VE.sub("", word), wrong, true)))
+                    continue
+                if new == word or not self.known(new) or mixes_scripts(new) and not mixes_scripts(word):
                     continue
                 base = self.score(word) if base is None else base
                 gain = self.score(new) - base
@@ -236,24 +243,26 @@ class Model:
                     got.append((n, min(gain, MOST_GAIN), new))
             if len(self.seen) > 300_000:
                 self.seen = {}
-            self.seen[word] = got
-        return got
+            self.seen[word] = found = got, lost
+        return found
 
     def evidence(self, text: str) -> tuple[dict[int, float], bool]:
         """Gain by chain of the whole record; whether it has lost characters."""
         total: dict[int, float] = {}
-        text = opened(text)
-        for w in text.split(" "):
+        lost = False
+        for w in opened(text).split(" "):
             if not w.isascii():
-                for n, gain, _ in self.gains(w):
+                got, trace = self.gains(w)
+                lost = lost or trace
+                for n, gain, _ in got:
                     total[n] = total.get(n, 0.0) + gain
-        return {n: min(g, MOST_TOTAL) for n, g in total.items()}, bool(TRACE.search(text))
+        return {n: min(g, MOST_TOTAL) for n, g in total.items()}, lost
 
     def repair(self, text: str, chain: int) -> str:
         out = []
         for raw in text.split(" "):
             w = opened(raw)
-            new = next((r for n, _, r in self.gains(w) if n == chain), None) if not w.isascii() else None
+            new = next((r for n, _, r in self.gains(w)[0] if n == chain), None) if not w.isascii() else None
             out.append(raw if new is None else closed(raw, new))
         return " ".join(out)
 

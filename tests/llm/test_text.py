@@ -126,6 +126,17 @@ def test_garbled_character_references(spark):
     assert got["b", 600] == clean[0] and got["b", 601] == "A &amp; B: a canç&atilde;o &lt;no&gt; p&atilde;o." and got["e", -1] == "A canção"
 
 
+def test_lost_before_a_chain(spark):
+    """What was lost before the wrong decoding is garbled too; letters before punctuation are not."""
+    clean, blocks, books = garbled_tables(spark)
+    lost = {700 + n: f"Não h{'\ufffd'.encode().decode(codec)} pão" for n, codec in enumerate(("cp1252", "latin-1", "cp1251", "mac_roman", "koi8-r", "cp866"))}
+    lost |= {710: "Não h" + "\ufffd".encode().decode("cp1252").encode().decode("cp1252") + " pão", 711: "O pastor guarda h" + "\x92".encode().decode("cp1252")}
+    fine = {720: "О, мой дорогой ВАСИЛЬЕВ… ВЛАДИСЛАВ” и ЛЬВОВ—", 721: "für größer", 722: "é à ü ç Â"}
+    more = spark.createDataFrame([("b", k, t, 1) for k, t in (lost | fine).items()], blocks.schema)
+    got = {r.key: (r.chain, r.restored) for r in encoding.detect(encoding.records_of(blocks.union(more), books)).where("key >= 700").collect()}
+    assert got == {k: ("lost", None) for k in lost}
+
+
 @pytest.mark.parametrize(
     ("raw", "word", "new", "out"),
     [("B&Atilde;&#188;chern", "BÃ¼chern", "Büchern", "Büchern"), ("&#xC3;&#xBC;b&eacute;&amp;", "Ã¼bé&amp;", "übé&amp;", "üb&eacute;&amp;"), ("a&#32;&foo;&#10;b", "a&#32;&foo;&#10;b", "x", "x"), ("&NotEqualTilde;&Atilde;&copy;", "≂̸Ã©", "≂̸é", "&NotEqualTilde;é"), ("&Acirc;&#171;s&igrave;&Acirc;&raquo;", "Â«sìÂ»", "«sì»", "«s&igrave;»")],
