@@ -22,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata as ud
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -64,6 +66,12 @@ SMALL = re.compile(r"\b[a-zß-öø-ÿœа-яё]{2,}")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
 STOP_END = re.compile(r"[.!?…][\"'”“»’)\]\s]*$")
 
+#: The script each language is written in, and what finds letters outside of a script.
+SCRIPTS = {"en": "LATIN", "es": "LATIN", "pt": "LATIN", "fr": "LATIN", "de": "LATIN", "it": "LATIN", "ru": "CYRILLIC"}
+OUTSIDE = {"LATIN": re.compile(r"[^\W\d_A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ]"), "CYRILLIC": re.compile(r"[^\W\d_Ѐ-ԯ]")}
+#: One letter tells no script of an answer.
+LEAST_LETTERS = 2
+
 #: The word table is learned from at most so many translations, chosen by hash; it has at most so many words.
 TRAIN_ROWS = 9000
 TRAIN_WORDS = 20_000
@@ -230,6 +238,30 @@ def is_truncated(source: str, answer: str, usual: float | None) -> bool:
     return share < VERY_SHORT and lost
 
 
+@lru_cache(maxsize=None)
+def script_of(letter: str) -> str:
+    name = ud.name(letter, "").split(" ")[0]
+    return "CJK" if name in ("HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA") else name
+
+
+def script(text: str) -> str | None:
+    """The script of most letters outside of markup, entities and placeholders."""
+    bare = ud.normalize("NFKC", ENTITY.sub(" ", HOLE.sub(" ", TAG.sub(" ", text))))
+    counts = Counter(script_of(c) for c in bare if c.isalpha())
+    n = sum(counts.values())
+    best = max(counts, key=counts.get) if n >= LEAST_LETTERS else None
+    return best if best and counts[best] > 0.5 * n else None
+
+
+def in_other_script(source: str, answer: str, target: str | None, label: str | None) -> bool:
+    """Whether the answer is in a script of neither the target nor the source."""
+    own = SCRIPTS.get(target)
+    if own is None or not OUTSIDE[own].search(answer):
+        return False
+    got = script(answer)
+    return got is not None and got not in (own, SCRIPTS.get(label), script(source))
+
+
 class WordTable:
     """Words that belong to one language more than to any other, with their weight."""
 
@@ -299,7 +331,7 @@ def defect(source: str | None, answer: str | None, target: str | None, label: st
     # an answer in the target language copies nothing, unless the source is in that language as well
     if not settled and is_copy(source, answer) and (table.language(source) or label or "?") != target:
         return "copied"
-    if other and other != table.language(source) and has_words(source):
+    if (in_other_script(source, answer, target, label) or other and other != table.language(source)) and has_words(source):
         return "wrong_language"
     if len(answer) < 1.5 * len(source):
         known = table.language(source) or label

@@ -47,6 +47,16 @@ def test_copies():
     assert not pairs.is_copy("Trux &amp; Kourt, 1651", "Trux &amp; Kourt, 1651")
 
 
+def test_other_scripts():
+    table = pairs.WordTable({})
+    s = "The miller sells <b>the key</b> at noon."
+    for t in ("Ключ <b>продан</b>.", "Το <b>κλειδί</b>.", "鍵を<b>売る</b>。", "מפתח <b>נמכר</b>."):
+        assert pairs.defect(s, t, "es", "en", table, {}) == "wrong_language", t
+    assert pairs.defect("Мельник продаёт ключ.", "Το κλειδί.", "ru", "en", table, {}) == "wrong_language"
+    for source, answer, target, label in ((s, "El molinero vende <b>la llave π</b>.", "es", "en"), (s, "Мельник <b>продаёт ключ</b> в полдень.", "ru", "en"), ("Мельник продаёт ключ.", "Мельник продал.", "es", None), ("Trux Kourt, 1651", "Трукс Курт, 1651", "es", "en"), (s, "Ключ <b>продан</b>.", "es", "ru"), (s, "Ключ <b>продан</b>.", None, "en")):
+        assert pairs.defect(source, answer, target, label, table, {}) != "wrong_language", answer
+
+
 def test_truncation():
     s = "The miller sells <b>the key</b> (see {{0}}) at noon. “The queen waits”, says Tru. The boat is late."
     full = "El molinero vende <b>la llave</b> (véase {{0}}) al mediodía. «La reina espera», dice Tru. El barco se retrasa."
