@@ -47,6 +47,10 @@ def test_copies():
     assert not pairs.is_copy("Trux &amp; Kourt, 1651", "Trux &amp; Kourt, 1651")
 
 
+def test_copies_without_their_markup():
+    assert pairs.is_copy('<a href="ch1.xhtml">see note</a>', "see note") and pairs.is_copy("the old <b>key</b> {{0}}{{1}}{{2}}&#160;&nbsp;", "The old key")
+
+
 def test_other_scripts():
     table = pairs.WordTable({})
     s = "The miller sells <b>the key</b> at noon."
