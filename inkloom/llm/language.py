@@ -22,7 +22,8 @@ from inkloom.session import checked_broadcast, cut, latest_blocks
 #: The classifier is fitted on at most so many labelled blocks, chosen by hash, and three sentences of each.
 TRAIN_BLOCKS = 9000
 TRAIN_SENTENCES = 3
-#: Least probability of a sentence's language for it to make a segment, and greatest one of its book's language.
+#: Least probability of a sentence's language for it to make a segment, and greatest one of its book's language: of one
+#: of the segment's sentences, or on the mean over them.
 SURE = 0.7
 STILL_MAIN = 0.1
 
@@ -83,23 +84,26 @@ def classify(texts: list[str | None], model: net.ByteCnn) -> list[list[tuple[int
     return found
 
 
-SEGMENTS = "array<struct<start:int,stop:int,language:string,confidence:double,probs:array<float>>>"
-STRUCT = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("probs", pa.list_(pa.float32()))]))
+SEGMENTS = "array<struct<start:int,stop:int,language:string,confidence:double,probs:array<float>,surest:array<double>>>"
+STRUCT = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("probs", pa.list_(pa.float32())), ("surest", pa.list_(pa.float64()))]))
 
 
 def segments_of(sentences: list) -> list[dict]:
-    """Neighbouring sentences of one language together; confidence and probabilities are means."""
+    """Neighbouring sentences of one language together; confidence and probabilities are means. ``surest`` has, for each
+    language that the book may have, the greatest confidence of a sentence that is hardly in that one (0: none is)."""
     out: list[dict] = []
     for a, b, lang, conf, p in sentences:
+        surest = np.where(p <= np.float32(STILL_MAIN), conf, 0.0)
         if out and out[-1]["language"] == lang:
             s = out[-1]
             s["n"] += 1
             s["stop"] = b
             s["confidence"] += (conf - s["confidence"]) / s["n"]
             s["probs"] = s["probs"] + (p - s["probs"]) / s["n"]
+            s["surest"] = np.maximum(s["surest"], surest)
         else:
-            out.append({"start": a, "stop": b, "language": lang, "confidence": conf, "probs": p, "n": 1})
-    return [{k: ([float(q) for q in v] if k == "probs" else v) for k, v in s.items() if k != "n"} for s in out]
+            out.append({"start": a, "stop": b, "language": lang, "confidence": conf, "probs": p, "surest": surest, "n": 1})
+    return [{k: ([float(q) for q in v] if k in ("probs", "surest") else v) for k, v in s.items() if k != "n"} for s in out]
 
 
 def block_languages(blocks: DataFrame, books: DataFrame, bound: int = TRAIN_BLOCKS) -> DataFrame:
@@ -143,12 +147,17 @@ def book_languages(books: DataFrame, by_block: DataFrame) -> DataFrame:
 
 
 def foreign_segments(by_block: DataFrame, by_book: DataFrame) -> DataFrame:
-    """(book_id, block_id, start, stop, language, confidence) of the segments in another language than their book's."""
+    """(book_id, block_id, start, stop, language, confidence) of the segments in another language than their book's;
+    where the mean over a segment is not sure, the confidence is that of its surest sentence."""
     order = F.create_map(*[F.lit(x) for i, k in enumerate(net.LANGUAGES) for x in (k, i)])
     main = by_book.where("language is not null").select("book_id", F.col("language").alias("main"))
-    s = by_block.select("book_id", "block_id", F.explode("segments").alias("s")).where(F.col("s.confidence") >= SURE)
+    s = by_block.select("book_id", "block_id", F.explode("segments").alias("s"))
     other = s.join(main, "book_id").where(F.col("s.language") != F.col("main"))
-    return other.where(F.col("s.probs")[order[F.col("main")]] <= STILL_MAIN).select("book_id", "block_id", "s.start", "s.stop", "s.language", "s.confidence")
+    place = order[F.col("main")]
+    mean = F.when((F.col("s.confidence") >= SURE) & (F.col("s.probs")[place] <= STILL_MAIN), F.col("s.confidence"))
+    one = F.when(F.col("s.surest")[place] >= SURE, F.col("s.surest")[place])
+    found = other.select("book_id", "block_id", "s.start", "s.stop", "s.language", F.coalesce(mean, one).alias("confidence"))
+    return found.where("confidence is not null")
 
 
 def label_cases(by_book: DataFrame) -> DataFrame:

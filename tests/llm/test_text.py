@@ -220,6 +220,25 @@ def test_languages_of_blocks(spark):
     assert language.block_languages(blocks.limit(0), books).count() == 0
 
 
+def test_sure_sentence_beside_an_unsure_one(spark):
+    """A sure foreign sentence counts whatever its neighbours; two half sure ones make none together."""
+    at = bytecnn.LANGUAGES.index
+
+    def sentence(n, **probs):
+        p = np.zeros(len(bytecnn.LANGUAGES), np.float32)
+        for k, v in probs.items():
+            p[at(k)] = v
+        return n, n + 1, "es", float(p[at("es")]), p
+
+    sure, unsure, mixed, weak = dict(es=0.99, pt=0.01), dict(es=0.6, pt=0.39), dict(es=0.75, pt=0.25), dict(es=0.5, pt=0.05, it=0.45)
+    cases = {1: [sure, unsure], 2: [unsure, sure], 3: [unsure, unsure], 4: [mixed, weak], 5: [sure], 6: [sure, sure]}
+    rows = [("b", i, language.segments_of([sentence(n, **p) for n, p in enumerate(c)])) for i, c in cases.items()]
+    by_block = spark.createDataFrame(rows, f"book_id string, block_id long, segments {language.SEGMENTS}")
+    by_book = spark.createDataFrame([("b", "pt")], "book_id string, language string")
+    got = {r.block_id: (r.start, r.stop, r.language, round(r.confidence, 2)) for r in language.foreign_segments(by_block, by_book).collect()}
+    assert got == {1: (0, 2, "es", 0.99), 2: (0, 2, "es", 0.99), 5: (0, 1, "es", 0.99), 6: (0, 2, "es", 0.99)}
+
+
 # --- queries
 
 
