@@ -48,6 +48,17 @@ def saved_texts(body: Column) -> Column:
     return F.coalesce(F.filter(flat, lambda x: x["block_id"].isNotNull() & x["text"].isNotNull()), empty)
 
 
+def strict_glossary(path: Column, body: Column) -> Column:
+    """array<struct<term, translation>> of a glossary file; empty where there is no file, an error that names the path
+    where anything in it is malformed."""
+    text = lambda r, k: F.when(F.schema_of_variant(F.try_variant_get(r, k, "variant")) == "STRING", F.try_variant_get(r, k, "string"))
+    rows = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
+    got = F.transform(rows, lambda r: F.struct(text(r, "$.termo").alias("term"), text(r, "$.traducao").alias("translation")))
+    ok = F.coalesce(F.forall(got, lambda g: g["term"].isNotNull() & g["translation"].isNotNull()), F.lit(False))
+    empty = F.array().cast("array<struct<term:string,translation:string>>")
+    return F.when(body.isNull(), empty).when(ok, got).otherwise(F.raise_error(F.concat(F.lit("malformed glossary: "), path)))
+
+
 def glossary_json(pairs: Column) -> Column:
     """Compact JSON of an array of [term, translation], sorted by code point."""
     return F.to_json(F.sort_array(pairs))

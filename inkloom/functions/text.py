@@ -190,6 +190,12 @@ def backoff_ceiling(attempt: Column, base: float = 1.0, most: float = 60.0) -> C
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
 
 
+def retry_delay(attempt: Column, told: Column, least: float | None = None, most: float = 60.0) -> Column:
+    """Seconds that a server told to wait, capped (and not under ``least``); the ceiling of the backoff where it told none."""
+    floored = told if least is None else F.greatest(told, F.lit(least))
+    return F.when(told.isNotNull(), F.least(floored, F.lit(most))).otherwise(backoff_ceiling(attempt, most=most))
+
+
 def at_least_zero(text: Column) -> Column:
     """The number in a text if positive, else 0."""
     return F.greatest(F.coalesce(text.try_cast("bigint"), F.lit(0)), F.lit(0)).cast("long")

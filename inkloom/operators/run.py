@@ -47,9 +47,18 @@ class Prefix:
         return [self.prefix + t for t in texts]
 
 
+@dataclass(frozen=True)
+class Tagless(Prefix):
+    """As Prefix, but loses tags, as endpoints for plain text do; masked ones stay."""
+
+    def translate(self, texts: list[str], context: Context) -> list[str]:
+        return super().translate([re.sub(TAG, "", t) for t in texts], context)
+
+
 @dataclass(frozen=True)
 class Degrading:
-    """Sends texts with their markup; where an answer comes back unfaithful, sends them again with tags masked."""
+    """Sends texts with their markup; where an answer comes back unfaithful or is refused, sends them again with tags
+    masked, and all later ones so; where it fails for the time being, masks this batch only."""
 
     inner: object
     seen: list = field(default_factory=list, compare=False)
@@ -57,10 +66,16 @@ class Degrading:
     def translate(self, texts: list[str], context: Context) -> list[str]:
         from inkloom.functions.placeholders import mask, unmask
 
-        got = [] if self.seen else self.inner.translate(texts, context)
-        if got and all(same_markup(a, b) for a, b in zip(texts, got)) and len(got) == len(texts):
-            return got
-        self.seen.append(True)  # from here on this task masks at once
+        if not self.seen:
+            try:
+                got = self.inner.translate(texts, context)
+                if len(got) == len(texts) and all(tidy(b).strip() and same_markup(a, b) for a, b in zip(texts, got)):
+                    return got
+                self.seen.append(True)  # from here on this task masks at once
+            except Definitive:
+                self.seen.append(True)
+            except Transient:
+                pass
         masked = [mask(t) for t in texts]
         return [unmask(t, tags, empties) for t, (_, tags, empties) in zip(self.inner.translate([m[0] for m in masked], context), masked)]
 

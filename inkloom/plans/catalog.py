@@ -350,13 +350,35 @@ def unused_providers(spark, d):
     FROM (SELECT *, [200, 400, 401, 403, 404, 429, 500, 503][event_id % 8 + 1] AS s FROM events)"""
 )
 def transport_rules(spark, d):
-    """S17, S18 (classifier), M5, M8, M9, T1, N10, over the events."""
+    """S17, S18 (classifier), M5 (ceiling), M8, M9, T1, over the events."""
     c = F.col
     s = F.element_at(F.array(*map(F.lit, (200, 400, 401, 403, 404, 429, 500, 503))), (c("event_id") % 8 + 1).cast("int"))
     dos = T.dos_datetime(c("ts"))
     return table(spark, d, "events").select("event_id", T.retry_class(s).alias("class"), T.backoff_ceiling(c("event_id") % 9).alias("ceiling"), T.at_least_zero(c("props")).alias("whole"), T.utc_stamp(c("ts")).alias("stamp"), dos["date"].alias("dos_date"), dos["time"].alias("dos_time"))
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN least(60.0, (event_id % 90 - 10)::DOUBLE) ELSE least(60.0, power(2.0, event_id % 9)) END::DOUBLE AS model,
+      CASE WHEN event_id % 4 = 0 THEN least(60.0, greatest(0.0, (event_id % 90 - 10)::DOUBLE)) ELSE least(60.0, power(2.0, event_id % 9)) END::DOUBLE AS machine FROM events"""
+)
+def retry_delays(spark, d):
+    """N10, M5 (Retry-After): the header capped, for machine translation not under 0; a date or none leaves the ceiling."""
+    k = F.col("event_id")
+    header = F.when(k % 4 == 0, (k % 90 - 10).cast("string")).when(k % 4 == 1, F.lit("Wed, 21 Oct 2026 07:28:00 GMT"))
+    told = J.retry_after(header)
+    return table(spark, d, "events").select("event_id", T.retry_delay(k % 9, told).alias("model"), T.retry_delay(k % 9, told, least=0.0).alias("machine"))
+
+
+@query("SELECT DISTINCT doc_id, len(string_split(tags, ';'))::BIGINT AS terms, split_part(tags, ';', 1) AS term, 'T' || doc_id AS translation FROM documents WHERE tags IS NOT NULL UNION ALL SELECT DISTINCT doc_id, 0, NULL, NULL FROM documents WHERE tags IS NULL")
+def glossary_files(spark, d):
+    """A glossary file for each document with tags, read strictly; no file is an empty glossary."""
+    rows = table(spark, d, "documents").select("doc_id", "tags").distinct()
+    entries = F.transform(F.split("tags", ";"), lambda x: F.struct(x.alias("termo"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("traducao")))
+    body = F.when(F.col("tags").isNotNull(), F.to_json(entries))
+    got = rows.select("doc_id", J.strict_glossary(F.concat(F.lit("glossary-"), F.col("doc_id").cast("string"), F.lit(".json")), body).alias("g"))
+    return got.select("doc_id", F.size("g").cast("long").alias("terms"), F.get("g", F.lit(0))["term"].alias("term"), F.get("g", F.lit(0))["translation"].alias("translation"))
+
+
 @query(
     """WITH v AS (SELECT DISTINCT 'v' || block_id || '.' || chapter_idx AS v FROM blocks), p AS (SELECT v, list_transform(string_split(regexp_replace(v, '^[vV]+', ''), '.'), lambda x: x::INT) AS p FROM v)
     SELECT v, array_to_string(p, '.') AS parts, p > [100, 2] AS newer FROM p"""

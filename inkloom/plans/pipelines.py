@@ -69,10 +69,10 @@ def reversible_masks(spark, d):
 
 @query(f"WITH {B} SELECT book_id, block_id, 'TR: ' || text AS text FROM b WHERE {OPEN}")
 def translated_run(spark, d):
-    """All open blocks through the deterministic translator, batch by batch."""
+    """All open blocks through a deterministic translator that loses tags, and masks them then, batch by batch."""
     batches = token_packed(spark, d).select(F.col("grp").alias("state_key"), F.col("pos").alias("block_id"), "batch")
     rows = batches.join(open_blocks(spark, d).select(F.col("book_id").alias("state_key"), "block_id", "text"), ["state_key", "block_id"])
-    return run.translate_batches(rows, run.Prefix()).where("error_class is null").select(F.col("state_key").alias("book_id"), "block_id", "text")
+    return run.translate_batches(rows, run.Degrading(run.Tagless())).where("error_class is null").select(F.col("state_key").alias("book_id"), "block_id", "text")
 
 
 @query("SELECT state_key, count(*) AS batches, sum(b)::BIGINT AS blocks, sum(c)::BIGINT AS characters FROM (SELECT state_key, batch_id, max(blocks) AS b, max(characters) AS c FROM usage_log GROUP BY ALL) GROUP BY state_key")

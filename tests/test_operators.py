@@ -93,6 +93,26 @@ def test_degrading_translator_masks():
     assert Degrading(Eats()).translate(["<b>x</b>"], Context()) == ["<b>x</b>"]
 
 
+def test_degrading_translator_after_failures():
+    """A refusal masks from then on, a passing failure masks one batch."""
+    says = lambda ts: ["TR: " + t for t in ts]
+    for failure, sticks in ((Definitive(), True), (Transient(), False)):
+        degrading = Degrading(Flaky([failure, says]))
+        assert degrading.translate(["<b>x</b>"], Context()) == ["TR: <b>x</b>"] and bool(degrading.seen) is sticks
+    assert run.Tagless().translate(["<b>x</b> {{0}}"], Context()) == ["TR: x {{0}}"]
+    assert Degrading(run.Tagless()).translate(["<b>x</b> {{0}}"], Context()) == ["TR: <b>x</b> {{0}}"]
+
+
+def test_strict_glossary(spark):
+    from inkloom.functions import json as J
+
+    read = lambda body: [tuple(e) for e in spark.createDataFrame([("a/g.json", body)], "path string, body string").select(J.strict_glossary(F.col("path"), F.col("body")).alias("g")).first().g]
+    assert read(None) == [] and read("[]") == [] and read('[{"termo": "a", "traducao": "b", "x": 1}]') == [("a", "b")]
+    for body in ("", "{", "null", "{}", "[1]", '[{"termo": "a"}]', '[{"termo": "a", "traducao": 1}]', '[{"termo": "a", "traducao": "b"}, null]'):
+        with pytest.raises(Exception, match="a/g.json"):
+            read(body)
+
+
 def test_run_keeps_other_batches(spark):
     class Picky:
         def translate(self, texts, context):
