@@ -84,6 +84,13 @@ def checked_broadcast(spark: SparkSession, value: object, n_bytes: int):
     return spark.sparkContext.broadcast(value)
 
 
+def small_side(df: DataFrame, most: int = MAX_BROADCAST_BYTES // 4) -> DataFrame:
+    """``df`` for one side of a join: hinted as broadcast where its rows, measured, take at most ``most`` bytes as text;
+    else as it is, for a join by exchange that adaptive execution may split. ``df`` should be stored: it is read twice."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).head()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partitions by ``keys`` in a fixed number, for work that costs far more CPU than its bytes suggest: adaptive
     execution would join small partitions into a few tasks. A later groupBy, window or join on the keys needs no
