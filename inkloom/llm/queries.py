@@ -17,16 +17,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, sf_dir, "translation_state"), table(spark, sf_dir, "runs"), table(spark, sf_dir, "blocks"))
 
 
-def garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.detect(encoding.records_of(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "books")))
+def garbled(spark: SparkSession, sf_dir: str, repair: bool) -> DataFrame:
+    return encoding.detect(encoding.records_of(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "books")), repair)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return garbled(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("key").alias("block_id"))
+    return garbled(spark, sf_dir, repair=False).select(F.col("source").alias("book_id"), F.col("key").alias("block_id"))
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return garbled(spark, sf_dir).withColumnsRenamed({"source": "book_id", "key": "block_id"})
+    return garbled(spark, sf_dir, repair=True).withColumnsRenamed({"source": "book_id", "key": "block_id"})
 
 
 def languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
