@@ -77,7 +77,7 @@ class Degrading:
             except Transient:
                 pass
         masked = [mask(t) for t in texts]
-        return [unmask(t, tags, empties) for t, (_, tags, empties) in zip(self.inner.translate([m[0] for m in masked], context), masked)]
+        return [unmask(t, kept, gaps) for t, (_, kept, gaps) in zip(self.inner.translate([m[0] for m in masked], context), masked)]
 
 
 def tidy(text: str) -> str:

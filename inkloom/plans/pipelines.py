@@ -64,7 +64,7 @@ def reversible_masks(spark, d):
     rows = blocks(spark, d).where("text is not null").select("book_id", "block_id", "text")
     words = F.slice(F.array_distinct(F.split("text", " ")), 1, 5)
     m = rows.withColumn("m", mask_udf("text")).withColumn("p", protect_udf("text", words))
-    return m.select("book_id", "block_id", (unmask_udf("m.masked", "m.tags", "m.empties") == F.col("text")).alias("masked_back"), (restore_udf("p.template", "p.protected") == F.col("text")).alias("restored"))
+    return m.select("book_id", "block_id", (unmask_udf("m.masked", "m.kept", "m.gaps") == F.col("text")).alias("masked_back"), (restore_udf("p.template", "p.protected") == F.col("text")).alias("restored"))
 
 
 @query(f"WITH {B} SELECT book_id, block_id, 'TR: ' || text AS text FROM b WHERE {OPEN}")

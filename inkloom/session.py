@@ -41,7 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a local one in local mode (tests),
+    an error on a cluster."""
     ship(spark)
     return _folder(spark)
 
@@ -54,6 +55,8 @@ def _folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
