@@ -36,15 +36,28 @@ def test_greedy_chains_without_spark():
     rnd = random.Random(0)
     for _ in range(300):
         sizes, cap, most, width = [rnd.randint(0, 12) for _ in range(rnd.randint(1, 40))], rnd.choice([None, 5, 9]), rnd.choice([None, 1, 3]), rnd.choice([1, 2, 5])
-        parts = []
-        for c in range(0, len(sizes), width):
-            n = len(sizes[c : c + width])
-            parts.append(pa.table({"grp": ["a"] * n, "pos": list(range(c, c + n)), "size": sizes[c : c + n], "chunk": [c // width] * n, "cap": pa.array([cap] * n, pa.int64()), "most": pa.array([most] * n, pa.int64())}))
-        starts = greedy._chain(pa.concat_tables([greedy._summarise(p) for p in parts])).to_pylist()
-        got = [s["first"] + k for p, s in zip(parts, starts) for k in greedy.walk(p["size"].to_pylist(), s["open_size"], s["open_n"], cap, most)[0]]
+        parts = [sizes[c : c + width] for c in range(0, len(sizes), width)]
+        columns = [pa.array(["a"] * len(parts)), pa.array(list(range(len(parts)))), pa.array([cap] * len(parts), pa.int64()), pa.array([most] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
+        tables = greedy._summarise([pa.RecordBatch.from_arrays(columns, ["grp", "chunk", "cap", "most", "sizes"])])
+        starts = [r for b in greedy._chain(tables) for r in b.to_pylist()]
+        got = [s["first"] + k for p, s in zip(parts, starts) for k in greedy.walk(p, s["open_size"], s["open_n"], cap, most)[0]]
         assert got == greedy.walk(sizes, 0, 0, cap, most)[0]
 
 
+def test_tables_are_short():
+    """A chunk without limits needs no table, one with limits as many rows as the first batch takes."""
+    assert greedy.summary([1] * 1000, None, None) == ([], [])
+    assert len(greedy.summary([1] * 1000, 10, None)[0]) == 11
+    assert len(greedy.summary([1] * 1000, None, 5)[0]) == 6
+
+
+def test_batch_counts(spark):
+    rows = spark.createDataFrame([(g, i, 3) for g, n in (("a", 7), ("b", 1)) for i in range(n)], "g string, i long, s long")
+    got = greedy.batch_counts(rows, F.col("g"), F.col("i"), F.col("s"), F.lit(6), F.lit(None), chunk=2)
+    assert {r.grp: r.batches for r in got.collect()} == {"a": 4, "b": 1}
+    assert greedy.greedy_batches(rows.limit(0), F.col("g"), F.col("i"), F.col("s"), F.lit(6), F.lit(None)).count() == 0
+
+
 def test_prefix_over_chunks_and_sample(spark):
     rows = spark.createDataFrame([("b", i, 0, "p", "paragrafo", "abcd", i == 2) for i in range(9)], "book_id string, block_id long, chapter_idx int, path string, kind string, text string, protected boolean")
     got = sequence.book_prefix(rows.withColumn("one", F.lit(1).cast("long")), "one", "n", chunk=2).orderBy("block_id").collect()
