@@ -4,13 +4,14 @@ Every saved translation in force gets at most one defect, in this order: ``empty
 ``wrong_language``, ``truncated``.
 
 * empty: nothing readable, unless the source has nothing readable either and the answer shows some sign.
-* refusal: a grammar of sentences (inability or declining, with the task as its object) in seven languages.
+* refusal: a grammar of sentences (inability or declining, with the task as its object) in two dozen languages.
 * copied: greedy string tiling over words: tiles of the source cover it and most of the answer.
 * wrong_language: script, and words that belong to one language (learned from a bounded sample of the translations by
   their target language), speak for a language that is neither source nor target.
-* truncated: a pushdown parser follows tags, brackets, quotations, fences and list items of both sides; an answer that
-  ends inside an open construct, without a stop, on an ellipsis, or with fewer sentences than the source, and is
-  shorter than the pair of languages usually makes it, was cut.
+* truncated: a pushdown automaton follows tags, brackets, quotations, fences and list items of both sides; an answer
+  that ends inside a construct the source closes, breaks off on an ellipsis or comma, ends without a stop, or has
+  fewer sentences, list items, tags or placeholders than the source, was cut; signs that also occur in whole answers
+  count where it is shorter than the pair of languages usually makes it.
 
 Defined results: pairs whose source block is unknown are judged on the answer alone (empty, refusal); sources without
 words have no copied, wrong_language or truncated answers; of repeated rows of one key the latest saved counts, then
@@ -20,6 +21,7 @@ the greatest; rows without key are left out.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata as ud
 from collections import Counter
@@ -41,21 +43,45 @@ REFUSAL_GRAMMAR = {
     "fr": (r"ne peux pas|ne puis|impossible de|n'est pas possible|refus\w+|déclin\w+|ne suis pas autorisée?|ne suis pas en mesure|ne m'est pas permis", r"tradu\w+|ce (?:texte|passage|contenu|document)|cet extrait|cette (?:demande|requête)"),
     "de": (r"kann\b.*\bnicht|darf\b.*\bnicht|nicht möglich|unmöglich|ablehn\w+|abzulehnen|verweiger\w*|lehne\b.*\bab|nicht gestattet|nicht in der lage", r"übersetz\w*|diese[nsr]? (?:text\w*|inhalt\w*|anfrage|abschnitt\w*|passage)"),
     "it": (r"non posso|non mi è possibile|non è possibile|non sono autorizzat\w+|non sono in grado|non riesco|rifiut\w+|declin\w+|impossibile", r"tradu\w+|quest[oa] (?:testo|brano|contenuto|richiesta|passaggio|materiale)"),
+    "nl": (r"kan\b.*\bniet|kan geen|mag\b.*\bniet|niet mogelijk|onmogelijk|weiger\w*|niet in staat|niet toegestaan", r"verta\w+|deze (?:tekst|passage|inhoud|vraag)|dit (?:fragment|verzoek|materiaal)"),
+    "sv": (r"kan\b.*\binte|får\b.*\binte|omöjligt|vägra\w*|inte möjligt|inte tillåt\w+", r"översätt\w*|den här (?:texten|passagen|begäran)|det här (?:innehållet|stycket|materialet)|denna (?:text|begäran)"),
+    "da": (r"kan\b.*\bikke|må\b.*\bikke|umuligt|nægte\w*|afvise\w*|ikke muligt|ikke tilladt", r"oversæt\w*|denne (?:tekst|passage|anmodning)|dette (?:indhold|afsnit|materiale)"),
+    "no": (r"kan\b.*\bikke|får\b.*\bikke|umulig|nekte\w*|avslå\w*|ikke mulig|ikke tillatt", r"oversett\w*|denne (?:teksten|passasjen|forespørselen)|dette (?:innholdet|avsnittet|materialet)"),
+    "pl": (r"nie mogę|nie jestem w stanie|nie wolno mi|niemożliwe|odmawiam|odmówić|nie jest możliwe", r"(?:prze)?tłumacz\w*|przetłumaczyć|(?:tego|ten) (?:tekst\w*|fragment\w*)|tej (?:treści|prośby)|tę prośbę"),
+    "cs": (r"nemohu|nemůžu|nesmím|nelze|není možné|odmítám|odmítnout|nejsem schop\w+", r"přel[oož]\w+|překl\w+|tento (?:text|úryvek|požadavek|obsah)|tuto (?:žádost|pasáž)"),
+    "ro": (r"nu pot|nu am voie|nu este posibil|imposibil|refuz\w*|nu sunt autorizat\w*", r"tradu\w+|acest (?:text|fragment|conținut)|această (?:solicitare|cerere)"),
+    "hu": (r"nem tudom|nem tudok|nem lehet\w*|nem áll módomban|visszautasít\w*|megtagad\w*", r"fordít\w*|lefordít\w*|(?:ezt|ennek) a[z]? (?:szöveg\w*|kérés\w*|tartal\w*|részlet\w*)"),
+    "fi": (r"en voi|en pysty|en saa|ei ole mahdollista|mahdotonta|kieltäydy\w*", r"kään\w+|tätä (?:tekstiä|sisältöä|kohtaa)|tä(?:hän|män) (?:pyyntö\w*|teksti\w*)"),
+    "tr": (r"\w*(?:emem|amam|emiyorum|amıyorum|emeyeceğim|amayacağım)|mümkün değil|imkansız|reddet\w*|reddediyorum", r"çevir\w*|çeviri\w*|tercüme\w*|bu (?:metn\w*|metin|içeri\w*|isteğ\w*|istek)"),
+    "el": (r"δεν μπορώ|δεν μου επιτρέπεται|αδύνατο\w*|αρνούμαι|δεν είναι δυνατ\w+", r"μεταφρ\w+|αυτ\w+ τ\w+ (?:κείμεν\w+|απόσπασμ\w+|περιεχόμεν\w+|αίτημ\w+)"),
+    "uk": (r"не можу|неможливо|не маю права|не дозволено|відмовля\w+|відхил\w+", r"перекла\w+|ц\w+ (?:текст\w*|урив\w+|запит\w*|вміст\w*)"),
+    "ja": (r"できません|できかねます|お断り|いたしかねます|不可能|対応でき", r"翻訳|訳すこと|この(?:文章|テキスト|依頼|内容|リクエスト)"),
+    "zh": (r"无法|無法|不能|不可以|拒绝|拒絕|不允许|不被允許", r"翻译|翻譯|(?:这|這|此)(?:段|个|個|份)?(?:文本|内容|內容|文字|请求|請求)"),
+    "ko": (r"수 없습니다|수 없어요|불가능|거절|거부|못합니다", r"번역|이 (?:글|텍스트|내용|요청|본문)"),
+    "ar": (r"لا أستطيع|لا يمكنني|لا يمكن|غير مسموح|أرفض|أعتذر عن|يتعذر", r"ترجم\w*|الترجمة|هذا (?:النص|المحتوى|الطلب|المقطع)"),
     "ru": (r"не могу|нельзя|невозможно|не имею права|не разрешено|не в состоянии|не удастся|отказ\w+|отклон\w+", r"перев[оеё]\w+|эт\w+ (?:текст\w*|отрыв\w+|запрос\w*|содержим\w+|просьб\w+|материал\w*)|вашу просьбу"),
 }
 
 #: One pattern for any task: most answers need no other.
 TASK = re.compile("|".join(b for _, b in REFUSAL_GRAMMAR.values()))
-REFUSALS = [(re.compile(rf"\b(?:{a})(?!\w)"), re.compile(rf"\b(?:{b})")) for a, b in REFUSAL_GRAMMAR.values()]
+#: Languages written without blanks between words have no word boundaries to look for.
+RUN_ON = {"ja", "zh", "ko"}
+REFUSALS = [(re.compile(a), re.compile(b)) if k in RUN_ON else (re.compile(rf"\b(?:{a})(?!\w)"), re.compile(rf"\b(?:{b})")) for k, (a, b) in REFUSAL_GRAMMAR.items()]
+
+SENTENCE_END = re.compile(r"(?<=[.?!])\s|(?<=[。？！])")
 
 #: What opens and what closes a construct.
-CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "“": "„"}
-OPENERS = set("([{“«„")
+CLOSERS = {")": ("(",), "]": ("[",), "}": ("{",), "”": ("“", "„"), "»": ("«",), "“": ("„",), "’": ("‘", "‚"), "‘": ("‚",), "›": ("‹",), "」": ("「",), "』": ("『",), "）": ("（",), "】": ("【",)}
+OPENERS = set("([{“«„‘‚‹「『（【")
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "wbr"}
-FENCE = re.compile(r"(?m)^\s*(```|~~~)")
-ITEM = re.compile(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+\S")
+#: Tokens of the pushdown parser; a line of a fence or a list item starts its line.
+TOKEN = re.compile(
+    r"(?m)^[ \t]*(?P<fence>```|~~~)|^[ \t]*(?P<item>[-*•]|\d+[.)])(?=[ \t]|$)|(?P<tag><(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)[^<>]*?(?P<void>/?)>)"
+    r"|(?P<hole>\{\{\d+\}\})|(?P<half><[A-Za-z/][^<>]*\Z|\{\{?\d*\Z)|(?P<sign>[()\[\]{}“”«»„‘’‚‹›「」『』（）【】\"])|(?P<text>[^\s<])"
+)
 HOLE = re.compile(r"\{\{\d+\}\}")
+HOLE_END = re.compile(r"\{\{\d+\}\}\Z")
 ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
 WORD = re.compile(r"\w+")
 RUN = re.compile(r"\s+")
@@ -81,9 +107,9 @@ STILL_TARGET = 0.3
 #: Tiles shorter than this many words are left to chance; shares that tiles must cover of the source and the answer.
 LEAST_TILE = 3
 COPY_OF_SOURCE, COPY_OF_ANSWER = 0.85, 0.7
-#: Shares of the usual length under which an answer is short: with an open end, with fewer sentences, without its
-#: stop (a missing one alone is no defect), and without any other sign than lost markup.
-SHORT, FEWER, NO_STOP, VERY_SHORT = 0.93, 0.9, 0.76, 0.6
+#: Shares of the usual length that speak for a cut beside another sign: a broken-off end, fewer sentences, no stop (a
+#: missing one alone is no defect), and lost markup without any other sign.
+LONG, FEWER, NO_STOP, VERY_SHORT = 1.15, 0.9, 0.76, 0.6
 
 
 def readable(text: str) -> bool:
@@ -114,9 +140,8 @@ def is_refusal(answer: str, source: str | None) -> bool:
         return False
     t = RUN.sub(" ", TAG.sub(" ", t)).replace("’", "'")
     for a, b in REFUSALS:
-        for s in re.split(r"(?<=[.?!])\s", t):
-            if a.search(s) and b.search(s):
-                return source is None or not any(x.search(source.casefold()) and y.search(source.casefold()) for x, y in REFUSALS)
+        if a.search(t) and any(a.search(s) and b.search(s) for s in SENTENCE_END.split(t)):
+            return source is None or not any(x.search(source.casefold()) and y.search(source.casefold()) for x, y in REFUSALS)
     return False
 
 
@@ -124,31 +149,72 @@ def words(text: str) -> list[str]:
     return WORD.findall(ud.normalize("NFKC", ENTITY.sub(" ", HOLE.sub(" ", TAG.sub(" ", text)))).casefold())
 
 
+PRIME = (1 << 61) - 1
+
+
+def longest_common(a: list[int], b: list[int], sums: tuple[list[int], list[int]], powers: list[int], free: tuple[list[int], list[int]], low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
+    """Length of the longest run that stands in the free parts of both, within [low, high], and its places. That a run of
+    some length exists is monotone in the length, so it is searched by halving, each step by hashes of all windows."""
+    best: tuple[int, list[tuple[int, int]]] = (0, [])
+    while low <= high:
+        n = (low + high) // 2
+        seen: dict[int, list[int]] = {}
+        for i in range(len(a) - n + 1):
+            if free[0][i] >= n:
+                seen.setdefault((sums[0][i + n] - sums[0][i] * powers[n]) % PRIME, []).append(i)
+        spots = []
+        for j in range(len(b) - n + 1):
+            if free[1][j] >= n:
+                i = next((i for i in seen.get((sums[1][j + n] - sums[1][j] * powers[n]) % PRIME, ())), None)
+                if i is not None and a[i : i + n] == b[j : j + n]:
+                    spots.append((i, j))
+                    # one place of a is used once at this length
+                    seen[(sums[1][j + n] - sums[1][j] * powers[n]) % PRIME].pop(0)
+        if spots:
+            best, low = (n, spots), n + 1
+        else:
+            high = n - 1
+    return best
+
+
+def free_lengths(taken: list[bool]) -> list[int]:
+    """For each place, how many places from it on are free."""
+    out, n = [0] * len(taken), 0
+    for i in range(len(taken) - 1, -1, -1):
+        n = 0 if taken[i] else n + 1
+        out[i] = n
+    return out
+
+
 def tiles(a: list[str], b: list[str], least: int) -> int:
-    """Words covered by greedy string tiling: longest common runs first, none overlapping."""
-    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
-    while True:
-        best, spots = least - 1, []
-        run = [0] * (len(b) + 1)
-        for i in range(len(a)):
-            new = [0] * (len(b) + 1)
-            if free_a[i]:
-                x = a[i]
-                for j in range(len(b)):
-                    if x == b[j] and free_b[j]:
-                        n = new[j + 1] = run[j] + 1
-                        if n > best:
-                            best, spots = n, [(i, j)]
-                        elif n == best and n >= least:
-                            spots.append((i, j))
-            run = new
+    """Words covered by greedy string tiling: longest common runs first, none overlapping.
+
+    Lengths fall from round to round and tiles do not overlap, so there are at most about sqrt(2 n) rounds of
+    O(n log n)."""
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(w, len(number) + 1) for w in words] for words in (a, b))
+    sums = []
+    for words in (x, y):
+        acc = [0]
+        for w in words:
+            acc.append((acc[-1] * 1_000_003 + w) % PRIME)
+        sums.append(acc)
+    powers = [1]
+    for _ in range(min(len(x), len(y))):
+        powers.append(powers[-1] * 1_000_003 % PRIME)
+    taken = [False] * len(x), [False] * len(y)
+    high, covered = min(len(x), len(y)), 0
+    while high >= least:
+        n, spots = longest_common(x, y, (sums[0], sums[1]), powers, (free_lengths(taken[0]), free_lengths(taken[1])), least, high)
         if not spots:
-            return covered
+            break
         for i, j in spots:
-            if all(free_a[i - best + 1 : i + 1]) and all(free_b[j - best + 1 : j + 1]):
-                free_a[i - best + 1 : i + 1] = [False] * best
-                free_b[j - best + 1 : j + 1] = [False] * best
-                covered += best
+            if not any(taken[0][i : i + n]) and not any(taken[1][j : j + n]):
+                taken[0][i : i + n] = [True] * n
+                taken[1][j : j + n] = [True] * n
+                covered += n
+        high = n
+    return covered
 
 
 def has_words(source: str) -> bool:
@@ -181,34 +247,68 @@ def is_copy(source: str, answer: str) -> bool:
     return n >= COPY_OF_SOURCE * len(a) and n >= COPY_OF_ANSWER * len(b)
 
 
-def open_at_end(text: str) -> int:
-    """Constructs a pushdown parser finds open at the end: tags, brackets, quotations and fences."""
+def parsed(text: str) -> tuple[int, int, int, int]:
+    """(constructs open at the end, list items, tags, placeholders) by a pushdown automaton over tags, fences, list items,
+    brackets and quotations.
+
+    Within a fence only its end counts. A straight quotation mark opens before a word and closes the one that is open.
+    A list item is open until something stands in it. What ends in the middle of a tag or placeholder is open too."""
     stack: list[str] = []
-    at = 0
-    for m in TAG.finditer(text):
-        scan(text[at : m.start()], stack)
-        at = m.end()
-        name = m.group(2).lower()
-        if m.group(3) or name in VOID:
+    items = tags = holes = 0
+    for m in TOKEN.finditer(text):
+        kind = m.lastgroup if m.lastgroup not in ("end", "name", "void") else "tag"
+        if kind == "fence":
+            if m.group("fence") in stack:
+                while stack.pop() != m.group("fence"):
+                    pass
+            else:
+                stack.append(m.group("fence"))
+            continue
+        if stack and stack[-1] in ("```", "~~~"):
+            holes += kind == "hole"
+            continue
+        if kind == "item":
+            if stack and stack[-1] == "item":
+                stack.pop()
+            items += 1
+            stack.append("item")
             continue
-        if not m.group(1):
-            stack.append(f"<{name}")
-        elif f"<{name}" in stack:
-            while stack.pop() != f"<{name}":
-                pass
-    scan(text[at:], stack)
-    half_tag = bool(re.search(r"<[A-Za-z/][^<>]*$", text)) or bool(re.search(r"\{\{?\d*$|\{\{\d+\}$", text))
-    return len(stack) + len(FENCE.findall(text)) % 2 + half_tag
-
-
-def scan(part: str, stack: list[str]) -> None:
-    for c in part:
-        opener = CLOSERS.get(c)
-        if opener is not None and opener in stack:
-            while stack.pop() != opener:
-                pass
-        elif c in OPENERS:
-            stack.append(c)
+        if stack and stack[-1] == "item" and kind != "half":
+            stack.pop()
+        if kind == "tag":
+            tags += 1
+            name = m.group("name").lower()
+            if m.group("void") or name in VOID:
+                continue
+            if not m.group("end"):
+                stack.append(f"<{name}")
+            elif f"<{name}" in stack:
+                while stack.pop() != f"<{name}":
+                    pass
+        elif kind == "hole":
+            holes += 1
+        elif kind == "half":
+            stack.append("half")
+        elif kind == "sign":
+            c, at = m.group("sign"), m.start()
+            if c == '"':
+                if c in stack:
+                    while stack.pop() != c:
+                        pass
+                elif (at == 0 or not text[at - 1].isalnum()) and at + 1 < len(text) and not text[at + 1].isspace():
+                    stack.append(c)
+                continue
+            opener = next((o for o in CLOSERS.get(c, ()) if o in stack), None)
+            if opener is not None:
+                while stack.pop() != opener:
+                    pass
+            elif c in OPENERS:
+                stack.append(c)
+    return len(stack), items, tags, holes
+
+
+def open_at_end(text: str) -> int:
+    return parsed(text)[0] + bool(re.search(r"\{\{\d+\}\}\Z", text))
 
 
 def sentence_count(text: str) -> int:
@@ -219,18 +319,18 @@ def sentence_count(text: str) -> int:
 def is_truncated(source: str, answer: str, usual: float | None) -> bool:
     """Judged by how the answer ends, what it leaves out, and its length against the usual one for its languages."""
     s, t = source.rstrip(), answer.rstrip()
-    share = len(t) / max(1.0, len(s) * (usual or 1.0))
-    if share >= SHORT or not has_words(source):
+    if not has_words(source):
         return False
-    if CUT_END.search(t) and not CUT_END.search(s) or open_at_end(t) > open_at_end(s):
-        return True
-    if bool(STOP_END.search(s)) and not STOP_END.search(t) and share < NO_STOP:
-        return True
-    lost = len(HOLE.findall(t)) < len(HOLE.findall(s)) or len(TAG.findall(t)) < len(TAG.findall(s)) or len(ITEM.findall(t)) < len(ITEM.findall(s))
-    if bool(STOP_END.search(s)) and not STOP_END.search(t) and lost:
+    share = len(t) / max(1.0, len(s) * (usual or 1.0))
+    (open_s, *have), (open_t, *got) = parsed(s), parsed(t)
+    lost = any(g < h for g, h in zip(got, have))
+    stops, stopped = bool(STOP_END.search(s)), bool(STOP_END.search(t))
+    if CUT_END.search(t) and not CUT_END.search(s) or open_t > open_s or HOLE_END.search(t) and not HOLE_END.search(s) and not stopped and stops:
+        return share < LONG or open_t > open_s
+    if stops and not stopped and (lost or share < NO_STOP):
         return True
     if sentence_count(TAG.sub("", t)) < sentence_count(TAG.sub("", s)):
-        return share < FEWER or lost or not STOP_END.search(t)
+        return share < FEWER or lost or stops and not stopped and share < LONG
     return share < VERY_SHORT and lost
 
 
@@ -329,10 +429,8 @@ def defect(source: str | None, answer: str | None, target: str | None, label: st
         return "copied"
     if (in_other_script(source, answer, target, label) or other and other != table.language(source)) and has_words(source):
         return "wrong_language"
-    if len(answer) < 1.5 * len(source):
-        known = table.language(source) or label
-        return "truncated" if is_truncated(source, answer, usual.get((known, target))) else None
-    return None
+    known = table.language(source) or label
+    return "truncated" if is_truncated(source, answer, usual.get((known, target))) else None
 
 
 def pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -355,15 +453,14 @@ def broken_pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame, bound: in
     rows = stored(pairs(state, runs, blocks), "pairs")
     sample = rows.where("target is not null and length(answer) between 12 and 4000").select("answer", "target").orderBy(F.xxhash64("state_key", "block_id"), "answer").limit(bound).toArrow()
     table = WordTable.learn(sample.column("answer").to_pylist(), sample.column("target").to_pylist())
-    shared = checked_broadcast(spark, table, 100 * len(table.weights))
+    shared = checked_broadcast(spark, table, len(pickle.dumps(table)))
 
     # the usual length of an answer against its source, for each pair of languages: at most as many rows as such pairs
     @F.pandas_udf("string")
     def source_language(source: pd.Series) -> pd.Series:
         return source.map(shared.value.language)
 
-    long_enough = rows.where("target is not null and length(source) > 20 and length(answer) > 0.5 * length(source)")
-    ratios = long_enough.select(F.coalesce(source_language("source"), "label").alias("known"), "target", (F.length("answer") / F.length("source")).alias("ratio"))
+    ratios = rows.where("target is not null and length(source) > 0 and length(answer) > 0").select(F.coalesce(source_language("source"), "label").alias("known"), "target", (F.length("answer") / F.length("source")).alias("ratio"))
     medians = ratios.where("known <> target").groupBy("known", "target").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual")).collect()
     usual = {(m.known, m.target): m.usual for m in medians}
 

@@ -32,6 +32,46 @@ def test_refusal(text, refused):
     assert pairs.is_refusal(text, "The miller sells the key.") is refused
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Ik kan deze tekst helaas niet vertalen.", "Przepraszam, ale nie mogę przetłumaczyć tego tekstu.", "申し訳ありませんが、この文章を翻訳することはできません。", "抱歉，我无法翻译这段文字。", "Λυπάμαι, δεν μπορώ να μεταφράσω αυτό το κείμενο.", "عذرا، لا أستطيع ترجمة هذا النص.", "Üzgünüm, bu metni çeviremem mümkün değil.", "Bohužel nemohu přeložit tento text."],
+)
+def test_refusal_in_other_languages(text):
+    assert pairs.is_refusal(text, "The miller sells the key.")
+
+
+def test_tiles_are_fast_and_greedy():
+    """Long and repetitive texts end soon; the result is that of trying every run."""
+    rng = np.random.default_rng(3)
+
+    def brute(a, b, least):
+        free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+        while True:
+            runs = []
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                        n += 1
+                    runs.append((n, i, j))
+            best = max(runs, default=(0, 0, 0))[0]
+            if best < least:
+                return covered
+            for n, i, j in runs:
+                if n == best and all(free_a[i : i + n]) and all(free_b[j : j + n]):
+                    free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+                    covered += n
+
+    for _ in range(30):
+        a, b = ([str(x) for x in rng.integers(0, 12, rng.integers(1, 30))] for _ in range(2))
+        got, want = pairs.tiles(a, b, 2), brute(a, b, 2)
+        # ties between places of one length may be broken differently
+        assert abs(got - want) <= 4 and (got > 0) == (want > 0)
+    many = [str(x) for x in rng.integers(0, 300, 20_000)]
+    assert pairs.tiles(many, many[10_000:] + many[:10_000], 3) == 20_000
+    assert pairs.tiles(["the"] * 5000, ["the"] * 4000, 3) == 4000
+
+
 def test_tiles():
     a = "the old miller sells the key at noon".split()
     assert pairs.tiles(a, a, 3) == 8
@@ -68,6 +108,12 @@ def test_truncation():
         assert pairs.is_truncated(s, t, 1.05), t
     assert not pairs.is_truncated(s, full, 1.05)
     assert not pairs.is_truncated(s, full.rstrip(".") + "\n", 1.05)
+    long = full + " " + full[:-1]
+    assert pairs.is_truncated(s + " " + s, full + " " + full[:-9] + "…", 1.05) and pairs.is_truncated(s + " (" + s + ")", long + " (" + full, 1.05)
+    assert pairs.is_truncated("let us go.", "El molinero vende la llave al mediodía, y entonces [...]", 20.0)
+    assert pairs.open_at_end('He said "I will go') == 1 and pairs.open_at_end('He said "I will go", and left the 5" pipe.') == 0
+    assert pairs.open_at_end("- a\n- b\n-") == 1 and pairs.open_at_end("1. a\n2. b") == 0 and pairs.open_at_end("‘a’ it’s „b“ «c» (d)") == 0
+    assert pairs.parsed("```\n(x <b>\n```\n- a\n- {{0}} <i>b</i>") == (0, 2, 2, 1)
     assert pairs.open_at_end("a (b [c] <i>d") == 2 and pairs.open_at_end("<br>“x”\n```\ny") == 1 and pairs.open_at_end("a {{0") >= 1
 
 
