@@ -19,13 +19,16 @@ import numpy as np
 from inkloom.llm.canonical import LOOK_ALIKES, folded
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "pt", "ru"]
+#: The class of all other languages, trained on sentences whose letters were exchanged.
+OTHER_LANGUAGE = "other"
+CLASSES = [*LANGUAGES, OTHER_LANGUAGE]
 WINDOW = 64
 STRIDE = 48
 EMBED = 8
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 40
 
-MARKUP = re.compile(r"<[^<>]{0,200}>|\{\{\d+\}\}|@@\d+@@|&#?\w{1,10};")
+MARKUP = re.compile(r"<[^<>]*>|\{\{\d+\}\}|@@\d+@@|&#?\w+;")
 #: A sentence ends at its stop and closing quotes before a blank and no small letter or closing sign; a line break ends
 #: one too.
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”“»’)\]]*(?=\s+[^\s)\],;:a-zß-öø-ÿа-яё]|\s*$)|(?=\n|$))")
@@ -68,13 +71,34 @@ def core(sentence: str) -> str:
     words = LETTERS.findall(sentence)
     if sum(len(w) > 1 and w.isupper() for w in words) > sum(w[0].islower() for w in words):
         return sentence.lower()
-    return RUNS.sub(" ", LETTERS.sub(lambda m: m.group() if m.group()[0].islower() else "", sentence))
+    return RUNS.sub(" ", LETTERS.sub(lambda m: m.group() if m.group()[0].islower() or caseless(m.group()) else "", sentence))
+
+
+def caseless(word: str) -> bool:
+    """Whether a word is written in a script without capitals."""
+    return not (word[0].islower() or word[0].isupper() or word[0].istitle())
 
 
 def worth(sentence: str) -> bool:
-    """Whether there are words to tell a language by: beside names (capitalised words) and numbers."""
+    """Whether there are words to tell a language by: beside names (capitalised words) and numbers. Scripts without
+    capitals, some of them without blanks between words, are judged by their letters."""
     words = LETTERS.findall(sentence)
-    return sum(w[0].islower() and len(w) > 1 for w in words) >= 2 or len(words) >= 3 and sum(len(w) > 1 and w.isupper() for w in words) >= 3
+    if sum(w[0].islower() and len(w) > 1 for w in words) >= 2 or len(words) >= 3 and sum(len(w) > 1 and w.isupper() for w in words) >= 3:
+        return True
+    return not sentence.isascii() and sum(len(w) for w in words if caseless(w)) >= 4
+
+
+#: Letters that are exchanged for each other in the sentences of no language.
+EXCHANGED = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"]
+
+
+def no_language(sentence: str, rng: np.random.Generator) -> str:
+    """The sentence with vowels and consonants exchanged at random: the look of words, in no language known."""
+    table: dict[int, str] = {}
+    for letters in EXCHANGED:
+        to = [letters[k] for k in rng.permutation(len(letters))]
+        table |= {ord(a): b for a, b in zip(letters, to)} | {ord(a.upper()): b.upper() for a, b in zip(letters, to) if len(a.upper()) == len(b.upper()) == 1}
+    return sentence.translate(table)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -118,7 +142,7 @@ class ByteCnn:
         p, pooled, kept = self.p, [], {}
         e = p["embed"][x]
         for w in WIDTHS:
-            n = WINDOW - w + 1
+            n = x.shape[1] - w + 1
             cols = np.lib.stride_tricks.sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(len(x) * n, w * EMBED)
             h = (cols @ p[f"f{w}"]).reshape(len(x), n, FILTERS)
             if keep:
@@ -135,8 +159,20 @@ class ByteCnn:
         probs /= probs.sum(1, keepdims=True)
         return (probs, z, kept) if keep else probs
 
-    def predict(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
-        return np.concatenate([self.forward(x[i : i + batch]) for i in range(0, len(x), batch)]) if len(x) else np.zeros((0, len(self.p["bias"])), np.float32)
+    def predict(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Probabilities of windows. Each distinct one goes through the network once, with others of its length: all
+        places beyond the end and the widest filter look alike, so they are left out."""
+        if not len(x):
+            return np.zeros((0, len(self.p["bias"])), np.float32)
+        rows, back = np.unique(np.ascontiguousarray(x).view(f"V{WINDOW}").ravel(), return_inverse=True)
+        rows = rows.view(np.uint8).reshape(-1, WINDOW)
+        used = WINDOW - (rows[:, ::-1] != 0).argmax(1)
+        order = np.argsort(used, kind="stable")
+        out = np.empty((len(rows), len(self.p["bias"])), np.float32)
+        for i in range(0, len(rows), batch):
+            at = order[i : i + batch]
+            out[at] = self.forward(rows[at, : min(WINDOW, int(used[at[-1]]) + max(WIDTHS))])
+        return out[back.ravel()]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         probs, z, kept = self.forward(x, keep=True)
@@ -229,7 +265,7 @@ def fit(texts: list[str], labels: list[int], groups: list, n_out: int, per_class
     """A network from texts whose labels belong to groups (books, runs) and are wrong for some groups.
 
     A first network, trained on the labels as given, says which language a group is in; the final one is trained on
-    the texts whose group and own prediction agree."""
+    the texts whose group and own prediction agree, and has one class more, the last: of texts in no language known."""
     with one_thread():
         return _fit(texts, np.asarray(labels), groups, n_out, per_class, epochs)
 
@@ -238,6 +274,7 @@ def _fit(texts: list[str], y: np.ndarray, groups: list, n_out: int, per_class: i
     x = as_array([windows(t)[0] for t in texts])
     rows = balanced(y, n_out, per_class, 3)
     p = ByteCnn.fresh(n_out).train(x[rows], y[rows], 2).predict(x)
+    rng = np.random.default_rng(17)
     index = {g: i for i, g in enumerate(dict.fromkeys(groups))}
     owner = np.fromiter((index[g] for g in groups), np.int64, len(groups))
     votes = np.zeros((len(index), n_out))
@@ -245,4 +282,5 @@ def _fit(texts: list[str], y: np.ndarray, groups: list, n_out: int, per_class: i
     said = votes.argmax(1)[owner]
     good = np.flatnonzero((p.argmax(1) == said) | (p[np.arange(len(y)), said] > 0.2))
     rows = good[balanced(said[good], n_out, per_class, 5)]
-    return ByteCnn.fresh(n_out).train(x[rows], said[rows], epochs)
+    none = as_array([windows(no_language(texts[i], rng))[0] for i in rng.choice(rows, min(len(rows), per_class), replace=False)])
+    return ByteCnn.fresh(n_out + 1).train(np.concatenate([x[rows], none]), np.concatenate([said[rows], np.full(len(none), n_out)]), epochs)

@@ -4,6 +4,9 @@ A byte convolutional network is trained on blocks whose book carries a label (a
 books are found and left out by the training itself) and applied to every sentence of every block. A book's language
 is the one most of its blocks are written in; a segment is a run of sentences in another one.
 
+Languages beyond those that are told apart make one class, "other"; a book in it whose label names such a language is
+no case.
+
 Defined results: blocks that are null, blank, protected, or without words beside names and numbers have no language;
 a book without any language has none and is no case; of repeated rows of one key the greatest counts (of a book's
 labels: of the rows that agree, any); rows without key are left out.
@@ -38,13 +41,21 @@ SPELLINGS = {
     "ru": ["rus", "russian", "русский"],
 }
 
+#: Codes of other languages that labels may name.
+OTHER_CODES = [
+    "af", "ar", "bg", "bn", "ca", "cs", "cy", "da", "el", "eo", "et", "eu", "fa", "fi", "ga", "gl", "he", "hi", "hr", "hu", "hy",
+    "id", "is", "ja", "ka", "ko", "la", "lt", "lv", "mk", "ms", "mt", "nb", "nl", "nn", "no", "pl", "ro", "sk", "sl", "sq", "sr",
+    "sv", "ta", "te", "th", "tr", "uk", "ur", "vi", "zh", "nld", "dut", "pol", "swe", "ces", "jpn", "zho", "chi", "ukr", "ell",
+]
+
 
 def label_language(label: Column) -> Column:
-    """The language a label names: codes, names, regional tags; null if it names none of these."""
+    """The language a label names, by codes, names or regional tags; of other languages their code; null if it names
+    none."""
     names = {s: k for k, ss in SPELLINGS.items() for s in [k, *ss]}
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    first = F.lower(F.regexp_extract(F.trim(label), r"(?U)^\s*(\w+)", 1).substr(1, 40))
-    return F.try_element_at(table, F.split_part(first, F.lit("_"), F.lit(1)))
+    first = F.split_part(F.lower(F.regexp_extract(F.trim(label), r"(?U)^\s*(\w+)", 1)), F.lit("_"), F.lit(1))
+    return F.coalesce(F.try_element_at(table, first), F.when(first.isin(*OTHER_CODES), first))
 
 
 def training_rows(texts: list[str], labels: list[str], groups: list) -> tuple[list[str], list[int], list]:
@@ -80,7 +91,7 @@ def classify(texts: list[str | None], model: net.ByteCnn) -> list[list[tuple[int
                     owner.append((i, a, b))
     for (i, a, b), p in zip(owner, model.texts(parts)):
         k = int(p.argmax())
-        found[i].append((a, b, net.LANGUAGES[k], float(p[k]), p))
+        found[i].append((a, b, net.CLASSES[k], float(p[k]), p))
     return found
 
 
@@ -124,7 +135,7 @@ def block_languages(blocks: DataFrame, books: DataFrame, bound: int = TRAIN_BLOC
                 lang, conf = [], []
                 for sents in got:
                     mean = np.mean([s[4] for s in sents], axis=0) if sents else None
-                    lang.append(None if mean is None else net.LANGUAGES[int(mean.argmax())])
+                    lang.append(None if mean is None else net.CLASSES[int(mean.argmax())])
                     conf.append(None if mean is None else float(mean.max()))
                 columns = [part.column("book_id"), part.column("block_id"), pa.array(lang, pa.string()), pa.array(conf, pa.float64()), pa.array([segments_of(s) for s in got], STRUCT)]
                 yield pa.RecordBatch.from_arrays(columns, ["book_id", "block_id", "language", "confidence", "segments"])
@@ -149,7 +160,7 @@ def book_languages(books: DataFrame, by_block: DataFrame) -> DataFrame:
 def foreign_segments(by_block: DataFrame, by_book: DataFrame) -> DataFrame:
     """(book_id, block_id, start, stop, language, confidence) of the segments in another language than their book's;
     where the mean over a segment is not sure, the confidence is that of its surest sentence."""
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(net.LANGUAGES) for x in (k, i)])
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(net.CLASSES) for x in (k, i)])
     main = by_book.where("language is not null").select("book_id", F.col("language").alias("main"))
     s = by_block.select("book_id", "block_id", F.explode("segments").alias("s"))
     other = s.join(main, "book_id").where(F.col("s.language") != F.col("main"))
@@ -160,5 +171,10 @@ def foreign_segments(by_block: DataFrame, by_book: DataFrame) -> DataFrame:
     return found.where("confidence is not null")
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Those in one of the languages that are told apart."""
+    return rows.where(F.col("language").isin(net.LANGUAGES))
+
+
 def label_cases(by_book: DataFrame) -> DataFrame:
     return by_book.where("language is not null and (labelled is null or labelled <> language)")

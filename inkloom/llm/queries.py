@@ -38,8 +38,8 @@ def languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_block, by_book = languages(spark, sf_dir)
-    labels = language.label_cases(by_book).select("book_id", F.lit(-1).cast("long").alias("block_id"), "language")
-    mixed = language.foreign_segments(by_block, by_book).select("book_id", "block_id", "language").distinct()
+    labels = language.named(language.label_cases(by_book)).select("book_id", F.lit(-1).cast("long").alias("block_id"), "language")
+    mixed = language.named(language.foreign_segments(by_block, by_book)).select("book_id", "block_id", "language").distinct()
     return labels.unionByName(mixed)
 
 

@@ -217,6 +217,10 @@ def test_labels(spark):
 def test_plain_sentences():
     p = bytecnn.plain("Ｏｎｅ <b>two</b> {{0}}. “Three”, says Tru. (см. {{1}}) x\nlast")
     assert [p[a:b].strip() for a, b in bytecnn.sentences(p)] == ["One two .", "“Three”, says Tru.", "(см. ) x", "last"] or len(bytecnn.sentences(p)) >= 3
+    long = '<a href="' + "x" * 250 + '">der Hund</a> läuft &CounterClockwiseContourIntegral; heim'
+    assert bytecnn.plain(long).split() == ["der", "Hund", "läuft", "heim"]
+    assert bytecnn.worth("鍵を売る人は正午に") and bytecnn.worth("מפתח נמכר בצהריים") and bytecnn.worth("यह एक किताब है")
+    assert not bytecnn.worth("鍵, 1651")
     assert not bytecnn.worth("Trux Kourt, 1651") and bytecnn.worth("the boat is late") and bytecnn.worth("THE BOAT IS LATE")
 
 
