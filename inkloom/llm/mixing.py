@@ -1,23 +1,24 @@
 """Problem 7: mixing sources to target weights.
 
 Sizes are tokens of each plan's public tokenizer. A source's quota is target_share x size_ratio x all tokens, at most
-max_repeats times the source. Whole passes over the source come first; the rest is drawn from a permutation of its
-records, block by block: records fall into ``blocks`` hash blocks a source, whose sums (a small fixed-size table)
-tell which blocks are drawn whole; only the block on the boundary is looked at record by record, and one more record
-that closes the gap best is added. So no sort or window ever holds a source.
+max_repeats times the source. Its records fall into hash blocks of a fixed number of tokens; the exact number of blocks
+a source gives (all of them for each whole pass, and a rest drawn from their permutation) is split between the two
+halves of the output shards by a multivariate-hypergeometric draw over the sources, and so on down to single shards,
+which take disjoint blocks of the permutation and shuffle their records locally. A record is used as often as its block
+was drawn. Only the block on the quota's boundary is looked into: by sub-blocks first, then one sub-block record by
+record, and one more record that closes the gap best. So no sort or window ever holds a source.
 
-The sequence of the mixture follows a multivariate-hypergeometric splitting tree: the exact numbers of drawn blocks a
-source are split between the two halves of the output shards, and so on down to single shards, which take disjoint
-blocks of the permutation and shuffle their records locally.
+Blocks and shards follow from the number of tokens; the tables of blocks on the driver are bounded by MAX_DRIVER_ROWS.
 
 Defined results: every document id comes out for every plan, with 0 uses where it has no source, its source is not
-named, or it was not drawn; null and empty texts have no tokens: they are used as often as the whole passes over
-their source. Of repeated rows of one id the greatest counts. A source that cannot reach its quota within its cap is
-used as often as the cap allows; the shares reached are reported. Targets without source or plan are left out.
+named, or it was not drawn; null and empty texts have no tokens: they are used as often as their block is drawn. Of
+repeated rows of one id the greatest counts. A source that cannot reach its quota within its cap is used as often as
+the cap allows; the shares reached are reported. Targets without source or plan are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 from inkloom.llm.bpe import TOKENIZER_DIR
 from inkloom.session import checked_broadcast, cut, spread
 
-BLOCKS = 1024
-SHARDS = 16
+#: Tokens of a block, and of a shard of the mixture; sub-blocks of the block on a boundary.
+BLOCK_TOKENS = 50_000
+SHARD_TOKENS = 2_000_000
+SUB_BLOCKS = 1024
 SEED = 20
 
-#: Of all tables that reach the driver, the most rows (plans x sources x blocks); more is an error, never a cut.
-MAX_DRIVER_ROWS = 2_000_000
+#: Of all tables that reach the driver, the most rows: blocks are made larger to stay below it; where plans x sources
+#: alone are more, that is an error, never a cut.
+MAX_DRIVER_ROWS = 1_000_000
 
 
 def token_counter(name: str, blob: bytes):
@@ -103,73 +107,124 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
 class Mixture:
     """Quotas, uses and sequence of every plan over one documents table."""
 
-    def __init__(self, documents: DataFrame, plans: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int = SEED, folder: str = TOKENIZER_DIR):
-        self.spark, self.blocks, self.seed = documents.sparkSession, blocks, seed
+    def __init__(self, documents: DataFrame, plans: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, folder: str = TOKENIZER_DIR):
+        self.spark, self.block_tokens, self.shard_tokens, self.seed = documents.sparkSession, block_tokens, shard_tokens, seed
         plan_rows = rows_of(plans.where("plan_id is not null").groupBy("plan_id").agg(F.max(F.struct("size_ratio", "tokenizer")).alias("p")))
         self.plans = {r.plan_id: (r.p.size_ratio or 0.0, r.p.tokenizer) for r in plan_rows}
         target_rows = rows_of(targets.where("plan_id is not null and source is not null").groupBy("plan_id", "source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")))
         self.targets = {(r.plan_id, r.source): (r.t.target_share or 0.0, max(0, r.t.max_repeats or 0)) for r in target_rows if r.plan_id in self.plans}
         names = sorted({t for _, t in self.plans.values() if t})
-        block = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(blocks)).cast("int")
-        self.sizes = cut(token_sizes(documents, names, folder).withColumn("block", block))
+        self.sizes = cut(token_sizes(documents, names, folder))
         self._plan()
 
     def _plan(self) -> None:
-        sums = rows_of(self.sizes.groupBy("tokenizer", "source", "block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
+        """Whole passes, then the blocks drawn beyond them, and the block on the boundary of every plan and source."""
+        per = rows_of(self.sizes.groupBy("tokenizer", "source").agg(F.sum("tokens").alias("tokens")))
         total: dict[str, int] = {}
-        table: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
-        for r in sums:
+        for r in per:
             total[r.tokenizer] = total.get(r.tokenizer, 0) + r.tokens
-            if r.source is not None:
-                table.setdefault((r.tokenizer, r.source), {})[r.block] = (r.tokens, r.docs)
-        self.quota, self.whole, self.draws, edges = {}, {}, [], []
+        self.total, size = total, {(r.tokenizer, r.source): r.tokens for r in per}
+        self.quota = {}
         for (plan, source), (share, repeats) in sorted(self.targets.items()):
             ratio, name = self.plans[plan]
-            have = table.get((name, source), {})
-            size = sum(t for t, _ in have.values())
-            want = share * ratio * total.get(name, 0)
-            passes = min(repeats, int(want // size)) if size else 0
-            rest = want - passes * size if size and passes < repeats else 0.0
-            order = [sorted(have)[i] for i in np.random.default_rng([self.seed, len(have)]).permutation(len(have))]
-            self.quota[plan, source] = (want, size, passes)
+            want, have = share * ratio * total.get(name, 0), size.get((name, source), 0)
+            self.quota[plan, source] = (want, have, min(repeats, int(want // have)) if have else 0)
+        drawn_times = sum(passes + 1 for _, _, passes in self.quota.values())
+        self.blocks = max(1, min(max(total.values(), default=0) // self.block_tokens, MAX_DRIVER_ROWS // max(1, drawn_times, len(per))))
+        block = F.pmod(F.xxhash64(F.lit(self.seed), "source", "doc_id"), F.lit(self.blocks)).cast("int")
+        self.blocked = self.sizes.withColumn("block", block)
+        table: dict[tuple[str, str], dict[int, int]] = {}
+        for r in rows_of(self.blocked.where("source is not null").groupBy("tokenizer", "source", "block").agg(F.sum("tokens").alias("tokens"))):
+            table.setdefault((r.tokenizer, r.source), {})[r.block] = r.tokens
+        self.draws: list[tuple[str, str, int, int]] = []  # plan, source, block, copy
+        edges = []
+        for (plan, source), (want, have, passes) in self.quota.items():
+            name = self.plans[plan][1]
+            blocks = table.get((name, source), {})
+            rest = want - passes * have if have and passes < self.targets[plan, source][1] else 0.0
+            order = [sorted(blocks)[i] for i in np.random.default_rng([self.seed, len(blocks)]).permutation(len(blocks))]
+            self.draws += [(plan, source, b, copy) for copy in range(passes) for b in order]
             got, partial = 0, None
-            extra = []
             for b in order if rest > 0 else []:
-                if got + have[b][0] > rest:
+                if got + blocks[b] > rest:
                     partial = b if partial is None else partial
                     continue
-                got += have[b][0]
-                extra.append(b)
-            self.draws += [(plan, source, b, e) for e in range(passes) for b in order] + [(plan, source, b, passes) for b in extra]
-            self.whole[plan, source] = (set(extra), passes)
+                got += blocks[b]
+                self.draws.append((plan, source, b, passes))
             edges.append((plan, source, name, passes, partial, rest - got))
-        self.edges = edges
+        self._edge(edges)
+        self._tree()
         self._uses()
 
-    def _uses(self) -> None:
-        """uses: plan_id, doc_id, source, tokens, block, times, whole (drawn with its block in all its times)."""
+    def _edge(self, edges: list[tuple]) -> None:
+        """(plan_id, source, doc_id, copy) of the records drawn one by one, from the blocks on a boundary."""
         spark = self.spark
-        rows = [(p, s, b) for (p, s), (extra, _) in self.whole.items() for b in sorted(extra)]
-        extra = spark.createDataFrame(rows, "plan_id string, source string, block int").withColumn("more", F.lit(1))
-        edge = spark.createDataFrame(self.edges, "plan_id string, source string, tokenizer string, passes int, partial int, gap double")
-        plan = spark.createDataFrame([(p, n) for p, (_, n) in self.plans.items()], "plan_id string, tokenizer string")
-        all_docs = self.sizes.join(plan, "tokenizer").join(edge.drop("tokenizer"), ["plan_id", "source"], "left").join(extra, ["plan_id", "source", "block"], "left")
-        # the boundary block, record by record in hash order
-        order = F.xxhash64(F.lit(self.seed + 1), "doc_id")
-        line = Window.partitionBy("plan_id", "source").orderBy(order, "doc_id")
-        cut_at = (
-            all_docs.where("block = partial").withColumn("run", F.sum("tokens").over(line)).where("run <= gap and tokens > 0")
-            .select("plan_id", "source", "doc_id", "run")
-        )
-        taken = cut(cut_at)
-        filled = taken.groupBy("plan_id", "source").agg(F.max("run").alias("filled"))
-        left = edge.join(filled, ["plan_id", "source"], "left").select("plan_id", "source", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("left"))
-        free = all_docs.where("more is null and partial is not null and tokens > 0").join(taken, ["plan_id", "source", "doc_id"], "left_anti").join(left, ["plan_id", "source"])
+        edge = spark.createDataFrame(edges, "plan_id string, source string, tokenizer string, copy int, partial int, gap double")
+        whole = [(p, s, b) for p, s, b, copy in self.draws if copy == self.quota[p, s][2]]
+        more = spark.createDataFrame(whole, "plan_id string, source string, block int").withColumn("more", F.lit(1))
+        sub = F.pmod(F.xxhash64(F.lit(self.seed + 1), "doc_id"), F.lit(SUB_BLOCKS)).cast("int")
+        inside = self.blocked.join(edge.where("partial is not null"), ["tokenizer", "source"]).where("block = partial").withColumn("sub", sub)
+        sums: dict[tuple[str, str], dict[int, int]] = {}
+        for r in rows_of(inside.groupBy("plan_id", "source", "sub").agg(F.sum("tokens").alias("tokens"))):
+            sums.setdefault((r.plan_id, r.source), {})[r.sub] = r.tokens
+        taken, left = [], []
+        for plan, source, _, _, partial, gap in edges:
+            last = None
+            for k in sorted(sums.get((plan, source), {})) if partial is not None else []:
+                n = sums[plan, source][k]
+                if n <= gap:
+                    gap -= n
+                    taken.append((plan, source, k))
+                elif last is None:
+                    last = k
+            left.append((plan, source, last, gap))
+        subs = spark.createDataFrame(taken, "plan_id string, source string, sub int").withColumn("all", F.lit(1))
+        rest = spark.createDataFrame(left, "plan_id string, source string, last int, rest double")
+        line = Window.partitionBy("plan_id", "source").orderBy(F.xxhash64(F.lit(self.seed + 2), "doc_id"), "doc_id")
+        within = inside.join(subs, ["plan_id", "source", "sub"], "left").join(rest, ["plan_id", "source"])
+        columns = ["plan_id", "source", "doc_id", "copy", "tokens"]
+        by_sub = within.where("all = 1 and tokens > 0").select(*columns, F.lit(False).alias("single"))
+        # one sub-block, record by record in hash order
+        by_record = within.where("all is null and sub = last").withColumn("run", F.sum("tokens").over(line)).where("run <= rest and tokens > 0").select(*columns, F.lit(True).alias("single"))
+        drawn = cut(by_sub.unionByName(by_record))
+        filled = drawn.where("single").groupBy("plan_id", "source").agg(F.sum("tokens").alias("filled"))
+        still = rest.join(filled, ["plan_id", "source"], "left").select("plan_id", "source", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("left")).where("left > 0")
+        free = self.blocked.join(edge.where("partial is not null"), ["tokenizer", "source"]).where("tokens > 0").join(more, ["plan_id", "source", "block"], "left").where("more is null")
+        free = free.join(drawn.select("plan_id", "source", "doc_id"), ["plan_id", "source", "doc_id"], "left_anti").join(still, ["plan_id", "source"])
         miss = F.abs(F.col("left") - F.col("tokens"))
-        closer = free.where(miss < F.col("left")).groupBy("plan_id", "source").agg(F.min(F.struct(miss.alias("miss"), "doc_id")).alias("b")).select("plan_id", "source", F.col("b.doc_id").alias("doc_id"))
-        one = taken.select("plan_id", "source", "doc_id").unionByName(closer).withColumn("one", F.lit(1))
-        times = F.coalesce("passes", F.lit(0)) + F.coalesce("more", F.lit(0)) + F.coalesce("one", F.lit(0))
-        self.uses = all_docs.join(one, ["plan_id", "source", "doc_id"], "left").select("plan_id", "doc_id", "source", "tokens", "block", times.cast("int").alias("times"), F.coalesce("one", F.lit(0)).alias("single"))
+        closer = free.where(miss < F.col("left")).groupBy("plan_id", "source").agg(F.min(F.struct(miss.alias("miss"), "doc_id", "copy")).alias("b")).select("plan_id", "source", "b.doc_id", "b.copy")
+        self.edge = cut(drawn.select("plan_id", "source", "doc_id", "copy").unionByName(closer))
+
+    def _tree(self) -> None:
+        """draw: plan_id, source, block, copy, shard. The records of a boundary are one more block (null) of their source."""
+        rng = np.random.default_rng(self.seed)
+        partial = {(r.plan_id, r.source) for r in rows_of(self.edge.select("plan_id", "source").distinct())}
+        rows = []
+        for plan, (ratio, name) in sorted(self.plans.items()):
+            per: dict[str, list] = {}
+            for p, s, b, copy in self.draws:
+                if p == plan:
+                    per.setdefault(s, []).append((b, copy))
+            for p, s in partial:
+                if p == plan:
+                    per.setdefault(s, []).append((None, self.quota[p, s][2]))
+            names = sorted(per)
+            quotas = np.array([len(per[s]) for s in names], dtype=np.int64)
+            shards = max(1, min(math.ceil(ratio * self.total.get(name, 0) / self.shard_tokens), int(quotas.sum())))
+            shares = split_tree(quotas, shards, rng) if names else np.zeros((shards, 0), int)
+            for k, s in enumerate(names):
+                shard_of = np.repeat(np.arange(shards), shares[:, k])
+                rows += [(plan, s, b, copy, int(shard_of[i])) for i, (b, copy) in zip(rng.permutation(len(shard_of)), per[s])]
+        self.draw = self.spark.createDataFrame(rows, "plan_id string, source string, block int, copy int, shard int")
+
+    def _uses(self) -> None:
+        """uses: plan_id, doc_id, source, tokens, block, times: how often the tree drew a record's block, or itself."""
+        plan = self.spark.createDataFrame([(p, n) for p, (_, n) in self.plans.items()], "plan_id string, tokenizer string")
+        drawn = self.draw.where("block is not null").groupBy("plan_id", "source", "block").agg(F.count(F.lit(1)).alias("drawn"))
+        alone = self.draw.where("block is null").join(self.edge, ["plan_id", "source", "copy"]).groupBy("plan_id", "source", "doc_id").agg(F.count(F.lit(1)).alias("alone"))
+        rows = self.blocked.join(plan, "tokenizer").join(drawn, ["plan_id", "source", "block"], "left").join(alone, ["plan_id", "source", "doc_id"], "left")
+        times = F.coalesce("drawn", F.lit(0)) + F.coalesce("alone", F.lit(0))
+        self.uses = rows.select("plan_id", "doc_id", "source", "tokens", "block", times.cast("int").alias("times"))
 
     def counts(self) -> DataFrame:
         """(plan_id, doc_id, source, tokens, times)."""
@@ -185,23 +240,11 @@ class Mixture:
         both = goal.join(got, ["plan_id", "source"], "left").na.fill({"tokens": 0, "records": 0, "most_repeats": 0})
         return both.withColumn("reached_share", F.try_divide("tokens", F.sum("tokens").over(all_of))).withColumn("reached_of_target", F.when(F.col("target_tokens") > 0, F.col("tokens") / F.col("target_tokens")))
 
-    def sequence(self, shards: int = SHARDS) -> DataFrame:
+    def sequence(self) -> DataFrame:
         """(plan_id, shard, position_key, doc_id, source, tokens, copy): the mixture; sort a shard by position_key."""
-        rng = np.random.default_rng(self.seed)
-        rows = []
-        for plan in sorted(self.plans):
-            per = {}
-            for p, s, b, e in self.draws:
-                if p == plan:
-                    per.setdefault(s, []).append((b, e))
-            names = sorted(per)
-            shares = split_tree(np.array([len(per[s]) for s in names], dtype=np.int64), shards, rng) if names else np.zeros((shards, 0), int)
-            for k, s in enumerate(names):
-                shard_of = np.repeat(np.arange(shards), shares[:, k])
-                mixed = rng.permutation(len(shard_of))
-                rows += [(plan, s, int(b), int(e), int(shard_of[i])) for i, (b, e) in zip(mixed, per[s])]
-        draw = self.spark.createDataFrame(rows, "plan_id string, source string, block int, copy int, shard int")
-        whole = self.uses.where("times > 0").join(draw, ["plan_id", "source", "block"]).where(F.col("copy") < F.col("times") - F.col("single"))
-        single = self.uses.where("single = 1").withColumn("copy", F.col("times") - 1).withColumn("shard", F.pmod(F.xxhash64(F.lit(self.seed + 2), "doc_id"), F.lit(shards)).cast("int"))
+        plan = self.spark.createDataFrame([(p, n) for p, (_, n) in self.plans.items()], "plan_id string, tokenizer string")
+        sized = self.blocked.join(plan, "tokenizer")
+        whole = sized.join(self.draw.where("block is not null"), ["plan_id", "source", "block"])
+        ones = self.edge.join(self.draw.where("block is null").drop("block"), ["plan_id", "source", "copy"]).join(sized, ["plan_id", "source", "doc_id"])
         cols = ["plan_id", "shard", F.xxhash64(F.lit(self.seed + 3), "plan_id", "doc_id", "copy").alias("position_key"), "doc_id", "source", "tokens", "copy"]
-        return whole.select(*cols).unionByName(single.select(*cols))
+        return whole.select(*cols).unionByName(ones.select(*cols))

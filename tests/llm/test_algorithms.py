@@ -99,20 +99,23 @@ def test_mixture(spark):
     docs = documents(spark, rows)
     plans = spark.createDataFrame([("p", 0.5, "byte_bpe_50k")], "plan_id string, size_ratio double, tokenizer string")
     targets = spark.createDataFrame([("p", "big", 0.7, 2), ("p", "small", 0.2, 3), ("p", "ghost", 0.1, 1), ("q", "big", 1.0, 1)], "plan_id string, source string, target_share double, max_repeats int")
-    m = mixing.Mixture(docs, plans, targets, blocks=64)
+    m = mixing.Mixture(docs, plans, targets, block_tokens=125, shard_tokens=1000)
+    assert m.blocks > 20
     uses = m.counts().collect()
     assert len(uses) == 408 and {r.doc_id: r.times for r in uses}[2000] == 0
     assert max(r.times for r in uses if r.source == "small") == 3
     shares = {r.source: r for r in m.shares().collect()}
     assert abs(shares["big"].reached_of_target - 1) < 0.01
     assert shares["ghost"].tokens == 0 and shares["small"].tokens == 3 * shares["small"].source_tokens
-    seq = m.sequence(4).collect()
+    seq = m.sequence().collect()
     count = {}
     for r in seq:
         count[r.doc_id] = count.get(r.doc_id, 0) + 1
     assert count == {r.doc_id: r.times for r in uses if r.times}
     assert len({(r.doc_id, r.copy) for r in seq}) == len(seq)
-    assert len({r.shard for r in seq}) == 4
+    assert len({r.shard for r in seq}) == math.ceil(0.5 * m.total["byte_bpe_50k"] / 1000)
+    coarse = {r.source: r for r in mixing.Mixture(docs, plans, targets, block_tokens=10**9).shares().collect()}
+    assert abs(coarse["big"].reached_of_target - 1) < 0.01
 
 
 def test_mixture_of_nothing(spark):
