@@ -3,13 +3,14 @@
 A span of ``min_chars`` code points is found through its *anchor*: the least of the hashes of its ``gram``-long
 windows. Anchors depend on content only, so two records that share a span share its anchor; the anchors of all spans
 of a text are its winnowed fingerprints (about one in 50 positions). ``SpanIndex`` keeps them log-structured: each
-batch becomes an immutable run sorted by hash, older runs are merge-joined with it, and runs of one level are
-compacted into one of the next. A run holds postings (hash, doc) and, reduced, (hash, least doc, greatest doc): the
-latter answers "does another record have it" in one row however many copies there are, so no pairs arise.
+batch becomes an immutable run of postings (hash, doc), bucketed and sorted by hash, older runs are merge-joined with
+it, and runs of one level are merged into one of the next. What a batch meets is reduced to the least and the greatest
+doc of each hash: that answers "does another record have it" in one row however many copies there are, so no pairs
+arise.
 
 Anchors found in two records lead to verification: all ``min_chars`` windows at those anchors are keyed by 128 bits
-and grouped (again least and greatest record, no pairs), consecutive windows merge into passages, and each passage is
-compared code point by code point with a record that holds it.
+and grouped (again least and greatest record, no pairs), consecutive windows merge into passages, and the code points of
+each passage are compared, by their SHA-256, with those of a record that holds it.
 
 Defined results: null texts and those under ``min_chars`` have no spans; rows without id are left out; of rows with
 one id the greatest text counts; a passage repeated within one record only is no case.
@@ -17,6 +18,8 @@ one id the greatest text counts; a passage repeated within one record only is no
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.bpe import one_text
-from inkloom.session import scratch
+from inkloom.session import cut, scratch, stored
 
 MIN_CHARS = 200
 GRAM = 100
@@ -138,18 +141,58 @@ def fingerprints(docs: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM)
 
 
 class SpanIndex:
-    """Immutable sorted runs of fingerprints below ``path`` (a folder all executors share)."""
+    """Immutable sorted runs of fingerprints below ``path`` (a folder all executors share).
+
+    A run is a table of (h, doc_id) in a fixed number of buckets by h, one sorted file each: a run is merge-joined with a
+    new batch and merged with another run bucket by bucket, without an exchange of what is in the index. What runs there
+    are stands in a manifest, a new version of it after each batch, so that an index can be opened again on its folder
+    (with its own number of buckets); a version that was not finished is not seen. Merged runs are deleted once nothing
+    reads them any more."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2, min_chars: int = MIN_CHARS, gram: int = GRAM):
         self.spark, self.path, self.fanout = spark, path or scratch(spark, "spans"), fanout
+        self.name = f"inkloom_{uuid.uuid4().hex[:12]}"
         self.min_chars, self.gram = min_chars, gram
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.made = 0
+        self.made, self.version = 0, 0
+        self.tables: dict[str, str] = {}
+        self._open()
+
+    def _folder(self, where: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _open(self) -> None:
+        files, place = self._folder(f"{self.path}/manifest")
+        if not files.exists(place):
+            return
+        done = [f.getPath().getName() for f in files.listStatus(place) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        if not done:
+            return
+        got = json.loads(self.spark.read.text(f"{self.path}/manifest/{max(done)}").head().value)
+        if (got["min_chars"], got["gram"]) != (self.min_chars, self.gram):
+            raise ValueError(f"the index below {self.path} was made for spans of {got['min_chars']} by grams of {got['gram']}")
+        self.levels, self.made, self.version, self.buckets = got["levels"], got["made"], int(max(done)) + 1, got["buckets"]
+
+    def _note(self) -> None:
+        """Writes the next version of the manifest."""
+        state = {"levels": self.levels, "made": self.made, "buckets": self.buckets, "min_chars": self.min_chars, "gram": self.gram}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{self.version:08d}")
+        self.version += 1
+
+    def table(self, run: str) -> DataFrame:
+        """A run as a table that the planner knows to be bucketed and sorted."""
+        if run not in self.tables:
+            self.tables[run] = f"{self.name}_{run.replace('-', '_')}"
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.tables[run]} (h BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(self.tables[run])
 
     def _write(self, postings: DataFrame, level: int) -> str:
-        run = f"{self.path}/run-{self.made:05d}-level-{level}"
+        run = f"run-{self.made:05d}-level-{level}-{uuid.uuid4().hex[:8]}"
         self.made += 1
-        postings.sortWithinPartitions("h", "doc_id").write.parquet(run)
+        self.tables[run] = f"{self.name}_{run.replace('-', '_')}"
+        postings.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{run}").saveAsTable(self.tables[run])
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -160,35 +203,52 @@ class SpanIndex:
 
     def append(self, batch: DataFrame) -> DataFrame:
         """Adds records (doc_id, text); gives (h, doc_id) of all postings, old and new, whose anchor gained a second record."""
-        fresh = fingerprints(batch, self.min_chars, self.gram).repartition("h").dropDuplicates(["h", "doc_id"])
+        fresh = fingerprints(batch, self.min_chars, self.gram).repartition(self.buckets, "h").dropDuplicates(["h", "doc_id"])
         old = self.runs()
         run = self._write(fresh, 0)
-        found = self.shared(run, old)
-        self.compact()
+        found = cut(self.shared(run, old))
+        merged = self.compact()
+        self._note()
+        for r in merged:
+            self._delete(r)
         return found
 
     def shared(self, run: str, old: list[str]) -> DataFrame:
-        new = self.spark.read.parquet(run)
-        ends = new.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        history = None
-        for path in old:
-            # merge join of the run's reduced keys with the batch's; each side has a hash once
-            keys = self.spark.read.parquet(path).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-            hit = keys.join(ends.select("h").hint("merge"), "h", "left_semi")
-            history = hit if history is None else history.unionByName(hit)
-        both = ends if history is None else ends.unionByName(history)
-        keys = both.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h")
-        postings = new if not old else self.spark.read.parquet(run, *old)
-        return postings.join(keys.hint("merge"), "h", "left_semi")
-
-    def compact(self) -> None:
-        """Merges the runs of a full level into one run of the next; files of merged runs are left to readers in flight."""
+        new = self.table(run)
+        got = new
+        for r in old:
+            # merge join of an old run with the batch, bucket by bucket; each run is read once
+            got = got.unionByName(self.table(r).join(new.select("h").distinct().hint("merge"), "h", "left_semi"))
+        if old:
+            got = stored(got, "met")
+        keys = got.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        return got.join(keys.hint("merge"), "h", "left_semi")
+
+    def compact(self) -> list[str]:
+        """Merges the runs of each full level into one run of the next, bucket by bucket; gives the runs that were merged."""
+        gone: list[str] = []
+        by_part = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(by_part)
         for level in range(64):
             if level >= len(self.levels) or len(self.levels[level]) < self.fanout:
-                return
-            merged = self.spark.read.parquet(*self.levels[level]).repartition("h")
-            self.levels[level] = []
-            self._write(merged, level + 1)
+                break
+            runs = self.levels[level]
+            self.spark.conf.set(by_part, "false")
+            try:
+                merged = self.table(runs[0])
+                for r in runs[1:]:
+                    merged = merged.join(self.table(r).hint("merge"), ["h", "doc_id"], "full_outer")
+                self.levels[level] = []
+                self._write(merged, level + 1)
+            finally:
+                self.spark.conf.set(by_part, before)
+            gone += runs
+        return gone
+
+    def _delete(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run)}")
+        files, place = self._folder(f"{self.path}/{run}")
+        files.delete(place, True)
 
 
 def candidate_windows(docs: DataFrame, shared: DataFrame, min_chars: int, gram: int) -> DataFrame:
@@ -234,26 +294,32 @@ def passages(docs: DataFrame, shared: DataFrame, min_chars: int = MIN_CHARS, gra
         .agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_chars).alias("n_chars"))
         .select("doc_id", "start", "n_chars", "other_id", (F.col("start") + F.col("shift")).alias("other_start"))
     )
-    mine = docs.select("doc_id", "text")
-    theirs = docs.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
-    cut = lambda text, at: F.expr(f"substring({text}, cast({at} + 1 as int), cast(n_chars as int))")
-    return (
-        runs.join(mine, "doc_id").withColumn("own", cut("text", "start")).drop("text")
-        .join(theirs, "other_id").where(F.col("own") == cut("other_text", "other_start"))
-        .select("doc_id", "start", "n_chars", "other_id", "other_start")
-    )
+    # texts are compared by a cryptographic digest of their code points; a place many records share is cut out once
+    cut_out = lambda at: F.sha2(F.expr(f"substring(text, cast({at} + 1 as int), cast(n_chars as int))"), 256)
+    own = runs.join(docs, "doc_id").withColumn("own", cut_out("start")).drop("text")
+    places = own.select(F.col("other_id").alias("doc_id"), "other_start", "n_chars").distinct()
+    theirs = places.join(docs, "doc_id").select(F.col("doc_id").alias("other_id"), "other_start", "n_chars", cut_out("other_start").alias("own"))
+    return own.join(theirs, ["other_id", "other_start", "n_chars", "own"]).select("doc_id", "start", "n_chars", "other_id", "other_start")
+
+
+def by_id(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of every record as a table in buckets by doc_id: joins by it need no further exchange of texts."""
+    spark = documents.sparkSession
+    name, n = f"inkloom_docs_{uuid.uuid4().hex[:12]}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    one = rows.repartition(n, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    one.write.bucketBy(n, "doc_id").sortBy("doc_id").option("path", scratch(spark, "docs")).saveAsTable(name)
+    return spark.table(name)
 
 
 def shared_spans(documents: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages over a whole table, taken up in ``batches`` as a growing corpus would be."""
     spark = documents.sparkSession
-    docs = one_text(documents, id_col, text_col)
+    docs = by_id(documents, id_col, text_col)
     index = SpanIndex(spark, min_chars=min_chars, gram=gram)
     found = None
     for n in range(batches):
-        # taken by id before texts are compared, so that each batch reads only its part
-        part = documents.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == n)
-        got = index.append(one_text(part, id_col, text_col))
+        got = index.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == n))
         found = got if found is None else found.unionByName(got)
     return passages(docs, found.dropDuplicates(["h", "doc_id"]), min_chars, gram)
 

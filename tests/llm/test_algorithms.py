@@ -183,6 +183,14 @@ def test_index_is_incremental(spark):
     assert index.append(a).count() == 0
     assert {r.doc_id for r in index.append(b).collect()} == {1, 3}
     assert len(index.runs()) == 1  # compacted
+    again = spans.SpanIndex(spark, index.path, min_chars=40, gram=20)  # as another session would open it
+    assert again.runs() == index.runs() and again.buckets == index.buckets
+    with pytest.raises(ValueError):
+        spans.SpanIndex(spark, index.path, min_chars=50, gram=20)
+    assert again.append(spark.createDataFrame([(5, "zz" + "abcdefghij" * 5)], "doc_id long, text string")).select("doc_id").distinct().count() == 3
+    met = index.table(index.runs()[0])
+    plan = met.join(met.select("h").distinct().hint("merge"), "h", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
     assert index.append(spark.createDataFrame([(4, "abcdefghij" * 5)], "doc_id long, text string")).select("doc_id").distinct().count() == 3
 
 
