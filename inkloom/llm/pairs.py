@@ -27,6 +27,7 @@ import unicodedata as ud
 from collections import Counter
 from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +53,7 @@ REFUSAL_GRAMMAR = {
     "ro": (r"nu pot|nu am voie|nu este posibil|imposibil|refuz\w*|nu sunt autorizat\w*", r"tradu\w+|acest (?:text|fragment|conținut)|această (?:solicitare|cerere)"),
     "hu": (r"nem tudom|nem tudok|nem lehet\w*|nem áll módomban|visszautasít\w*|megtagad\w*", r"fordít\w*|lefordít\w*|(?:ezt|ennek) a[z]? (?:szöveg\w*|kérés\w*|tartal\w*|részlet\w*)"),
     "fi": (r"en voi|en pysty|en saa|ei ole mahdollista|mahdotonta|kieltäydy\w*", r"kään\w+|tätä (?:tekstiä|sisältöä|kohtaa)|tä(?:hän|män) (?:pyyntö\w*|teksti\w*)"),
-    "tr": (r"\w*(?:emem|amam|emiyorum|amıyorum|emeyeceğim|amayacağım)|mümkün değil|imkansız|reddet\w*|reddediyorum", r"çevir\w*|çeviri\w*|tercüme\w*|bu (?:metn\w*|metin|içeri\w*|isteğ\w*|istek)"),
+    "tr": (r"emem\b|amam\b|emiyorum\b|amıyorum\b|emeyeceğim\b|amayacağım\b|mümkün değil|imkansız|redded|reddet", r"çevir\w*|çeviri\w*|tercüme\w*|bu (?:metn\w*|metin|içeri\w*|isteğ\w*|istek)"),
     "el": (r"δεν μπορώ|δεν μου επιτρέπεται|αδύνατο\w*|αρνούμαι|δεν είναι δυνατ\w+", r"μεταφρ\w+|αυτ\w+ τ\w+ (?:κείμεν\w+|απόσπασμ\w+|περιεχόμεν\w+|αίτημ\w+)"),
     "uk": (r"не можу|неможливо|не маю права|не дозволено|відмовля\w+|відхил\w+", r"перекла\w+|ц\w+ (?:текст\w*|урив\w+|запит\w*|вміст\w*)"),
     "ja": (r"できません|できかねます|お断り|いたしかねます|不可能|対応でき", r"翻訳|訳すこと|この(?:文章|テキスト|依頼|内容|リクエスト)"),
@@ -62,11 +63,25 @@ REFUSAL_GRAMMAR = {
     "ru": (r"не могу|нельзя|невозможно|не имею права|не разрешено|не в состоянии|не удастся|отказ\w+|отклон\w+", r"перев[оеё]\w+|эт\w+ (?:текст\w*|отрыв\w+|запрос\w*|содержим\w+|просьб\w+|материал\w*)|вашу просьбу"),
 }
 
-#: One pattern for any task: most answers need no other.
-TASK = re.compile("|".join(b for _, b in REFUSAL_GRAMMAR.values()))
-#: Languages written without blanks between words have no word boundaries to look for.
-RUN_ON = {"ja", "zh", "ko"}
-REFUSALS = [(re.compile(a), re.compile(b)) if k in RUN_ON else (re.compile(rf"\b(?:{a})(?!\w)"), re.compile(rf"\b(?:{b})")) for k, (a, b) in REFUSAL_GRAMMAR.items()]
+#: Languages whose words are not looked for as whole ones: without blanks between words, or told by their endings.
+RUN_ON = {"ja", "zh", "ko", "tr"}
+REFUSALS = {k: (re.compile(a), re.compile(b)) if k in RUN_ON else (re.compile(rf"\b(?:{a})(?!\w)"), re.compile(rf"\b(?:{b})")) for k, (a, b) in REFUSAL_GRAMMAR.items()}
+
+
+@lru_cache(maxsize=1)
+def stems():
+    """An automaton over the literal beginnings of all phrases of inability, each with the languages that have it: most
+    answers hold none, and need no grammar."""
+    found: dict[str, set[str]] = {}
+    for language, (inability, _) in REFUSAL_GRAMMAR.items():
+        for phrase in inability.split("|"):
+            found.setdefault(re.match(r"[^\\.*+?(\[]+", phrase).group(), set()).add(language)
+    automaton = ahocorasick.Automaton()
+    for stem, languages in found.items():
+        automaton.add_word(stem, tuple(sorted(languages)))
+    automaton.make_automaton()
+    return automaton
+
 
 SENTENCE_END = re.compile(r"(?<=[.?!])\s|(?<=[。？！])")
 
@@ -78,8 +93,11 @@ VOID = {"br", "hr", "img", "wbr"}
 #: Tokens of the pushdown parser; a line of a fence or a list item starts its line.
 TOKEN = re.compile(
     r"(?m)^[ \t]*(?P<fence>```|~~~)|^[ \t]*(?P<item>[-*•]|\d+[.)])(?=[ \t]|$)|(?P<tag><(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)[^<>]*?(?P<void>/?)>)"
-    r"|(?P<hole>\{\{\d+\}\})|(?P<half><[A-Za-z/][^<>]*\Z|\{\{?\d*\Z)|(?P<sign>[()\[\]{}“”«»„‘’‚‹›「」『』（）【】\"])|(?P<text>[^\s<])"
+    r"|(?P<hole>\{\{\d+\}\})|(?P<half><[A-Za-z/][^<>]*\Z|\{\{?\d*\Z)|(?P<sign>[()\[\]{}“”«»„‘’‚‹›「」『』（）【】\"])"
 )
+BARE_ITEM = re.compile(r"(?m)^[ \t]*(?:[-*•]|\d+[.)])\s*\Z")
+#: A text without any of these holds no token.
+STRUCTURE = re.compile(r"[<{}()\[\]“”«»„‘’‚‹›「」『』（）【】\"`~*•]|(?m:^[ \t]*(?:-|\d+[.)])(?=[ \t]|$))")
 HOLE = re.compile(r"\{\{\d+\}\}")
 HOLE_END = re.compile(r"\{\{\d+\}\}\Z")
 ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
@@ -133,18 +151,24 @@ def is_empty(answer: str | None, source: str | None) -> bool:
     return not shows(answer) or bool(source) and readable(source)
 
 
-def is_refusal(answer: str, source: str | None) -> bool:
-    """Some sentence declines the task; the source does not say the same."""
-    t = answer.casefold()
-    if not TASK.search(t):
+def declines(text: str) -> bool:
+    """Whether some sentence of a text declines the task, in one of the grammar's languages."""
+    t = text.casefold().replace("’", "'")
+    languages = {k for _, ks in stems().iter(t) for k in ks}
+    if not languages:
         return False
-    t = RUN.sub(" ", TAG.sub(" ", t)).replace("’", "'")
-    for a, b in REFUSALS:
-        if a.search(t) and any(a.search(s) and b.search(s) for s in SENTENCE_END.split(t)):
-            return source is None or not any(x.search(source.casefold()) and y.search(source.casefold()) for x, y in REFUSALS)
+    t = RUN.sub(" ", TAG.sub(" ", t))
+    for a, b in (REFUSALS[k] for k in sorted(languages)):
+        if b.search(t) and any(a.search(s) and b.search(s) for s in SENTENCE_END.split(t)):
+            return True
     return False
 
 
+def is_refusal(answer: str, source: str | None) -> bool:
+    """Some sentence declines the task; the source does not say the same."""
+    return declines(answer) and not (source and declines(source))
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(ud.normalize("NFKC", ENTITY.sub(" ", HOLE.sub(" ", TAG.sub(" ", text)))).casefold())
 
@@ -252,9 +276,11 @@ def parsed(text: str) -> tuple[int, int, int, int]:
     brackets and quotations.
 
     Within a fence only its end counts. A straight quotation mark opens before a word and closes the one that is open.
-    A list item is open until something stands in it. What ends in the middle of a tag or placeholder is open too."""
+    A list item is open if the text ends before anything stands in it. What ends in the middle of a tag or placeholder is open too."""
     stack: list[str] = []
     items = tags = holes = 0
+    if not STRUCTURE.search(text):
+        return 0, 0, 0, 0
     for m in TOKEN.finditer(text):
         kind = m.lastgroup if m.lastgroup not in ("end", "name", "void") else "tag"
         if kind == "fence":
@@ -268,14 +294,8 @@ def parsed(text: str) -> tuple[int, int, int, int]:
             holes += kind == "hole"
             continue
         if kind == "item":
-            if stack and stack[-1] == "item":
-                stack.pop()
             items += 1
-            stack.append("item")
-            continue
-        if stack and stack[-1] == "item" and kind != "half":
-            stack.pop()
-        if kind == "tag":
+        elif kind == "tag":
             tags += 1
             name = m.group("name").lower()
             if m.group("void") or name in VOID:
@@ -304,7 +324,8 @@ def parsed(text: str) -> tuple[int, int, int, int]:
                     pass
             elif c in OPENERS:
                 stack.append(c)
-    return len(stack), items, tags, holes
+    bare = not any(f in stack for f in ("```", "~~~")) and bool(BARE_ITEM.search(text))
+    return len(stack) + bare, items, tags, holes
 
 
 def open_at_end(text: str) -> int:
@@ -424,12 +445,13 @@ def defect(source: str | None, answer: str | None, target: str | None, label: st
     if not source:
         return None
     settled, other = table.against(answer, target)
+    own = table.language(source)
+    known = own or label
     # an answer in the target language copies nothing, unless the source is in that language as well
-    if not settled and is_copy(source, answer) and (table.language(source) or label or "?") != target:
+    if not settled and is_copy(source, answer) and (known or "?") != target:
         return "copied"
-    if (in_other_script(source, answer, target, label) or other and other != table.language(source)) and has_words(source):
+    if (in_other_script(source, answer, target, label) or other and other != own) and has_words(source):
         return "wrong_language"
-    known = table.language(source) or label
     return "truncated" if is_truncated(source, answer, usual.get((known, target))) else None
 
 
