@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.session import stored
+from inkloom.session import small_side, stored
 
 #: Positions a chunk has at most.
 CHUNK = 16_384
@@ -173,3 +173,9 @@ def batch_counts(rows: DataFrame, grp: Column, pos: Column, size: Column, cap: C
     """(grp, batches): how many batches each group makes, without a row for each of its rows."""
     got = packed_chunks(rows, grp, pos, size, cap, most, strict, chunk)
     return got.groupBy("grp").agg(F.max(F.col("first") + F.col("fresh") + F.size("starts")).alias("batches"))
+
+
+def within_limits(rows: DataFrame, grp: str, size: str, cap: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups in which no row is over its cap, and those of the other groups, which strict packing refuses."""
+    bad = small_side(rows.where(F.col(size) > F.col(cap)).select(grp).distinct())
+    return rows.join(bad, grp, "left_anti"), rows.join(bad, grp, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkloom.functions import json as J
 from inkloom.functions import text as T
 from inkloom.operators import greedy, sequence
-from inkloom.session import table
+from inkloom.session import small_side, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,9 @@ WORDS = r"len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{
 TAG = r"</?[A-Za-z][\w:-]*(?:\s[^>]*)?/?>"
 
 
+SQL_MARK = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '(?i{'m' if p.startswith('(?m)') else ''}){p.removeprefix('(?m)')}')" for p in T.MACHINE_MARKS) + ")"
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -39,37 +42,45 @@ def open_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).where(T.translatable(F.col("text"), F.col("protected")))
 
 
-def packed_sql(rows: str, cap: str, most: str = "NULL") -> str:
-    """Greedy packing as a recursive query over (grp, pos, size, cap, most)."""
-    return f"""WITH RECURSIVE {rows},
-    o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos) AS n FROM items),
-    w AS (
-      SELECT grp, pos, n, size AS total, 1 AS cnt, 0::BIGINT AS batch FROM o WHERE n = 1
+def packed_sql(rows: str, cap: str, most: str = "NULL", n: str = "") -> str:
+    """Greedy packing as a recursive query over items (grp, pos, size, cap, most); ``n`` tells two of them apart."""
+    closes = f"(coalesce(w{n}.total + o{n}.size > {cap}, false) OR coalesce(w{n}.cnt + 1 > {most}, false))"
+    return f"""{rows},
+    o{n} AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos) AS n FROM items{n}),
+    w{n} AS (
+      SELECT grp, pos, n, size AS total, 1 AS cnt, 0::BIGINT AS batch FROM o{n} WHERE n = 1
       UNION ALL
-      SELECT o.grp, o.pos, o.n,
-        CASE WHEN coalesce(w.total + o.size > {cap}, false) OR coalesce(w.cnt + 1 > {most}, false) THEN o.size ELSE w.total + o.size END,
-        CASE WHEN coalesce(w.total + o.size > {cap}, false) OR coalesce(w.cnt + 1 > {most}, false) THEN 1 ELSE w.cnt + 1 END,
-        w.batch + CASE WHEN coalesce(w.total + o.size > {cap}, false) OR coalesce(w.cnt + 1 > {most}, false) THEN 1 ELSE 0 END
-      FROM w JOIN o ON o.grp = w.grp AND o.n = w.n + 1
+      SELECT o{n}.grp, o{n}.pos, o{n}.n,
+        CASE WHEN {closes} THEN o{n}.size ELSE w{n}.total + o{n}.size END,
+        CASE WHEN {closes} THEN 1 ELSE w{n}.cnt + 1 END,
+        w{n}.batch + CASE WHEN {closes} THEN 1 ELSE 0 END
+      FROM w{n} JOIN o{n} ON o{n}.grp = w{n}.grp AND o{n}.n = w{n}.n + 1
     ) """
 
 
-BOOK_ITEMS = f"{B}, items AS (SELECT book_id AS grp, block_id AS pos, {WORDS} AS size FROM b WHERE {OPEN})"
+#: Tokens of a batch, characters and items of a request to a service without a key, characters of a book's sample.
+BATCH_TOKENS, REQUEST_CHARS, REQUEST_ITEMS, SAMPLE_CHAPTERS, SAMPLE_CHARS = 4000, 5000, 8, 10, 20_000
+
+BOOK_ITEMS = f"WITH RECURSIVE {B}, items AS (SELECT book_id AS grp, block_id AS pos, {WORDS} AS size FROM b WHERE {OPEN})"
+
+
+def token_packing(rows: DataFrame) -> tuple:
+    """What packs blocks with their ``tokens`` in order."""
+    return rows, F.col("book_id"), F.col("block_id"), F.col("tokens"), F.lit(BATCH_TOKENS), F.lit(None).cast("long")
 
 
 def token_packed(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("long")
-    return greedy.greedy_batches(open_blocks(spark, d), F.col("book_id"), F.col("block_id"), T.word_count(F.col("text")), F.lit(400), none)
+    return greedy.greedy_batches(*token_packing(sequence.sized_blocks(table(spark, d, "blocks"))))
 
 
-@query(packed_sql(BOOK_ITEMS, "400") + "SELECT grp AS book_id, pos AS block_id, batch FROM w")
+@query(packed_sql(BOOK_ITEMS, str(BATCH_TOKENS)) + "SELECT grp AS book_id, pos AS block_id, batch FROM w")
 def token_batches(spark, d):
-    """Blocks in order into batches of at most 400 tokens; one over the limit rides alone."""
+    """Blocks in order into batches of at most 4000 tokens; one over the limit rides alone."""
     return token_packed(spark, d).select(F.col("grp").alias("book_id"), F.col("pos").alias("block_id"), "batch")
 
 
 @query(
-    packed_sql(BOOK_ITEMS, "400")
+    packed_sql(BOOK_ITEMS, str(BATCH_TOKENS))
     + f""", k AS (SELECT grp, max(batch) + 1 AS batches FROM w GROUP BY grp)
     SELECT b.book_id, count(*) AS blocks, count(DISTINCT chapter_idx) AS chapters, sum(length(text))::BIGINT AS characters,
       sum({WORDS})::BIGINT AS tokens, any_value(k.batches) AS batches
@@ -77,24 +88,57 @@ def token_batches(spark, d):
 )
 def plan_books(spark, d):
     """The pre-flight plan: chapters, blocks, characters, tokens and batches of every book."""
-    sums = open_blocks(spark, d).groupBy("book_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("chapter_idx").alias("chapters"), F.sum(F.length("text")).cast("long").alias("characters"), F.sum(T.word_count(F.col("text"))).cast("long").alias("tokens"))
-    made = token_packed(spark, d).groupBy(F.col("grp").alias("book_id")).agg((F.max("batch") + 1).alias("batches"))
-    return sums.join(made, "book_id")
+    rows = sequence.sized_blocks(table(spark, d, "blocks"), "chapter_idx")
+    sums = rows.groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_distinct("chapter_idx").alias("chapters"),
+        F.sum("chars").cast("long").alias("characters"), F.sum("tokens").cast("long").alias("tokens"),
+    )
+    return sums.join(greedy.batch_counts(*token_packing(rows)).withColumnRenamed("grp", "book_id"), "book_id")
 
 
-RUN_ITEMS = f"""{B}, r AS (SELECT DISTINCT state_key, book_id, provider_id FROM runs),
-    items AS (SELECT r.state_key AS grp, block_id AS pos, length(text) AS size, p.max_batch_chars AS cap, p.max_batch_items AS most
-      FROM r JOIN b USING (book_id) JOIN providers p USING (provider_id) WHERE {OPEN})"""
+RUN_ITEMS = f"""WITH RECURSIVE {B}, r AS (SELECT DISTINCT state_key, book_id, provider_id FROM runs),
+    every AS (SELECT r.state_key AS grp, block_id AS pos, length(text) AS size, p.max_batch_chars AS cap, p.max_batch_items AS most
+      FROM r JOIN b USING (book_id) JOIN providers p USING (provider_id) WHERE {OPEN}),
+    bad AS (SELECT DISTINCT grp FROM every WHERE size > cap), items AS (SELECT * FROM every ANTI JOIN bad USING (grp))"""
 
 
-@query(packed_sql(RUN_ITEMS, "o.cap", "o.most") + "SELECT grp AS state_key, pos AS block_id, batch FROM w")
+@query(
+    packed_sql(RUN_ITEMS, "o.cap", "o.most")
+    + """SELECT grp AS state_key, pos AS block_id, batch, NULL::VARCHAR AS error FROM w
+    UNION ALL SELECT grp, pos, NULL, CASE WHEN size > cap THEN 'over the limit' ELSE 'not sent' END FROM every SEMI JOIN bad USING (grp)"""
+)
 def char_item_batches(spark, d):
-    """In order, by the characters and items a provider takes; null limits are none."""
-    runs = table(spark, d, "runs").select("state_key", "book_id", "provider_id").distinct()
-    p = table(spark, d, "providers").select("provider_id", "max_batch_chars", "max_batch_items")
-    rows = runs.join(p, "provider_id").join(open_blocks(spark, d), "book_id")
-    got = greedy.greedy_batches(rows, F.col("state_key"), F.col("block_id"), F.length("text"), F.col("max_batch_chars"), F.col("max_batch_items"))
-    return got.select(F.col("grp").alias("state_key"), F.col("pos").alias("block_id"), "batch")
+    """In order, by the characters and items a provider takes, null limits being none. A block over the limit is an
+    error for its run, of which no block is sent; strict packing raises it, here it is a column."""
+    p = table(spark, d, "providers").select("provider_id", F.col("max_batch_chars").alias("cap"), F.col("max_batch_items").alias("most"))
+    runs = sequence.runs_of(table(spark, d, "runs").join(F.broadcast(p), "provider_id"), "cap", "most")
+    rows = sequence.sized_blocks(table(spark, d, "blocks")).join(runs, "book_id").select("state_key", "block_id", "chars", "cap", "most")
+    sent, failed = greedy.within_limits(rows, "state_key", "chars", "cap")
+    got = greedy.greedy_batches(sent, F.col("state_key"), F.col("block_id"), F.col("chars"), F.col("cap"), F.col("most"), strict=True)
+    good = got.select(F.col("grp").alias("state_key"), F.col("pos").alias("block_id"), "batch", F.lit(None).cast("string").alias("error"))
+    error = F.when(F.col("chars") > F.col("cap"), "over the limit").otherwise("not sent")
+    return good.unionByName(failed.select("state_key", "block_id", F.lit(None).cast("long").alias("batch"), error.alias("error")))
+
+
+@query(
+    packed_sql(BOOK_ITEMS, str(BATCH_TOKENS))
+    + f""", every AS (SELECT w.grp || '/' || w.batch AS grp, b.block_id AS pos, length(b.text) AS size FROM w JOIN b ON b.book_id = w.grp AND b.block_id = w.pos),
+    bad AS (SELECT DISTINCT grp FROM every WHERE size > {REQUEST_CHARS}), {packed_sql("items2 AS (SELECT * FROM every ANTI JOIN bad USING (grp))", str(REQUEST_CHARS), str(REQUEST_ITEMS), "2")}
+    SELECT split_part(grp, '/', 1) AS book_id, split_part(grp, '/', 2)::BIGINT AS batch, pos AS block_id, batch AS request FROM w2
+    UNION ALL SELECT split_part(grp, '/', 1), split_part(grp, '/', 2)::BIGINT, pos, NULL FROM every SEMI JOIN bad USING (grp)"""
+)
+def request_batches(spark, d):
+    """The second packing, of each batch into requests of at most 5000 characters and 8 items; a batch with a block
+    over that limit fails as a whole (request is null)."""
+    rows = sequence.sized_blocks(table(spark, d, "blocks"))
+    got = greedy.greedy_batches(*token_packing(rows)).select(F.col("grp").alias("book_id"), F.col("pos").alias("block_id"), "batch")
+    both = got.join(rows.select("book_id", "block_id", "chars"), ["book_id", "block_id"])
+    both = both.select("book_id", "batch", "block_id", "chars", F.concat_ws("/", "book_id", F.col("batch").cast("string")).alias("grp"), F.lit(REQUEST_CHARS).alias("cap"))
+    sent, failed = greedy.within_limits(both, "grp", "chars", "cap")
+    cap, most = F.lit(REQUEST_CHARS), F.lit(REQUEST_ITEMS)
+    again = greedy.greedy_batches(sent, F.col("grp"), F.col("block_id"), F.col("chars"), cap, most, strict=True)
+    good = again.select(F.split_part("grp", F.lit("/"), F.lit(1)).alias("book_id"), F.split_part("grp", F.lit("/"), F.lit(2)).cast("long").alias("batch"), F.col("pos").alias("block_id"), F.col("batch").alias("request"))
+    return good.unionByName(failed.select("book_id", "batch", "block_id", F.lit(None).cast("long").alias("request")))
 
 
 @query(f"WITH {B} SELECT book_id, block_id, length(text) AS n_chars, {WORDS}::BIGINT AS tokens FROM b WHERE {OPEN}")
@@ -112,12 +156,12 @@ def global_block_ids(spark, d):
 @query(
     f"""WITH {B}, s AS (SELECT book_id, block_id, text, length(text) AS n,
       coalesce(sum(length(text)) OVER (PARTITION BY book_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM b WHERE chapter_idx < 10 AND {OPEN})
-    SELECT book_id, string_agg(text[1:least(n, 2000 - before)::BIGINT], chr(10) || chr(10) ORDER BY block_id) AS sample FROM s WHERE before < 2000 GROUP BY book_id"""
+      FROM b WHERE chapter_idx < {SAMPLE_CHAPTERS} AND {OPEN})
+    SELECT book_id, string_agg(text[1:least(n, {SAMPLE_CHARS} - before)::BIGINT], chr(10) || chr(10) ORDER BY block_id) AS sample FROM s WHERE before < {SAMPLE_CHARS} GROUP BY book_id"""
 )
 def sample_budget(spark, d):
-    """Text of the first ten chapters up to 2000 characters (Z10, Z11 start from it)."""
-    return sequence.sample_text(blocks(spark, d), 10, 2000)
+    """Text of the first ten chapters up to 20,000 characters (Z10, Z11 start from it)."""
+    return sequence.sample_text(blocks(spark, d), SAMPLE_CHAPTERS, SAMPLE_CHARS)
 
 
 @query(
@@ -146,9 +190,7 @@ def applied_translations(spark, d):
 @query(
     f"""WITH {B}, x AS (SELECT book_id, block_id, CASE block_id % 5 WHEN 0 THEN text || ' [Nota: original]' WHEN 1 THEN '(N. T.) ' || text
       WHEN 2 THEN text || ' TRADUÇÃO automática por X' WHEN 3 THEN 'a' || chr(10) || ' Original: ' || text ELSE text END AS text FROM b)
-    SELECT book_id, block_id, regexp_matches(text, '(?i)\\[[^\\]]*(?:tradu[çc][aã]o|original|nt\\.)[^\\]]*\\]') OR regexp_matches(text, '(?i)\\(\\s*n\\.?\\s*t\\.?\\s*\\)')
-      OR regexp_matches(text, '(?i)nota\\s+(?:do|da)\\s+tradutor') OR regexp_matches(text, '(?i)traduzid[oa]\\s+(?:por|com)\\s+(?:ia|intelig[eê]ncia\\s+artificial)')
-      OR regexp_matches(text, '(?i)tradu[çc][aã]o\\s+(?:automatica|automática|gerada|feita)\\s+(?:por|com|via)') OR regexp_matches(text, '(?im)^\\s*original:') AS marked
+    SELECT book_id, block_id, {SQL_MARK('text')} AS marked
     FROM x WHERE text IS NOT NULL"""
 )
 def machine_marks(spark, d):
@@ -196,7 +238,6 @@ SQL_TAGS = lambda c: f"list_transform(regexp_extract_all({c}, '{TAG}'), lambda x
 SQL_PAIRS = f"{B}, {LATEST}, a AS (SELECT t.state_key, t.block_id, t.batch_id, b.text AS s, t.text AS z FROM t JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id AND b.block_id = t.block_id WHERE b.text IS NOT NULL), c AS (SELECT *, {CLEAN} AS f FROM a)"
 SQL_BLANK_F = "(f IS NULL OR " + BLANK.format("f") + ")"
 SQL_PH = f"{SQL_SEQ('s')} = {SQL_SEQ('f')}"
-SQL_MARK = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '(?i{'m' if p.startswith('(?m)') else ''}){p.removeprefix('(?m)')}')" for p in T.MACHINE_MARKS) + ")"
 SQL_NEW_MARK = f"({SQL_MARK('f')} AND NOT {SQL_MARK('s')})"
 SQL_FMT = f"({SQL_PH} AND {SQL_TAGS('s')} = {SQL_TAGS('f')})"
 
@@ -251,14 +292,20 @@ def state_keys(spark, d):
     return rows.select("state_key", key.alias("compat")).distinct()
 
 
+KEYS_SQL = ORACLE["state_keys"]
+
+
 @query(
-    """WITH s AS (SELECT state_key, count(DISTINCT block_id) AS n FROM translation_state GROUP BY state_key)
-    SELECT DISTINCT r.state_key, coalesce(s.n, 0) AS saved, s.n IS NOT NULL AS resumable FROM runs r LEFT JOIN s USING (state_key)"""
+    f"""WITH k AS ({KEYS_SQL}), s AS (SELECT k.compat, count(DISTINCT t.block_id) AS n FROM translation_state t JOIN k USING (state_key) GROUP BY k.compat)
+    SELECT k.state_key, coalesce(s.n, 0) AS saved, s.n IS NOT NULL AS resumable FROM k LEFT JOIN s USING (compat)"""
 )
 def cache_status(spark, d):
-    """F9, A5."""
-    saved = table(spark, d, "translation_state").groupBy("state_key").agg(F.count_distinct("block_id").alias("n"))
-    return table(spark, d, "runs").select("state_key").distinct().join(saved, "state_key", "left").select("state_key", F.coalesce("n", F.lit(0)).alias("saved"), F.col("n").isNotNull().alias("resumable"))
+    """A run goes on from what was saved under its own key, the hash of all that a state depends on; what was saved
+    under another key counts for nothing."""
+    keys = state_keys(spark, d)
+    saved = table(spark, d, "translation_state").select("state_key", "block_id").join(small_side(keys), "state_key")
+    counts = saved.groupBy("compat").agg(F.count_distinct("block_id").alias("n"))
+    return keys.join(counts, "compat", "left").select("state_key", F.coalesce("n", F.lit(0)).alias("saved"), F.col("n").isNotNull().alias("resumable"))
 
 
 @query(
@@ -283,10 +330,24 @@ def progress_counter(spark, d):
     return sequence.progress(table(spark, d, "usage_log"))
 
 
-@query("SELECT user_id, done, floor(100.0 * us / done / 1e6 + 0.5)::BIGINT AS seconds_left FROM (SELECT user_id, count(*) AS done, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY user_id) WHERE us > 0")
+@query(
+    f"""WITH {B}, n AS (SELECT book_id, count(*) AS total FROM b WHERE {OPEN} GROUP BY book_id),
+    s AS (SELECT state_key, count(DISTINCT block_id) AS done, epoch_us(max(saved_at)) - epoch_us(min(saved_at)) AS us FROM translation_state GROUP BY state_key)
+    SELECT state_key, done, total, CASE WHEN done > 0 AND us > 0 THEN floor(greatest(total - done, 0) * us / done / 1e6 + 0.5)::BIGINT END AS seconds_left
+    FROM (SELECT DISTINCT state_key, book_id FROM runs) JOIN n USING (book_id) JOIN s USING (state_key)"""
+)
 def remaining_time(spark, d):
-    """W9, T2."""
-    return sequence.eta(table(spark, d, "events"))
+    """What is left of each run at the rate of what is done."""
+    return sequence.eta(table(spark, d, "runs"), table(spark, d, "blocks"), table(spark, d, "translation_state"))
+
+
+@query(
+    """SELECT event_id, round(coalesce(greatest(0, 0.25 - (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6), 0), 6)::DOUBLE AS wait FROM (SELECT DISTINCT event_id, user_id, ts FROM events)"""
+)
+def request_pacing(spark, d):
+    """M7: the waits that keep a quarter of a second between the requests of each client."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts").distinct()
+    return sequence.pacing(rows, "user_id", "ts", 0.25).select("event_id", F.round("wait", 6).alias("wait"))
 
 
 @query(f"WITH {B} SELECT book_id, chapter_idx, arg_min(text, block_id) AS title FROM b WHERE kind = 'titulo' AND text IS NOT NULL AND NOT {BLANK.format('text')} GROUP BY book_id, chapter_idx")
@@ -337,10 +398,10 @@ def provider_checks(spark, d):
     return table(spark, d, "providers").select("provider_id", T.cache_key(c("family"), c("provider_id"), c("version"), c("transport_variant")).alias("cache_key"), ok.alias("valid"), (c("reports_token_usage") | c("reports_character_usage")).alias("metered"), F.least(F.lit(6), "max_concurrency").alias("parallel"), n.alias("doubled"), place.alias("place"))
 
 
-@query("SELECT DISTINCT r.provider_id FROM providers r WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.provider_id = r.provider_id AND model IS NULL)")
+@query("SELECT DISTINCT r.provider_id FROM providers r WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.provider_id = r.provider_id)")
 def unused_providers(spark, d):
     """Anti join."""
-    used = table(spark, d, "runs").where("model is null").select("provider_id")
+    used = table(spark, d, "runs").select("provider_id")
     return table(spark, d, "providers").select("provider_id").join(used, "provider_id", "left_anti").distinct()
 
 
@@ -391,14 +452,16 @@ def versions(spark, d):
 
 
 @query(
-    f"""WITH {LATEST} SELECT state_key, sum(length(text))::BIGINT AS characters, count(text) AS texts, count(*) AS blocks, md5(string_agg(block_id || '=' || coalesce(md5(text), ''), ';' ORDER BY block_id)) AS digest FROM t GROUP BY state_key"""
+    f"""WITH {LATEST} SELECT state_key, sum(length(text))::BIGINT AS characters, count(text) AS texts, count(*) AS blocks,
+      sum(('0x' || md5(block_id || '=' || coalesce(text, ''))[1:8])::BIGINT)::BIGINT AS digest FROM t GROUP BY state_key"""
 )
 def flattened_state(spark, d):
-    """The state of each run after all its saves, the last write winning."""
+    """The state of each run after all its saves, the last write winning; the digest is a sum of the hashes of
+    its texts, so that no run is gathered in one row."""
     rows = sequence.latest_state(table(spark, d, "translation_state"))
-    line = F.concat(F.col("block_id").cast("string"), F.lit("="), F.coalesce(F.md5("text"), F.lit("")))
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_id", line.alias("l")))), lambda x: x["l"]), ";")
-    return rows.groupBy("state_key").agg(F.sum(F.length("text")).cast("long").alias("characters"), F.count("text").alias("texts"), F.count(F.lit(1)).alias("blocks"), F.md5(lines).alias("digest"))
+    entry = F.md5(F.concat(F.col("block_id").cast("string"), F.lit("="), F.coalesce("text", F.lit(""))))
+    number = F.conv(F.substring(entry, 1, 8), 16, 10).cast("long")
+    return rows.groupBy("state_key").agg(F.sum(F.length("text")).cast("long").alias("characters"), F.count("text").alias("texts"), F.count(F.lit(1)).alias("blocks"), F.sum(number).alias("digest"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(string_split(tags, ';'), lambda x: list_contains(['ben', 'stol', 'zind'], x)), ';') AS kept, len(string_split(tags, ';')) AS n FROM (SELECT DISTINCT doc_id, tags FROM documents WHERE tags IS NOT NULL)")
@@ -418,11 +481,40 @@ def threads(spark, d):
 
 
 @query(f"WITH {B}, {LATEST}, a AS (SELECT r.state_key, b.block_id, b.text AS s FROM (SELECT DISTINCT state_key, book_id FROM runs) r JOIN b USING (book_id)) SELECT a.state_key, a.block_id, a.s = t.text AS same FROM a JOIN t ON t.state_key = a.state_key AND t.block_id = a.block_id WHERE a.s IS NOT NULL AND t.text IS NOT NULL")
-def positional_zip(spark, d):
-    """Sources and answers side by side by position."""
+def sources_and_answers(spark, d):
+    """Sources and answers side by side by position."""
     return answered(spark, d).where("text is not null").select("state_key", "block_id", (F.col("source") == F.col("text")).alias("same"))
 
 
+@query(
+    f"""WITH {B}, l AS (SELECT book_id, chapter_idx, max(title) AS title, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx) AS pos, count(*) OVER (PARTITION BY book_id) AS n FROM chapters WHERE book_id IS NOT NULL GROUP BY book_id, chapter_idx),
+    r AS (SELECT book_id, chapter_idx, arg_min(text, block_id) AS head, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx) AS pos, count(*) OVER (PARTITION BY book_id) AS n
+      FROM b WHERE kind = 'titulo' AND text IS NOT NULL AND NOT {BLANK.format('text')} GROUP BY book_id, chapter_idx)
+    SELECT book_id, l.pos, title AS label, head AS text, NULL::VARCHAR AS error FROM l JOIN r USING (book_id, pos) WHERE l.n = r.n
+    UNION ALL SELECT DISTINCT book_id, NULL::BIGINT, NULL, NULL, coalesce(l.n, 0) || ' against ' || coalesce(r.n, 0) FROM l FULL JOIN r USING (book_id) WHERE coalesce(l.n, 0) <> coalesce(r.n, 0)"""
+)
+def positional_zip(spark, d):
+    """The labels of a book and its chapters' headings side by side, in order; another number of them is an error."""
+    labels = table(spark, d, "chapters").where("book_id is not null").groupBy("book_id", "chapter_idx").agg(F.max("title").alias("label"))
+    heads = sequence.first_heading(table(spark, d, "blocks")).withColumnRenamed("title", "text")
+    return sequence.zip_strict(labels, heads, "book_id", "chapter_idx")
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT split_part(provider_id, '-', 1) AS wanted FROM runs UNION ALL SELECT DISTINCT provider_id FROM runs UNION ALL SELECT 'nobody')
+    SELECT wanted, count(DISTINCT p.provider_id) AS matches, CASE count(DISTINCT p.provider_id) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS outcome
+    FROM w LEFT JOIN providers p ON p.provider_id = w.wanted OR p.family = w.wanted GROUP BY wanted"""
+)
+def provider_lookup(spark, d):
+    """What a name leads to among ids and families: one translator, none, or several."""
+    used = table(spark, d, "runs").select("provider_id").distinct()
+    names = used.select(F.split_part("provider_id", F.lit("-"), F.lit(1)).alias("wanted")).distinct().unionByName(used.withColumnRenamed("provider_id", "wanted"))
+    wanted = names.unionByName(spark.createDataFrame([("nobody",)], "wanted string"))
+    p = table(spark, d, "providers").select("provider_id", F.explode(F.array_distinct(F.array("provider_id", "family"))).alias("wanted"))
+    n = F.count_distinct("provider_id")
+    return wanted.join(p, "wanted", "left").groupBy("wanted").agg(n.alias("matches"), F.when(n == 0, "unknown").when(n == 1, "found").otherwise("ambiguous").alias("outcome"))
+
+
 @query("SELECT doc_id, sha256(text) AS digest, array_to_string(string_split(tags, ';')[1:3], ';') AS head FROM (SELECT DISTINCT doc_id, text, tags FROM documents WHERE text IS NOT NULL)")
 def content_hashes(spark, d):
     """SHA-256 of contents; the first three of a list."""

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import posixpath
 import struct
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
@@ -27,6 +29,11 @@ XHTML_TYPES = {"application/xhtml+xml", "text/html"}
 NCX_TYPE = "application/x-dtbncx+xml"
 DC = "{http://purl.org/dc/elements/1.1/}"
 OPF = "{http://www.idpf.org/2007/opf}"
+NCX = "{http://www.daisy.org/z3986/2005/ncx/}"
+#: Name, id and title of the appendix.
+GLOSSARY_FILE = "apendice-glossario.xhtml"
+GLOSSARY_ID = "apendice-glossario"
+GLOSSARY_TITLE = "Glossário"
 
 
 class BookError(Exception):
@@ -120,11 +127,7 @@ def read_book(content: bytes) -> dict:
 
 
 def ncx_labels(data: bytes) -> list[str]:
-    out = []
-    for e in xml(data, "ncx").iter():
-        if local(e.tag) == "navLabel":
-            out += [t.text or "" for t in e if local(t.tag) == "text"]
-    return out
+    return [t.text or "" for t in ncx_texts(xml(data, "ncx"))]
 
 
 ENTRY = pa.struct([("pos", pa.int32()), ("name", pa.string()), ("method", pa.int32()), ("flags", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("crc", pa.int64()), ("size", pa.int64())])
@@ -161,7 +164,7 @@ def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
 SEGMENTS = "book_id string, chapter_idx int, path string, pos int, kind string, text string, protected boolean, saved map<int,string>"
 
 
-def segment_chapters(chapters: DataFrame) -> DataFrame:
+def segment_chapters(chapters: DataFrame, policy: markup.Policy = markup.DEFAULT_POLICY) -> DataFrame:
     """(book_id, chapter_idx, path, html) to rows of blocks, numbered within their chapter."""
     ship(chapters.sparkSession)
     schema = pa.schema([("book_id", pa.string()), ("chapter_idx", pa.int32()), ("path", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("protected", pa.bool_()), ("saved", pa.map_(pa.int32(), pa.string()))])
@@ -169,7 +172,7 @@ def segment_chapters(chapters: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for book, idx, path, source in zip(*[batch.column(k).to_pylist() for k in ("book_id", "chapter_idx", "path", "html")]):
-                rows = [b | {"book_id": book, "chapter_idx": idx, "path": path, "saved": list(b["saved"].items())} for b in markup.segment(source or "")]
+                rows = [b | {"book_id": book, "chapter_idx": idx, "path": path, "saved": list(b["saved"].items())} for b in markup.segment(source or "", policy)]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -261,29 +264,127 @@ def updated_package(data: bytes, language: str, title: str | None, stamp: str |
 
 
 def relabelled(source: str, labels: list[str]) -> str:
-    """A navigation document with new link texts, if there are as many of them; else as it was."""
+    """A navigation document with new link texts; another number of links is an error."""
     root = markup.parse(source)
     links = [n for n in root.walk() if n.tag == "a"]
     if len(links) != len(labels):
-        return source
+        raise ValueError(f"{len(links)} links, but {len(labels)} labels")
     for n, label in zip(links, labels):
-        n.children = [label]
+        n.children = [markup.html.escape(label, quote=False)]
     return "".join(markup.outer(c) for c in root.children)
 
 
-def translated(content: bytes, texts: dict[str, dict[int, str]], language: str, title: str | None = None, stamp: str | None = None, labels: list[str] | None = None) -> bytes:
-    """The book with translated blocks (by path and position), metadata and labels."""
+def ncx_texts(root: ET.Element) -> list[ET.Element]:
+    """The elements that hold the labels of an NCX, in document order."""
+    return [t for e in root.iter() if local(e.tag) == "navLabel" for t in e if local(t.tag) == "text"]
+
+
+def ncx_relabelled(data: bytes, labels: list[str]) -> bytes:
+    """An NCX with new labels, targets kept; another number of labels is an error."""
+    ET.register_namespace("", NCX[1:-1])
+    root = xml(data, "ncx")
+    found = ncx_texts(root)
+    if len(found) != len(labels):
+        raise ValueError(f"{len(found)} labels, but {len(labels)} new ones")
+    for e, label in zip(found, labels):
+        e[:] = []
+        e.text = label
+    return ET.tostring(root, "utf-8", xml_declaration=True)
+
+
+def new_contents(z: zipfile.ZipFile, book: dict, labels: list[str]) -> dict[str, bytes]:
+    """Both tables of contents with new labels. The one the book's labels were read from must have as many; the other one
+    is left as it is where it has another number."""
+    out = {}
+    if book["nav_path"]:
+        out[book["nav_path"]] = relabelled(z.read(book["nav_path"]).decode("utf-8", "replace"), labels).encode()
+    if book["ncx_path"]:
+        data = z.read(book["ncx_path"])
+        if not book["nav_path"] or len(ncx_labels(data)) == len(labels):
+            out[book["ncx_path"]] = ncx_relabelled(data, labels)
+    return out
+
+
+def appendix(pairs: list[tuple[str, str]], title: str = GLOSSARY_TITLE) -> bytes:
+    """A chapter that lists terms and their translations."""
+    e = markup.html.escape
+    rows = "".join(f"<dt>{e(a, quote=False)}</dt><dd>{e(b, quote=False)}</dd>" for a, b in pairs)
+    head = f'<head><meta charset="utf-8"/><title>{e(title)}</title></head>'
+    return f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml">{head}<body><h1>{e(title)}</h1><dl>{rows}</dl></body></html>'.encode()
+
+
+def with_chapter(data: bytes, item_id: str, href: str) -> bytes:
+    """The package file with one more chapter at the end; an item of this id that is there already is an error."""
+    root = xml(data, "package")
+    parts = {local(e.tag): e for e in root}
+    if "manifest" not in parts or "spine" not in parts:
+        raise ValueError("no manifest or no spine")
+    if any(e.get("id") == item_id for e in parts["manifest"]):
+        raise ValueError(f"the item {item_id} is there already")
+    ET.SubElement(parts["manifest"], OPF + "item", {"id": item_id, "href": href, "media-type": "application/xhtml+xml"})
+    ET.SubElement(parts["spine"], OPF + "itemref", {"idref": item_id})
+    return ET.tostring(root, "utf-8", xml_declaration=True)
+
+
+def translated(
+    content: bytes,
+    texts: dict[str, list[str | None]],
+    language: str,
+    title: str | None = None,
+    stamp: str | None = None,
+    labels: list[str] | None = None,
+    glossary: list[tuple[str, str]] | None = None,
+) -> bytes:
+    """The book with translated chapters (by path, a text or null for every block), metadata, labels and an appendix of
+    its glossary. Chapters without any new text are copied byte by byte."""
     book = read_book(content)
-    changed = {c["path"]: markup.render(c["html"], texts[c["path"]]).encode() for c in book["chapters"] if texts.get(c["path"])}
+    changed = {c["path"]: markup.render(c["html"], texts[c["path"]]).encode() for c in book["chapters"] if any(t is not None for t in texts.get(c["path"], ()))}
     z = zipfile.ZipFile(io.BytesIO(content))
-    changed[book["opf_path"]] = updated_package(z.read(book["opf_path"]), language, title, stamp)
-    if labels and book["nav_path"]:
-        changed[book["nav_path"]] = relabelled(z.read(book["nav_path"]).decode(), labels).encode()
-    return rewrite(content, changed)
+    package = updated_package(z.read(book["opf_path"]), language, title, stamp)
+    if labels is not None:
+        changed |= new_contents(z, book, labels)
+    added = {}
+    if glossary:
+        package = with_chapter(package, GLOSSARY_ID, GLOSSARY_FILE)
+        added[posixpath.join(posixpath.dirname(book["opf_path"]), GLOSSARY_FILE)] = appendix(glossary)
+    return rewrite(content, changed | {book["opf_path"]: package}, added)
+
+
+def save_archives(files: DataFrame, folder: str, sources: str | None = None) -> DataFrame:
+    """Writes the archives of (path, content) below ``folder``, a file each; gives (path, file, bytes).
+
+    A file is written beside its place and renamed, so that a repeated task leaves a whole file. A file that is not
+    this archive already, or that would be one of ``sources``, the folder of the originals, is never overwritten: that
+    is an error."""
+    ship(files.sparkSession)
+    if sources is not None and os.path.realpath(folder) == os.path.realpath(sources):
+        raise ValueError("the originals would be overwritten")
+    os.makedirs(folder, exist_ok=True)
+
+    def put_file(path: str, content: bytes) -> tuple[str, str, int]:
+        place = os.path.join(folder, os.path.basename(path))
+        if os.path.exists(place):
+            with open(place, "rb") as f:
+                if f.read() != content:
+                    raise FileExistsError(place)
+        else:
+            part = f"{place}.{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(content)
+            os.replace(part, place)
+        return path, place, len(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [put_file(p, c) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["path", "file", "bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, file string, bytes long")
 
 
-def new_archive(title: str, language: str, chapters: list[tuple[str, str]]) -> bytes:
-    """A small valid book from (path below OEBPS, html) pairs."""
+def new_archive(title: str, language: str, chapters: list[tuple[str, str]], ncx: list[str] | None = None) -> bytes:
+    """A small valid book from (path below OEBPS, html) pairs, with an NCX of the given labels beside the navigation."""
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
         stamp = (2020, 1, 1, 0, 0, 0)
@@ -298,6 +399,10 @@ def new_archive(title: str, language: str, chapters: list[tuple[str, str]]) -> b
         items = "".join(f'<item id="c{k}" href="{p}" media-type="application/xhtml+xml"/>' for k, (p, _) in enumerate(chapters))
         refs = "".join(f'<itemref idref="c{k}"/>' for k in range(len(chapters)))
         e = markup.html.escape
+        if ncx is not None:
+            items += f'<item id="ncx" href="toc.ncx" media-type="{NCX_TYPE}"/>'
+            points = "".join(f'<navPoint id="n{k}"><navLabel><text>{e(label, quote=False)}</text></navLabel><content src="{p}"/></navPoint>' for k, (label, (p, _)) in enumerate(zip(ncx, chapters)))
+            add("OEBPS/toc.ncx", f'<?xml version="1.0"?><ncx xmlns="{NCX[1:-1]}" version="2005-1"><navMap>{points}</navMap></ncx>')
         add("OEBPS/content.opf", f'<?xml version="1.0"?><package xmlns="{OPF[1:-1]}" version="3.0"><metadata xmlns:dc="{DC[1:-1]}"><dc:title>{e(title)}</dc:title><dc:language>{e(language)}</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{refs}</spine></package>')
         links = "".join(f'<li><a href="{p}">{k + 1}</a></li>' for k, (p, _) in enumerate(chapters))
         add("OEBPS/nav.xhtml", f"<html><body><nav><ol>{links}</ol></nav></body></html>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 from inkloom.functions.placeholders import protect, restore
@@ -15,7 +15,7 @@ BLOCK_TAGS = {
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "th", "dt", "dd", "figcaption", "caption", "pre",
     "div", "section", "article", "aside", "header", "footer", "figure", "table", "tr", "ul", "ol",
 }
-PROTECTED_TAGS = {"code", "pre", "svg", "math", "script", "style"}
+PROTECTED_TAGS = ("code", "pre", "svg", "math", "script", "style")
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 #: An element of the key is closed by the start of an element of the value, as HTML lets its end tag be left out.
@@ -30,6 +30,11 @@ CLOSED_BY = {
 }
 
 
+#: A policy: tags whose content is protected, each with the attribute values an element must have for that.
+Policy = Mapping[str, Mapping[str, str]]
+DEFAULT_POLICY: Policy = {tag: {} for tag in PROTECTED_TAGS}
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -108,12 +113,18 @@ def plain_text(node: Node) -> str:
     return html.unescape("".join(c if isinstance(c, str) else "" if c.tag == "#comment" else plain_text(c) for c in node.children))
 
 
-def blocks_of(root: Node) -> Iterator[tuple[Node, str, bool]]:
+def guarded(node: Node, policy: Policy) -> bool:
+    """Whether the policy protects an element: its tag is named, and all attribute values asked for are there."""
+    wanted = policy.get(node.tag)
+    return wanted is not None and wanted.items() <= dict(node.attrs).items()
+
+
+def blocks_of(root: Node, policy: Policy = DEFAULT_POLICY) -> Iterator[tuple[Node, str, bool]]:
     """(element, kind, protected) in document order; text outside of any block is passed over."""
     top = next((n for n in root.walk() if n.tag == "body"), root)
 
     def visit(node: Node):
-        if node.tag in PROTECTED_TAGS:
+        if guarded(node, policy):
             yield node, KINDS.get(node.tag, DEFAULT_KIND), True
         elif node.tag in BLOCK_TAGS and not any(n.tag in BLOCK_TAGS for n in node.walk()):
             yield node, KINDS.get(node.tag, DEFAULT_KIND), False
@@ -127,34 +138,37 @@ def blocks_of(root: Node) -> Iterator[tuple[Node, str, bool]]:
             yield from visit(c)
 
 
-def snippets(node: Node) -> list[str]:
-    return [outer(n) for n in node.walk() if n.tag in PROTECTED_TAGS]
+def snippets(node: Node, policy: Policy = DEFAULT_POLICY) -> list[str]:
+    return [outer(n) for n in node.walk() if guarded(n, policy)]
 
 
-def segment(source: str) -> list[dict]:
-    """The blocks of a chapter: pos, kind, protected, text (inner markup, protected parts as placeholders), saved."""
+def segment(source: str, policy: Policy = DEFAULT_POLICY) -> list[dict]:
+    """The blocks of a chapter: pos, kind, protected, text (inner markup; but for protected blocks, their protected parts
+    as placeholders), saved."""
     out = []
-    for pos, (node, kind, kept) in enumerate(blocks_of(parse(source))):
-        text, saved = (plain_text(node), {}) if kept else protect(inner(node), snippets(node))
+    for pos, (node, kind, kept) in enumerate(blocks_of(parse(source), policy)):
+        text, saved = (inner(node), {}) if kept else protect(inner(node), snippets(node, policy))
         out.append({"pos": pos, "kind": kind, "protected": kept, "text": text, "saved": saved})
     return out
 
 
-def chapter_title(blocks: list[dict]) -> str:
-    return next((b["text"].strip() for b in blocks if b["kind"] == "titulo" and b["text"].strip()), "")
+def chapter_title(source: str, policy: Policy = DEFAULT_POLICY) -> str:
+    """Plain text of the first heading that has any."""
+    titles = (plain_text(node).strip() for node, kind, _ in blocks_of(parse(source), policy) if kind == "titulo")
+    return next((t for t in titles if t), "")
 
 
-def render(source: str, texts: dict[int, str | None]) -> str:
-    """The chapter with its blocks' texts replaced; blank texts and protected blocks are left alone."""
+def render(source: str, texts: Sequence[str | None], policy: Policy = DEFAULT_POLICY) -> str:
+    """The chapter with its blocks' texts replaced: one text a block, or an error; where it is null or blank, and in
+    protected blocks, all stays as it is."""
     root = parse(source)
-    found = list(blocks_of(root))
-    if any(pos >= len(found) for pos in texts):
-        raise ValueError(f"{len(found)} blocks, but texts for {sorted(texts)[-1] + 1}")
-    for pos, (node, _, kept) in enumerate(found):
-        new = texts.get(pos)
+    found = list(blocks_of(root, policy))
+    if len(texts) != len(found):
+        raise ValueError(f"{len(found)} blocks, but {len(texts)} texts")
+    for (node, _, kept), new in zip(found, texts):
         if kept or not new or not new.strip():
             continue
-        _, saved = protect(inner(node), snippets(node))
+        _, saved = protect(inner(node), snippets(node, policy))
         node.children = parse(restore(new, saved)).children
     head = re.match(r"\s*(<\?xml[^>]*\?>)?\s*(<!DOCTYPE[^>]*>)?", source, re.I)
     return "\n".join([*(g for g in head.groups() if g), "".join(outer(c) for c in root.children).strip()])
