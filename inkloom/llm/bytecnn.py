@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import re
 import unicodedata as ud
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
@@ -44,6 +44,17 @@ def form(c: str) -> str:
     return c if c in LOOK_ALIKES or ud.decomposition(c)[:1] not in ("", "<") else folded(c)
 
 
+class _Forms(dict):
+    """Code points to plain forms, filled as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = got = form(chr(code))
+        return got
+
+
+FORMS = _Forms()
+
+
 def one_script(m: re.Match) -> str:
     """A word of Latin letters and look-alikes of other scripts in Latin only; a word with a letter that only another
     script has is left as it is."""
@@ -58,34 +69,47 @@ def plain(text: str) -> str:
     """Text without markup and placeholders, with one form of blanks, wide and look-alike letters."""
     text = MARKUP.sub(" ", text)
     if not text.isascii():
-        text = "".join(c if c < "\x80" else form(c) for c in text)
-        text = ud.normalize("NFC", text)
+        text = ud.normalize("NFC", text.translate(FORMS))
         if LATIN.search(text) and OTHER.search(text):
             text = LETTERS.sub(one_script, text)
     return RUNS.sub(" ", text)
 
 
+def letter_class(test: Callable[[str], bool]) -> str:
+    """The letters that pass a test, as the ranges of a character class."""
+    codes = [c for c in range(0x1E944) if test(chr(c)) and chr(c).isalpha()]
+    ranges: list[list[int]] = []
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+UPPER, LOWER = letter_class(lambda c: c.isupper() or c.istitle()), letter_class(str.islower)
+NO_LETTER = r"(?<![^\W\d_])"
+CAPITALISED = re.compile(rf"{NO_LETTER}[{UPPER}][^\W\d_]*")
+CAPITALS = re.compile(rf"{NO_LETTER}[{UPPER}]{{2,}}(?![^\W\d_])")
+SMALL = re.compile(rf"{NO_LETTER}[{LOWER}]")
+SMALL_WORD = re.compile(rf"{NO_LETTER}[{LOWER}][^\W\d_]+")
+CASELESS = re.compile(rf"{NO_LETTER}(?![{UPPER}{LOWER}])[^\W\d_]+")
+
+
 def core(sentence: str) -> str:
     """The sentence in lower case without its capitalised words, as names say nothing about a language; a sentence in
     capitals keeps all of them."""
-    words = LETTERS.findall(sentence)
-    if sum(len(w) > 1 and w.isupper() for w in words) > sum(w[0].islower() for w in words):
+    if len(CAPITALS.findall(sentence)) > len(SMALL.findall(sentence)):
         return sentence.lower()
-    return RUNS.sub(" ", LETTERS.sub(lambda m: m.group() if m.group()[0].islower() or caseless(m.group()) else "", sentence))
-
-
-def caseless(word: str) -> bool:
-    """Whether a word is written in a script without capitals."""
-    return not (word[0].islower() or word[0].isupper() or word[0].istitle())
+    return RUNS.sub(" ", CAPITALISED.sub("", sentence))
 
 
 def worth(sentence: str) -> bool:
     """Whether there are words to tell a language by: beside names (capitalised words) and numbers. Scripts without
     capitals, some of them without blanks between words, are judged by their letters."""
-    words = LETTERS.findall(sentence)
-    if sum(w[0].islower() and len(w) > 1 for w in words) >= 2 or len(words) >= 3 and sum(len(w) > 1 and w.isupper() for w in words) >= 3:
+    if len(SMALL_WORD.findall(sentence)) >= 2 or len(CAPITALS.findall(sentence)) >= 3:
         return True
-    return not sentence.isascii() and sum(len(w) for w in words if caseless(w)) >= 4
+    return not sentence.isascii() and sum(map(len, CASELESS.findall(sentence))) >= 4
 
 
 #: Letters that are exchanged for each other in the sentences of no language.

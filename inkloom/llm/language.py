@@ -78,9 +78,9 @@ def train(labelled: DataFrame, bound: int = TRAIN_BLOCKS) -> net.ByteCnn | None:
     return net.fit(x, y, g, len(net.LANGUAGES)) if x else None
 
 
-def classify(texts: list[str | None], model: net.ByteCnn) -> list[list[tuple[int, int, str, float, np.ndarray]]]:
-    """For every text its sentences with words: (start, end, language, probability, all probabilities), by position in
-    the plain text."""
+def classify(texts: list[str | None], model: net.ByteCnn) -> list[list[tuple[int, int, str, float, np.ndarray, np.ndarray]]]:
+    """For every text its sentences with words: (start, end, language, probability, all probabilities, and the former for
+    each language that the sentence is hardly in), by position in the plain text."""
     found, parts, owner = [[] for _ in texts], [], []
     for i, t in enumerate(texts):
         if t:
@@ -89,9 +89,12 @@ def classify(texts: list[str | None], model: net.ByteCnn) -> list[list[tuple[int
                 if net.worth(p[a:b]):
                     parts.append(p[a:b])
                     owner.append((i, a, b))
-    for (i, a, b), p in zip(owner, model.texts(parts)):
-        k = int(p.argmax())
-        found[i].append((a, b, net.CLASSES[k], float(p[k]), p))
+    probs = model.texts(parts)
+    best = probs.argmax(1)
+    top = probs.max(1)
+    surest = np.where(probs <= np.float32(STILL_MAIN), top[:, None], 0.0)
+    for (i, a, b), k, conf, p, s in zip(owner, best.tolist(), top.tolist(), probs, surest):
+        found[i].append((a, b, net.CLASSES[k], conf, p, s))
     return found
 
 
@@ -103,8 +106,8 @@ def segments_of(sentences: list) -> list[dict]:
     """Neighbouring sentences of one language together; confidence and probabilities are means. ``surest`` has, for each
     language that the book may have, the greatest confidence of a sentence that is hardly in that one (0: none is)."""
     out: list[dict] = []
-    for a, b, lang, conf, p in sentences:
-        surest = np.where(p <= np.float32(STILL_MAIN), conf, 0.0)
+    for a, b, lang, conf, p, *known in sentences:
+        surest = known[0] if known else np.where(p <= np.float32(STILL_MAIN), conf, 0.0)
         if out and out[-1]["language"] == lang:
             s = out[-1]
             s["n"] += 1
@@ -114,7 +117,7 @@ def segments_of(sentences: list) -> list[dict]:
             s["surest"] = np.maximum(s["surest"], surest)
         else:
             out.append({"start": a, "stop": b, "language": lang, "confidence": conf, "probs": p, "surest": surest, "n": 1})
-    return [{k: ([float(q) for q in v] if k in ("probs", "surest") else v) for k, v in s.items() if k != "n"} for s in out]
+    return [{k: (v.tolist() if k in ("probs", "surest") else v) for k, v in s.items() if k != "n"} for s in out]
 
 
 def block_languages(blocks: DataFrame, books: DataFrame, bound: int = TRAIN_BLOCKS) -> DataFrame:
