@@ -183,7 +183,7 @@ class ByteCnn:
         probs /= probs.sum(1, keepdims=True)
         return (probs, z, kept) if keep else probs
 
-    def predict(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+    def predict(self, x: np.ndarray, batch: int = 96) -> np.ndarray:
         """Probabilities of windows. Each distinct one goes through the network once, with others of its length: all
         places beyond the end and the widest filter look alike, so they are left out."""
         if not len(x):
