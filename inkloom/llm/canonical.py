@@ -106,10 +106,15 @@ def hangul(base: Column, mark: Column) -> Column:
 def recompose(cluster: Column, pairs: dict[str, str]) -> Column:
     """A cluster (array of (class, pos, sub, ch), the starter first, marks in order of class) as a string: each mark that
     nothing of its class or a higher one blocks is joined with the starter where a composed character exists."""
-    both = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*map(F.lit, pairs.values())))
+    marks: dict[str, dict[str, str]] = {}
+    for pair, made in pairs.items():
+        marks.setdefault(pair[-1], {})[pair[:-1]] = made
+    table = lambda m: F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*map(F.lit, m.values())))
+    # by mark, then by starter: a search among some sixty, then among that mark's starters
+    by_mark = F.map_from_arrays(F.array(*map(F.lit, marks)), F.array(*map(table, marks.values())))
 
     def step(state: Column, x: Column) -> Column:
-        made = F.coalesce(F.try_element_at(both, F.concat(state["base"], x["ch"])), hangul(state["base"], x["ch"]))
+        made = F.coalesce(F.try_element_at(F.try_element_at(by_mark, x["ch"]), state["base"]), hangul(state["base"], x["ch"]))
         joined = F.when((state["last"] < x["ccc"]) | (state["rest"] == ""), made)
         return F.struct(
             F.coalesce(joined, state["base"]).alias("base"),
@@ -152,18 +157,35 @@ def canonical_blocks(blocks: DataFrame) -> DataFrame:
     return canonical_texts(latest_blocks(blocks, "text"), ["book_id", "block_id"])
 
 
-def look_alike_pairs(blocks: DataFrame) -> DataFrame:
-    """(book_id, block_a, block_b): unprotected, non-blank blocks of a book that look the same and differ as strings.
+def look_alike_forms(blocks: DataFrame) -> DataFrame:
+    """(book_id, block_id, t, c): unprotected, non-blank blocks with another one of their book that looks the same and
+    differs as a string; ``t`` and ``c`` are 128-bit keys of the text and of its consistent form.
 
-    Forms and texts are compared by 128-bit keys. Distinct texts are paired first and expanded to their blocks after,
-    so that exact copies are never paired."""
+    Whether a form has several texts is told by the least and the greatest of them, however many blocks there are."""
     usable = latest_blocks(blocks, "text", "protected").where(~F.coalesce("protected", F.lit(False)) & ~is_blank(F.col("text")))
     key = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
     forms = canonical_texts(usable.withColumn("t", key("text")), ["book_id", "block_id"], carry=("t",))
     forms = cut(forms.where("canonical <> ''").select("book_id", "block_id", "t", key("canonical").alias("c")))
-    texts = forms.groupBy("book_id", "c", "t").agg(F.count(F.lit(1)).alias("n"))
-    mixed = texts.groupBy("book_id", "c").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("book_id", "c")
-    kept = forms.join(mixed, ["book_id", "c"])
+    mixed = forms.groupBy("book_id", "c").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("book_id", "c")
+    return forms.join(mixed, ["book_id", "c"])
+
+
+def look_alike_classes(blocks: DataFrame) -> DataFrame:
+    """(book_id, block_id, representative, variant, blocks, variants): each such block once, with the least block of its
+    class, the least block of exactly its own text, and how many blocks and different texts the class has."""
+    kept = look_alike_forms(blocks)
+    texts = kept.groupBy("book_id", "c", "t").agg(F.min("block_id").alias("variant"), F.count(F.lit(1)).alias("n"))
+    classes = texts.groupBy("book_id", "c").agg(F.min("variant").alias("representative"), F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("variants"))
+    rows = kept.join(texts.drop("n"), ["book_id", "c", "t"]).join(classes, ["book_id", "c"])
+    return rows.select("book_id", "block_id", "representative", "variant", "blocks", "variants")
+
+
+def look_alike_pairs(blocks: DataFrame) -> DataFrame:
+    """(book_id, block_a, block_b): unprotected, non-blank blocks of a book that look the same and differ as strings.
+
+    Distinct texts are paired first and expanded to their blocks after, so that exact copies are never paired. The number
+    of rows is that of the pairs asked for; ``look_alike_classes`` has the same links with a row a block."""
+    kept = look_alike_forms(blocks)
     variants = kept.select("book_id", "c", "t").distinct()
     a, b = variants.withColumnRenamed("t", "ta"), variants.withColumnRenamed("t", "tb")
     pairs = a.join(b, ["book_id", "c"]).where("ta < tb").select("book_id", "ta", "tb")

@@ -63,6 +63,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, sf_dir, "blocks"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.look_alike_classes(table(spark, sf_dir, "blocks"))
+
+
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_blocks(table(spark, sf_dir, "blocks"))
 
@@ -112,7 +116,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_restored, p3_batches, p3_fill, p4_found, p4_books, p4_segments, p5_found, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
+    for f in (p1_found, p2_found, p2_restored, p3_batches, p3_fill, p4_found, p4_books, p4_segments, p5_found, p5_classes, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
 }
 
 #: SQL: all 200-character windows, and those that stand in two documents.

@@ -232,3 +232,5 @@ def test_look_alike_pairs(spark):
     got = {(r.book_id, r.block_a, r.block_b) for r in canonical.look_alike_pairs(df).collect()}
     assert got == {("b", 1, 2), ("b", 1, 3), ("b", 2, 3), ("b", 2, 4), ("b", 3, 4), ("b", 17, 18)}
     assert canonical.look_alike_pairs(df.limit(0)).count() == 0
+    classes = {r.block_id: (r.representative, r.variant, r.blocks, r.variants) for r in canonical.look_alike_classes(df).collect()}
+    assert classes == {1: (1, 1, 4, 3), 2: (1, 2, 4, 3), 3: (1, 3, 4, 3), 4: (1, 1, 4, 3), 17: (17, 17, 2, 2), 18: (17, 18, 2, 2)}
