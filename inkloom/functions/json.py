@@ -1,9 +1,57 @@
-"""Column functions on JSON text: answers of models, saved state."""
+"""Column functions on JSON text: answers of models and services, saved state."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Keys of an answer that may hold its translations, and keys of a translation itself.
+HOLDERS = ("translations", "translation", "data", "results")
+LEAVES = ("translatedText", "translated", "text", "translationText")
+
+
+def answers_in(value: object) -> list[str]:
+    """The translations in a parsed answer, whatever its shape: under the first holder that has any, else the first leaf
+    that is a string; of a list its strings if it has nothing else, else what each object holds and the head of each list
+    (or of a list in it)."""
+    found: list[str] = []
+    if isinstance(value, dict):
+        held = (answers_in(value[k]) for k in HOLDERS if k in value)
+        leaf = (value[k] for k in LEAVES if isinstance(value.get(k), str))
+        return next((h for h in held if h), None) or [*leaf][:1]
+    if not isinstance(value, list):
+        return found
+    if all(isinstance(x, str) for x in value):
+        return value
+    for x in value:
+        if isinstance(x, dict):
+            found += answers_in(x)
+        elif isinstance(x, list) and x:
+            head = x[0][0] if isinstance(x[0], list) and x[0] else x[0]
+            if isinstance(x[0], list) or isinstance(head, str):
+                found.append(str(head))
+    return found
+
+
+def aligned_answers(body: str | None, n: int, markup: bool = False) -> list[str] | None:
+    """The ``n`` translations of an answer; null where it is no JSON, has another number of them or a blank one. An answer
+    of the markup service may be a list whose first element is the list of translations."""
+    try:
+        value = json.loads(body or "")
+    except ValueError:
+        return None
+    direct = markup and isinstance(value, list) and value and isinstance(value[0], list)
+    got = value[0] if direct else answers_in(value)
+    return got if len(got) == n and all(isinstance(x, str) and x.strip() for x in got) else None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def answers_udf(body: pd.Series, n: pd.Series, markup: pd.Series) -> pd.Series:
+    return pd.Series([aligned_answers(b, k, m) for b, k, m in zip(body, n, markup)])
 
 
 def strings_in_chatter(text: Column) -> Column:
@@ -22,9 +70,16 @@ def message_content(body: Column) -> Column:
 
 
 def usage_counts(body: Column) -> Column:
-    """struct<prompt, completion>; what is missing counts as 0."""
+    """struct<prompt, completion>; what is missing or null counts as 0, what is no whole number from 0 on is an error."""
     v = F.try_parse_json(body)
-    get = lambda p: F.coalesce(F.try_variant_get(v, p, "bigint"), F.lit(0))
+
+    def get(path: str) -> Column:
+        raw = F.try_variant_get(v, path, "variant")
+        kind = F.schema_of_variant(raw)
+        number = F.when(kind == "BIGINT", F.try_variant_get(v, path, "bigint"))
+        missing = raw.isNull() | (kind == "VOID")
+        return F.when(missing, F.lit(0).cast("long")).when(number >= 0, number).otherwise(F.raise_error(F.concat(F.lit("no token count: "), F.to_json(raw))).cast("long"))
+
     return F.struct(get("$.usage.prompt_tokens").alias("prompt"), get("$.usage.completion_tokens").alias("completion"))
 
 

@@ -101,10 +101,12 @@ class Tagless(Prefix):
 @dataclass(frozen=True)
 class Degrading:
     """Sends texts with their markup; where an answer comes back unfaithful or is refused, sends them again with tags
-    masked, and all later ones so; where it fails for the time being, masks this batch only."""
+    masked (by ``plain``, if that is another mode), and all later ones so; where it fails for the time being, masks this
+    batch only."""
 
     inner: object
     seen: list = field(default_factory=list, compare=False)
+    plain: object = None
 
     def translate(self, texts: list[str], context: Context) -> list[str]:
         from inkloom.functions.placeholders import mask, unmask
@@ -120,7 +122,10 @@ class Degrading:
             except Transient:
                 pass
         masked = [mask(t) for t in texts]
-        return [unmask(t, kept, gaps) for t, (_, kept, gaps) in zip(self.inner.translate([m[0] for m in masked], context), masked)]
+        answers = (self.plain or self.inner).translate([m[0] for m in masked], context)
+        if len(answers) != len(texts):
+            return answers
+        return [unmask(t, kept, gaps) for t, (_, kept, gaps) in zip(answers, masked)]
 
 
 class Loose(str):

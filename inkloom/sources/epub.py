@@ -183,6 +183,32 @@ def book_chapters(books: DataFrame) -> DataFrame:
     return books.select("book_id", F.explode("chapters").alias("c")).select("book_id", "c.*")
 
 
+def repaired(content: bytes) -> bytes:
+    """A damaged archive built anew from what can be read of it: the mimetype first and stored, each name once (the last
+    one counts, as for readers of archives), entries that cannot be read left out. Raises BookError where that does not
+    give a book, or it is protected."""
+    try:
+        z = zipfile.ZipFile(io.BytesIO(content))
+    except (zipfile.BadZipFile, ValueError) as e:
+        raise BookError("not_epub", str(e)) from None
+    kept: dict[str, tuple[zipfile.ZipInfo, bytes]] = {}
+    for i in z.infolist():
+        try:
+            kept[i.filename] = i, z.read(i)
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError):
+            if i.flag_bits & 1:
+                raise BookError("drm", "encrypted") from None
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as out:
+        head = zipfile.ZipInfo("mimetype", (1980, 1, 1, 0, 0, 0))
+        out.writestr(head, "application/epub+zip", zipfile.ZIP_STORED)
+        for name, (i, data) in kept.items():
+            if name != "mimetype" and not name.endswith("/"):
+                out.writestr(zipfile.ZipInfo(name, i.date_time), data, zipfile.ZIP_DEFLATED)
+    read_book(buf.getvalue())
+    return buf.getvalue()
+
+
 # --- writing -----------------------------------------------------------------------------------------------------
 
 
