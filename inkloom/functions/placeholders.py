@@ -12,7 +12,8 @@ from inkloom.functions.text import TAG
 
 NUL = "\0"
 LITERAL = re.compile(r"\{\{\d+\}\}")
-FREE = re.compile(rf"(?<!{NUL})\{{\{{(\d+)\}}\}}(?!{NUL})")
+#: A fenced literal, or the number of a free placeholder.
+HELD = re.compile(rf"{NUL}\{{\{{\d+\}}\}}{NUL}|\{{\{{(\d+)\}}\}}")
 #: What mask() numbers: tags, and whatever of the text could be read as part of a number's own marks.
 UNIT = re.compile(rf"{TAG}|@(?:\s*@)+")
 MARK = re.compile(r"@\s*@\s*(\d+)\s*@\s*@")
@@ -47,12 +48,14 @@ def restore(template: str, saved: dict[int, str]) -> str:
     """Inverse of protect; a number without a snippet is an error."""
 
     def put(m: re.Match) -> str:
+        if m.group(1) is None:
+            return m.group()
         n = int(m.group(1))
         if n not in saved:
             raise ValueError(f"placeholder {n} has no protected content")
         return saved[n]
 
-    return FREE.sub(put, template).replace(NUL, "")
+    return HELD.sub(put, template).replace(NUL, "")
 
 
 def units(text: str) -> list[str]:

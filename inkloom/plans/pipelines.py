@@ -171,7 +171,7 @@ def interrupted_run(spark, d):
     ship(spark)
     books = table(spark, d, "blocks").where("book_id is not null").select(F.col("book_id").alias("state_key"), "book_id").distinct()
     store, rows = loop.StateStore(spark), table(spark, d, "blocks")
-    marked = rows.withColumn("text", F.when(F.col("block_id") % 97 == 5, F.concat("text", F.lit(samples.REFUSED))).otherwise(F.col("text")))
+    marked = samples.marked(rows, F.col("block_id") % 97 == 5)
     loop.translate_runs(books, marked, samples.Refusing(), store, batch_tokens=BATCH_TOKENS)
     first = store.next_epoch()
     loop.translate_runs(books, rows, run.Prefix(), store, batch_tokens=BATCH_TOKENS)
@@ -190,7 +190,7 @@ def run_events(spark, d):
     rows = table(spark, d, "blocks")
     books = rows.where("book_id is not null").select(F.col("book_id").alias("state_key"), "book_id").distinct()
     store = loop.StateStore(spark)
-    marked = rows.withColumn("text", F.when(F.col("block_id") % 97 == 5, F.concat("text", F.lit(samples.REFUSED))).otherwise(F.col("text")))
+    marked = samples.marked(rows, F.col("block_id") % 97 == 5)
     loop.translate_runs(books, marked, samples.Refusing(), store, batch_tokens=BATCH_TOKENS)
     return store.events().groupBy(F.col("state_key").alias("book_id"), "kind").agg(F.max("done").alias("done"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"))
 

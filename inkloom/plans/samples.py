@@ -8,14 +8,16 @@ import zipfile
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from inkloom.functions import text as T
 from inkloom.operators.run import Context, Definitive, Prefix
 from inkloom.session import ship
 from inkloom.sources import epub
 
 #: What the refusing translator does not take.
-REFUSED = " (refused)"
+REFUSED = "(refused)"
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,12 @@ class Refusing(Prefix):
         return super().translate(texts, context)
 
 
+def marked(blocks: DataFrame, which: Column) -> DataFrame:
+    """Blocks of which some translatable ones are refused; they have as many words as before."""
+    text = F.col("text")
+    return blocks.withColumn("text", F.when(which & T.translatable(text, F.col("protected")), F.concat(text, F.lit(REFUSED))).otherwise(text))
+
+
 @dataclass(frozen=True)
 class Lexicon(Prefix):
     """Answers to the passes before a run: two entries of a glossary, a style."""
@@ -58,7 +66,7 @@ def rebuilt(content: bytes, change: dict[str, bytes | None], last: str | None =
 
 def damage(content: bytes, case: int) -> bytes:
     package = zipfile.ZipFile(io.BytesIO(content)).read("OEBPS/content.opf")
-    chapter = next(n for n in zipfile.ZipFile(io.BytesIO(content)).namelist() if "/text/" in n)
+    chapter = next(n for n in zipfile.ZipFile(io.BytesIO(content)).namelist() if n.endswith(".xhtml") and "nav" not in n)
     again = package.replace(b"</spine>", b'<itemref idref="c0"/></spine>')
     unknown = package.replace(b"</spine>", b'<itemref idref="nobody"/></spine>')
     return {
