@@ -77,8 +77,8 @@ ROUNDS = 4
 CLEANINGS = 2
 #: A word's gain counts up to this, and by so much of what is beyond: no single word is certain.
 MOST_GAIN, BEYOND = 14.0, 0.02
-#: And a record's gain up to this, so that its exponential stays a number.
-MOST_TOTAL = 60.0
+#: In a record that is garbled by a chain, words are undone from this gain on.
+REPAIR_GAIN = -2.0
 
 MULTIBYTE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 AROUND = " .,;:!?()[]\"'«»“”„’‘…\xa0"
@@ -217,10 +217,11 @@ def readings(token: str) -> tuple[list[tuple[int, str]], bool, bool]:
         if TRACE.search(new):
             lost = lost or true == "utf-8" and bool(TRACE.search(undo(ENDS_IN_VE.sub("", token), wrong, true)))
             continue
+        if not mixed and mixes_scripts(new) or BARE.search(new) and not BARE.search(token):
+            continue
+        got.append((n, new))
         if true == "utf-8" and "+" not in wrong and all(c in token or PLAUSIBLE.match(c) for c in new):
             sequences = True
-        if (mixed or not mixes_scripts(new)) and not (BARE.search(new) and not BARE.search(token)):
-            got.append((n, new))
     return got, lost, sequences
 
 
@@ -440,8 +441,9 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 WEIGHED = "token string, chains array<int>, gains array<double>, news array<string>, lost boolean"
 
 
-def weighed(candidates: DataFrame, model_of, n_words: float) -> DataFrame:
-    """(token, chains, gains, news, lost) of the tokens that some chain makes likelier, or that lost characters.
+def weighed(candidates: DataFrame, model_of, n_words: float, least: float) -> DataFrame:
+    """(token, chains, gains, news, lost) of the tokens that some chain gains more than ``least`` for, or that lost
+    characters.
 
     ``candidates`` carry the counts of their words as arrays ``words`` and ``numbers``."""
 
@@ -485,7 +487,7 @@ def weighed(candidates: DataFrame, model_of, n_words: float) -> DataFrame:
                 if row not in base:
                     base[row] = max(score(row, token), score(row, plain) if plain is not None else -np.inf)
                 gain = score(row, new) - base[row]
-                if gain > WORD_GAIN:
+                if gain > least:
                     found.setdefault(row, []).append((chain, min(gain, MOST_GAIN) + BEYOND * max(0.0, gain - MOST_GAIN), new))
             rows = [(c["token"][r], *map(list, zip(*found[r])), c["lost"][r]) if r in found else (c["token"][r], [], [], [], True) for r in range(batch.num_rows) if r in found or c["lost"][r]]
             if rows:
@@ -508,9 +510,11 @@ def with_numbers(candidates: DataFrame, counts: DataFrame) -> DataFrame:
 def evidence(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, field, key, lost, ev): the records that have evidence or lost characters; ``ev`` has a chain's gain over
     the whole record."""
-    hits = tokens.join(small_side(weights.select("token", "chains", "gains", "lost")), "token")
-    by_chain = hits.select(*KEY, "lost", F.explode_outer(F.arrays_zip("chains", "gains")).alias("z"))
-    sums = by_chain.groupBy(*KEY, F.col("z.chains").alias("chain")).agg(F.least(F.sum("z.gains"), F.lit(MOST_TOTAL)).alias("gain"), F.max("lost").alias("lost"))
+    counts = F.filter(F.arrays_zip("chains", "gains"), lambda z: z["gains"] > WORD_GAIN)
+    strong = weights.select("token", counts.alias("z"), "lost").where("lost or size(z) > 0")
+    hits = tokens.join(small_side(strong), "token")
+    by_chain = hits.select(*KEY, "lost", F.explode_outer("z").alias("z"))
+    sums = by_chain.groupBy(*KEY, F.col("z.chains").alias("chain")).agg(F.sum("z.gains").alias("gain"), F.max("lost").alias("lost"))
     pair = F.when(F.col("chain").isNotNull(), F.struct("chain", "gain"))
     return sums.groupBy(*KEY).agg(F.max("lost").alias("lost"), F.collect_list(pair).alias("ev"))
 
@@ -524,7 +528,9 @@ def posteriors(suspects: DataFrame, sizes: DataFrame) -> DataFrame:
     totals = {r["field"]: r["n"] for r in sizes.groupBy("field").agg(F.sum("n").alias("n")).collect()}
     share = {f: [0.2 / len(CHAINS)] * len(CHAINS) for f in totals}
     local = None
-    now = suspects.join(sizes, ["source", "field"]).withColumn("ev", F.transform("ev", lambda e: F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), F.lit(0.0).alias("p"))))
+    # likelihoods are relative to the greatest one, or to that of being clean, so that no exponential overflows
+    top = F.greatest(F.coalesce(F.array_max(F.transform("ev", lambda e: e["gain"])), F.lit(0.0)), F.lit(0.0))
+    now = suspects.join(sizes, ["source", "field"]).withColumn("top", top).withColumn("ev", F.transform("ev", lambda e: F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), F.lit(0.0).alias("p"))))
     for _ in range(ROUNDS):
         if not share:
             break
@@ -535,9 +541,9 @@ def posteriors(suspects: DataFrame, sizes: DataFrame) -> DataFrame:
             # a record's own part in the count of its source is left out, or it would confirm itself
             own = F.coalesce(F.try_element_at(F.col("own"), e["chain"]), F.lit(0.0))
             prior = (FIELD_WEIGHT * F.get(F.col("prior"), e["chain"]) + F.greatest(F.lit(0.0), own - e["p"])) / (FIELD_WEIGHT + F.col("n") - 1)
-            return F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), (prior * F.exp(e["gain"])).alias("p"))
+            return F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), (prior * F.exp(e["gain"] - F.col("top"))).alias("p"))
 
-        rows = rows.withColumn("prior", prior_of).withColumn("ev", F.transform("ev", odds)).withColumn("all", F.aggregate("ev", F.lit(1.0), lambda s, e: s + e["p"]))
+        rows = rows.withColumn("prior", prior_of).withColumn("ev", F.transform("ev", odds)).withColumn("all", F.aggregate("ev", F.exp(-F.col("top")), lambda s, e: s + e["p"]))
         now = cut(rows.withColumn("ev", F.transform("ev", lambda e: F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), (e["p"] / F.col("all")).alias("p")))).drop("own", "all", "prior"))
         flat = now.select("source", "field", F.explode("ev").alias("e")).groupBy("source", "field", F.col("e.chain").alias("chain")).agg(F.sum("e.p").alias("p"))
         local = flat.groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "p"))).alias("own"))
@@ -573,13 +579,13 @@ def detect(records: DataFrame, repair: bool = True) -> DataFrame:
     needed = cut(candidates.select(F.explode("need").alias("word")).distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
     n_words = float(plain.agg(F.sum("n")).head()[0] or 1)
 
-    def weights_of(tables: list[np.ndarray], numbers: DataFrame, among: DataFrame) -> DataFrame:
+    def weights_of(tables: list[np.ndarray], numbers: DataFrame, among: DataFrame, least: float) -> DataFrame:
         shared = checked_broadcast(spark, tables, sum(t.nbytes for t in tables))
-        got = stored(weighed(with_numbers(among, numbers), shared, n_words), "weights")
+        got = stored(weighed(with_numbers(among, numbers), shared, n_words, least), "weights")
         shared.destroy()
         return got
 
-    weights = weights_of(tables, needed, candidates)
+    weights = weights_of(tables, needed, candidates, WORD_GAIN)
     every = records.select(*KEY, F.explode("tokens").alias("token"))
     sizes = cut(records.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")))
     suspects = cut(evidence(every, weights))
@@ -593,7 +599,7 @@ def detect(records: DataFrame, repair: bool = True) -> DataFrame:
         delta = away.unionByName(moved.select(F.col("new").alias("token"), "n"))
         changed = [np.maximum(t + d, 0) for t, d in zip(tables, summed(delta))]
         numbers = needed.unionByName(word_counts(delta)).groupBy("word").agg(F.sum("n").alias("n"))
-        weights = weights_of(changed, numbers, among)
+        weights = weights_of(changed, numbers, among, REPAIR_GAIN)
         found = cut(posteriors(evidence(theirs, weights), sizes))
     found = found.where("lost or chain is not null")
     names = F.when(F.col("chain").isNotNull(), F.get(F.array(*map(F.lit, NAMES)), F.col("chain")))

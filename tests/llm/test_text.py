@@ -137,6 +137,31 @@ def test_broken_pairs(spark):
     assert {r.defect for r in pairs.broken_pairs(state, runs, blocks.limit(0)).collect()} == {"empty", "refusal"}
 
 
+def test_planted_defects(spark):
+    """Recall and precision by type on sound pairs of a real table that were broken here."""
+    d = "/root/testdata/sf0.01"
+    state, runs, blocks = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("translation_state", "runs", "blocks"))
+    found = {(r.state_key, r.block_id) for r in pairs.broken_pairs(state, runs, blocks).collect()}
+    rows = pairs.pairs(state, runs, blocks).where("length(source) > 60 and length(answer) > 60 and not source like '%{{%' and source like '%.' and label <> target and answer like '%.'").orderBy(F.xxhash64("state_key", "block_id")).limit(400).collect()
+    sound = [r for r in rows if (r.state_key, r.block_id) not in found]
+    whole = {t: [r.answer for r in sound if r.target == t] for t in {r.target for r in sound}}
+    planted = {}
+    for n, r in enumerate(sound[:250]):
+        kind = ("empty", "refusal", "copied", "wrong_language", "truncated")[n % 5]
+        other = next(t for t in sorted(whole) if t not in (r.target, r.label))
+        text = {
+            "empty": ["", " \n", "<p></p>", None][n % 4], "refusal": "I'm sorry, but I can't translate this text.", "copied": r.source,
+            "wrong_language": whole[other][n % len(whole[other])], "truncated": r.answer[: len(r.answer) // 2].rsplit(" ", 1)[0] + ["", "…"][n % 2],
+        }[kind]
+        planted[r.state_key, r.block_id] = (kind, text)
+    new = spark.createDataFrame([(k, b, t) for (k, b), (_, t) in planted.items()], "state_key string, block_id long, text string").withColumn("saved_at", F.lit("2099-01-01").cast("timestamp_ntz"))
+    got = {(r.state_key, r.block_id): r.defect for r in pairs.broken_pairs(state.select("state_key", "block_id", "text", "saved_at").unionByName(new), runs, blocks).collect()}
+    for kind in ("empty", "refusal", "copied", "wrong_language", "truncated"):
+        keys = [k for k, (x, _) in planted.items() if x == kind]
+        assert sum(got.get(k) == kind for k in keys) >= 0.95 * len(keys), (kind, [planted[k] for k in keys if got.get(k) != kind][:4])
+    assert len(got.keys() - planted.keys() - found) <= 0.02 * len(got)
+
+
 # --- encodings
 
 
@@ -205,6 +230,42 @@ def test_references_are_kept(raw, word, new, out):
     assert encoding.opened(raw) == word and encoding.closed(raw, new) == out
 
 
+CHAINS_PLANTED = [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp1251", "cp1252")]
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_planted_garbling(spark, copies):
+    """Recall and precision on clean blocks of a real table that were garbled here, in a corpus of one and of four times
+    its size."""
+    d = "/root/testdata/sf0.01"
+    blocks = spark.read.parquet(f"{d}/blocks.parquet").where("text is not null").dropDuplicates(["book_id", "block_id"]).select("book_id", "block_id", "text")
+    books = spark.read.parquet(f"{d}/books.parquet").select("book_id", "title").limit(0)
+    before = {(r.source, r.key) for r in encoding.detect(encoding.records_of(blocks, books), repair=False).collect()}
+    # clean texts with at least two words beyond ASCII in a language of Latin script
+    rows = [(r.book_id, r.block_id, r.text) for r in blocks.where(r"text rlike '[à-ÿ].* .*[à-ÿ]' and not text rlike '[\u0400-\u04ff]|&'").orderBy(F.xxhash64("book_id", "block_id")).limit(160).collect()]
+    planted = {}
+    for n, (book, block, text) in enumerate(r for r in rows if (r[0], r[1]) not in before):
+        wrong, true = CHAINS_PLANTED[n % len(CHAINS_PLANTED)]
+        try:
+            garbled = text.encode(true).decode(wrong)
+        except UnicodeError:
+            continue
+        if garbled != text:
+            planted[book, block] = (garbled, text)
+    changed = spark.createDataFrame([(b, k, t) for (b, k), (t, _) in planted.items()], "book_id string, block_id long, new string")
+    one = blocks.join(changed, ["book_id", "block_id"], "left").select("book_id", "block_id", F.coalesce("new", "text").alias("text"))
+    many = one.crossJoin(spark.range(copies).withColumnRenamed("id", "copy")).select(F.concat("book_id", F.lit("/"), F.col("copy").cast("string")).alias("book_id"), "block_id", "text")
+    got = {(r.source, r.key): r.restored for r in encoding.detect(encoding.records_of(many, books)).collect()}
+    wanted = {(f"{b}/{c}", k): t for (b, k), (_, t) in planted.items() for c in range(copies)}
+    old = {(f"{b}/{c}", k) for b, k in before for c in range(copies)}
+    hit = got.keys() & wanted.keys()
+    assert len(planted) > 80
+    assert len(hit) >= 0.95 * len(wanted), sorted(wanted.keys() - got.keys())[:9]
+    assert len(got.keys() - wanted.keys() - old) <= 0.05 * len(got)
+    wrong = [(wanted[k], got[k]) for k in hit if got[k] != wanted[k]]
+    assert len(wrong) <= 0.1 * len(hit), wrong[:5]
+
+
 # --- languages
 
 
