@@ -98,6 +98,7 @@ def translate_runs(
     per_wave: int = 1000,
     cancelled: Callable[[], bool] = lambda: False,
     secrets: tuple[str, ...] = (),
+    count: Callable[[Column], Column] = T.word_count,
     **how,
 ) -> Outcome:
     """Translates what is pending, ``per_wave`` batches of each run at a time; texts are saved and events noted after each
@@ -108,7 +109,7 @@ def translate_runs(
     totals = cut(todo.groupBy("state_key").agg(F.count(F.lit(1)).alias("total")))
     if totals.isEmpty():
         return Outcome(0, 0, 0, False)
-    sizes = todo.select("state_key", "block_id", T.word_count(F.col("text")).alias("tokens"))
+    sizes = todo.select("state_key", "block_id", count(F.col("text")).alias("tokens"))
     none = F.lit(None).cast("long")
     packed = greedy.greedy_batches(sizes, F.col("state_key"), F.col("block_id"), F.col("tokens"), F.lit(batch_tokens), none)
     batches = cut(packed.select(F.col("grp").alias("state_key"), F.col("pos").alias("block_id"), "batch"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,12 @@ def book_prefix(rows: DataFrame, value: str, name: str, chunk: int = 4096) -> Da
     return prefix_sum(rows, "book_id", "block_id", value, name, chunk)
 
 
-def sized_blocks(blocks: DataFrame, *more: str) -> DataFrame:
+def sized_blocks(blocks: DataFrame, *more: str, count: Callable[[Column], Column] = T.word_count) -> DataFrame:
     """(book_id, block_id, chars, tokens and ``more``) of the translatable blocks: texts are measured where they are read,
-    so that only numbers go through the exchange. Of rows with one key the greatest counts."""
+    by ``count``, so that only numbers go through the exchange. Of rows with one key the greatest counts."""
     text = F.col("text")
     usable = blocks.where("book_id is not null and block_id is not null").where(T.translatable(text, F.col("protected")))
-    rows = usable.select("book_id", "block_id", *more, F.length(text).cast("long").alias("chars"), T.word_count(text).alias("tokens"))
+    rows = usable.select("book_id", "block_id", *more, F.length(text).cast("long").alias("chars"), count(text).alias("tokens"))
     names = [*more, "chars", "tokens"]
     return rows.groupBy("book_id", "block_id").agg(F.max(F.struct(*names)).alias("r")).select("book_id", "block_id", *[f"r.{c}" for c in names])
 

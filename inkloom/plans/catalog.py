@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import json as J
 from inkloom.functions import text as T
+from inkloom.functions import tokens
 from inkloom.operators import greedy, sequence
 from inkloom.session import small_side, table
 
@@ -141,6 +142,27 @@ def request_batches(spark, d):
     return good.unionByName(failed.select("book_id", "batch", "block_id", F.lit(None).cast("long").alias("request")))
 
 
+@query(packed_sql(BOOK_ITEMS.replace(f"{WORDS} AS size", "length(text) AS size"), "8000") + "SELECT grp AS book_id, pos AS block_id, batch FROM w")
+def counted_batches(spark, d):
+    """Packing by another measure of texts that is passed in: characters."""
+    rows = sequence.sized_blocks(table(spark, d, "blocks"), count=tokens.by_characters)
+    got = greedy.greedy_batches(rows, F.col("book_id"), F.col("block_id"), F.col("tokens"), F.lit(8000), F.lit(None))
+    return got.select(F.col("grp").alias("book_id"), F.col("pos").alias("block_id"), "batch")
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT book_id, state_key, family FROM runs JOIN providers USING (provider_id))
+    SELECT book_id, array_to_string(list_concat(coalesce(list(state_key ORDER BY state_key) FILTER (WHERE family = 'llm'), []), coalesce(list(state_key ORDER BY state_key) FILTER (WHERE family <> 'llm'), [])), ',') AS keys FROM r GROUP BY book_id"""
+)
+def ordered_lists(spark, d):
+    """The ordered lists of two families of runs of a book, one after the other."""
+    p = table(spark, d, "providers").select("provider_id", "family")
+    rows = table(spark, d, "runs").join(F.broadcast(p), "provider_id").select("book_id", "state_key", "family").distinct()
+    part = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("state_key"))))
+    llm = F.col("family") == "llm"
+    return rows.groupBy("book_id").agg(F.array_join(F.concat(part(llm), part(~llm)), ",").alias("keys"))
+
+
 @query(f"WITH {B} SELECT book_id, block_id, length(text) AS n_chars, {WORDS}::BIGINT AS tokens FROM b WHERE {OPEN}")
 def translatable_blocks(spark, d):
     """F1, P1, P2."""

@@ -141,3 +141,14 @@ def test_run_keeps_other_batches(spark):
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     got = run.translate_batches(rows, Picky()).orderBy("block_id").collect()
     assert [(r.text, r.error_class) for r in got] == [("TR: a", None), ("TR: b", None), (None, "definitive")]
+
+
+def test_token_counters(spark):
+    from inkloom.functions import tokens
+
+    rows = spark.createDataFrame([("b", 0, 0, "p", "paragrafo", "the old lamp", False), ("b", 1, 0, "p", "paragrafo", "<|endoftext|>", False)], "book_id string, block_id long, chapter_idx int, path string, kind string, text string, protected boolean")
+    sizes = lambda count: [r.tokens for r in sequence.sized_blocks(rows, count=count).orderBy("block_id").collect()]
+    assert sizes(tokens.by_words) == [3, 1] and sizes(tokens.by_characters) == [12, 13]
+    got = sizes(tokens.by_tokenizer(spark, "/opt/tokenizers/byte_bpe_50k.json"))
+    assert got[0] == 3 and got[1] > 3
+    assert rows.select(tokens.by_tokenizer(spark, "/opt/tokenizers/byte_bpe_50k.json")(F.lit(None).cast("string")).alias("n")).head().n == 0
