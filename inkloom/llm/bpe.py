@@ -13,6 +13,7 @@ without doc_id are left out. Strings that spell special tokens are ordinary text
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -149,7 +150,7 @@ def encode_corpus(
     """(doc_id, ids) for every document."""
     spark = documents.sparkSession
     model = load_model(tokenizer)
-    shared = checked_broadcast(spark, model, Path(tokenizer).stat().st_size)
+    shared = checked_broadcast(spark, model, len(pickle.dumps(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(shared.value, pattern)
@@ -179,7 +180,7 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 def decode_corpus(encoded: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_50k.json") -> DataFrame:
     """(doc_id, text) from (doc_id, ids) by an ordered aggregation; an empty list gives the empty text."""
     model = load_model(tokenizer)
-    shared = checked_broadcast(encoded.sparkSession, model, Path(tokenizer).stat().st_size)
+    shared = checked_broadcast(encoded.sparkSession, model, len(pickle.dumps(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.session import cut, is_blank, latest_blocks
+from inkloom.session import cut, is_blank, latest_blocks, small_side
 
 CHUNK_ITEMS = 4096
 FAN = 8
@@ -168,7 +168,8 @@ def run_items(runs: DataFrame, blocks: DataFrame, providers: DataFrame) -> DataF
     p = p.select("provider_id", F.col("p.max_batch_chars").cast("long").alias("cap"), F.col("p.max_batch_items").cast("long").alias("max_n"))
     usable = blocks.withColumn("chars", F.when(~F.coalesce("protected", F.lit(False)) & ~is_blank(F.col("text")), F.length("text").cast("long")))
     b = latest_blocks(usable, "chars").where("chars is not null")
-    return r.join(p, "provider_id", "left").join(b, "book_id").select(F.col("state_key").alias("grp"), F.col("block_id").cast("string").alias("item"), F.col("chars").alias("size"), "cap", "max_n")
+    # a short table of runs is broadcast, so that no book meets in one task
+    return b.join(small_side(r.join(p, "provider_id", "left")), "book_id").select(F.col("state_key").alias("grp"), F.col("block_id").cast("string").alias("item"), F.col("chars").alias("size"), "cap", "max_n")
 
 
 def plan_batches(runs: DataFrame, blocks: DataFrame, providers: DataFrame, **how) -> DataFrame:
