@@ -124,8 +124,32 @@ WINDOWS = """WITH d AS (SELECT doc_id, max(text) AS text FROM documents WHERE do
 w AS (SELECT doc_id, i, text[i:i + 199] AS s FROM d, unnest(range(1, length(text) - 198)) AS t(i) WHERE length(text) >= 200),
 k AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)), h AS (SELECT doc_id, i FROM w JOIN k USING (s))"""
 
+
+
+def fold_table() -> str:
+    """SQL: a table of the characters beyond ASCII that have another form."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(ch, "".join(c for c, _, _ in parts)) for ch, parts in canonical.tables()[0]]
+    names, values = (", ".join(map(quoted, x)) for x in zip(*[(a, b) for a, b in rows if a != b and a > "~"]))
+    return f"fold AS (SELECT unnest([{names}]) AS k, unnest([{values}]) AS v)"
+
+
+FORMS = rf"""WITH {fold_table()},
+b AS (SELECT book_id, block_id, max(struct_pack(text := text, protected := protected)) AS r FROM blocks WHERE book_id IS NOT NULL AND block_id IS NOT NULL GROUP BY book_id, block_id),
+x AS (SELECT book_id, block_id, r.text AS text, r.protected AS protected FROM b),
+c AS (SELECT book_id, block_id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM x WHERE text IS NOT NULL),
+f AS (SELECT book_id, block_id, trim(nfc_normalize(string_agg(coalesce(v, c), '' ORDER BY i)), ' ') AS form FROM c LEFT JOIN fold ON k = c GROUP BY book_id, block_id),
+u AS (SELECT x.book_id, x.block_id, x.text, f.form FROM x JOIN f USING (book_id, block_id) WHERE NOT coalesce(protected, false) AND form <> ''
+  AND NOT regexp_full_match(text, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]*'))"""
+
 #: What SQL can say of these operators on whole tables; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
+    "p5_canonical": FORMS + " SELECT x.book_id, x.block_id, CASE WHEN x.text = '' THEN '' ELSE f.form END AS canonical FROM x LEFT JOIN f USING (book_id, block_id)",
+    "p5_found": FORMS + " SELECT a.book_id, a.block_id AS block_a, z.block_id AS block_b FROM u a JOIN u z ON a.book_id = z.book_id AND a.form = z.form AND a.block_id < z.block_id AND a.text <> z.text",
+    "p5_classes": FORMS
+    + """, t AS (SELECT book_id, form, text, min(block_id) AS variant, count(*) AS n FROM u GROUP BY ALL),
+    k AS (SELECT book_id, form, min(variant) AS representative, sum(n)::BIGINT AS blocks, count(*) AS variants FROM t GROUP BY ALL HAVING count(*) > 1)
+    SELECT u.book_id, u.block_id, k.representative, t.variant, k.blocks, k.variants FROM u JOIN k USING (book_id, form) JOIN t USING (book_id, form, text)""",
     "p6_round_trip": "SELECT doc_id, coalesce(length(max(text)), 0)::BIGINT AS n_chars, true AS same FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id",
     "p8_found": WINDOWS + " SELECT DISTINCT doc_id FROM h",
     "p8_coverage": WINDOWS
