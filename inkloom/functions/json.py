@@ -78,7 +78,9 @@ def usage_counts(body: Column) -> Column:
         kind = F.schema_of_variant(raw)
         number = F.when(kind == "BIGINT", F.try_variant_get(v, path, "bigint"))
         missing = raw.isNull() | (kind == "VOID")
-        return F.when(missing, F.lit(0).cast("long")).when(number >= 0, number).otherwise(F.raise_error(F.concat(F.lit("no token count: "), F.to_json(raw))).cast("long"))
+        return F.when(missing, F.lit(0).cast("long")).when(number >= 0, number).otherwise(
+            F.raise_error(F.concat(F.lit("no token count: "), F.to_json(raw))).cast("long"),
+        )
 
     return F.struct(get("$.usage.prompt_tokens").alias("prompt"), get("$.usage.completion_tokens").alias("completion"))
 
@@ -98,7 +100,9 @@ def saved_texts(body: Column) -> Column:
     are dropped, anything unreadable is empty."""
     v = F.try_variant_get(F.try_parse_json(body), "$.translations", "map<string,variant>")
     per_path = F.transform(F.map_entries(v), lambda e: F.struct(e["key"].alias("path"), F.try_variant_get(e["value"], "$", "map<string,variant>").alias("texts")))
-    flat = F.flatten(F.transform(per_path, lambda p: F.transform(F.coalesce(F.map_entries(p["texts"]), F.array().cast("array<struct<key:string,value:variant>>")), lambda t: F.struct(p["path"].alias("path"), t["key"].try_cast("bigint").alias("block_id"), F.when(F.schema_of_variant(t["value"]) == "STRING", F.try_variant_get(t["value"], "$", "string")).alias("text")))))
+    flat = F.flatten(
+        F.transform(per_path, lambda p: F.transform(F.coalesce(F.map_entries(p["texts"]), F.array().cast("array<struct<key:string,value:variant>>")), lambda t: F.struct(p["path"].alias("path"), t["key"].try_cast("bigint").alias("block_id"), F.when(F.schema_of_variant(t["value"]) == "STRING", F.try_variant_get(t["value"], "$", "string")).alias("text")))),
+    )
     empty = F.array().cast("array<struct<path:string,block_id:bigint,text:string>>")
     return F.coalesce(F.filter(flat, lambda x: x["block_id"].isNotNull() & x["text"].isNotNull()), empty)
 

@@ -133,7 +133,10 @@ def glossary_lines(text: Column) -> Column:
     def parse(line: Column) -> Column:
         bare = F.trim(F.rtrim(F.regexp_replace(F.trim(line), r'^[",\[\]]+|[",\[\]]+$', "")))
         locate = lambda sep: F.locate(sep, bare)
-        build = lambda sep: F.struct(F.trim(F.substring_index(bare, sep, 1)).alias("term"), F.trim(bare.substr(locate(sep) + len(sep), F.length(bare))).alias("translation"))
+        build = lambda sep: F.struct(
+            F.trim(F.substring_index(bare, sep, 1)).alias("term"),
+            F.trim(bare.substr(locate(sep) + len(sep), F.length(bare))).alias("translation"),
+        )
         return F.when(locate("->") > 0, build("->")).when(locate(":") > 0, build(":"))
 
     return F.filter(F.transform(F.split(text, r"\R"), parse), lambda p: p.isNotNull() & (p["term"] != "") & (p["translation"] != ""))
@@ -161,7 +164,17 @@ def cache_key(*parts: Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
-def state_key(book_hash: Column, source: Column, target: Column, model: Column, policy: Column, glossary: Column, family: Column, provider: Column, variant: Column) -> Column:
+def state_key(
+    book_hash: Column,
+    source: Column,
+    target: Column,
+    model: Column,
+    policy: Column,
+    glossary: Column,
+    family: Column,
+    provider: Column,
+    variant: Column,
+) -> Column:
     """First 16 hex digits of the SHA-256 of the fields that a saved state depends on.
 
     The default model family keeps an older form with fewer fields; others leave model, policy and glossary out."""
@@ -171,7 +184,18 @@ def state_key(book_hash: Column, source: Column, target: Column, model: Column,
     is_llm = c(family) == "llm"
     own = lambda x: F.when(is_llm, c(x)).otherwise(e)
     short = F.concat_ws(NUL, c(book_hash), c(source), c(target), c(model), c(policy), c(glossary))
-    long = F.concat_ws(NUL, c(book_hash), F.when(c(family) == "", "llm").otherwise(family), c(provider), F.when(c(variant) == "", "default").otherwise(variant), c(source), c(target), own(model), own(policy), own(glossary))
+    long = F.concat_ws(
+        NUL,
+        c(book_hash),
+        F.when(c(family) == "", "llm").otherwise(family),
+        c(provider),
+        F.when(c(variant) == "", "default").otherwise(variant),
+        c(source),
+        c(target),
+        own(model),
+        own(policy),
+        own(glossary),
+    )
     return F.substring(F.sha2(F.when(plain, short).otherwise(long), 256), 1, 16)
 
 

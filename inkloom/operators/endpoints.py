@@ -58,7 +58,10 @@ class Chat:
         if self.key_name and not key:
             raise Definitive(f"{self.key_name} is not set")
         system = system_text(context.task, context.source, context.target, context.priming, context.glossary, context.policy)
-        messages = [{"role": "system", "content": system}, {"role": "user", "content": f"{ASK[context.task]}\n{json.dumps(texts, ensure_ascii=False)}"}]
+        messages = [
+            {"role": "system", "content": system},
+            {"role": "user", "content": f"{ASK[context.task]}\n{json.dumps(texts, ensure_ascii=False)}"},
+        ]
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
         text = checked(self.post, self.url, headers, json.dumps({"model": self.model, "messages": messages}, ensure_ascii=False))
         try:

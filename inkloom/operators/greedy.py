@@ -77,7 +77,10 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size, n, k = ([e[j] for e in ends] for j in range(3))
             types = [pa.string(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 4]
             row = (grp, chunk, cap, most, sum(sizes), len(sizes), head, size, n, k)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["grp", "chunk", "cap", "most", "size", "n", "sizes", "end_size", "end_n", "end_batches"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip(row, types)],
+                ["grp", "chunk", "cap", "most", "size", "n", "sizes", "end_size", "end_n", "end_batches"],
+            )
 
 
 def first_close(sizes: np.ndarray, size: int, n: int, cap: int | None, most: int | None) -> int:
@@ -113,13 +116,22 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size, n = c["end_size"][i][at].as_py(), c["end_n"][i][at].as_py()
                 first += c["end_batches"][i][at].as_py()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k == 0 else pa.int64()) for k, x in enumerate(zip(*out))], ["grp", "chunk", "open_size", "open_n", "first"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.string() if k == 0 else pa.int64()) for k, x in enumerate(zip(*out))],
+                ["grp", "chunk", "open_size", "open_n", "first"],
+            )
 
 
 def _starts(items: Column) -> Column:
     """Fold over a chunk's items: the places where a batch starts, the first item's place always; whether the open batch
     closed at once; size and rows of the last batch."""
-    zero = F.struct(F.col("open_size").alias("size"), F.col("open_n").alias("n"), F.lit(0).alias("i"), F.lit(False).alias("fresh"), F.array().cast("array<int>").alias("starts"))
+    zero = F.struct(
+        F.col("open_size").alias("size"),
+        F.col("open_n").alias("n"),
+        F.lit(0).alias("i"),
+        F.lit(False).alias("fresh"),
+        F.array().cast("array<int>").alias("starts"),
+    )
 
     def step(s: Column, x: Column) -> Column:
         over = (s["n"] > 0) & F.coalesce((s["size"] + x["size"] > F.col("cap")) | F.lit(False), F.lit(False))
@@ -136,28 +148,72 @@ def _starts(items: Column) -> Column:
     return F.aggregate(items, zero, step)
 
 
-def packed_chunks(rows: DataFrame, grp: Column, pos: Column, size: Column, cap: Column, most: Column, strict: bool = False, chunk: int = CHUNK) -> DataFrame:
+def packed_chunks(
+    rows: DataFrame,
+    grp: Column,
+    pos: Column,
+    size: Column,
+    cap: Column,
+    most: Column,
+    strict: bool = False,
+    chunk: int = CHUNK,
+) -> DataFrame:
     """(grp, chunk, items array<struct<pos,size>>, first, fresh, starts): every chunk with the places its batches start
     at; its k-th batch has the number first + k, and one more where ``fresh``."""
     cap, most = cap.cast("long"), most.cast("long")
-    given = rows.select(grp.cast("string").alias("grp"), pos.cast("long").alias("pos"), F.coalesce(size.cast("long"), F.lit(0)).cast("long").alias("size"), F.when(cap >= 1, cap).alias("cap"), F.when(most >= 1, most).alias("most")).where("grp is not null and pos is not null")
+    given = rows.select(
+        grp.cast("string").alias("grp"),
+        pos.cast("long").alias("pos"),
+        F.coalesce(size.cast("long"), F.lit(0)).cast("long").alias("size"),
+        F.when(cap >= 1, cap).alias("cap"),
+        F.when(most >= 1, most).alias("most"),
+    ).where("grp is not null and pos is not null")
     if strict:
-        checked = F.when(F.col("size") > F.col("cap"), F.raise_error(F.concat(F.lit("block over the limit: "), "grp", F.lit("/"), F.col("pos").cast("string")))).otherwise(F.col("size"))
+        checked = F.when(
+            F.col("size") > F.col("cap"),
+            F.raise_error(F.concat(F.lit("block over the limit: "), "grp", F.lit("/"), F.col("pos").cast("string"))),
+        ).otherwise(F.col("size"))
         given = given.withColumn("size", checked.cast("long"))
-    chunks = given.groupBy("grp", F.floor(F.col("pos") / chunk).cast("long").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("items"), F.first("cap").alias("cap"), F.first("most").alias("most"))
+    chunks = given.groupBy("grp", F.floor(F.col("pos") / chunk).cast("long").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("items"),
+        F.first("cap").alias("cap"),
+        F.first("most").alias("most"),
+    )
     chunks = stored(chunks, "chunks")
     long = chunks.groupBy("grp").agg(F.count(F.lit(1)).alias("chunks")).where("chunks > 1").select("grp")
     none = F.lit(0).cast("long")
     if long.isEmpty():
         begun = chunks.withColumns({"open_size": none, "open_n": none, "first": none})
     else:
-        tables = chunks.join(long, "grp", "left_semi").select("grp", "chunk", "cap", "most", F.transform("items", lambda x: x["size"]).alias("sizes")).mapInArrow(_summarise, SUMMARY)
+        tables = chunks.join(long, "grp", "left_semi").select(
+            "grp",
+            "chunk",
+            "cap",
+            "most",
+            F.transform("items", lambda x: x["size"]).alias("sizes"),
+        ).mapInArrow(_summarise, SUMMARY)
         states = tables.repartition("grp").sortWithinPartitions("grp", "chunk").mapInArrow(_chain, STATE)
         begun = chunks.join(states, ["grp", "chunk"], "left").na.fill(0, ["open_size", "open_n", "first"])
-    return begun.withColumn("walked", _starts(F.col("items"))).select("grp", "chunk", "items", "first", F.col("walked.fresh").cast("int").alias("fresh"), F.col("walked.starts").alias("starts"))
-
-
-def greedy_batches(rows: DataFrame, grp: Column, pos: Column, size: Column, cap: Column, most: Column, strict: bool = False, chunk: int = CHUNK) -> DataFrame:
+    return begun.withColumn("walked", _starts(F.col("items"))).select(
+        "grp",
+        "chunk",
+        "items",
+        "first",
+        F.col("walked.fresh").cast("int").alias("fresh"),
+        F.col("walked.starts").alias("starts"),
+    )
+
+
+def greedy_batches(
+    rows: DataFrame,
+    grp: Column,
+    pos: Column,
+    size: Column,
+    cap: Column,
+    most: Column,
+    strict: bool = False,
+    chunk: int = CHUNK,
+) -> DataFrame:
     """(grp, pos, batch) of every row; ``pos`` is unique in a group and gives the order, null limits are none.
 
     ``strict`` makes a row over the cap an error instead of a batch of its own. Groups or positions that are null are
@@ -169,7 +225,16 @@ def greedy_batches(rows: DataFrame, grp: Column, pos: Column, size: Column, cap:
     return by_batch.select("grp", (F.col("first") + F.col("k")).alias("batch"), F.explode("part").alias("x")).select("grp", "x.pos", "batch")
 
 
-def batch_counts(rows: DataFrame, grp: Column, pos: Column, size: Column, cap: Column, most: Column, strict: bool = False, chunk: int = CHUNK) -> DataFrame:
+def batch_counts(
+    rows: DataFrame,
+    grp: Column,
+    pos: Column,
+    size: Column,
+    cap: Column,
+    most: Column,
+    strict: bool = False,
+    chunk: int = CHUNK,
+) -> DataFrame:
     """(grp, batches): how many batches each group makes, without a row for each of its rows."""
     got = packed_chunks(rows, grp, pos, size, cap, most, strict, chunk)
     return got.groupBy("grp").agg(F.max(F.col("first") + F.col("fresh") + F.size("starts")).alias("batches"))

@@ -53,7 +53,14 @@ class StateStore:
         """Forgets all that was saved for the keys (state_key) so far; the tables stay as they are."""
         epoch = self.next_epoch()
         null = lambda t: F.lit(None).cast(t)
-        out = keys.select("state_key", null("long").alias("batch"), null("long").alias("block_id"), null("string").alias("text"), F.lit(epoch).cast("long").alias("epoch"), F.lit(True).alias("reset")).distinct()
+        out = keys.select(
+            "state_key",
+            null("long").alias("batch"),
+            null("long").alias("block_id"),
+            null("string").alias("text"),
+            F.lit(epoch).cast("long").alias("epoch"),
+            F.lit(True).alias("reset"),
+        ).distinct()
         out.write.mode("overwrite").parquet(f"{self.path}/texts/epoch-{epoch:09d}")
 
     def texts(self) -> DataFrame:
@@ -115,7 +122,12 @@ def translate_runs(
     batches = cut(packed.select(F.col("grp").alias("state_key"), F.col("pos").alias("block_id"), "batch"))
     waves = (batches.agg(F.max("batch")).head()[0] or 0) // per_wave + 1
     first = store.next_epoch()
-    _note(store, totals.withColumns({"kind": F.lit("started"), "done": F.lit(0).cast("long"), "message": F.lit(None).cast("string")}), first, "started")
+    _note(
+        store,
+        totals.withColumns({"kind": F.lit("started"), "done": F.lit(0).cast("long"), "message": F.lit(None).cast("string")}),
+        first,
+        "started",
+    )
     sent = failed = done = 0
     stopped = False
     for wave in range(waves):
@@ -127,16 +139,35 @@ def translate_runs(
         seen = ends.agg(F.count(F.lit(1)).alias("sent"), F.count("error_class").alias("failed")).head()
         sent, failed, done = sent + seen.sent, failed + seen.failed, wave + 1
         saved = store.texts().where(F.col("epoch") >= first).groupBy("state_key").agg(F.count(F.lit(1)).alias("done"))
-        _note(store, totals.join(saved, "state_key", "left").na.fill(0, ["done"]).withColumns({"kind": F.lit("progress"), "message": F.lit(None).cast("string")}), epoch, f"progress-{epoch:09d}")
+        _note(
+            store,
+            totals.join(saved, "state_key", "left").na.fill(0, ["done"]).withColumns({"kind": F.lit("progress"), "message": F.lit(None).cast("string")}),
+            epoch,
+            f"progress-{epoch:09d}",
+        )
         if seen.failed:
-            message = T.redact(F.concat(F.lit("batch "), F.col("batch").cast("string"), F.lit(": "), "error_class"), F.array(*map(F.lit, secrets)).cast("array<string>"))
-            log = ends.where("error_class is not null").select("state_key", F.lit("log").alias("kind"), F.lit(None).cast("long").alias("done"), F.lit(None).cast("long").alias("total"), message.alias("message"))
+            message = T.redact(
+                F.concat(F.lit("batch "), F.col("batch").cast("string"), F.lit(": "), "error_class"),
+                F.array(*map(F.lit, secrets)).cast("array<string>"),
+            )
+            log = ends.where("error_class is not null").select(
+                "state_key",
+                F.lit("log").alias("kind"),
+                F.lit(None).cast("long").alias("done"),
+                F.lit(None).cast("long").alias("total"),
+                message.alias("message"),
+            )
             _note(store, log, epoch, f"log-{epoch:09d}")
         if wave + 1 < waves and (seen.failed or cancelled()):
             stopped = True
             break
     if not failed and not stopped:
-        _note(store, totals.withColumns({"kind": F.lit("completed"), "done": F.col("total"), "message": F.lit(None).cast("string")}), first + done - 1, f"completed-{first:09d}")
+        _note(
+            store,
+            totals.withColumns({"kind": F.lit("completed"), "done": F.col("total"), "message": F.lit(None).cast("string")}),
+            first + done - 1,
+            f"completed-{first:09d}",
+        )
     return Outcome(done, sent, failed, stopped)
 
 
@@ -154,7 +185,12 @@ def sampled(samples: DataFrame, translator, task: str, context: run.Context = ru
     if task not in getattr(translator, "tasks", ("translate", "glossary", "priming")):
         return samples.select("book_id", F.lit(None).cast("string").alias("answer"))
     asked = run.Context(context.source, context.target, context.glossary, context.priming, task, context.policy)
-    rows = samples.select(F.col("book_id").alias("state_key"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("block_id"), F.col("sample").alias("text"))
+    rows = samples.select(
+        F.col("book_id").alias("state_key"),
+        F.lit(0).cast("long").alias("batch"),
+        F.lit(0).cast("long").alias("block_id"),
+        F.col("sample").alias("text"),
+    )
     got = run.translate_batches(rows, _Free(translator), asked, attempts=1)
     return got.select(F.col("state_key").alias("book_id"), F.col("text").alias("answer"))
 

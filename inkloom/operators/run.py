@@ -249,7 +249,13 @@ def translate_batches(
                     out, error = attempt_batch([x["text"] for x in items], translator, context, attempts, retries, backoff, rng=rng, pace=pace)
                 stopped = stopped or error == "auth"
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(items)), pa.array([batch] * len(items), pa.int64()), pa.array([x["block_id"] for x in items], pa.int64()), pa.array(out, pa.string()), pa.array([error] * len(items), pa.string())],
+                    [
+                        pa.array([key] * len(items)),
+                        pa.array([batch] * len(items), pa.int64()),
+                        pa.array([x["block_id"] for x in items], pa.int64()),
+                        pa.array(out, pa.string()),
+                        pa.array([error] * len(items), pa.string()),
+                    ],
                     ["state_key", "batch", "block_id", "text", "error_class"],
                 )
 

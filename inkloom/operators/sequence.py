@@ -95,7 +95,13 @@ def null_poisoned_sum(column: str) -> Column:
 
 def usage_totals(usage: DataFrame) -> DataFrame:
     one = usage.distinct()
-    sums = one.groupBy("state_key").agg(null_poisoned_sum("prompt_tokens").alias("prompt_tokens"), null_poisoned_sum("completion_tokens").alias("completion_tokens"), F.coalesce(F.sum("characters"), F.lit(0)).alias("characters"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.count(F.lit(1)).alias("batches"))
+    sums = one.groupBy("state_key").agg(
+        null_poisoned_sum("prompt_tokens").alias("prompt_tokens"),
+        null_poisoned_sum("completion_tokens").alias("completion_tokens"),
+        F.coalesce(F.sum("characters"), F.lit(0)).alias("characters"),
+        F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"),
+        F.count(F.lit(1)).alias("batches"),
+    )
     return sums.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 
 
@@ -153,6 +159,9 @@ def zip_strict(left: DataFrame, right: DataFrame, key: str, order: str) -> DataF
     a, b = numbered(left, "_a"), numbered(right, "_b")
     rest = [c for c in (*left.columns, *right.columns) if c not in (key, order)]
     counts = a.groupBy(key).agg(F.max("_a").alias("_a")).join(b.groupBy(key).agg(F.max("_b").alias("_b")), key, "full")
-    wrong = counts.na.fill(0, ["_a", "_b"]).where("_a <> _b").select(key, F.concat(F.col("_a").cast("string"), F.lit(" against "), F.col("_b").cast("string")).alias("error"))
+    wrong = counts.na.fill(0, ["_a", "_b"]).where("_a <> _b").select(
+        key,
+        F.concat(F.col("_a").cast("string"), F.lit(" against "), F.col("_b").cast("string")).alias("error"),
+    )
     good = a.join(b, [key, "pos"]).where("_a = _b").select(key, "pos", *rest).withColumn("error", F.lit(None).cast("string"))
     return good.unionByName(wrong, allowMissingColumns=True)

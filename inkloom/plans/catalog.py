@@ -15,14 +15,19 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 #: SQL: blocks without repeats, and what is translatable.
-B = "b AS (SELECT DISTINCT book_id, chapter_idx, path, block_id, kind, text, protected FROM blocks WHERE book_id IS NOT NULL AND block_id IS NOT NULL)"
+B = (
+    "b AS (SELECT DISTINCT book_id, chapter_idx, path, block_id, kind, text, protected FROM blocks WHERE book_id IS NOT NULL"
+    " AND block_id IS NOT NULL)"
+)
 BLANK = r"regexp_full_match({0}, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]*')".replace("{85}", "{{85}}").replace(r"\p{Z}", r"\p{{Z}}")
 OPEN = "NOT coalesce(protected, false) AND text IS NOT NULL AND NOT " + BLANK.format("text")
 WORDS = r"len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> ''))"
 TAG = r"</?[A-Za-z][\w:-]*(?:\s[^>]*)?/?>"
 
 
-SQL_MARK = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '(?i{'m' if p.startswith('(?m)') else ''}){p.removeprefix('(?m)')}')" for p in T.MACHINE_MARKS) + ")"
+SQL_MARK = lambda c: "(" + " OR ".join(
+    f"regexp_matches({c}, '(?i{'m' if p.startswith('(?m)') else ''}){p.removeprefix('(?m)')}')" for p in T.MACHINE_MARKS
+) + ")"
 
 
 def query(sql: str | None = None):
@@ -134,11 +139,23 @@ def request_batches(spark, d):
     rows = sequence.sized_blocks(table(spark, d, "blocks"))
     got = greedy.greedy_batches(*token_packing(rows)).select(F.col("grp").alias("book_id"), F.col("pos").alias("block_id"), "batch")
     both = got.join(rows.select("book_id", "block_id", "chars"), ["book_id", "block_id"])
-    both = both.select("book_id", "batch", "block_id", "chars", F.concat_ws("/", "book_id", F.col("batch").cast("string")).alias("grp"), F.lit(REQUEST_CHARS).alias("cap"))
+    both = both.select(
+        "book_id",
+        "batch",
+        "block_id",
+        "chars",
+        F.concat_ws("/", "book_id", F.col("batch").cast("string")).alias("grp"),
+        F.lit(REQUEST_CHARS).alias("cap"),
+    )
     sent, failed = greedy.within_limits(both, "grp", "chars", "cap")
     cap, most = F.lit(REQUEST_CHARS), F.lit(REQUEST_ITEMS)
     again = greedy.greedy_batches(sent, F.col("grp"), F.col("block_id"), F.col("chars"), cap, most, strict=True)
-    good = again.select(F.split_part("grp", F.lit("/"), F.lit(1)).alias("book_id"), F.split_part("grp", F.lit("/"), F.lit(2)).cast("long").alias("batch"), F.col("pos").alias("block_id"), F.col("batch").alias("request"))
+    good = again.select(
+        F.split_part("grp", F.lit("/"), F.lit(1)).alias("book_id"),
+        F.split_part("grp", F.lit("/"), F.lit(2)).cast("long").alias("batch"),
+        F.col("pos").alias("block_id"),
+        F.col("batch").alias("request"),
+    )
     return good.unionByName(failed.select("book_id", "batch", "block_id", F.lit(None).cast("long").alias("request")))
 
 
@@ -166,7 +183,12 @@ def ordered_lists(spark, d):
 @query(f"WITH {B} SELECT book_id, block_id, length(text) AS n_chars, {WORDS}::BIGINT AS tokens FROM b WHERE {OPEN}")
 def translatable_blocks(spark, d):
     """F1, P1, P2."""
-    return open_blocks(spark, d).select("book_id", "block_id", F.length("text").cast("long").alias("n_chars"), T.word_count(F.col("text")).alias("tokens"))
+    return open_blocks(spark, d).select(
+        "book_id",
+        "block_id",
+        F.length("text").cast("long").alias("n_chars"),
+        T.word_count(F.col("text")).alias("tokens"),
+    )
 
 
 @query(f"WITH {B} SELECT book_id, block_id, row_number() OVER (PARTITION BY book_id ORDER BY block_id) - 1 AS global_id FROM b")
@@ -196,7 +218,10 @@ def pending_blocks(spark, d):
     return sequence.pending(table(spark, d, "runs"), table(spark, d, "blocks"), table(spark, d, "translation_state"))
 
 
-LATEST = "t AS (SELECT state_key, block_id, text, batch_id FROM (SELECT *, row_number() OVER (PARTITION BY state_key, block_id ORDER BY saved_at DESC, text DESC NULLS LAST, batch_id DESC) AS n FROM translation_state) WHERE n = 1)"
+LATEST = (
+    "t AS (SELECT state_key, block_id, text, batch_id FROM (SELECT *, row_number() OVER (PARTITION BY state_key, block_id"
+    " ORDER BY saved_at DESC, text DESC NULLS LAST, batch_id DESC) AS n FROM translation_state) WHERE n = 1)"
+)
 
 
 @query(
@@ -225,57 +250,95 @@ def machine_marks(spark, d):
 TIDY = r"regexp_replace(regexp_replace(regexp_replace(x, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), ' +/>', '/>', 'g'), ' +>', '>', 'g')"
 
 
-@query(f"WITH {B} SELECT book_id, block_id, array_to_string(list_transform(regexp_extract_all(text, '{TAG}'), lambda x: {TIDY}), '|') AS tags FROM b WHERE text IS NOT NULL")
+@query(
+    f"WITH {B} SELECT book_id, block_id, array_to_string(list_transform(regexp_extract_all(text, '{TAG}'), lambda x: {TIDY}),"
+    f" '|') AS tags FROM b WHERE text IS NOT NULL",
+)
 def markup_tags(spark, d):
     """The sequence of inline tags."""
     return blocks(spark, d).where("text is not null").select("book_id", "block_id", F.array_join(T.markup_sequence(F.col("text")), "|").alias("tags"))
 
 
-@query(rf"WITH {B} SELECT book_id, block_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{TAG}', '', 'g'), '@@\d+@@', '', 'g'), ' +', ' ', 'g'), '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g') AS plain FROM b WHERE text IS NOT NULL")
+@query(
+    rf"WITH {B} SELECT book_id, block_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{TAG}', '', 'g'),"
+    rf" '@@\d+@@', '', 'g'), ' +', ' ', 'g'), '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '',"
+    rf" 'g') AS plain FROM b WHERE text IS NOT NULL",
+)
 def stripped_markup(spark, d):
     """X8."""
     return blocks(spark, d).where("text is not null").select("book_id", "block_id", T.strip_markup(F.col("text")).alias("plain"))
 
 
-CLEAN = r"regexp_replace(regexp_replace(z, '\{\{[\s\p{Z}]*(\d+)[\s\p{Z}]*\}\}', '{{\1}}', 'g'), '@[\s\p{Z}]*@[\s\p{Z}]*(\d+)[\s\p{Z}]*@[\s\p{Z}]*@', '@@\1@@', 'g')"
+CLEAN = (
+    r"regexp_replace(regexp_replace(z, '\{\{[\s\p{Z}]*(\d+)[\s\p{Z}]*\}\}', '{{\1}}', 'g'),"
+    r" '@[\s\p{Z}]*@[\s\p{Z}]*(\d+)[\s\p{Z}]*@[\s\p{Z}]*@', '@@\1@@', 'g')"
+)
 
 
-@query(f"WITH {B}, x AS (SELECT book_id, block_id, replace(replace(text, '{{{{', '{{{{ '), '}}}}', ' }}}}') || ' @ @ 7 @ @' AS z FROM b WHERE text IS NOT NULL) SELECT book_id, block_id, {CLEAN} AS cleaned, array_to_string(regexp_extract_all({CLEAN}, '\\{{\\{{(\\d+)\\}}\\}}', 1), ',') AS numbers FROM x")
+@query(
+    f"WITH {B}, x AS (SELECT book_id, block_id, replace(replace(text, '{{{{', '{{{{ '), '}}}}', ' }}}}') || ' @ @ 7 @ @' AS z"
+    f" FROM b WHERE text IS NOT NULL) SELECT book_id, block_id, {CLEAN} AS cleaned, array_to_string(regexp_extract_all({CLEAN},"
+    f" '\\{{\\{{(\\d+)\\}}\\}}', 1), ',') AS numbers FROM x",
+)
 def placeholder_numbers(spark, d):
     """X3, X4, over blocks whose placeholders were pulled apart."""
     z = F.concat(F.replace(F.replace("text", F.lit("{{"), F.lit("{{ ")), F.lit("}}"), F.lit(" }}")), F.lit(" @ @ 7 @ @"))
     rows = blocks(spark, d).where("text is not null").select("book_id", "block_id", z.alias("z"))
-    return rows.select("book_id", "block_id", T.clean_placeholders(F.col("z")).alias("cleaned"), F.array_join(T.placeholder_sequence(F.col("z")).cast("array<string>"), ",").alias("numbers"))
+    return rows.select(
+        "book_id",
+        "block_id",
+        T.clean_placeholders(F.col("z")).alias("cleaned"),
+        F.array_join(T.placeholder_sequence(F.col("z")).cast("array<string>"), ",").alias("numbers"),
+    )
 
 
 def answered(spark, d):
     """Saved translations in force with their source."""
     runs = table(spark, d, "runs").select("state_key", "book_id").distinct()
     saved = sequence.latest_state(table(spark, d, "translation_state")).join(runs, "state_key")
-    return saved.join(blocks(spark, d).select("book_id", "block_id", F.col("text").alias("source")), ["book_id", "block_id"]).where("source is not null")
+    return saved.join(
+        blocks(spark, d).select("book_id", "block_id", F.col("text").alias("source")),
+        ["book_id", "block_id"],
+    ).where("source is not null")
 
 
 SQL_SEQ = lambda c: f"regexp_extract_all({c}, '\\{{\\{{(\\d+)\\}}\\}}', 1)"
 SQL_TAGS = lambda c: f"list_transform(regexp_extract_all({c}, '{TAG}'), lambda x: {TIDY})"
-SQL_PAIRS = f"{B}, {LATEST}, a AS (SELECT t.state_key, t.block_id, t.batch_id, b.text AS s, t.text AS z FROM t JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id AND b.block_id = t.block_id WHERE b.text IS NOT NULL), c AS (SELECT *, {CLEAN} AS f FROM a)"
+SQL_PAIRS = (
+    f"{B}, {LATEST}, a AS (SELECT t.state_key, t.block_id, t.batch_id, b.text AS s, t.text AS z FROM t"
+    f" JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id"
+    f" AND b.block_id = t.block_id WHERE b.text IS NOT NULL), c AS (SELECT *, {CLEAN} AS f FROM a)"
+)
 SQL_BLANK_F = "(f IS NULL OR " + BLANK.format("f") + ")"
 SQL_PH = f"{SQL_SEQ('s')} = {SQL_SEQ('f')}"
 SQL_NEW_MARK = f"({SQL_MARK('f')} AND NOT {SQL_MARK('s')})"
 SQL_FMT = f"({SQL_PH} AND {SQL_TAGS('s')} = {SQL_TAGS('f')})"
 
 
-@query(f"WITH {SQL_PAIRS} SELECT state_key, block_id, CASE WHEN {SQL_BLANK_F} THEN 'empty' WHEN {SQL_NEW_MARK} THEN 'mark' WHEN NOT {SQL_FMT} THEN 'markup' END AS reason FROM c WHERE {SQL_BLANK_F} OR {SQL_NEW_MARK} OR NOT {SQL_FMT}")
+@query(
+    f"WITH {SQL_PAIRS} SELECT state_key, block_id, CASE WHEN {SQL_BLANK_F} THEN 'empty' WHEN {SQL_NEW_MARK} THEN 'mark'"
+    f" WHEN NOT {SQL_FMT} THEN 'markup' END AS reason FROM c WHERE {SQL_BLANK_F} OR {SQL_NEW_MARK} OR NOT {SQL_FMT}",
+)
 def reject_reasons(spark, d):
     """answers sent back, with the reason."""
     rows = answered(spark, d).select("state_key", "block_id", T.reject_reason(F.col("source"), F.col("text")).alias("reason"))
     return rows.where("reason is not null")
 
 
-@query(f"WITH {SQL_PAIRS} SELECT state_key, batch_id, count(*) AS blocks, bool_and(NOT {SQL_BLANK_F} AND NOT {SQL_NEW_MARK} AND {SQL_FMT}) AS clean, max(CASE WHEN {SQL_BLANK_F} OR {SQL_NEW_MARK} OR NOT ({SQL_PH}) THEN 1 ELSE 0 END) AS lost FROM c GROUP BY state_key, batch_id")
+@query(
+    f"WITH {SQL_PAIRS} SELECT state_key, batch_id, count(*) AS blocks, bool_and(NOT {SQL_BLANK_F} AND NOT {SQL_NEW_MARK}"
+    f" AND {SQL_FMT}) AS clean, max(CASE WHEN {SQL_BLANK_F} OR {SQL_NEW_MARK} OR NOT ({SQL_PH}) THEN 1 ELSE 0 END) AS lost FROM c"
+    f" GROUP BY state_key, batch_id",
+)
 def batch_quality(spark, d):
     """Whether a batch is clean, and whether salvaging it fails on any block."""
     s, t = F.col("source"), F.col("text")
-    rows = answered(spark, d).select("state_key", "batch_id", T.reject_reason(s, t).isNull().alias("ok"), T.salvage(s, t).isNull().cast("int").alias("gone"))
+    rows = answered(spark, d).select(
+        "state_key",
+        "batch_id",
+        T.reject_reason(s, t).isNull().alias("ok"),
+        T.salvage(s, t).isNull().cast("int").alias("gone"),
+    )
     return rows.groupBy("state_key", "batch_id").agg(F.count(F.lit(1)).alias("blocks"), F.bool_and("ok").alias("clean"), F.max("gone").alias("lost"))
 
 
@@ -288,11 +351,18 @@ def batch_quality(spark, d):
 )
 def glossary_pairs(spark, d):
     """X10, over the lines of all documents (line ends are unified first)."""
-    docs = table(spark, d, "documents").where("text is not null and doc_id is not null").select("doc_id", F.regexp_replace("text", "\r\n|\r|\f", "\n").alias("text")).distinct()
+    docs = table(spark, d, "documents").where("text is not null and doc_id is not null").select(
+        "doc_id",
+        F.regexp_replace("text", "\r\n|\r|\f", "\n").alias("text"),
+    ).distinct()
     return docs.select("doc_id", F.explode(T.glossary_lines(F.col("text"))).alias("p")).select("doc_id", "p.term", "p.translation").groupBy("doc_id", "term", "translation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT book_id, substr(sha256(to_json(list([path, coalesce(title, '')] ORDER BY path, coalesce(title, '')))::VARCHAR), 1, 16) AS version FROM (SELECT DISTINCT book_id, path, title FROM chapters WHERE path IS NOT NULL) GROUP BY book_id")
+@query(
+    "SELECT book_id, substr(sha256(to_json(list([path, coalesce(title, '')]"
+    " ORDER BY path, coalesce(title, '')))::VARCHAR), 1, 16) AS version FROM (SELECT DISTINCT book_id, path, title FROM chapters"
+    " WHERE path IS NOT NULL) GROUP BY book_id",
+)
 def glossary_versions(spark, d):
     """Hash of a sorted list of pairs (a book's chapters and titles)."""
     rows = table(spark, d, "chapters").where("path is not null").select("book_id", "path", "title").distinct()
@@ -310,7 +380,17 @@ def state_keys(spark, d):
     rows = table(spark, d, "runs").join(table(spark, d, "providers").select("provider_id", "family", "transport_variant"), "provider_id")
     c = F.col
     provider = F.when(c("provider_id") == "llm-umbra", "").otherwise(c("provider_id"))
-    key = T.state_key(c("book_id"), c("source_language"), c("target_language"), c("model"), F.lit("hibrido"), F.lit("v1"), c("family"), provider, c("transport_variant"))
+    key = T.state_key(
+        c("book_id"),
+        c("source_language"),
+        c("target_language"),
+        c("model"),
+        F.lit("hibrido"),
+        F.lit("v1"),
+        c("family"),
+        provider,
+        c("transport_variant"),
+    )
     return rows.select("state_key", key.alias("compat")).distinct()
 
 
@@ -327,7 +407,11 @@ def cache_status(spark, d):
     keys = state_keys(spark, d)
     saved = table(spark, d, "translation_state").select("state_key", "block_id").join(small_side(keys), "state_key")
     counts = saved.groupBy("compat").agg(F.count_distinct("block_id").alias("n"))
-    return keys.join(counts, "compat", "left").select("state_key", F.coalesce("n", F.lit(0)).alias("saved"), F.col("n").isNotNull().alias("resumable"))
+    return keys.join(counts, "compat", "left").select(
+        "state_key",
+        F.coalesce("n", F.lit(0)).alias("saved"),
+        F.col("n").isNotNull().alias("resumable"),
+    )
 
 
 @query(
@@ -340,13 +424,24 @@ def usage_sums(spark, d):
     return sequence.usage_totals(table(spark, d, "usage_log"))
 
 
-@query(f"WITH {B}, {LATEST} SELECT t.state_key, t.batch_id, sum(length(b.text))::BIGINT AS characters, count(*) AS blocks FROM t JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id AND b.block_id = t.block_id WHERE b.text IS NOT NULL GROUP BY ALL")
+@query(
+    f"WITH {B}, {LATEST} SELECT t.state_key, t.batch_id, sum(length(b.text))::BIGINT AS characters, count(*) AS blocks FROM t"
+    f" JOIN (SELECT DISTINCT state_key, book_id FROM runs) r USING (state_key) JOIN b ON b.book_id = r.book_id"
+    f" AND b.block_id = t.block_id WHERE b.text IS NOT NULL GROUP BY ALL",
+)
 def batch_usage(spark, d):
     """Characters and blocks of each batch."""
-    return answered(spark, d).groupBy("state_key", "batch_id").agg(F.sum(F.length("source")).cast("long").alias("characters"), F.count(F.lit(1)).alias("blocks"))
+    return answered(spark, d).groupBy("state_key", "batch_id").agg(
+        F.sum(F.length("source")).cast("long").alias("characters"),
+        F.count(F.lit(1)).alias("blocks"),
+    )
 
 
-@query("SELECT state_key, batch_id, (sum(blocks) OVER (PARTITION BY state_key ORDER BY batch_id))::BIGINT AS done, (sum(blocks) OVER (PARTITION BY state_key))::BIGINT AS total FROM (SELECT DISTINCT * FROM usage_log)")
+@query(
+    "SELECT state_key, batch_id, (sum(blocks) OVER (PARTITION BY state_key"
+    " ORDER BY batch_id))::BIGINT AS done, (sum(blocks) OVER (PARTITION BY state_key))::BIGINT AS total FROM (SELECT DISTINCT *"
+    " FROM usage_log)",
+)
 def progress_counter(spark, d):
     """W8."""
     return sequence.progress(table(spark, d, "usage_log"))
@@ -372,13 +467,19 @@ def request_pacing(spark, d):
     return sequence.pacing(rows, "user_id", "ts", 0.25).select("event_id", F.round("wait", 6).alias("wait"))
 
 
-@query(f"WITH {B} SELECT book_id, chapter_idx, arg_min(text, block_id) AS title FROM b WHERE kind = 'titulo' AND text IS NOT NULL AND NOT {BLANK.format('text')} GROUP BY book_id, chapter_idx")
+@query(
+    f"WITH {B} SELECT book_id, chapter_idx, arg_min(text, block_id) AS title FROM b WHERE kind = 'titulo' AND text IS NOT NULL"
+    f" AND NOT {BLANK.format('text')} GROUP BY book_id, chapter_idx",
+)
 def chapter_titles(spark, d):
     """W10."""
     return sequence.first_heading(table(spark, d, "blocks"))
 
 
-@query("SELECT path, min(book_id) AS first_book, max(book_id) AS last_book, count(DISTINCT book_id) AS books FROM chapters WHERE path IS NOT NULL GROUP BY path")
+@query(
+    "SELECT path, min(book_id) AS first_book, max(book_id) AS last_book, count(DISTINCT book_id) AS books FROM chapters"
+    " WHERE path IS NOT NULL GROUP BY path",
+)
 def distinct_paths(spark, d):
     """First and last wins."""
     rows = table(spark, d, "chapters").where("path is not null").select("path", "book_id")
@@ -402,7 +503,15 @@ def redacted(spark, d):
 def book_names(spark, d):
     """K12, X12, X13, X17, J6."""
     c = F.col
-    return table(spark, d, "books").select("book_id", "opf_path", T.output_path(c("opf_path"), F.lit("pt")).alias("out_path"), T.slug(F.coalesce("title", F.lit(""))).alias("slug"), T.primary_subtag(c("language")).alias("subtag"), T.key_name(c("book_id")).alias("key_name"), T.growth_factor(c("language")).alias("factor")).distinct()
+    return table(spark, d, "books").select(
+        "book_id",
+        "opf_path",
+        T.output_path(c("opf_path"), F.lit("pt")).alias("out_path"),
+        T.slug(F.coalesce("title", F.lit(""))).alias("slug"),
+        T.primary_subtag(c("language")).alias("subtag"),
+        T.key_name(c("book_id")).alias("key_name"),
+        T.growth_factor(c("language")).alias("factor"),
+    ).distinct()
 
 
 @query(
@@ -417,7 +526,15 @@ def provider_checks(spark, d):
     ok = F.coalesce(c("max_batch_chars") >= 1, F.lit(True)) & F.coalesce(c("max_batch_items") >= 1, F.lit(True)) & (c("max_concurrency") >= 1) & (c("delay_seconds") >= 0) & ((c("family") != "llm") | c("reports_token_usage"))
     n = F.count(F.lit(1)).over(Window.partitionBy("family", "provider_id")) > 1
     place = F.row_number().over(Window.orderBy("family", "provider_id"))  # nine rows, fixed
-    return table(spark, d, "providers").select("provider_id", T.cache_key(c("family"), c("provider_id"), c("version"), c("transport_variant")).alias("cache_key"), ok.alias("valid"), (c("reports_token_usage") | c("reports_character_usage")).alias("metered"), F.least(F.lit(6), "max_concurrency").alias("parallel"), n.alias("doubled"), place.alias("place"))
+    return table(spark, d, "providers").select(
+        "provider_id",
+        T.cache_key(c("family"), c("provider_id"), c("version"), c("transport_variant")).alias("cache_key"),
+        ok.alias("valid"),
+        (c("reports_token_usage") | c("reports_character_usage")).alias("metered"),
+        F.least(F.lit(6), "max_concurrency").alias("parallel"),
+        n.alias("doubled"),
+        place.alias("place"),
+    )
 
 
 @query("SELECT DISTINCT r.provider_id FROM providers r WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.provider_id = r.provider_id)")
@@ -437,7 +554,15 @@ def transport_rules(spark, d):
     c = F.col
     s = F.element_at(F.array(*map(F.lit, (200, 400, 401, 403, 404, 429, 500, 503))), (c("event_id") % 8 + 1).cast("int"))
     dos = T.dos_datetime(c("ts"))
-    return table(spark, d, "events").select("event_id", T.retry_class(s).alias("class"), T.backoff_ceiling(c("event_id") % 9).alias("ceiling"), T.at_least_zero(c("props")).alias("whole"), T.utc_stamp(c("ts")).alias("stamp"), dos["date"].alias("dos_date"), dos["time"].alias("dos_time"))
+    return table(spark, d, "events").select(
+        "event_id",
+        T.retry_class(s).alias("class"),
+        T.backoff_ceiling(c("event_id") % 9).alias("ceiling"),
+        T.at_least_zero(c("props")).alias("whole"),
+        T.utc_stamp(c("ts")).alias("stamp"),
+        dos["date"].alias("dos_date"),
+        dos["time"].alias("dos_time"),
+    )
 
 
 @query(
@@ -449,17 +574,30 @@ def retry_delays(spark, d):
     k = F.col("event_id")
     header = F.when(k % 4 == 0, (k % 90 - 10).cast("string")).when(k % 4 == 1, F.lit("Wed, 21 Oct 2026 07:28:00 GMT"))
     told = J.retry_after(header)
-    return table(spark, d, "events").select("event_id", T.retry_delay(k % 9, told).alias("model"), T.retry_delay(k % 9, told, least=0.0).alias("machine"))
+    return table(spark, d, "events").select(
+        "event_id",
+        T.retry_delay(k % 9, told).alias("model"),
+        T.retry_delay(k % 9, told, least=0.0).alias("machine"),
+    )
 
 
-@query("SELECT DISTINCT doc_id, len(string_split(tags, ';'))::BIGINT AS terms, split_part(tags, ';', 1) AS term, 'T' || doc_id AS translation FROM documents WHERE tags IS NOT NULL UNION ALL SELECT DISTINCT doc_id, 0, NULL, NULL FROM documents WHERE tags IS NULL")
+@query(
+    "SELECT DISTINCT doc_id, len(string_split(tags, ';'))::BIGINT AS terms, split_part(tags, ';', 1) AS term,"
+    " 'T' || doc_id AS translation FROM documents WHERE tags IS NOT NULL UNION ALL SELECT DISTINCT doc_id, 0, NULL, NULL"
+    " FROM documents WHERE tags IS NULL",
+)
 def glossary_files(spark, d):
     """A glossary file for each document with tags, read strictly; no file is an empty glossary."""
     rows = table(spark, d, "documents").select("doc_id", "tags").distinct()
     entries = F.transform(F.split("tags", ";"), lambda x: F.struct(x.alias("termo"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("traducao")))
     body = F.when(F.col("tags").isNotNull(), F.to_json(entries))
     got = rows.select("doc_id", J.strict_glossary(F.concat(F.lit("glossary-"), F.col("doc_id").cast("string"), F.lit(".json")), body).alias("g"))
-    return got.select("doc_id", F.size("g").cast("long").alias("terms"), F.get("g", F.lit(0))["term"].alias("term"), F.get("g", F.lit(0))["translation"].alias("translation"))
+    return got.select(
+        "doc_id",
+        F.size("g").cast("long").alias("terms"),
+        F.get("g", F.lit(0))["term"].alias("term"),
+        F.get("g", F.lit(0))["translation"].alias("translation"),
+    )
 
 
 @query(
@@ -468,7 +606,9 @@ def glossary_files(spark, d):
 )
 def versions(spark, d):
     """X18, L6."""
-    v = table(spark, d, "blocks").select(F.concat(F.lit("v"), F.col("block_id").cast("string"), F.lit("."), F.col("chapter_idx").cast("string")).alias("v")).distinct()
+    v = table(spark, d, "blocks").select(
+        F.concat(F.lit("v"), F.col("block_id").cast("string"), F.lit("."), F.col("chapter_idx").cast("string")).alias("v"),
+    ).distinct()
     p = T.version_parts(F.col("v"))
     return v.select("v", F.array_join(p.cast("array<string>"), ".").alias("parts"), (p > F.array(F.lit(100), F.lit(2))).alias("newer"))
 
@@ -483,26 +623,48 @@ def flattened_state(spark, d):
     rows = sequence.latest_state(table(spark, d, "translation_state"))
     entry = F.md5(F.concat(F.col("block_id").cast("string"), F.lit("="), F.coalesce("text", F.lit(""))))
     number = F.conv(F.substring(entry, 1, 8), 16, 10).cast("long")
-    return rows.groupBy("state_key").agg(F.sum(F.length("text")).cast("long").alias("characters"), F.count("text").alias("texts"), F.count(F.lit(1)).alias("blocks"), F.sum(number).alias("digest"))
+    return rows.groupBy("state_key").agg(
+        F.sum(F.length("text")).cast("long").alias("characters"),
+        F.count("text").alias("texts"),
+        F.count(F.lit(1)).alias("blocks"),
+        F.sum(number).alias("digest"),
+    )
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(tags, ';'), lambda x: list_contains(['ben', 'stol', 'zind'], x)), ';') AS kept, len(string_split(tags, ';')) AS n FROM (SELECT DISTINCT doc_id, tags FROM documents WHERE tags IS NOT NULL)")
+@query(
+    "SELECT doc_id, array_to_string(list_filter(string_split(tags, ';'), lambda x: list_contains(['ben', 'stol', 'zind'], x)),"
+    " ';') AS kept, len(string_split(tags, ';')) AS n FROM (SELECT DISTINCT doc_id, tags FROM documents WHERE tags IS NOT NULL)",
+)
 def tag_sets(spark, d):
     """Intersection with a fixed set, in order."""
     tags = F.split("tags", ";")
     rows = table(spark, d, "documents").where("tags is not null").select("doc_id", "tags").distinct()
-    return rows.select("doc_id", F.array_join(F.filter(tags, lambda x: x.isin("ben", "stol", "zind")), ";").alias("kept"), F.size(tags).cast("long").alias("n"))
+    return rows.select(
+        "doc_id",
+        F.array_join(F.filter(tags, lambda x: x.isin("ben", "stol", "zind")), ";").alias("kept"),
+        F.size(tags).cast("long").alias("n"),
+    )
 
 
-@query("SELECT DISTINCT q.doc_id AS question_id, a.doc_id AS answer_id, a.answer_rank FROM documents q JOIN documents a ON a.question_id = q.doc_id WHERE q.post_kind = 'question' AND a.post_kind = 'answer'")
+@query(
+    "SELECT DISTINCT q.doc_id AS question_id, a.doc_id AS answer_id, a.answer_rank FROM documents q"
+    " JOIN documents a ON a.question_id = q.doc_id WHERE q.post_kind = 'question' AND a.post_kind = 'answer'",
+)
 def threads(spark, d):
     """Equi-join of two roles of one table."""
     docs = table(spark, d, "documents")
     q = docs.where("post_kind = 'question'").select(F.col("doc_id").alias("question_id"))
-    return q.join(docs.where("post_kind = 'answer'").select("question_id", F.col("doc_id").alias("answer_id"), "answer_rank"), "question_id").distinct()
+    return q.join(
+        docs.where("post_kind = 'answer'").select("question_id", F.col("doc_id").alias("answer_id"), "answer_rank"),
+        "question_id",
+    ).distinct()
 
 
-@query(f"WITH {B}, {LATEST}, a AS (SELECT r.state_key, b.block_id, b.text AS s FROM (SELECT DISTINCT state_key, book_id FROM runs) r JOIN b USING (book_id)) SELECT a.state_key, a.block_id, a.s = t.text AS same FROM a JOIN t ON t.state_key = a.state_key AND t.block_id = a.block_id WHERE a.s IS NOT NULL AND t.text IS NOT NULL")
+@query(
+    f"WITH {B}, {LATEST}, a AS (SELECT r.state_key, b.block_id, b.text AS s FROM (SELECT DISTINCT state_key, book_id FROM runs) r"
+    f" JOIN b USING (book_id)) SELECT a.state_key, a.block_id, a.s = t.text AS same FROM a JOIN t ON t.state_key = a.state_key"
+    f" AND t.block_id = a.block_id WHERE a.s IS NOT NULL AND t.text IS NOT NULL",
+)
 def sources_and_answers(spark, d):
     """Sources and answers side by side by position."""
     return answered(spark, d).where("text is not null").select("state_key", "block_id", (F.col("source") == F.col("text")).alias("same"))
@@ -534,10 +696,16 @@ def provider_lookup(spark, d):
     wanted = names.unionByName(spark.createDataFrame([("nobody",)], "wanted string"))
     p = table(spark, d, "providers").select("provider_id", F.explode(F.array_distinct(F.array("provider_id", "family"))).alias("wanted"))
     n = F.count_distinct("provider_id")
-    return wanted.join(p, "wanted", "left").groupBy("wanted").agg(n.alias("matches"), F.when(n == 0, "unknown").when(n == 1, "found").otherwise("ambiguous").alias("outcome"))
+    return wanted.join(p, "wanted", "left").groupBy("wanted").agg(
+        n.alias("matches"),
+        F.when(n == 0, "unknown").when(n == 1, "found").otherwise("ambiguous").alias("outcome"),
+    )
 
 
-@query("SELECT doc_id, sha256(text) AS digest, array_to_string(string_split(tags, ';')[1:3], ';') AS head FROM (SELECT DISTINCT doc_id, text, tags FROM documents WHERE text IS NOT NULL)")
+@query(
+    "SELECT doc_id, sha256(text) AS digest, array_to_string(string_split(tags, ';')[1:3], ';') AS head"
+    " FROM (SELECT DISTINCT doc_id, text, tags FROM documents WHERE text IS NOT NULL)",
+)
 def content_hashes(spark, d):
     """SHA-256 of contents; the first three of a list."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", "tags").distinct()

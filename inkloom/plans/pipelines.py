@@ -26,20 +26,35 @@ def epub_round_trip(spark, d):
     """Archives written from the blocks, read again and segmented; as many blocks and chapters come out."""
     files = library(spark, d)
     books = epub.read_archives(files).withColumn("book_id", F.regexp_extract("file", r"^(.*)\.epub$", 1))
-    segments = epub.segment_chapters(epub.book_chapters(books)).groupBy("book_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("chapter_idx").alias("chapters"))
+    segments = epub.segment_chapters(epub.book_chapters(books)).groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("blocks"),
+        F.count_distinct("chapter_idx").alias("chapters"),
+    )
     return segments.join(books.select("book_id", F.col("error_class").isNull().alias("readable")), "book_id")
 
 
-@query(f"WITH {B} SELECT book_id, count(DISTINCT chapter_idx) + 4 AS entries, count(DISTINCT chapter_idx) AS spine, count(DISTINCT chapter_idx) AS labels, true AS contiguous FROM b GROUP BY book_id")
+@query(
+    f"WITH {B} SELECT book_id, count(DISTINCT chapter_idx) + 4 AS entries, count(DISTINCT chapter_idx) AS spine,"
+    f" count(DISTINCT chapter_idx) AS labels, true AS contiguous FROM b GROUP BY book_id",
+)
 def epub_entries(spark, d):
     """Entries, spine and labels of the archives; byte ranges follow each other."""
     books = epub.read_archives(library(spark, d))
     e = F.sort_array(F.transform("entries", lambda x: F.struct(x["start"], x["stop"])))
     joined = F.forall(F.arrays_zip(F.slice(e, 1, F.size(e) - 1).alias("a"), F.slice(e, 2, F.size(e)).alias("b")), lambda z: z["a"]["stop"] == z["b"]["start"])
-    return books.select(F.regexp_extract("file", r"^(.*)\.epub$", 1).alias("book_id"), F.size("entries").cast("long").alias("entries"), F.size("spine").cast("long").alias("spine"), F.size("labels").cast("long").alias("labels"), joined.alias("contiguous"))
+    return books.select(
+        F.regexp_extract("file", r"^(.*)\.epub$", 1).alias("book_id"),
+        F.size("entries").cast("long").alias("entries"),
+        F.size("spine").cast("long").alias("spine"),
+        F.size("labels").cast("long").alias("labels"),
+        joined.alias("contiguous"),
+    )
 
 
-@query(f"WITH {B} SELECT book_id, count(*) FILTER (WHERE {OPEN} AND kind NOT IN ('titulo', 'item_lista', 'citacao', 'codigo')) AS changed FROM b GROUP BY book_id")
+@query(
+    f"WITH {B} SELECT book_id, count(*) FILTER (WHERE {OPEN}"
+    f" AND kind NOT IN ('titulo', 'item_lista', 'citacao', 'codigo')) AS changed FROM b GROUP BY book_id",
+)
 def epub_translated(spark, d):
     """All paragraphs are marked in the archive, which is written and read again."""
     import pyarrow as pa
@@ -50,7 +65,11 @@ def epub_translated(spark, d):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 book = epub.read_book(content)
-                texts = {c["path"]: ["TR: " + b["text"] if b["kind"] == "paragrafo" and not b["protected"] and b["text"].strip() else None for b in epub.markup.segment(c["html"])] for c in book["chapters"]}
+                texts = {
+                    c["path"]: [
+                        "TR: " + b["text"] if b["kind"] == "paragrafo" and not b["protected"] and b["text"].strip() else None for b in epub.markup.segment(c["html"])
+                    ] for c in book["chapters"]
+                }
                 yield pa.RecordBatch.from_pylist([{"path": path, "content": epub.translated(content, texts, "pt", stamp="2024-01-01T00:00:00Z")}])
 
     done = library(spark, d).select("path", "content").mapInArrow(mark, "path string, content binary")
@@ -73,9 +92,20 @@ def epub_cases(spark, d):
     damaged = samples.damaged(library(spark, d))
     books = epub.read_archives(damaged)
     mended = samples.mended(damaged)
-    rows = books.select(F.regexp_extract("file", r"^(.*)\.epub$", 1).alias("book_id"), "error_class", F.size("chapters").cast("long").alias("n"), F.size("spine").cast("long").alias("m"))
+    rows = books.select(
+        F.regexp_extract("file", r"^(.*)\.epub$", 1).alias("book_id"),
+        "error_class",
+        F.size("chapters").cast("long").alias("n"),
+        F.size("spine").cast("long").alias("m"),
+    )
     good = F.col("error_class").isNull()
-    return rows.join(mended, "book_id").select("book_id", "error_class", F.when(good, F.col("n")).alias("chapters"), F.when(good, F.col("m")).alias("spine"), "mended")
+    return rows.join(mended, "book_id").select(
+        "book_id",
+        "error_class",
+        F.when(good, F.col("n")).alias("chapters"),
+        F.when(good, F.col("m")).alias("spine"),
+        "mended",
+    )
 
 
 @query(
@@ -96,10 +126,17 @@ def epub_saved(spark, d):
     folder = scratch(spark, "books").removeprefix("file://").removeprefix("file:")
     first = stored(epub.save_archives(files, folder), "saved")
     again = stored(epub.save_archives(files, folder), "saved")
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(f"file://{folder}").select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("digest"))
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(f"file://{folder}").select(
+        F.element_at(F.split("path", "/"), -1).alias("path"),
+        F.sha2("content", 256).alias("digest"),
+    )
     want = files.select("path", F.sha2("content", 256).alias("want"))
     rows = want.join(read, "path", "left").join(first.select("path", F.col("bytes").alias("a")), "path").join(again.select("path", F.col("bytes").alias("b")), "path")
-    return rows.select(F.regexp_extract("path", r"^(.*)\.epub$", 1).alias("book_id"), (F.col("want") == F.col("digest")).alias("same"), (F.col("a") == F.col("b")).alias("kept"))
+    return rows.select(
+        F.regexp_extract("path", r"^(.*)\.epub$", 1).alias("book_id"),
+        (F.col("want") == F.col("digest")).alias("same"),
+        (F.col("a") == F.col("b")).alias("kept"),
+    )
 
 
 @query(f"WITH {B} SELECT book_id, block_id, true AS masked_back, true AS restored FROM b WHERE text IS NOT NULL")
@@ -109,7 +146,12 @@ def reversible_masks(spark, d):
     rows = blocks(spark, d).where("text is not null").select("book_id", "block_id", "text")
     words = F.slice(F.array_distinct(F.split("text", " ")), 1, 5)
     m = rows.withColumn("m", mask_udf("text")).withColumn("p", protect_udf("text", words))
-    return m.select("book_id", "block_id", (unmask_udf("m.masked", "m.kept", "m.gaps") == F.col("text")).alias("masked_back"), (restore_udf("p.template", "p.protected") == F.col("text")).alias("restored"))
+    return m.select(
+        "book_id",
+        "block_id",
+        (unmask_udf("m.masked", "m.kept", "m.gaps") == F.col("text")).alias("masked_back"),
+        (restore_udf("p.template", "p.protected") == F.col("text")).alias("restored"),
+    )
 
 
 @query(f"WITH {B} SELECT book_id, block_id, 'TR: ' || text AS text FROM b WHERE {OPEN}")
@@ -120,10 +162,17 @@ def translated_run(spark, d):
     return run.translate_batches(rows, run.Degrading(run.Tagless())).where("error_class is null").select(F.col("state_key").alias("book_id"), "block_id", "text")
 
 
-@query("SELECT state_key, count(*) AS batches, sum(b)::BIGINT AS blocks, sum(c)::BIGINT AS characters FROM (SELECT state_key, batch_id, max(blocks) AS b, max(characters) AS c FROM usage_log GROUP BY ALL) GROUP BY state_key")
+@query(
+    "SELECT state_key, count(*) AS batches, sum(b)::BIGINT AS blocks, sum(c)::BIGINT AS characters"
+    " FROM (SELECT state_key, batch_id, max(blocks) AS b, max(characters) AS c FROM usage_log GROUP BY ALL) GROUP BY state_key",
+)
 def usage_stream(spark, d):
     """Usage taken up as a stream with one durable write an epoch."""
-    return progress.usage_stream(spark, f"{d}/usage_log.parquet").groupBy("state_key").agg(F.count(F.lit(1)).alias("batches"), F.sum("blocks").alias("blocks"), F.sum("characters").alias("characters"))
+    return progress.usage_stream(spark, f"{d}/usage_log.parquet").groupBy("state_key").agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.sum("blocks").alias("blocks"),
+        F.sum("characters").alias("characters"),
+    )
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -133,7 +182,11 @@ def event_windows(spark, d):
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
 
 
-@query("SELECT DISTINCT state_key, path, block_id, text FROM (SELECT *, row_number() OVER (PARTITION BY state_key, block_id ORDER BY saved_at DESC, text DESC NULLS LAST, batch_id DESC, path DESC) AS n FROM translation_state) WHERE n = 1 AND text IS NOT NULL AND path IS NOT NULL")
+@query(
+    "SELECT DISTINCT state_key, path, block_id, text FROM (SELECT *, row_number() OVER (PARTITION BY state_key, block_id"
+    " ORDER BY saved_at DESC, text DESC NULLS LAST, batch_id DESC, path DESC) AS n FROM translation_state) WHERE n = 1"
+    " AND text IS NOT NULL AND path IS NOT NULL",
+)
 def state_documents(spark, d):
     """State written as JSON documents, a path at a time, and read back; broken entries are dropped."""
     rows = sequence.latest_state(table(spark, d, "translation_state")).where("path is not null")
@@ -151,20 +204,37 @@ def state_documents(spark, d):
 def model_answers(spark, d):
     """Answers wrapped in chatter, with usage and models; one in three holds a number and is refused."""
     k, t = F.col("block_id"), F.col("text")
-    items = F.when(k % 3 == 2, F.concat(F.lit("["), F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2), F.lit(", 5]"))).otherwise(F.to_json(F.array(t, F.lit("b"))))
+    items = F.when(
+        k % 3 == 2,
+        F.concat(F.lit("["), F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2), F.lit(", 5]")),
+    ).otherwise(F.to_json(F.array(t, F.lit("b"))))
     content = F.concat(F.lit("Sure: "), items, F.lit(" done"))
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"), F.struct((k % 7).alias("prompt_tokens")).alias("usage")))
+    body = F.to_json(
+        F.struct(
+            F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"),
+            F.struct((k % 7).alias("prompt_tokens")).alias("usage"),
+        ),
+    )
     models = F.concat(F.lit('{"data":[{"id":"m'), (k % 2).cast("string"), F.lit('"},{"x":1}]}'))
     u = J.usage_counts(body)
     rows = blocks(spark, d).where("text is not null")
-    return rows.select("book_id", "block_id", F.array_join(J.strings_in_chatter(J.message_content(body)), "|").alias("answer"), u["prompt"].alias("prompt"), u["completion"].alias("completion"), J.model_ids(models)[0].alias("model"))
+    return rows.select(
+        "book_id",
+        "block_id",
+        F.array_join(J.strings_in_chatter(J.message_content(body)), "|").alias("answer"),
+        u["prompt"].alias("prompt"),
+        u["completion"].alias("completion"),
+        J.model_ids(models)[0].alias("model"),
+    )
 
 
 #: SQL: batches that hold a block the flaky translator refuses, and what a first run saves.
 FLAKY = packed_sql(BOOK_ITEMS, str(BATCH_TOKENS)) + ", f AS (SELECT grp, batch, bool_or(pos % 97 = 5) AS fails FROM w GROUP BY grp, batch)"
 
 
-@query(FLAKY + "SELECT b.book_id, b.block_id, 'TR: ' || b.text AS text, CASE WHEN f.fails THEN 2 ELSE 1 END::BIGINT AS run FROM w JOIN f USING (grp, batch) JOIN b ON b.book_id = w.grp AND b.block_id = w.pos")
+@query(
+    FLAKY + "SELECT b.book_id, b.block_id, 'TR: ' || b.text AS text, CASE WHEN f.fails THEN 2 ELSE 1 END::BIGINT AS run FROM w JOIN f USING (grp, batch) JOIN b ON b.book_id = w.grp AND b.block_id = w.pos",
+)
 def interrupted_run(spark, d):
     """A run that some batches fail in, resumed by a second one with only what is missing; together they
     save what one uninterrupted run would."""
@@ -175,7 +245,12 @@ def interrupted_run(spark, d):
     loop.translate_runs(books, marked, samples.Refusing(), store, batch_tokens=BATCH_TOKENS)
     first = store.next_epoch()
     loop.translate_runs(books, rows, run.Prefix(), store, batch_tokens=BATCH_TOKENS)
-    return store.texts().select(F.col("state_key").alias("book_id"), "block_id", "text", F.when(F.col("epoch") < first, 1).otherwise(2).cast("long").alias("run"))
+    return store.texts().select(
+        F.col("state_key").alias("book_id"),
+        "block_id",
+        "text",
+        F.when(F.col("epoch") < first, 1).otherwise(2).cast("long").alias("run"),
+    )
 
 
 @query(
@@ -192,7 +267,11 @@ def run_events(spark, d):
     store = loop.StateStore(spark)
     marked = samples.marked(rows, F.col("block_id") % 97 == 5)
     loop.translate_runs(books, marked, samples.Refusing(), store, batch_tokens=BATCH_TOKENS)
-    return store.events().groupBy(F.col("state_key").alias("book_id"), "kind").agg(F.max("done").alias("done"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"))
+    return store.events().groupBy(F.col("state_key").alias("book_id"), "kind").agg(
+        F.max("done").alias("done"),
+        F.max("total").alias("total"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
 SAMPLE = f"""{B}, s AS (SELECT book_id, block_id, text, length(text) AS n,
@@ -207,7 +286,10 @@ def glossary_pass(spark, d):
     rows = sequence.sample_text(blocks(spark, d), SAMPLE_CHAPTERS, SAMPLE_CHARS)
     pairs = loop.glossary_pass(rows, samples.Lexicon()).withColumn("pos", F.when(F.col("term") == "lamp", 0).otherwise(1))
     got = loop.strict_glossaries(stored(loop.glossary_files(pairs), "glossaries"))
-    return got.select(F.regexp_extract("path", r"^(.*)\.json$", 1).alias("book_id"), F.explode("terms").alias("g")).select("book_id", "g.term", "g.translation")
+    return got.select(
+        F.regexp_extract("path", r"^(.*)\.json$", 1).alias("book_id"),
+        F.explode("terms").alias("g"),
+    ).select("book_id", "g.term", "g.translation")
 
 
 @query(f"WITH {SAMPLE} SELECT book_id, 'Plain.' || chr(10) || 'Of ' || n || ' characters.' AS priming FROM a")
@@ -241,8 +323,12 @@ def answer_shapes(spark, d):
 
 
 @query(
-    "SELECT event_id, CASE k " + " ".join(f"WHEN {i} THEN '{v[0]}'" for i, v in enumerate(messages.ADVICE.values())) + f" ELSE '{messages.OTHER_ADVICE[0]}' END AS title, "
-    + "CASE k " + " ".join(f"WHEN {i} THEN '{v[1]}'" for i, v in enumerate(messages.ADVICE.values())) + f" ELSE '{messages.OTHER_ADVICE[1]}' END AS advice FROM (SELECT event_id, event_id % {len(messages.ADVICE) + 1} AS k FROM events)"
+    "SELECT event_id, CASE k " + " ".join(
+        f"WHEN {i} THEN '{v[0]}'" for i, v in enumerate(messages.ADVICE.values())
+    ) + f" ELSE '{messages.OTHER_ADVICE[0]}' END AS title, "
+    + "CASE k " + " ".join(
+        f"WHEN {i} THEN '{v[1]}'" for i, v in enumerate(messages.ADVICE.values())
+    ) + f" ELSE '{messages.OTHER_ADVICE[1]}' END AS advice FROM (SELECT event_id, event_id % {len(messages.ADVICE) + 1} AS k FROM events)"
 )
 def error_advice(spark, d):
     """Title and advice for every class of error."""
@@ -262,4 +348,8 @@ def prompt_texts(spark, d):
     glossary = F.array(F.struct(F.lit("key").alias("term"), c("target_language").alias("translation")))
     task = F.lit("translate")
     system = messages.system_prompt(task, c("source_language"), c("target_language"), F.concat(F.lit("Of "), "book_id"), glossary, F.lit("manter"))
-    return table(spark, d, "runs").select("state_key", system.alias("system"), messages.user_prompt(task, F.array(c("book_id"), F.lit("x"))).alias("request")).distinct()
+    return table(spark, d, "runs").select(
+        "state_key",
+        system.alias("system"),
+        messages.user_prompt(task, F.array(c("book_id"), F.lit("x"))).alias("request"),
+    ).distinct()

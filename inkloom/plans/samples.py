@@ -107,7 +107,10 @@ def relabelled(files: DataFrame) -> DataFrame:
     """Archives with a second table of contents (short of a label in every other one), given new labels, metadata and an
     appendix, and read again."""
     ship(files.sparkSession)
-    schema = "book_id string, chapters long, labels string, second_changed boolean, appendix string, term string, translation string, title string, language string, modified string"
+    schema = (
+        "book_id string, chapters long, labels string, second_changed boolean, appendix string, term string, translation string,"
+        " title string, language string, modified string"
+    )
 
     def run(batches):
         for batch in batches:
@@ -121,7 +124,18 @@ def relabelled(files: DataFrame) -> DataFrame:
                 got = epub.read_book(done)
                 second = epub.ncx_labels(zipfile.ZipFile(io.BytesIO(done)).read(got["ncx_path"]))
                 added = [b["text"] for b in epub.markup.segment(got["chapters"][-1]["html"])]
-                row = {"book_id": name, "chapters": len(got["chapters"]), "labels": "|".join(got["labels"]), "second_changed": second == labels, "appendix": added[0], "term": added[1], "translation": added[2], "title": got["title"], "language": got["language"], "modified": got["modified"]}
+                row = {
+                    "book_id": name,
+                    "chapters": len(got["chapters"]),
+                    "labels": "|".join(got["labels"]),
+                    "second_changed": second == labels,
+                    "appendix": added[0],
+                    "term": added[1],
+                    "translation": added[2],
+                    "title": got["title"],
+                    "language": got["language"],
+                    "modified": got["modified"],
+                }
                 yield pa.RecordBatch.from_pylist([row])
 
     return files.select("path", "content").mapInArrow(run, schema)

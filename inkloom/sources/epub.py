@@ -97,7 +97,13 @@ def read_book(content: bytes) -> dict:
     package = xml(z.read(opf_path), opf_path)
     manifest: dict[str, dict] = {}
     for pos, e in enumerate(x for x in package.iter() if local(x.tag) == "item"):
-        manifest[e.get("id", "")] = {"pos": pos, "item_id": e.get("id", ""), "href": e.get("href", ""), "media_type": e.get("media-type", ""), "properties": e.get("properties", "")}
+        manifest[e.get("id", "")] = {
+            "pos": pos,
+            "item_id": e.get("id", ""),
+            "href": e.get("href", ""),
+            "media_type": e.get("media-type", ""),
+            "properties": e.get("properties", ""),
+        }
     if any("encrypted" in m["properties"].split() for m in manifest.values()):
         raise BookError("drm", "an encrypted item")
     spine, chapters, seen = [], [], set()
@@ -122,19 +128,78 @@ def read_book(content: bytes) -> dict:
     first = lambda name: next((e.text for e in package.iter() if e.tag == DC + name), None)
     modified = next((e.text for e in package.iter() if local(e.tag) == "meta" and e.get("property") == "dcterms:modified"), None)
     labels = markup.link_labels(z.read(nav).decode("utf-8", "replace")) if nav else ncx_labels(z.read(ncx)) if ncx else []
-    entries = [{"pos": k, "name": i.filename, "method": i.compress_type, "flags": i.flag_bits, "start": span(i)[0], "stop": span(i)[1], "crc": i.CRC, "size": i.file_size} for k, i in enumerate(z.infolist())]
-    return {"book_id": hashlib.sha256(content).hexdigest(), "opf_path": opf_path, "title": first("title") or "", "language": first("language"), "modified": modified or first("date"), "nav_path": nav, "ncx_path": ncx, "manifest": list(manifest.values()), "spine": spine, "chapters": chapters, "labels": labels, "entries": entries, "error_class": None, "message": None}
+    entries = [
+        {
+            "pos": k,
+            "name": i.filename,
+            "method": i.compress_type,
+            "flags": i.flag_bits,
+            "start": span(i)[0],
+            "stop": span(i)[1],
+            "crc": i.CRC,
+            "size": i.file_size,
+        } for k, i in enumerate(z.infolist())
+    ]
+    return {
+        "book_id": hashlib.sha256(content).hexdigest(),
+        "opf_path": opf_path,
+        "title": first("title") or "",
+        "language": first("language"),
+        "modified": modified or first("date"),
+        "nav_path": nav,
+        "ncx_path": ncx,
+        "manifest": list(manifest.values()),
+        "spine": spine,
+        "chapters": chapters,
+        "labels": labels,
+        "entries": entries,
+        "error_class": None,
+        "message": None,
+    }
 
 
 def ncx_labels(data: bytes) -> list[str]:
     return [t.text or "" for t in ncx_texts(xml(data, "ncx"))]
 
 
-ENTRY = pa.struct([("pos", pa.int32()), ("name", pa.string()), ("method", pa.int32()), ("flags", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("crc", pa.int64()), ("size", pa.int64())])
+ENTRY = pa.struct(
+    [
+        ("pos", pa.int32()),
+        ("name", pa.string()),
+        ("method", pa.int32()),
+        ("flags", pa.int32()),
+        ("start", pa.int64()),
+        ("stop", pa.int64()),
+        ("crc", pa.int64()),
+        ("size", pa.int64()),
+    ],
+)
 ITEM = pa.struct([("pos", pa.int32()), ("item_id", pa.string()), ("href", pa.string()), ("media_type", pa.string()), ("properties", pa.string())])
 PLACE = pa.struct([("pos", pa.int32()), ("idref", pa.string()), ("path", pa.string()), ("linear", pa.bool_())])
 CHAPTER = pa.struct([("chapter_idx", pa.int32()), ("path", pa.string()), ("html", pa.string())])
-BOOK = pa.schema([*[(k, pa.string()) for k in ("file", "book_id", "opf_path", "title", "language", "modified", "nav_path", "ncx_path", "error_class", "message")], ("manifest", pa.list_(ITEM)), ("spine", pa.list_(PLACE)), ("chapters", pa.list_(CHAPTER)), ("labels", pa.list_(pa.string())), ("entries", pa.list_(ENTRY))])
+BOOK = pa.schema(
+    [
+        *[
+            (k, pa.string()) for k in (
+                "file",
+                "book_id",
+                "opf_path",
+                "title",
+                "language",
+                "modified",
+                "nav_path",
+                "ncx_path",
+                "error_class",
+                "message",
+            )
+        ],
+        ("manifest", pa.list_(ITEM)),
+        ("spine", pa.list_(PLACE)),
+        ("chapters", pa.list_(CHAPTER)),
+        ("labels", pa.list_(pa.string())),
+        ("entries", pa.list_(ENTRY)),
+    ],
+)
 BOOK_DDL = """file string, book_id string, opf_path string, title string, language string, modified string, nav_path string, ncx_path string, error_class string, message string,
 manifest array<struct<pos:int,item_id:string,href:string,media_type:string,properties:string>>, spine array<struct<pos:int,idref:string,path:string,linear:boolean>>,
 chapters array<struct<chapter_idx:int,path:string,html:string>>, labels array<string>,
@@ -151,14 +216,20 @@ def read_archives(files: DataFrame) -> DataFrame:
                 try:
                     row = read_book(content or b"")
                 except BookError as e:
-                    row = dict.fromkeys(BOOK.names) | {"book_id": hashlib.sha256(content or b"").hexdigest(), "error_class": e.kind, "message": str(e)}
+                    row = dict.fromkeys(BOOK.names) | {
+                        "book_id": hashlib.sha256(content or b"").hexdigest(),
+                        "error_class": e.kind,
+                        "message": str(e),
+                    }
                 yield pa.RecordBatch.from_pylist([row | {"file": path}], BOOK)
 
     return files.select("path", "content").mapInArrow(run, BOOK_DDL)
 
 
 def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
-    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").option("recursiveFileLookup", "true").load(folder))
+    return read_archives(
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").option("recursiveFileLookup", "true").load(folder),
+    )
 
 
 SEGMENTS = "book_id string, chapter_idx int, path string, pos int, kind string, text string, protected boolean, saved map<int,string>"
@@ -167,12 +238,30 @@ SEGMENTS = "book_id string, chapter_idx int, path string, pos int, kind string,
 def segment_chapters(chapters: DataFrame, policy: markup.Policy = markup.DEFAULT_POLICY) -> DataFrame:
     """(book_id, chapter_idx, path, html) to rows of blocks, numbered within their chapter."""
     ship(chapters.sparkSession)
-    schema = pa.schema([("book_id", pa.string()), ("chapter_idx", pa.int32()), ("path", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("protected", pa.bool_()), ("saved", pa.map_(pa.int32(), pa.string()))])
+    schema = pa.schema(
+        [
+            ("book_id", pa.string()),
+            ("chapter_idx", pa.int32()),
+            ("path", pa.string()),
+            ("pos", pa.int32()),
+            ("kind", pa.string()),
+            ("text", pa.string()),
+            ("protected", pa.bool_()),
+            ("saved", pa.map_(pa.int32(), pa.string())),
+        ],
+    )
 
     def run(batches):
         for batch in batches:
             for book, idx, path, source in zip(*[batch.column(k).to_pylist() for k in ("book_id", "chapter_idx", "path", "html")]):
-                rows = [b | {"book_id": book, "chapter_idx": idx, "path": path, "saved": list(b["saved"].items())} for b in markup.segment(source or "", policy)]
+                rows = [
+                    b | {
+                        "book_id": book,
+                        "chapter_idx": idx,
+                        "path": path,
+                        "saved": list(b["saved"].items()),
+                    } for b in markup.segment(source or "", policy)
+                ]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -261,7 +350,28 @@ def dos_stamp(t: tuple) -> tuple[int, int]:
 def directory_record(i: zipfile.ZipInfo, at: int, flags: int, crc: int, packed: int, size: int, extra: bytes) -> bytes:
     date, time = dos_stamp(i.date_time)
     name, note = i.filename.encode(), i.comment or b""
-    head = struct.pack("<4s4B4H3L5H2L", b"PK\1\2", i.create_version, i.create_system, i.extract_version, i.reserved, flags, i.compress_type, time, date, crc, packed, size, len(name), len(extra), len(note), 0, i.internal_attr, i.external_attr, at)
+    head = struct.pack(
+        "<4s4B4H3L5H2L",
+        b"PK\1\2",
+        i.create_version,
+        i.create_system,
+        i.extract_version,
+        i.reserved,
+        flags,
+        i.compress_type,
+        time,
+        date,
+        crc,
+        packed,
+        size,
+        len(name),
+        len(extra),
+        len(note),
+        0,
+        i.internal_attr,
+        i.external_attr,
+        at,
+    )
     return head + name + extra + note
 
 
@@ -364,7 +474,9 @@ def translated(
     """The book with translated chapters (by path, a text or null for every block), metadata, labels and an appendix of
     its glossary. Chapters without any new text are copied byte by byte."""
     book = read_book(content)
-    changed = {c["path"]: markup.render(c["html"], texts[c["path"]]).encode() for c in book["chapters"] if any(t is not None for t in texts.get(c["path"], ()))}
+    changed = {
+        c["path"]: markup.render(c["html"], texts[c["path"]]).encode() for c in book["chapters"] if any(t is not None for t in texts.get(c["path"], ()))
+    }
     z = zipfile.ZipFile(io.BytesIO(content))
     package = updated_package(z.read(book["opf_path"]), language, title, stamp)
     if labels is not None:
@@ -421,15 +533,23 @@ def new_archive(title: str, language: str, chapters: list[tuple[str, str]], ncx:
             z.writestr(i, data)
 
         add("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
-        add("META-INF/container.xml", '<?xml version="1.0"?><container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+        add(
+            "META-INF/container.xml",
+            '<?xml version="1.0"?><container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
+        )
         items = "".join(f'<item id="c{k}" href="{p}" media-type="application/xhtml+xml"/>' for k, (p, _) in enumerate(chapters))
         refs = "".join(f'<itemref idref="c{k}"/>' for k in range(len(chapters)))
         e = markup.html.escape
         if ncx is not None:
             items += f'<item id="ncx" href="toc.ncx" media-type="{NCX_TYPE}"/>'
-            points = "".join(f'<navPoint id="n{k}"><navLabel><text>{e(label, quote=False)}</text></navLabel><content src="{p}"/></navPoint>' for k, (label, (p, _)) in enumerate(zip(ncx, chapters)))
+            points = "".join(
+                f'<navPoint id="n{k}"><navLabel><text>{e(label, quote=False)}</text></navLabel><content src="{p}"/></navPoint>' for k, (label, (p, _)) in enumerate(zip(ncx, chapters))
+            )
             add("OEBPS/toc.ncx", f'<?xml version="1.0"?><ncx xmlns="{NCX[1:-1]}" version="2005-1"><navMap>{points}</navMap></ncx>')
-        add("OEBPS/content.opf", f'<?xml version="1.0"?><package xmlns="{OPF[1:-1]}" version="3.0"><metadata xmlns:dc="{DC[1:-1]}"><dc:title>{e(title)}</dc:title><dc:language>{e(language)}</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{refs}</spine></package>')
+        add(
+            "OEBPS/content.opf",
+            f'<?xml version="1.0"?><package xmlns="{OPF[1:-1]}" version="3.0"><metadata xmlns:dc="{DC[1:-1]}"><dc:title>{e(title)}</dc:title><dc:language>{e(language)}</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{refs}</spine></package>',
+        )
         links = "".join(f'<li><a href="{p}">{k + 1}</a></li>' for k, (p, _) in enumerate(chapters))
         add("OEBPS/nav.xhtml", f"<html><body><nav><ol>{links}</ol></nav></body></html>")
         for p, source in chapters:
@@ -453,11 +573,16 @@ def archives_from_blocks(blocks: DataFrame, books: DataFrame) -> DataFrame:
     def build(batches):
         for batch in batches:
             html_rows = [chapter_html([tuple(r.values()) for r in rows]) for rows in batch.column("rows").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("chapter_idx"), pa.array(html_rows)], ["book_id", "chapter_idx", "html"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("book_id"), batch.column("chapter_idx"), pa.array(html_rows)],
+                ["book_id", "chapter_idx", "html"],
+            )
 
     sources = chapters.mapInArrow(build, "book_id string, chapter_idx int, html string")
     meta = books.where("book_id is not null").groupBy("book_id").agg(F.max("title").alias("title"), F.max("language").alias("language"))
-    whole = sources.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("chapter_idx", "html"))).alias("chapters")).join(meta, "book_id", "left")
+    whole = sources.groupBy("book_id").agg(
+        F.sort_array(F.collect_list(F.struct("chapter_idx", "html"))).alias("chapters"),
+    ).join(meta, "book_id", "left")
 
     def pack(batches):
         for batch in batches:

@@ -35,7 +35,10 @@ def usage_stream(spark: SparkSession, path: str, folder: str | None = None) -> D
     """(state_key, batch_id, blocks, characters): every batch once, however often it was logged."""
     folder = folder or scratch(spark, "usage")
     epochs(read_stream(spark, path).select("state_key", "batch_id", "blocks", "characters"), folder)
-    return spark.read.parquet(f"{folder}/rows/*").groupBy("state_key", "batch_id").agg(F.max("blocks").alias("blocks"), F.max("characters").alias("characters"))
+    return spark.read.parquet(f"{folder}/rows/*").groupBy("state_key", "batch_id").agg(
+        F.max("blocks").alias("blocks"),
+        F.max("characters").alias("characters"),
+    )
 
 
 def windowed_events(spark: SparkSession, path: str, width: str = "1 day", late: str = "30 days", folder: str | None = None) -> DataFrame:
