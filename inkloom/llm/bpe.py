@@ -196,7 +196,9 @@ def decode_corpus(encoded: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/byte_bp
                 ids = part.column(1)
                 lens = np.array([len(x or ()) for x in ids.to_pylist()], dtype=np.int64)
                 flat = ids.flatten()
-                rows = pa.table({"d": np.repeat(np.arange(len(lens), dtype=np.int32), lens), "pos": np.arange(len(flat), dtype=np.int32), "tok": flat})
+                rows = pa.table(
+                    {"d": np.repeat(np.arange(len(lens), dtype=np.int32), lens), "pos": np.arange(len(flat), dtype=np.int32), "tok": flat},
+                )
                 db.register("ids", rows)
                 got = db.sql(DECODE).to_arrow_table().to_pydict()
                 texts = [""] * len(lens)

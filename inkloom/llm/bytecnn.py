@@ -121,7 +121,9 @@ def no_language(sentence: str, rng: np.random.Generator) -> str:
     table: dict[int, str] = {}
     for letters in EXCHANGED:
         to = [letters[k] for k in rng.permutation(len(letters))]
-        table |= {ord(a): b for a, b in zip(letters, to)} | {ord(a.upper()): b.upper() for a, b in zip(letters, to) if len(a.upper()) == len(b.upper()) == 1}
+        table |= {ord(a): b for a, b in zip(letters, to)} | {
+            ord(a.upper()): b.upper() for a, b in zip(letters, to) if len(a.upper()) == len(b.upper()) == 1
+        }
     return sentence.translate(table)
 
 

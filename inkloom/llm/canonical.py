@@ -144,12 +144,24 @@ def canonical_texts(df: DataFrame, keys: list[str], text_col: str = "text", carr
     parts = chars.join(mapping, "ch", "left").select(*keep, "pos", F.posexplode_outer(F.coalesce("parts", own)).alias("sub", "p"))
     # an invisible character leaves an empty string that starts nothing, so that no text is lost altogether
     gone = F.col("sub").isNull()
-    parts = parts.select(*keep, "pos", "sub", F.when(gone, F.lit("")).otherwise(F.col("p.ch")).alias("ch"), F.when(gone, 0).otherwise(F.col("p.ccc")).alias("ccc"), (~gone & F.col("p.starts")).cast("int").alias("starts"))
+    parts = parts.select(
+        *keep,
+        "pos",
+        "sub",
+        F.when(gone, F.lit("")).otherwise(F.col("p.ch")).alias("ch"),
+        F.when(gone, 0).otherwise(F.col("p.ccc")).alias("ccc"),
+        (~gone & F.col("p.starts")).cast("int").alias("starts"),
+    )
     line = Window.partitionBy(*keys).orderBy("pos", "sub")
-    clusters = parts.withColumn("cluster", F.sum("starts").over(line)).groupBy(*keep, "cluster").agg(F.sort_array(F.collect_list(F.struct("ccc", "pos", "sub", "ch"))).alias("cl"))
+    clusters = parts.withColumn("cluster", F.sum("starts").over(line)).groupBy(*keep, "cluster").agg(
+        F.sort_array(F.collect_list(F.struct("ccc", "pos", "sub", "ch"))).alias("cl"),
+    )
     strings = clusters.select(*keep, "cluster", recompose(F.col("cl"), pairs).alias("s"))
     whole = F.transform(F.sort_array(F.collect_list(F.struct("cluster", "s"))), lambda x: x["s"])
-    return strings.groupBy(*keep).agg(whole.alias("all")).select(*keep, F.when(F.col("all")[0].isNotNull(), F.trim(F.array_join("all", ""))).alias("canonical"))
+    return strings.groupBy(*keep).agg(whole.alias("all")).select(
+        *keep,
+        F.when(F.col("all")[0].isNotNull(), F.trim(F.array_join("all", ""))).alias("canonical"),
+    )
 
 
 def canonical_blocks(blocks: DataFrame) -> DataFrame:
@@ -175,7 +187,11 @@ def look_alike_classes(blocks: DataFrame) -> DataFrame:
     class, the least block of exactly its own text, and how many blocks and different texts the class has."""
     kept = look_alike_forms(blocks)
     texts = kept.groupBy("book_id", "c", "t").agg(F.min("block_id").alias("variant"), F.count(F.lit(1)).alias("n"))
-    classes = texts.groupBy("book_id", "c").agg(F.min("variant").alias("representative"), F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("variants"))
+    classes = texts.groupBy("book_id", "c").agg(
+        F.min("variant").alias("representative"),
+        F.sum("n").alias("blocks"),
+        F.count(F.lit(1)).alias("variants"),
+    )
     rows = kept.join(texts.drop("n"), ["book_id", "c", "t"]).join(classes, ["book_id", "c"])
     return rows.select("book_id", "block_id", "representative", "variant", "blocks", "variants")
 

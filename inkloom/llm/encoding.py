@@ -312,7 +312,10 @@ def summed(tokens: DataFrame) -> list[np.ndarray]:
         total = np.zeros(PART, np.int64)
         for blob in t["counts"].to_pylist():
             total += np.frombuffer(zlib.decompress(blob), np.int64)
-        return pa.Table.from_pylist([{"kind": t["kind"][0].as_py(), "part": t["part"][0].as_py(), "counts": zlib.compress(total.astype(np.float32).tobytes(), 1)}], PACKED)
+        return pa.Table.from_pylist(
+            [{"kind": t["kind"][0].as_py(), "part": t["part"][0].as_py(), "counts": zlib.compress(total.astype(np.float32).tobytes(), 1)}],
+            PACKED,
+        )
 
     rows = tokens.select("token", "n").mapInArrow(count, PARTS).groupBy("kind", "part").applyInArrow(add, PARTS)
     out = [np.zeros(BUCKETS, np.float32) for _ in range(TRI + BI)] + [np.zeros(CHARACTERS, np.float32)]
@@ -489,7 +492,9 @@ def weighed(candidates: DataFrame, model_of, n_words: float, least: float) -> Da
                 gain = score(row, new) - base[row]
                 if gain > least:
                     found.setdefault(row, []).append((chain, min(gain, MOST_GAIN) + BEYOND * max(0.0, gain - MOST_GAIN), new))
-            rows = [(c["token"][r], *map(list, zip(*found[r])), c["lost"][r]) if r in found else (c["token"][r], [], [], [], True) for r in range(batch.num_rows) if r in found or c["lost"][r]]
+            rows = [
+                (c["token"][r], *map(list, zip(*found[r])), c["lost"][r]) if r in found else (c["token"][r], [], [], [], True) for r in range(batch.num_rows) if r in found or c["lost"][r]
+            ]
             if rows:
                 types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["token", "chains", "gains", "news", "lost"])
@@ -530,7 +535,10 @@ def posteriors(suspects: DataFrame, sizes: DataFrame) -> DataFrame:
     local = None
     # likelihoods are relative to the greatest one, or to that of being clean, so that no exponential overflows
     top = F.greatest(F.coalesce(F.array_max(F.transform("ev", lambda e: e["gain"])), F.lit(0.0)), F.lit(0.0))
-    now = suspects.join(sizes, ["source", "field"]).withColumn("top", top).withColumn("ev", F.transform("ev", lambda e: F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), F.lit(0.0).alias("p"))))
+    now = suspects.join(sizes, ["source", "field"]).withColumn("top", top).withColumn(
+        "ev",
+        F.transform("ev", lambda e: F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), F.lit(0.0).alias("p"))),
+    )
     for _ in range(ROUNDS):
         if not share:
             break
@@ -543,8 +551,16 @@ def posteriors(suspects: DataFrame, sizes: DataFrame) -> DataFrame:
             prior = (FIELD_WEIGHT * F.get(F.col("prior"), e["chain"]) + F.greatest(F.lit(0.0), own - e["p"])) / (FIELD_WEIGHT + F.col("n") - 1)
             return F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), (prior * F.exp(e["gain"] - F.col("top"))).alias("p"))
 
-        rows = rows.withColumn("prior", prior_of).withColumn("ev", F.transform("ev", odds)).withColumn("all", F.aggregate("ev", F.exp(-F.col("top")), lambda s, e: s + e["p"]))
-        now = cut(rows.withColumn("ev", F.transform("ev", lambda e: F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), (e["p"] / F.col("all")).alias("p")))).drop("own", "all", "prior"))
+        rows = rows.withColumn("prior", prior_of).withColumn("ev", F.transform("ev", odds)).withColumn(
+            "all",
+            F.aggregate("ev", F.exp(-F.col("top")), lambda s, e: s + e["p"]),
+        )
+        now = cut(
+            rows.withColumn(
+                "ev",
+                F.transform("ev", lambda e: F.struct(e["chain"].alias("chain"), e["gain"].alias("gain"), (e["p"] / F.col("all")).alias("p"))),
+            ).drop("own", "all", "prior"),
+        )
         flat = now.select("source", "field", F.explode("ev").alias("e")).groupBy("source", "field", F.col("e.chain").alias("chain")).agg(F.sum("e.p").alias("p"))
         local = flat.groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "p"))).alias("own"))
         sums = {(r["field"], r["chain"]): r["s"] for r in flat.groupBy("field", "chain").agg(F.sum("p").alias("s")).collect()}
@@ -576,7 +592,9 @@ def detect(records: DataFrame, repair: bool = True) -> DataFrame:
     tables = summed(plain)
     counts = word_counts(plain)
     candidates = tokens.where("size(chains) > 0 or lost")
-    needed = cut(candidates.select(F.explode("need").alias("word")).distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    needed = cut(
+        candidates.select(F.explode("need").alias("word")).distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n")),
+    )
     n_words = float(plain.agg(F.sum("n")).head()[0] or 1)
 
     def weights_of(tables: list[np.ndarray], numbers: DataFrame, among: DataFrame, least: float) -> DataFrame:
@@ -603,7 +621,11 @@ def detect(records: DataFrame, repair: bool = True) -> DataFrame:
         found = cut(posteriors(evidence(theirs, weights), sizes))
     found = found.where("lost or chain is not null")
     names = F.when(F.col("chain").isNotNull(), F.get(F.array(*map(F.lit, NAMES)), F.col("chain")))
-    rows = found.select(*KEY, F.coalesce(names, F.lit(LOST)).alias("chain"), F.when(F.col("chain").isNull(), 1.0).otherwise(F.col("posterior")).alias("posterior"))
+    rows = found.select(
+        *KEY,
+        F.coalesce(names, F.lit(LOST)).alias("chain"),
+        F.when(F.col("chain").isNull(), 1.0).otherwise(F.col("posterior")).alias("posterior"),
+    )
     if not repair:
         return rows
     news = changes(theirs, weights, found).groupBy(*KEY).agg(F.collect_set(F.struct("token", "new")).alias("news"))

@@ -99,7 +99,18 @@ def classify(texts: list[str | None], model: net.ByteCnn) -> list[list[tuple[int
 
 
 SEGMENTS = "array<struct<start:int,stop:int,language:string,confidence:double,probs:array<float>,surest:array<double>>>"
-STRUCT = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("probs", pa.list_(pa.float32())), ("surest", pa.list_(pa.float64()))]))
+STRUCT = pa.list_(
+    pa.struct(
+        [
+            ("start", pa.int32()),
+            ("stop", pa.int32()),
+            ("language", pa.string()),
+            ("confidence", pa.float64()),
+            ("probs", pa.list_(pa.float32())),
+            ("surest", pa.list_(pa.float64())),
+        ],
+    ),
+)
 
 
 def segments_of(sentences: list) -> list[dict]:
@@ -140,7 +151,13 @@ def block_languages(blocks: DataFrame, books: DataFrame, bound: int = TRAIN_BLOC
                     mean = np.mean([s[4] for s in sents], axis=0) if sents else None
                     lang.append(None if mean is None else net.CLASSES[int(mean.argmax())])
                     conf.append(None if mean is None else float(mean.max()))
-                columns = [part.column("book_id"), part.column("block_id"), pa.array(lang, pa.string()), pa.array(conf, pa.float64()), pa.array([segments_of(s) for s in got], STRUCT)]
+                columns = [
+                    part.column("book_id"),
+                    part.column("block_id"),
+                    pa.array(lang, pa.string()),
+                    pa.array(conf, pa.float64()),
+                    pa.array([segments_of(s) for s in got], STRUCT),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["book_id", "block_id", "language", "confidence", "segments"])
 
     return cut(usable.mapInArrow(run, f"book_id string, block_id long, language string, confidence double, segments {SEGMENTS}"))

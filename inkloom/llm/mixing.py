@@ -79,7 +79,10 @@ def token_sizes(documents: DataFrame, tokenizers: list[str], folder: str = TOKEN
                 part = batch.slice(at, 1000)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for n in tokenizers:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([n] * len(texts)), pa.array(count[n](texts), pa.int64())], ["doc_id", "source", "tokenizer", "tokens"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), part.column("source"), pa.array([n] * len(texts)), pa.array(count[n](texts), pa.int64())],
+                        ["doc_id", "source", "tokenizer", "tokens"],
+                    )
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     docs = spread(rows, "doc_id").groupBy("doc_id").agg(F.max(F.struct("source", "text")).alias("r")).select("doc_id", "r.source", "r.text")
@@ -107,12 +110,25 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
 class Mixture:
     """Quotas, uses and sequence of every plan over one documents table."""
 
-    def __init__(self, documents: DataFrame, plans: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, folder: str = TOKENIZER_DIR):
+    def __init__(
+        self,
+        documents: DataFrame,
+        plans: DataFrame,
+        targets: DataFrame,
+        block_tokens: int = BLOCK_TOKENS,
+        shard_tokens: int = SHARD_TOKENS,
+        seed: int = SEED,
+        folder: str = TOKENIZER_DIR,
+    ):
         self.spark, self.block_tokens, self.shard_tokens, self.seed = documents.sparkSession, block_tokens, shard_tokens, seed
         plan_rows = rows_of(plans.where("plan_id is not null").groupBy("plan_id").agg(F.max(F.struct("size_ratio", "tokenizer")).alias("p")))
         self.plans = {r.plan_id: (r.p.size_ratio or 0.0, r.p.tokenizer) for r in plan_rows}
-        target_rows = rows_of(targets.where("plan_id is not null and source is not null").groupBy("plan_id", "source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")))
-        self.targets = {(r.plan_id, r.source): (r.t.target_share or 0.0, max(0, r.t.max_repeats or 0)) for r in target_rows if r.plan_id in self.plans}
+        target_rows = rows_of(
+            targets.where("plan_id is not null and source is not null").groupBy("plan_id", "source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")),
+        )
+        self.targets = {
+            (r.plan_id, r.source): (r.t.target_share or 0.0, max(0, r.t.max_repeats or 0)) for r in target_rows if r.plan_id in self.plans
+        }
         names = sorted({t for _, t in self.plans.values() if t})
         self.sizes = cut(token_sizes(documents, names, folder))
         self._plan()
@@ -188,7 +204,11 @@ class Mixture:
         by_record = within.where("all is null and sub = last").withColumn("run", F.sum("tokens").over(line)).where("run <= rest and tokens > 0").select(*columns, F.lit(True).alias("single"))
         drawn = cut(by_sub.unionByName(by_record))
         filled = drawn.where("single").groupBy("plan_id", "source").agg(F.sum("tokens").alias("filled"))
-        still = rest.join(filled, ["plan_id", "source"], "left").select("plan_id", "source", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("left")).where("left > 0")
+        still = rest.join(filled, ["plan_id", "source"], "left").select(
+            "plan_id",
+            "source",
+            (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("left"),
+        ).where("left > 0")
         free = self.blocked.join(edge.where("partial is not null"), ["tokenizer", "source"]).where("tokens > 0").join(more, ["plan_id", "source", "block"], "left").where("more is null")
         free = free.join(drawn.select("plan_id", "source", "doc_id"), ["plan_id", "source", "doc_id"], "left_anti").join(still, ["plan_id", "source"])
         miss = F.abs(F.col("left") - F.col("tokens"))
@@ -233,18 +253,39 @@ class Mixture:
     def shares(self) -> DataFrame:
         """Per plan and named source: target and reached tokens and shares."""
         rows = [(p, s, t, r, float(q[0]), int(q[1])) for (p, s), (t, r) in self.targets.items() for q in [self.quota[p, s]]]
-        goal = self.spark.createDataFrame(rows, "plan_id string, source string, target_share double, max_repeats int, target_tokens double, source_tokens long")
+        goal = self.spark.createDataFrame(
+            rows,
+            "plan_id string, source string, target_share double, max_repeats int, target_tokens double, source_tokens long",
+        )
         used = F.col("tokens") * F.col("times")
-        got = self.uses.where("times > 0").groupBy("plan_id", "source").agg(F.sum(used).alias("tokens"), F.sum("times").cast("long").alias("records"), F.max("times").alias("most_repeats"))
+        got = self.uses.where("times > 0").groupBy("plan_id", "source").agg(
+            F.sum(used).alias("tokens"),
+            F.sum("times").cast("long").alias("records"),
+            F.max("times").alias("most_repeats"),
+        )
         all_of = Window.partitionBy("plan_id")
         both = goal.join(got, ["plan_id", "source"], "left").na.fill({"tokens": 0, "records": 0, "most_repeats": 0})
-        return both.withColumn("reached_share", F.try_divide("tokens", F.sum("tokens").over(all_of))).withColumn("reached_of_target", F.when(F.col("target_tokens") > 0, F.col("tokens") / F.col("target_tokens")))
+        return both.withColumn("reached_share", F.try_divide("tokens", F.sum("tokens").over(all_of))).withColumn(
+            "reached_of_target",
+            F.when(F.col("target_tokens") > 0, F.col("tokens") / F.col("target_tokens")),
+        )
 
     def sequence(self) -> DataFrame:
         """(plan_id, shard, position_key, doc_id, source, tokens, copy): the mixture; sort a shard by position_key."""
         plan = self.spark.createDataFrame([(p, n) for p, (_, n) in self.plans.items()], "plan_id string, tokenizer string")
         sized = self.blocked.join(plan, "tokenizer")
         whole = sized.join(self.draw.where("block is not null"), ["plan_id", "source", "block"])
-        ones = self.edge.join(self.draw.where("block is null").drop("block"), ["plan_id", "source", "copy"]).join(sized, ["plan_id", "source", "doc_id"])
-        cols = ["plan_id", "shard", F.xxhash64(F.lit(self.seed + 3), "plan_id", "doc_id", "copy").alias("position_key"), "doc_id", "source", "tokens", "copy"]
+        ones = self.edge.join(
+            self.draw.where("block is null").drop("block"),
+            ["plan_id", "source", "copy"],
+        ).join(sized, ["plan_id", "source", "doc_id"])
+        cols = [
+            "plan_id",
+            "shard",
+            F.xxhash64(F.lit(self.seed + 3), "plan_id", "doc_id", "copy").alias("position_key"),
+            "doc_id",
+            "source",
+            "tokens",
+            "copy",
+        ]
         return whole.select(*cols).unionByName(ones.select(*cols))

@@ -127,7 +127,16 @@ def pack_items(items: DataFrame, chunk_items: int = CHUNK_ITEMS, fan: int = FAN,
     )
     spread = parts.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / chunk_items).alias("chunks"))
     parts = cut(parts.join(spread, "grp"))
-    level = parts.select("grp", "unit", "size", F.lit(1).cast("long").alias("n"), "cap", "max_n", "chunks", F.pmod(F.xxhash64("unit"), F.col("chunks")).alias("chunk"))
+    level = parts.select(
+        "grp",
+        "unit",
+        "size",
+        F.lit(1).cast("long").alias("n"),
+        "cap",
+        "max_n",
+        "chunks",
+        F.pmod(F.xxhash64("unit"), F.col("chunks")).alias("chunk"),
+    )
     rounds, most = 0, parts.agg(F.max("chunks")).head()[0] or 1
     chain = None  # unit -> the unit that carries it in this round
     placed = None  # grp, unit, round, chunk, bin of the finished pieces
@@ -149,8 +158,23 @@ def pack_items(items: DataFrame, chunk_items: int = CHUNK_ITEMS, fan: int = FAN,
         level = (
             level.join(got.where(~F.col("final")).select("grp", "unit", "bin"), ["grp", "unit"])
             .groupBy("grp", "chunk", "bin")
-            .agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.first("cap").alias("cap"), F.first("max_n").alias("max_n"), F.first("chunks").alias("chunks"))
-            .select("grp", F.concat_ws(".", F.lit(str(rounds - 1)), F.col("chunk").cast("string"), F.col("bin").cast("string")).alias("unit"), "size", "n", "cap", "max_n", F.ceil(F.col("chunks") / fan).alias("chunks"), F.floor(F.col("chunk") / fan).alias("chunk"))
+            .agg(
+                F.sum("size").alias("size"),
+                F.sum("n").alias("n"),
+                F.first("cap").alias("cap"),
+                F.first("max_n").alias("max_n"),
+                F.first("chunks").alias("chunks"),
+            )
+            .select(
+                "grp",
+                F.concat_ws(".", F.lit(str(rounds - 1)), F.col("chunk").cast("string"), F.col("bin").cast("string")).alias("unit"),
+                "size",
+                "n",
+                "cap",
+                "max_n",
+                F.ceil(F.col("chunks") / fan).alias("chunks"),
+                F.floor(F.col("chunk") / fan).alias("chunk"),
+            )
         )
     # dense ids: bins of a chunk after those of all chunks before it
     order = Window.partitionBy("grp").orderBy("round", "chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,19 +193,50 @@ def run_items(runs: DataFrame, blocks: DataFrame, providers: DataFrame) -> DataF
     usable = blocks.withColumn("chars", F.when(~F.coalesce("protected", F.lit(False)) & ~is_blank(F.col("text")), F.length("text").cast("long")))
     b = latest_blocks(usable, "chars").where("chars is not null")
     # a short table of runs is broadcast, so that no book meets in one task
-    return b.join(small_side(r.join(p, "provider_id", "left")), "book_id").select(F.col("state_key").alias("grp"), F.col("block_id").cast("string").alias("item"), F.col("chars").alias("size"), "cap", "max_n")
+    return b.join(small_side(r.join(p, "provider_id", "left")), "book_id").select(
+        F.col("state_key").alias("grp"),
+        F.col("block_id").cast("string").alias("item"),
+        F.col("chars").alias("size"),
+        "cap",
+        "max_n",
+    )
 
 
 def plan_batches(runs: DataFrame, blocks: DataFrame, providers: DataFrame, **how) -> DataFrame:
     """(state_key, block_id, piece, start, n_chars, batch_id)."""
     got = pack_items(run_items(runs, blocks, providers), **how)
-    return got.select(F.col("grp").alias("state_key"), F.col("item").cast("long").alias("block_id"), "piece", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("n_chars"), "batch_id")
+    return got.select(
+        F.col("grp").alias("state_key"),
+        F.col("item").cast("long").alias("block_id"),
+        "piece",
+        F.col("start").cast("long").alias("start"),
+        F.col("size").cast("long").alias("n_chars"),
+        "batch_id",
+    )
 
 
 def fill_report(runs: DataFrame, blocks: DataFrame, providers: DataFrame, **how) -> DataFrame:
     """Per run: batches, the least number that could do by either limit, and the share of full places."""
     items = run_items(runs, blocks, providers)
-    sums = items.groupBy(F.col("grp").alias("state_key")).agg(F.sum("size").alias("chars"), F.first("cap").alias("cap"), F.first("max_n").alias("max_n"))
-    made = plan_batches(runs, blocks, providers, **how).groupBy("state_key").agg((F.max("batch_id") + 1).alias("batches"), F.count(F.lit(1)).alias("pieces"))
-    least = F.greatest(F.lit(1), F.coalesce(F.ceil(F.col("chars") / F.col("cap")), F.lit(1)), F.coalesce(F.ceil(F.col("pieces") / F.col("max_n")), F.lit(1)))
-    return sums.join(made, "state_key").select("state_key", "pieces", "chars", "batches", least.alias("least_batches"), (least / F.col("batches")).alias("fill"))
+    sums = items.groupBy(F.col("grp").alias("state_key")).agg(
+        F.sum("size").alias("chars"),
+        F.first("cap").alias("cap"),
+        F.first("max_n").alias("max_n"),
+    )
+    made = plan_batches(runs, blocks, providers, **how).groupBy("state_key").agg(
+        (F.max("batch_id") + 1).alias("batches"),
+        F.count(F.lit(1)).alias("pieces"),
+    )
+    least = F.greatest(
+        F.lit(1),
+        F.coalesce(F.ceil(F.col("chars") / F.col("cap")), F.lit(1)),
+        F.coalesce(F.ceil(F.col("pieces") / F.col("max_n")), F.lit(1)),
+    )
+    return sums.join(made, "state_key").select(
+        "state_key",
+        "pieces",
+        "chars",
+        "batches",
+        least.alias("least_batches"),
+        (least / F.col("batches")).alias("fill"),
+    )

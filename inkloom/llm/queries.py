@@ -116,7 +116,27 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_restored, p3_batches, p3_fill, p4_found, p4_books, p4_segments, p5_found, p5_classes, p5_canonical, p6_ids, p6_round_trip, p7_uses, p7_shares, p7_sequence, p8_found, p8_spans, p8_coverage)
+    for f in (
+        p1_found,
+        p2_found,
+        p2_restored,
+        p3_batches,
+        p3_fill,
+        p4_found,
+        p4_books,
+        p4_segments,
+        p5_found,
+        p5_classes,
+        p5_canonical,
+        p6_ids,
+        p6_round_trip,
+        p7_uses,
+        p7_shares,
+        p7_sequence,
+        p8_found,
+        p8_spans,
+        p8_coverage,
+    )
 }
 
 #: SQL: all 200-character windows, and those that stand in two documents.
@@ -150,7 +170,10 @@ ORACLE: dict[str, str] = {
     + """, t AS (SELECT book_id, form, text, min(block_id) AS variant, count(*) AS n FROM u GROUP BY ALL),
     k AS (SELECT book_id, form, min(variant) AS representative, sum(n)::BIGINT AS blocks, count(*) AS variants FROM t GROUP BY ALL HAVING count(*) > 1)
     SELECT u.book_id, u.block_id, k.representative, t.variant, k.blocks, k.variants FROM u JOIN k USING (book_id, form) JOIN t USING (book_id, form, text)""",
-    "p6_round_trip": "SELECT doc_id, coalesce(length(max(text)), 0)::BIGINT AS n_chars, true AS same FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id",
+    "p6_round_trip": (
+        "SELECT doc_id, coalesce(length(max(text)), 0)::BIGINT AS n_chars, true AS same FROM documents WHERE doc_id IS NOT NULL"
+        " GROUP BY doc_id"
+    ),
     "p8_found": WINDOWS + " SELECT DISTINCT doc_id FROM h",
     "p8_coverage": WINDOWS
     + """, g AS (SELECT doc_id, sum(least(200, coalesce(i - before, 200)))::BIGINT AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM h) GROUP BY doc_id)

@@ -167,7 +167,9 @@ class SpanIndex:
         files, place = self._folder(f"{self.path}/manifest")
         if not files.exists(place):
             return
-        done = [f.getPath().getName() for f in files.listStatus(place) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        done = [
+            f.getPath().getName() for f in files.listStatus(place) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))
+        ]
         if not done:
             return
         got = json.loads(self.spark.read.text(f"{self.path}/manifest/{max(done)}").head().value)
@@ -185,7 +187,9 @@ class SpanIndex:
         """A run as a table that the planner knows to be bucketed and sorted."""
         if run not in self.tables:
             self.tables[run] = f"{self.name}_{run.replace('-', '_')}"
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.tables[run]} (h BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {self.tables[run]} (h BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'",
+            )
         return self.spark.table(self.tables[run])
 
     def _write(self, postings: DataFrame, level: int) -> str:
@@ -271,7 +275,15 @@ def candidate_windows(docs: DataFrame, shared: DataFrame, min_chars: int, gram:
                 offset = np.fromiter((x[1] for x in group), np.int64, len(group))[record]
                 for lo in range(0, len(h), 200_000):
                     s = slice(lo, lo + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(k[s].view(np.int64)), pa.array(owner[s]), pa.array((spans - starts[record] + offset)[s])], ["h", "k", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(h[s].view(np.int64)),
+                            pa.array(k[s].view(np.int64)),
+                            pa.array(owner[s]),
+                            pa.array((spans - starts[record] + offset)[s]),
+                        ],
+                        ["h", "k", "doc_id", "pos"],
+                    )
 
     return rows.mapInArrow(run, "h long, k long, doc_id long, pos long")
 
@@ -286,7 +298,12 @@ def passages(docs: DataFrame, shared: DataFrame, min_chars: int = MIN_CHARS, gra
     place = F.struct("doc_id", "pos")
     ends = windows.groupBy("h", "k").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.doc_id < hi.doc_id")
     partner = F.when(F.col("doc_id") == F.col("lo.doc_id"), F.col("hi")).otherwise(F.col("lo"))
-    hits = windows.join(ends, ["h", "k"]).select("doc_id", "pos", partner.alias("p")).select("doc_id", "pos", F.col("p.doc_id").alias("other_id"), (F.col("p.pos") - F.col("pos")).alias("shift"))
+    hits = windows.join(ends, ["h", "k"]).select("doc_id", "pos", partner.alias("p")).select(
+        "doc_id",
+        "pos",
+        F.col("p.doc_id").alias("other_id"),
+        (F.col("p.pos") - F.col("pos")).alias("shift"),
+    )
     line = Window.partitionBy("doc_id", "other_id", "shift").orderBy("pos")
     runs = (
         hits.withColumn("n", F.row_number().over(line))
@@ -312,7 +329,14 @@ def by_id(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def shared_spans(documents: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_spans(
+    documents: DataFrame,
+    batches: int = 3,
+    min_chars: int = MIN_CHARS,
+    gram: int = GRAM,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """Passages over a whole table, taken up in ``batches`` as a growing corpus would be."""
     spark = documents.sparkSession
     docs = by_id(documents, id_col, text_col)
@@ -334,4 +358,9 @@ def coverage(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
     n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     all_docs = one_text(documents, id_col, text_col).select("doc_id", n.alias("n_chars"))
     got = F.coalesce("shared_chars", F.lit(0)).cast("long")
-    return all_docs.join(covered, "doc_id", "left").select("doc_id", "n_chars", got.alias("shared_chars"), F.when(F.col("n_chars") > 0, got / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"))
+    return all_docs.join(covered, "doc_id", "left").select(
+        "doc_id",
+        "n_chars",
+        got.alias("shared_chars"),
+        F.when(F.col("n_chars") > 0, got / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"),
+    )

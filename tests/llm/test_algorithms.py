@@ -58,11 +58,31 @@ def test_only_oversized_items_are_split():
 
 
 def test_plan_batches_edges(spark):
-    runs = spark.createDataFrame([("s", "b", "p"), ("s", "b", "p"), ("t", "b", None), (None, "b", "p"), ("u", "none", "p")], "state_key string, book_id string, provider_id string")
-    blocks = spark.createDataFrame([("b", 1, "x" * 25, False), ("b", 1, "x" * 25, False), ("b", 2, None, False), ("b", 3, " ", False), ("b", 4, "code", True), ("b", 5, "y", None)], "book_id string, block_id long, text string, protected boolean")
+    runs = spark.createDataFrame(
+        [("s", "b", "p"), ("s", "b", "p"), ("t", "b", None), (None, "b", "p"), ("u", "none", "p")],
+        "state_key string, book_id string, provider_id string",
+    )
+    blocks = spark.createDataFrame(
+        [
+            ("b", 1, "x" * 25, False),
+            ("b", 1, "x" * 25, False),
+            ("b", 2, None, False),
+            ("b", 3, " ", False),
+            ("b", 4, "code", True),
+            ("b", 5, "y", None),
+        ],
+        "book_id string, block_id long, text string, protected boolean",
+    )
     providers = spark.createDataFrame([("p", 10, None), ("p", 10, None)], "provider_id string, max_batch_chars int, max_batch_items int")
     got = packing.plan_batches(runs, blocks, providers).orderBy("state_key", "block_id", "piece").collect()
-    assert [(r.state_key, r.block_id, r.piece, r.start, r.n_chars) for r in got] == [("s", 1, 0, 0, 10), ("s", 1, 1, 10, 10), ("s", 1, 2, 20, 5), ("s", 5, 0, 0, 1), ("t", 1, 0, 0, 25), ("t", 5, 0, 0, 1)]
+    assert [(r.state_key, r.block_id, r.piece, r.start, r.n_chars) for r in got] == [
+        ("s", 1, 0, 0, 10),
+        ("s", 1, 1, 10, 10),
+        ("s", 1, 2, 20, 5),
+        ("s", 5, 0, 0, 1),
+        ("t", 1, 0, 0, 25),
+        ("t", 5, 0, 0, 1),
+    ]
     assert packing.plan_batches(runs.limit(0), blocks, providers).count() == 0
     assert packing.plan_batches(runs, blocks.limit(0), providers).count() == 0
 
@@ -79,7 +99,19 @@ def library_ids(texts):
 
 
 def test_encoding_equals_the_library(spark):
-    texts = ["", " ", "Hello  world's\n\n\tx", "<|endoftext|> a", "é è ﬁ 漢字 😀 ́", "a" * 3000, "=" * 2001 + " " * 1500 + "z", "aaa aaaa aaaaa", "x\r\ny\u0085z", "1234567 ١٢٣", "{" * 40]
+    texts = [
+        "",
+        " ",
+        "Hello  world's\n\n\tx",
+        "<|endoftext|> a",
+        "é è ﬁ 漢字 😀 ́",
+        "a" * 3000,
+        "=" * 2001 + " " * 1500 + "z",
+        "aaa aaaa aaaaa",
+        "x\r\ny\u0085z",
+        "1234567 ١٢٣",
+        "{" * 40,
+    ]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, "", "s"), (50, None, "s"), (None, "lost", "s")]
     docs = documents(spark, rows)
     got = {r.doc_id: r.ids for r in bpe.encode_corpus(docs).collect()}
@@ -95,10 +127,18 @@ def test_encoding_equals_the_library(spark):
 def test_mixture(spark):
     rnd = random.Random(2)
     words = "the of and lamp harbour queen".split()
-    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 40))), "big") for i in range(400)] + [(1000 + i, "a b c", "small") for i in range(5)] + [(2000, "x y", None), (2001, None, "big"), (2002, "", "small"), (1000, "a b c", "small")]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 40))), "big") for i in range(400)] + [(1000 + i, "a b c", "small") for i in range(5)] + [
+        (2000, "x y", None),
+        (2001, None, "big"),
+        (2002, "", "small"),
+        (1000, "a b c", "small"),
+    ]
     docs = documents(spark, rows)
     plans = spark.createDataFrame([("p", 0.5, "byte_bpe_50k")], "plan_id string, size_ratio double, tokenizer string")
-    targets = spark.createDataFrame([("p", "big", 0.7, 2), ("p", "small", 0.2, 3), ("p", "ghost", 0.1, 1), ("q", "big", 1.0, 1)], "plan_id string, source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame(
+        [("p", "big", 0.7, 2), ("p", "small", 0.2, 3), ("p", "ghost", 0.1, 1), ("q", "big", 1.0, 1)],
+        "plan_id string, source string, target_share double, max_repeats int",
+    )
     m = mixing.Mixture(docs, plans, targets, block_tokens=125, shard_tokens=1000)
     assert m.blocks > 20
     uses = m.counts().collect()
@@ -228,7 +268,10 @@ def test_look_alike_pairs(spark):
         ("b", 5, "The cafe", False), ("b", 6, "The café!", False), ("b", 7, "the café", False), ("b", 8, "The café", True), ("c", 9, "The café", False),
         ("b", 10, None, False), ("b", 11, " ", False), ("b", 12, " ", False), ("b", 13, "​", False), ("b", None, "The café", False), ("b", 14, "x²", None), ("b", 15, "x2", None), ("b", 16, "a–b", False), ("b", 17, "a-b", False), ("b", 18, "a‑b", False),
     ]
-    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "book_id string, block_id long, text string, protected boolean, cluster int, canonical string")
+    df = spark.createDataFrame(
+        [(*r, 0, "x") for r in rows],
+        "book_id string, block_id long, text string, protected boolean, cluster int, canonical string",
+    )
     got = {(r.book_id, r.block_a, r.block_b) for r in canonical.look_alike_pairs(df).collect()}
     assert got == {("b", 1, 2), ("b", 1, 3), ("b", 2, 3), ("b", 2, 4), ("b", 3, 4), ("b", 17, 18)}
     assert canonical.look_alike_pairs(df.limit(0)).count() == 0
