@@ -38,34 +38,90 @@ from inkloom.session import checked_broadcast, latest_blocks, spread, stored
 
 #: For each language, phrases of inability or declining, and of the task that is declined.
 REFUSAL_GRAMMAR = {
-    "en": (r"can't|cannot|can not|unable to|not able to|not allowed|not permitted|won't be able|declin\w+|refuse\w*|reject\w*|isn't possible|is not possible|not possible", r"translat\w*|this (?:text|passage|excerpt|request|content|material)|what you sent"),
-    "es": (r"no puedo|no me es posible|no es posible|no tengo permitido|no se me permite|no estoy autorizad\w+|rechaz\w+|negarme|declin\w+|me resulta imposible|es imposible", r"traduc\w+|traducir\w*|este (?:texto|pasaje|contenido|fragmento|material)|esta (?:solicitud|petición)"),
-    "pt": (r"não posso|não me é permitido|não me é possível|não é possível|não consigo|não estou autorizad\w+|recus\w+|declin\w+|é impossível", r"tradu\w+|(?:d?est[ea]|ess[ea]) (?:texto|trecho|conteúdo|pedido|material|solicitação)"),
-    "fr": (r"ne peux pas|ne puis|impossible de|n'est pas possible|refus\w+|déclin\w+|ne suis pas autorisée?|ne suis pas en mesure|ne m'est pas permis", r"tradu\w+|ce (?:texte|passage|contenu|document)|cet extrait|cette (?:demande|requête)"),
-    "de": (r"kann\b.*\bnicht|darf\b.*\bnicht|nicht möglich|unmöglich|ablehn\w+|abzulehnen|verweiger\w*|lehne\b.*\bab|nicht gestattet|nicht in der lage", r"übersetz\w*|diese[nsr]? (?:text\w*|inhalt\w*|anfrage|abschnitt\w*|passage)"),
-    "it": (r"non posso|non mi è possibile|non è possibile|non sono autorizzat\w+|non sono in grado|non riesco|rifiut\w+|declin\w+|impossibile", r"tradu\w+|quest[oa] (?:testo|brano|contenuto|richiesta|passaggio|materiale)"),
-    "nl": (r"kan\b.*\bniet|kan geen|mag\b.*\bniet|niet mogelijk|onmogelijk|weiger\w*|niet in staat|niet toegestaan", r"verta\w+|deze (?:tekst|passage|inhoud|vraag)|dit (?:fragment|verzoek|materiaal)"),
-    "sv": (r"kan\b.*\binte|får\b.*\binte|omöjligt|vägra\w*|inte möjligt|inte tillåt\w+", r"översätt\w*|den här (?:texten|passagen|begäran)|det här (?:innehållet|stycket|materialet)|denna (?:text|begäran)"),
-    "da": (r"kan\b.*\bikke|må\b.*\bikke|umuligt|nægte\w*|afvise\w*|ikke muligt|ikke tilladt", r"oversæt\w*|denne (?:tekst|passage|anmodning)|dette (?:indhold|afsnit|materiale)"),
-    "no": (r"kan\b.*\bikke|får\b.*\bikke|umulig|nekte\w*|avslå\w*|ikke mulig|ikke tillatt", r"oversett\w*|denne (?:teksten|passasjen|forespørselen)|dette (?:innholdet|avsnittet|materialet)"),
-    "pl": (r"nie mogę|nie jestem w stanie|nie wolno mi|niemożliwe|odmawiam|odmówić|nie jest możliwe", r"(?:prze)?tłumacz\w*|przetłumaczyć|(?:tego|ten) (?:tekst\w*|fragment\w*)|tej (?:treści|prośby)|tę prośbę"),
-    "cs": (r"nemohu|nemůžu|nesmím|nelze|není možné|odmítám|odmítnout|nejsem schop\w+", r"přel[oož]\w+|překl\w+|tento (?:text|úryvek|požadavek|obsah)|tuto (?:žádost|pasáž)"),
-    "ro": (r"nu pot|nu am voie|nu este posibil|imposibil|refuz\w*|nu sunt autorizat\w*", r"tradu\w+|acest (?:text|fragment|conținut)|această (?:solicitare|cerere)"),
-    "hu": (r"nem tudom|nem tudok|nem lehet\w*|nem áll módomban|visszautasít\w*|megtagad\w*", r"fordít\w*|lefordít\w*|(?:ezt|ennek) a[z]? (?:szöveg\w*|kérés\w*|tartal\w*|részlet\w*)"),
-    "fi": (r"en voi|en pysty|en saa|ei ole mahdollista|mahdotonta|kieltäydy\w*", r"kään\w+|tätä (?:tekstiä|sisältöä|kohtaa)|tä(?:hän|män) (?:pyyntö\w*|teksti\w*)"),
-    "tr": (r"emem\b|amam\b|emiyorum\b|amıyorum\b|emeyeceğim\b|amayacağım\b|mümkün değil|imkansız|redded|reddet", r"çevir\w*|çeviri\w*|tercüme\w*|bu (?:metn\w*|metin|içeri\w*|isteğ\w*|istek)"),
-    "el": (r"δεν μπορώ|δεν μου επιτρέπεται|αδύνατο\w*|αρνούμαι|δεν είναι δυνατ\w+", r"μεταφρ\w+|αυτ\w+ τ\w+ (?:κείμεν\w+|απόσπασμ\w+|περιεχόμεν\w+|αίτημ\w+)"),
+    "en": (
+        r"can't|cannot|can not|unable to|not able to|not allowed|not permitted|won't be able|declin\w+|refuse\w*|reject\w*|isn't possible|is not possible|not possible",
+        r"translat\w*|this (?:text|passage|excerpt|request|content|material)|what you sent",
+    ),
+    "es": (
+        r"no puedo|no me es posible|no es posible|no tengo permitido|no se me permite|no estoy autorizad\w+|rechaz\w+|negarme|declin\w+|me resulta imposible|es imposible",
+        r"traduc\w+|traducir\w*|este (?:texto|pasaje|contenido|fragmento|material)|esta (?:solicitud|petición)",
+    ),
+    "pt": (
+        r"não posso|não me é permitido|não me é possível|não é possível|não consigo|não estou autorizad\w+|recus\w+|declin\w+|é impossível",
+        r"tradu\w+|(?:d?est[ea]|ess[ea]) (?:texto|trecho|conteúdo|pedido|material|solicitação)",
+    ),
+    "fr": (
+        r"ne peux pas|ne puis|impossible de|n'est pas possible|refus\w+|déclin\w+|ne suis pas autorisée?|ne suis pas en mesure|ne m'est pas permis",
+        r"tradu\w+|ce (?:texte|passage|contenu|document)|cet extrait|cette (?:demande|requête)",
+    ),
+    "de": (
+        r"kann\b.*\bnicht|darf\b.*\bnicht|nicht möglich|unmöglich|ablehn\w+|abzulehnen|verweiger\w*|lehne\b.*\bab|nicht gestattet|nicht in der lage",
+        r"übersetz\w*|diese[nsr]? (?:text\w*|inhalt\w*|anfrage|abschnitt\w*|passage)",
+    ),
+    "it": (
+        r"non posso|non mi è possibile|non è possibile|non sono autorizzat\w+|non sono in grado|non riesco|rifiut\w+|declin\w+|impossibile",
+        r"tradu\w+|quest[oa] (?:testo|brano|contenuto|richiesta|passaggio|materiale)",
+    ),
+    "nl": (
+        r"kan\b.*\bniet|kan geen|mag\b.*\bniet|niet mogelijk|onmogelijk|weiger\w*|niet in staat|niet toegestaan",
+        r"verta\w+|deze (?:tekst|passage|inhoud|vraag)|dit (?:fragment|verzoek|materiaal)",
+    ),
+    "sv": (
+        r"kan\b.*\binte|får\b.*\binte|omöjligt|vägra\w*|inte möjligt|inte tillåt\w+",
+        r"översätt\w*|den här (?:texten|passagen|begäran)|det här (?:innehållet|stycket|materialet)|denna (?:text|begäran)",
+    ),
+    "da": (
+        r"kan\b.*\bikke|må\b.*\bikke|umuligt|nægte\w*|afvise\w*|ikke muligt|ikke tilladt",
+        r"oversæt\w*|denne (?:tekst|passage|anmodning)|dette (?:indhold|afsnit|materiale)",
+    ),
+    "no": (
+        r"kan\b.*\bikke|får\b.*\bikke|umulig|nekte\w*|avslå\w*|ikke mulig|ikke tillatt",
+        r"oversett\w*|denne (?:teksten|passasjen|forespørselen)|dette (?:innholdet|avsnittet|materialet)",
+    ),
+    "pl": (
+        r"nie mogę|nie jestem w stanie|nie wolno mi|niemożliwe|odmawiam|odmówić|nie jest możliwe",
+        r"(?:prze)?tłumacz\w*|przetłumaczyć|(?:tego|ten) (?:tekst\w*|fragment\w*)|tej (?:treści|prośby)|tę prośbę",
+    ),
+    "cs": (
+        r"nemohu|nemůžu|nesmím|nelze|není možné|odmítám|odmítnout|nejsem schop\w+",
+        r"přel[oož]\w+|překl\w+|tento (?:text|úryvek|požadavek|obsah)|tuto (?:žádost|pasáž)",
+    ),
+    "ro": (
+        r"nu pot|nu am voie|nu este posibil|imposibil|refuz\w*|nu sunt autorizat\w*",
+        r"tradu\w+|acest (?:text|fragment|conținut)|această (?:solicitare|cerere)",
+    ),
+    "hu": (
+        r"nem tudom|nem tudok|nem lehet\w*|nem áll módomban|visszautasít\w*|megtagad\w*",
+        r"fordít\w*|lefordít\w*|(?:ezt|ennek) a[z]? (?:szöveg\w*|kérés\w*|tartal\w*|részlet\w*)",
+    ),
+    "fi": (
+        r"en voi|en pysty|en saa|ei ole mahdollista|mahdotonta|kieltäydy\w*",
+        r"kään\w+|tätä (?:tekstiä|sisältöä|kohtaa)|tä(?:hän|män) (?:pyyntö\w*|teksti\w*)",
+    ),
+    "tr": (
+        r"emem\b|amam\b|emiyorum\b|amıyorum\b|emeyeceğim\b|amayacağım\b|mümkün değil|imkansız|redded|reddet",
+        r"çevir\w*|çeviri\w*|tercüme\w*|bu (?:metn\w*|metin|içeri\w*|isteğ\w*|istek)",
+    ),
+    "el": (
+        r"δεν μπορώ|δεν μου επιτρέπεται|αδύνατο\w*|αρνούμαι|δεν είναι δυνατ\w+",
+        r"μεταφρ\w+|αυτ\w+ τ\w+ (?:κείμεν\w+|απόσπασμ\w+|περιεχόμεν\w+|αίτημ\w+)",
+    ),
     "uk": (r"не можу|неможливо|не маю права|не дозволено|відмовля\w+|відхил\w+", r"перекла\w+|ц\w+ (?:текст\w*|урив\w+|запит\w*|вміст\w*)"),
     "ja": (r"できません|できかねます|お断り|いたしかねます|不可能|対応でき", r"翻訳|訳すこと|この(?:文章|テキスト|依頼|内容|リクエスト)"),
     "zh": (r"无法|無法|不能|不可以|拒绝|拒絕|不允许|不被允許", r"翻译|翻譯|(?:这|這|此)(?:段|个|個|份)?(?:文本|内容|內容|文字|请求|請求)"),
     "ko": (r"수 없습니다|수 없어요|불가능|거절|거부|못합니다", r"번역|이 (?:글|텍스트|내용|요청|본문)"),
     "ar": (r"لا أستطيع|لا يمكنني|لا يمكن|غير مسموح|أرفض|أعتذر عن|يتعذر", r"ترجم\w*|الترجمة|هذا (?:النص|المحتوى|الطلب|المقطع)"),
-    "ru": (r"не могу|нельзя|невозможно|не имею права|не разрешено|не в состоянии|не удастся|отказ\w+|отклон\w+", r"перев[оеё]\w+|эт\w+ (?:текст\w*|отрыв\w+|запрос\w*|содержим\w+|просьб\w+|материал\w*)|вашу просьбу"),
+    "ru": (
+        r"не могу|нельзя|невозможно|не имею права|не разрешено|не в состоянии|не удастся|отказ\w+|отклон\w+",
+        r"перев[оеё]\w+|эт\w+ (?:текст\w*|отрыв\w+|запрос\w*|содержим\w+|просьб\w+|материал\w*)|вашу просьбу",
+    ),
 }
 
 #: Languages whose words are not looked for as whole ones: without blanks between words, or told by their endings.
 RUN_ON = {"ja", "zh", "ko", "tr"}
-REFUSALS = {k: (re.compile(a), re.compile(b)) if k in RUN_ON else (re.compile(rf"\b(?:{a})(?!\w)"), re.compile(rf"\b(?:{b})")) for k, (a, b) in REFUSAL_GRAMMAR.items()}
+REFUSALS = {
+    k: (re.compile(a), re.compile(b)) if k in RUN_ON else (re.compile(rf"\b(?:{a})(?!\w)"), re.compile(rf"\b(?:{b})")) for k, (a, b) in REFUSAL_GRAMMAR.items()
+}
 
 
 @lru_cache(maxsize=1)
@@ -75,7 +131,8 @@ def stems():
     found: dict[str, set[str]] = {}
     for language, (inability, _) in REFUSAL_GRAMMAR.items():
         for phrase in inability.split("|"):
-            found.setdefault(re.match(r"[^\\.*+?(\[]+", phrase).group(), set()).add(language)
+            # up to the first character that stands for others, or may be missing
+            found.setdefault(re.match(r"(?:[^\\.*+?(\[](?![?*]))+", phrase).group(), set()).add(language)
     automaton = ahocorasick.Automaton()
     for stem, languages in found.items():
         automaton.add_word(stem, tuple(sorted(languages)))
@@ -86,7 +143,21 @@ def stems():
 SENTENCE_END = re.compile(r"(?<=[.?!])\s|(?<=[。？！])")
 
 #: What opens and what closes a construct.
-CLOSERS = {")": ("(",), "]": ("[",), "}": ("{",), "”": ("“", "„"), "»": ("«",), "“": ("„",), "’": ("‘", "‚"), "‘": ("‚",), "›": ("‹",), "」": ("「",), "』": ("『",), "）": ("（",), "】": ("【",)}
+CLOSERS = {
+    ")": ("(",),
+    "]": ("[",),
+    "}": ("{",),
+    "”": ("“", "„"),
+    "»": ("«",),
+    "“": ("„",),
+    "’": ("‘", "‚"),
+    "‘": ("‚",),
+    "›": ("‹",),
+    "」": ("「",),
+    "』": ("『",),
+    "）": ("（",),
+    "】": ("【",),
+}
 OPENERS = set("([{“«„‘‚‹「『（【")
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "wbr"}
@@ -102,7 +173,6 @@ HOLE = re.compile(r"\{\{\d+\}\}")
 HOLE_END = re.compile(r"\{\{\d+\}\}\Z")
 ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
 WORD = re.compile(r"\w+")
-RUN = re.compile(r"\s+")
 CUT_END = re.compile(r"(?:\[?\s*(?:\.{2,}|…)\s*\]?|[,;:—–-])\s*$")
 STOP = re.compile(r"[.!?…]+[\"'”“»’)\]]*(?=\s+[^\s{)\],;:a-zß-öø-ÿа-яё]|\s*$)")
 LETTER = re.compile(r"[^\W_]")
@@ -154,10 +224,10 @@ def is_empty(answer: str | None, source: str | None) -> bool:
 def declines(text: str) -> bool:
     """Whether some sentence of a text declines the task, in one of the grammar's languages."""
     t = text.casefold().replace("’", "'")
+    t = " ".join((TAG.sub(" ", t) if "<" in t else t).split())
     languages = {k for _, ks in stems().iter(t) for k in ks}
     if not languages:
         return False
-    t = RUN.sub(" ", TAG.sub(" ", t))
     for a, b in (REFUSALS[k] for k in sorted(languages)):
         if b.search(t) and any(a.search(s) and b.search(s) for s in SENTENCE_END.split(t)):
             return True
@@ -176,7 +246,15 @@ def words(text: str) -> list[str]:
 PRIME = (1 << 61) - 1
 
 
-def longest_common(a: list[int], b: list[int], sums: tuple[list[int], list[int]], powers: list[int], free: tuple[list[int], list[int]], low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
+def longest_common(
+    a: list[int],
+    b: list[int],
+    sums: tuple[list[int], list[int]],
+    powers: list[int],
+    free: tuple[list[int], list[int]],
+    low: int,
+    high: int,
+) -> tuple[int, list[tuple[int, int]]]:
     """Length of the longest run that stands in the free parts of both, within [low, high], and its places. That a run of
     some length exists is monotone in the length, so it is searched by halving, each step by hashes of all windows."""
     best: tuple[int, list[tuple[int, int]]] = (0, [])
@@ -461,7 +539,12 @@ def pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame) -> DataFrame:
     Saved rows get their book before the latest is taken, so that one exchange by (book_id, block_id) serves both that
     and the join with the blocks."""
     r = runs.where("state_key is not null").groupBy("state_key").agg(F.max(F.struct("book_id", "source_language", "target_language")).alias("r"))
-    r = r.select("state_key", "r.book_id", label_language(F.col("r.source_language")).alias("label"), label_language(F.col("r.target_language")).alias("target"))
+    r = r.select(
+        "state_key",
+        "r.book_id",
+        label_language(F.col("r.source_language")).alias("label"),
+        label_language(F.col("r.target_language")).alias("target"),
+    )
     rows = state.where("state_key is not null and block_id is not null").select("state_key", "block_id", "text", "saved_at").join(r, "state_key", "left")
     keys = ["book_id", "block_id"]
     latest = spread(rows, *keys).groupBy(*keys, "state_key", "label", "target").agg(F.max(F.struct("saved_at", "text")).alias("t"))
@@ -482,7 +565,11 @@ def broken_pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame, bound: in
     def source_language(source: pd.Series) -> pd.Series:
         return source.map(shared.value.language)
 
-    ratios = rows.where("target is not null and length(source) > 0 and length(answer) > 0").select(F.coalesce(source_language("source"), "label").alias("known"), "target", (F.length("answer") / F.length("source")).alias("ratio"))
+    ratios = rows.where("target is not null and length(source) > 0 and length(answer) > 0").select(
+        F.coalesce(source_language("source"), "label").alias("known"),
+        "target",
+        (F.length("answer") / F.length("source")).alias("ratio"),
+    )
     medians = ratios.where("known <> target").groupBy("known", "target").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual")).collect()
     usual = {(m.known, m.target): m.usual for m in medians}
 
@@ -491,7 +578,10 @@ def broken_pairs(state: DataFrame, runs: DataFrame, blocks: DataFrame, bound: in
             c = [batch.column(k).to_pylist() for k in ("source", "answer", "target", "label")]
             found = [defect(s, a, t, k, shared.value, usual) for s, a, t, k in zip(*c)]
             keep = pa.array([d is not None for d in found])
-            out = pa.RecordBatch.from_arrays([batch.column("state_key"), batch.column("block_id"), pa.array(found, pa.string())], ["state_key", "block_id", "defect"])
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("state_key"), batch.column("block_id"), pa.array(found, pa.string())],
+                ["state_key", "block_id", "defect"],
+            )
             yield out.filter(keep)
 
     return rows.mapInArrow(run, "state_key string, block_id long, defect string")

@@ -13,7 +13,20 @@ from inkloom.llm import bytecnn, encoding, language, pairs, queries
 
 @pytest.mark.parametrize(
     ("answer", "source", "empty"),
-    [(None, "a", True), ("", "a", True), ("​ \n", "a", True), ("<b></b>", "a", True), ("&nbsp;", "a", True), ("…", "a", True), ("* * *", "* * *", False), ("", "* * *", True), ("{{0}}", "x {{0}}", True), ("7", "7", False), ("x", None, False), ("x&amp;", "a", False)],
+    [
+        (None, "a", True),
+        ("", "a", True),
+        ("​ \n", "a", True),
+        ("<b></b>", "a", True),
+        ("&nbsp;", "a", True),
+        ("…", "a", True),
+        ("* * *", "* * *", False),
+        ("", "* * *", True),
+        ("{{0}}", "x {{0}}", True),
+        ("7", "7", False),
+        ("x", None, False),
+        ("x&amp;", "a", False),
+    ],
 )
 def test_empty(answer, source, empty):
     assert pairs.is_empty(answer, source) is empty
@@ -22,9 +35,19 @@ def test_empty(answer, source, empty):
 @pytest.mark.parametrize(
     ("text", "refused"),
     [
-        ("I'm sorry, but I can't help with translating this passage.", True), ("[Sorry. This request cannot be completed because of my content guidelines.]", True),
-        ("Infelizmente, sou obrigado a recusar este pedido.", True), ("Lo siento, pero no tengo permitido procesar este contenido.", True), ("Je dois refuser cette demande.", True),
-        ("Ich kann diesen Abschnitt nicht übersetzen.", True), ("Mi dispiace, ma non posso aiutare con la traduzione di questo brano.", True), ("К сожалению, мне нельзя обрабатывать это содержимое.", True),
+        ("I'm sorry, but I can't help with translating this passage.", True), (
+            "[Sorry. This request cannot be completed because of my content guidelines.]",
+            True,
+        ),
+        ("Infelizmente, sou obrigado a recusar este pedido.", True), (
+            "Lo siento, pero no tengo permitido procesar este contenido.",
+            True,
+        ), ("Je dois refuser cette demande.", True),
+        ("Ich kann diesen Abschnitt nicht übersetzen.", True), (
+            "Mi dispiace, ma non posso aiutare con la traduzione di questo brano.",
+            True,
+        ), ("К сожалению, мне нельзя обрабатывать это содержимое.", True),
+        ("Désolé, mais je ne suis pas autorisé à traiter ce contenu.", True), ("Lo siento, no\u00a0 puedo <i>traducir</i> este texto.", True),
         ("“I am sorry, but I cannot find the key”, whispers Daem.", False), ("Non riesco a trovare la mela.", False), ("The translator sells the text.", False),
     ],
 )
@@ -34,7 +57,16 @@ def test_refusal(text, refused):
 
 @pytest.mark.parametrize(
     "text",
-    ["Ik kan deze tekst helaas niet vertalen.", "Przepraszam, ale nie mogę przetłumaczyć tego tekstu.", "申し訳ありませんが、この文章を翻訳することはできません。", "抱歉，我无法翻译这段文字。", "Λυπάμαι, δεν μπορώ να μεταφράσω αυτό το κείμενο.", "عذرا، لا أستطيع ترجمة هذا النص.", "Üzgünüm, bu metni çeviremem mümkün değil.", "Bohužel nemohu přeložit tento text."],
+    [
+        "Ik kan deze tekst helaas niet vertalen.",
+        "Przepraszam, ale nie mogę przetłumaczyć tego tekstu.",
+        "申し訳ありませんが、この文章を翻訳することはできません。",
+        "抱歉，我无法翻译这段文字。",
+        "Λυπάμαι, δεν μπορώ να μεταφράσω αυτό το κείμενο.",
+        "عذرا، لا أستطيع ترجمة هذا النص.",
+        "Üzgünüm, bu metni çeviremem mümkün değil.",
+        "Bohužel nemohu přeložit tento text.",
+    ],
 )
 def test_refusal_in_other_languages(text):
     assert pairs.is_refusal(text, "The miller sells the key.")
@@ -97,7 +129,14 @@ def test_other_scripts():
     for t in ("Ключ <b>продан</b>.", "Το <b>κλειδί</b>.", "鍵を<b>売る</b>。", "מפתח <b>נמכר</b>."):
         assert pairs.defect(s, t, "es", "en", table, {}) == "wrong_language", t
     assert pairs.defect("Мельник продаёт ключ.", "Το κλειδί.", "ru", "en", table, {}) == "wrong_language"
-    for source, answer, target, label in ((s, "El molinero vende <b>la llave π</b>.", "es", "en"), (s, "Мельник <b>продаёт ключ</b> в полдень.", "ru", "en"), ("Мельник продаёт ключ.", "Мельник продал.", "es", None), ("Trux Kourt, 1651", "Трукс Курт, 1651", "es", "en"), (s, "Ключ <b>продан</b>.", "es", "ru"), (s, "Ключ <b>продан</b>.", None, "en")):
+    for source, answer, target, label in (
+        (s, "El molinero vende <b>la llave π</b>.", "es", "en"),
+        (s, "Мельник <b>продаёт ключ</b> в полдень.", "ru", "en"),
+        ("Мельник продаёт ключ.", "Мельник продал.", "es", None),
+        ("Trux Kourt, 1651", "Трукс Курт, 1651", "es", "en"),
+        (s, "Ключ <b>продан</b>.", "es", "ru"),
+        (s, "Ключ <b>продан</b>.", None, "en"),
+    ):
         assert pairs.defect(source, answer, target, label, table, {}) != "wrong_language", answer
 
 
@@ -118,13 +157,42 @@ def test_truncation():
 
 
 def pair_tables(spark):
-    en = ["the miller sells the key at noon", "a queen waits under the old bridge", "the boat brings bread before winter", "who finds the lamp in the attic"]
-    es = ["el molinero vende la llave al mediodía", "una reina espera bajo el viejo puente", "el barco trae pan antes del invierno", "quién encuentra la lámpara en el desván"]
-    fr = ["le meunier vend la clé à midi sur le pont", "la reine attend sous le vieux pont avec le pain", "le bateau apporte du pain avant l’hiver", "qui trouve la lampe dans le grenier"]
-    runs = spark.createDataFrame([("k", "b", "en", "es", 1), ("k", "b", "en", "es", 1), ("f", "b", "en", "fr-FR", 1), ("o", "gone", None, "es", 1)], "state_key string, book_id string, source_language string, target_language string, text int")
+    en = [
+        "the miller sells the key at noon",
+        "a queen waits under the old bridge",
+        "the boat brings bread before winter",
+        "who finds the lamp in the attic",
+    ]
+    es = [
+        "el molinero vende la llave al mediodía",
+        "una reina espera bajo el viejo puente",
+        "el barco trae pan antes del invierno",
+        "quién encuentra la lámpara en el desván",
+    ]
+    fr = [
+        "le meunier vend la clé à midi sur le pont",
+        "la reine attend sous le vieux pont avec le pain",
+        "le bateau apporte du pain avant l’hiver",
+        "qui trouve la lampe dans le grenier",
+    ]
+    runs = spark.createDataFrame(
+        [("k", "b", "en", "es", 1), ("k", "b", "en", "es", 1), ("f", "b", "en", "fr-FR", 1), ("o", "gone", None, "es", 1)],
+        "state_key string, book_id string, source_language string, target_language string, text int",
+    )
     blocks = spark.createDataFrame([("b", i, en[i % 4].capitalize() + ".") for i in range(60)], "book_id string, block_id long, text string")
     good = [("k", i, es[i % 4].capitalize() + ".", 1) for i in range(60)] + [("f", i, fr[i % 4].capitalize() + ".", 1) for i in range(60)]
-    bad = [("k", 0, None, 2), ("k", 1, "I can't help with translating this passage.", 2), ("k", 2, en[2].upper(), 2), ("k", 3, fr[3] + " " + fr[0] + ".", 2), ("k", 4, "El molinero [...]", 2), ("k", 5, "old", 0), ("o", 1, "", 1), ("o", 2, "x", 1), (None, 1, "", 1), ("k", None, "", 1)]
+    bad = [
+        ("k", 0, None, 2),
+        ("k", 1, "I can't help with translating this passage.", 2),
+        ("k", 2, en[2].upper(), 2),
+        ("k", 3, fr[3] + " " + fr[0] + ".", 2),
+        ("k", 4, "El molinero [...]", 2),
+        ("k", 5, "old", 0),
+        ("o", 1, "", 1),
+        ("o", 2, "x", 1),
+        (None, 1, "", 1),
+        ("k", None, "", 1),
+    ]
     state = spark.createDataFrame(good + bad + bad, "state_key string, block_id long, text string, saved_at int")
     return state, runs, blocks
 
@@ -142,7 +210,9 @@ def test_planted_defects(spark):
     d = "/root/testdata/sf0.01"
     state, runs, blocks = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("translation_state", "runs", "blocks"))
     found = {(r.state_key, r.block_id) for r in pairs.broken_pairs(state, runs, blocks).collect()}
-    rows = pairs.pairs(state, runs, blocks).where("length(source) > 60 and length(answer) > 60 and not source like '%{{%' and source like '%.' and label <> target and answer like '%.'").orderBy(F.xxhash64("state_key", "block_id")).limit(400).collect()
+    rows = pairs.pairs(state, runs, blocks).where(
+        "length(source) > 60 and length(answer) > 60 and not source like '%{{%' and source like '%.' and label <> target and answer like '%.'",
+    ).orderBy(F.xxhash64("state_key", "block_id")).limit(400).collect()
     sound = [r for r in rows if (r.state_key, r.block_id) not in found]
     whole = {t: [r.answer for r in sound if r.target == t] for t in {r.target for r in sound}}
     planted = {}
@@ -154,8 +224,17 @@ def test_planted_defects(spark):
             "wrong_language": whole[other][n % len(whole[other])], "truncated": r.answer[: len(r.answer) // 2].rsplit(" ", 1)[0] + ["", "…"][n % 2],
         }[kind]
         planted[r.state_key, r.block_id] = (kind, text)
-    new = spark.createDataFrame([(k, b, t) for (k, b), (_, t) in planted.items()], "state_key string, block_id long, text string").withColumn("saved_at", F.lit("2099-01-01").cast("timestamp_ntz"))
-    got = {(r.state_key, r.block_id): r.defect for r in pairs.broken_pairs(state.select("state_key", "block_id", "text", "saved_at").unionByName(new), runs, blocks).collect()}
+    new = spark.createDataFrame(
+        [(k, b, t) for (k, b), (_, t) in planted.items()],
+        "state_key string, block_id long, text string",
+    ).withColumn("saved_at", F.lit("2099-01-01").cast("timestamp_ntz"))
+    got = {
+        (r.state_key, r.block_id): r.defect for r in pairs.broken_pairs(
+            state.select("state_key", "block_id", "text", "saved_at").unionByName(new),
+            runs,
+            blocks,
+        ).collect()
+    }
     for kind in ("empty", "refusal", "copied", "wrong_language", "truncated"):
         keys = [k for k, (x, _) in planted.items() if x == kind]
         assert sum(got.get(k) == kind for k in keys) >= 0.95 * len(keys), (kind, [planted[k] for k in keys if got.get(k) != kind][:4])
@@ -185,7 +264,16 @@ def test_chains_are_undone(wrong, true):
 def garbled_tables(spark):
     clean = ["O pastor guarda a canção no sótão.", "A rainha procura a lâmpada além da ponte.", "Não há pão na estação.", "O irmão lê à meia-noite."]
     rows = [("b", i, clean[i % 4]) for i in range(200)]
-    bad = [("b", 500, clean[0].encode().decode("cp1252")), ("b", 501, "O pastor guarda a " + "canção".encode().decode("latin-1") + " no sótão."), ("b", 502, clean[2].encode("cp1252").decode("mac_roman")), ("b", 503, "Não h� pão"), ("b", 504, None), ("b", 505, ""), ("b", 506, "Krãst Vølm"), (None, 1, "Ã£")]
+    bad = [
+        ("b", 500, clean[0].encode().decode("cp1252")),
+        ("b", 501, "O pastor guarda a " + "canção".encode().decode("latin-1") + " no sótão."),
+        ("b", 502, clean[2].encode("cp1252").decode("mac_roman")),
+        ("b", 503, "Não h� pão"),
+        ("b", 504, None),
+        ("b", 505, ""),
+        ("b", 506, "Krãst Vølm"),
+        (None, 1, "Ã£"),
+    ]
     blocks = spark.createDataFrame([(*r, 1) for r in rows + bad + bad], "book_id string, block_id long, text string, n int")
     books = spark.createDataFrame([("b", "A canção".encode().decode("cp1252")), ("c", "A canção"), ("d", None)], "book_id string, title string")
     return clean, blocks, books
@@ -203,7 +291,11 @@ def test_detection_and_repair(spark):
 def test_garbled_character_references(spark):
     """Wrong decodings written as references are found and undone; the references of clean text stay."""
     clean, blocks, books = garbled_tables(spark)
-    texts = {600: "O pastor guarda a can&Atilde;&#167;&Atilde;&#163;o no s&Atilde;&sup3;t&Atilde;&#163;o.", 601: "A &amp; B: a can&Atilde;&#167;&atilde;o &lt;no&gt; p&atilde;o.", 602: "Tom &amp; Rita: a can&ccedil;&atilde;o do s&oacute;t&atilde;o&nbsp;&#8212; &quot;n&#227;o&quot;."}
+    texts = {
+        600: "O pastor guarda a can&Atilde;&#167;&Atilde;&#163;o no s&Atilde;&sup3;t&Atilde;&#163;o.",
+        601: "A &amp; B: a can&Atilde;&#167;&atilde;o &lt;no&gt; p&atilde;o.",
+        602: "Tom &amp; Rita: a can&ccedil;&atilde;o do s&oacute;t&atilde;o&nbsp;&#8212; &quot;n&#227;o&quot;.",
+    }
     more = spark.createDataFrame([("b", k, t, 1) for k, t in texts.items()], blocks.schema)
     titles = spark.createDataFrame([("e", "A can&Atilde;&#167;&Atilde;&#163;o")], books.schema)
     got = {(r.source, r.key): r.restored for r in encoding.detect(encoding.records_of(blocks.union(more), books.union(titles))).collect()}
@@ -214,8 +306,13 @@ def test_garbled_character_references(spark):
 def test_lost_before_a_chain(spark):
     """What was lost before the wrong decoding is garbled too; letters before punctuation are not."""
     clean, blocks, books = garbled_tables(spark)
-    lost = {700 + n: f"Não h{'\ufffd'.encode().decode(codec)} pão" for n, codec in enumerate(("cp1252", "latin-1", "cp1251", "mac_roman", "koi8-r", "cp866"))}
-    lost |= {710: "Não h" + "\ufffd".encode().decode("cp1252").encode().decode("cp1252") + " pão", 711: "O pastor guarda h" + "\x92".encode().decode("cp1252")}
+    lost = {
+        700 + n: f"Não h{'\ufffd'.encode().decode(codec)} pão" for n, codec in enumerate(("cp1252", "latin-1", "cp1251", "mac_roman", "koi8-r", "cp866"))
+    }
+    lost |= {
+        710: "Não h" + "\ufffd".encode().decode("cp1252").encode().decode("cp1252") + " pão",
+        711: "O pastor guarda h" + "\x92".encode().decode("cp1252"),
+    }
     fine = {720: "О, мой дорогой ВАСИЛЬЕВ… ВЛАДИСЛАВ” и ЛЬВОВ—", 721: "für größer", 722: "é à ü ç Â"}
     more = spark.createDataFrame([("b", k, t, 1) for k, t in (lost | fine).items()], blocks.schema)
     got = {r.key: (r.chain, r.restored) for r in encoding.detect(encoding.records_of(blocks.union(more), books)).where("key >= 700").collect()}
@@ -224,13 +321,28 @@ def test_lost_before_a_chain(spark):
 
 @pytest.mark.parametrize(
     ("raw", "word", "new", "out"),
-    [("B&Atilde;&#188;chern", "BÃ¼chern", "Büchern", "Büchern"), ("&#xC3;&#xBC;b&eacute;&amp;", "Ã¼bé&amp;", "übé&amp;", "üb&eacute;&amp;"), ("a&#32;&foo;&#10;b", "a&#32;&foo;&#10;b", "x", "x"), ("&NotEqualTilde;&Atilde;&copy;", "≂̸Ã©", "≂̸é", "&NotEqualTilde;é"), ("&Acirc;&#171;s&igrave;&Acirc;&raquo;", "Â«sìÂ»", "«sì»", "«s&igrave;»")],
+    [
+        ("B&Atilde;&#188;chern", "BÃ¼chern", "Büchern", "Büchern"),
+        ("&#xC3;&#xBC;b&eacute;&amp;", "Ã¼bé&amp;", "übé&amp;", "üb&eacute;&amp;"),
+        ("a&#32;&foo;&#10;b", "a&#32;&foo;&#10;b", "x", "x"),
+        ("&NotEqualTilde;&Atilde;&copy;", "≂̸Ã©", "≂̸é", "&NotEqualTilde;é"),
+        ("&Acirc;&#171;s&igrave;&Acirc;&raquo;", "Â«sìÂ»", "«sì»", "«s&igrave;»"),
+    ],
 )
 def test_references_are_kept(raw, word, new, out):
     assert encoding.opened(raw) == word and encoding.closed(raw, new) == out
 
 
-CHAINS_PLANTED = [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp1251", "cp1252")]
+CHAINS_PLANTED = [
+    ("cp1252", "utf-8"),
+    ("latin-1", "utf-8"),
+    ("mac_roman", "utf-8"),
+    ("cp437", "utf-8"),
+    ("cp1251", "utf-8"),
+    ("mac_roman", "cp1252"),
+    ("cp437", "cp1252"),
+    ("cp1251", "cp1252"),
+]
 
 
 @pytest.mark.parametrize("copies", [1, 4])
@@ -242,7 +354,11 @@ def test_planted_garbling(spark, copies):
     books = spark.read.parquet(f"{d}/books.parquet").select("book_id", "title").limit(0)
     before = {(r.source, r.key) for r in encoding.detect(encoding.records_of(blocks, books), repair=False).collect()}
     # clean texts with at least two words beyond ASCII in a language of Latin script
-    rows = [(r.book_id, r.block_id, r.text) for r in blocks.where(r"text rlike '[à-ÿ].* .*[à-ÿ]' and not text rlike '[\u0400-\u04ff]|&'").orderBy(F.xxhash64("book_id", "block_id")).limit(160).collect()]
+    rows = [
+        (r.book_id, r.block_id, r.text) for r in blocks.where(
+            r"text rlike '[à-ÿ].* .*[à-ÿ]' and not text rlike '[\u0400-\u04ff]|&'",
+        ).orderBy(F.xxhash64("book_id", "block_id")).limit(160).collect()
+    ]
     planted = {}
     for n, (book, block, text) in enumerate(r for r in rows if (r[0], r[1]) not in before):
         wrong, true = CHAINS_PLANTED[n % len(CHAINS_PLANTED)]
@@ -254,7 +370,11 @@ def test_planted_garbling(spark, copies):
             planted[book, block] = (garbled, text)
     changed = spark.createDataFrame([(b, k, t) for (b, k), (t, _) in planted.items()], "book_id string, block_id long, new string")
     one = blocks.join(changed, ["book_id", "block_id"], "left").select("book_id", "block_id", F.coalesce("new", "text").alias("text"))
-    many = one.crossJoin(spark.range(copies).withColumnRenamed("id", "copy")).select(F.concat("book_id", F.lit("/"), F.col("copy").cast("string")).alias("book_id"), "block_id", "text")
+    many = one.crossJoin(spark.range(copies).withColumnRenamed("id", "copy")).select(
+        F.concat("book_id", F.lit("/"), F.col("copy").cast("string")).alias("book_id"),
+        "block_id",
+        "text",
+    )
     got = {(r.source, r.key): r.restored for r in encoding.detect(encoding.records_of(many, books)).collect()}
     wanted = {(f"{b}/{c}", k): t for (b, k), (_, t) in planted.items() for c in range(copies)}
     old = {(f"{b}/{c}", k) for b, k in before for c in range(copies)}
@@ -270,7 +390,19 @@ def test_planted_garbling(spark, copies):
 
 
 def test_labels(spark):
-    rows = [("en_GB", "en"), ("Português", "pt"), ("ger", "de"), ("РУССКИЙ", "ru"), ("es-MX", "es"), (" FR ", "fr"), ("und", None), ("??", None), ("", None), (None, None), ("x" * 5000, None)]
+    rows = [
+        ("en_GB", "en"),
+        ("Português", "pt"),
+        ("ger", "de"),
+        ("РУССКИЙ", "ru"),
+        ("es-MX", "es"),
+        (" FR ", "fr"),
+        ("und", None),
+        ("??", None),
+        ("", None),
+        (None, None),
+        ("x" * 5000, None),
+    ]
     df = spark.createDataFrame([(a,) for a, _ in rows], "label string")
     assert [r.l for r in df.select(language.label_language(F.col("label")).alias("l")).collect()] == [b for _, b in rows]
 
@@ -309,7 +441,12 @@ def test_held_out_accuracy(spark, small):
     """Trained on half of the books' labelled blocks, right on nearly all sentences of the other half."""
     rows = spark.read.parquet("/root/testdata/sf0.01/blocks.parquet").where("not protected and text is not null").dropDuplicates(["book_id", "block_id"])
     books = language.book_labels(spark.read.parquet("/root/testdata/sf0.01/books.parquet"))
-    labelled = rows.join(books.where("labelled is not null"), "book_id").select("text", F.col("labelled").alias("language"), F.col("book_id").alias("grp"), (F.xxhash64("book_id", "block_id") % 2 == 0).alias("train"))
+    labelled = rows.join(books.where("labelled is not null"), "book_id").select(
+        "text",
+        F.col("labelled").alias("language"),
+        F.col("book_id").alias("grp"),
+        (F.xxhash64("book_id", "block_id") % 2 == 0).alias("train"),
+    )
     model = language.train(labelled.where("train"))
     test = labelled.where("not train").toPandas()
     x, y, _ = language.training_rows(list(test.text), list(test.language), list(test.grp))
@@ -318,11 +455,29 @@ def test_held_out_accuracy(spark, small):
 
 
 def test_languages_of_blocks(spark):
-    texts = {"en": "the miller sells the key at noon and the queen waits under the bridge", "ru": "мельник продаёт ключ в полдень и королева ждёт под мостом", "de": "der müller verkauft den schlüssel am mittag und die königin wartet unter der brücke"}
+    texts = {
+        "en": "the miller sells the key at noon and the queen waits under the bridge",
+        "ru": "мельник продаёт ключ в полдень и королева ждёт под мостом",
+        "de": "der müller verkauft den schlüssel am mittag und die königin wartet unter der brücke",
+    }
     rows = [(lang, i, texts[lang].capitalize() + f" {i}.", False) for lang in texts for i in range(40)]
-    rows += [("en", 100, texts["en"].capitalize() + ". " + texts["ru"].capitalize() + ".", False), ("en", 101, texts["ru"], True), ("en", 102, None, False), ("en", 103, "Trux 12", False), ("none", 1, "7", False), ("miss", 1, texts["de"], False), ("miss", 1, texts["de"], False)]
-    blocks = spark.createDataFrame([(*r, "x", "y") for r in rows], "book_id string, block_id long, text string, protected boolean, language string, main string")
-    books = spark.createDataFrame([("en", "eng"), ("ru", "ru"), ("de", "de-AT"), ("de", "de-AT"), ("none", "en"), ("miss", "fr"), (None, "en")], "book_id string, language string")
+    rows += [
+        ("en", 100, texts["en"].capitalize() + ". " + texts["ru"].capitalize() + ".", False),
+        ("en", 101, texts["ru"], True),
+        ("en", 102, None, False),
+        ("en", 103, "Trux 12", False),
+        ("none", 1, "7", False),
+        ("miss", 1, texts["de"], False),
+        ("miss", 1, texts["de"], False),
+    ]
+    blocks = spark.createDataFrame(
+        [(*r, "x", "y") for r in rows],
+        "book_id string, block_id long, text string, protected boolean, language string, main string",
+    )
+    books = spark.createDataFrame(
+        [("en", "eng"), ("ru", "ru"), ("de", "de-AT"), ("de", "de-AT"), ("none", "en"), ("miss", "fr"), (None, "en")],
+        "book_id string, language string",
+    )
     by_block = language.block_languages(blocks, books)
     by_book = language.book_languages(books, by_block)
     assert {(r.book_id, r.language) for r in by_book.collect()} == {("en", "en"), ("ru", "ru"), ("de", "de"), ("none", None), ("miss", "de")}
@@ -353,7 +508,14 @@ def test_sure_sentence_beside_an_unsure_one(spark):
 # --- queries
 
 
-COLUMNS = {"p1_found": ["state_key", "block_id", "defect"], "p2_found": ["book_id", "block_id"], "p4_found": ["book_id", "block_id", "language"], "p5_found": ["book_id", "block_a", "block_b"], "p6_ids": ["doc_id", "ids"], "p8_found": ["doc_id"]}
+COLUMNS = {
+    "p1_found": ["state_key", "block_id", "defect"],
+    "p2_found": ["book_id", "block_id"],
+    "p4_found": ["book_id", "block_id", "language"],
+    "p5_found": ["book_id", "block_a", "block_b"],
+    "p6_ids": ["doc_id", "ids"],
+    "p8_found": ["doc_id"],
+}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
