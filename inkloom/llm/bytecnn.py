@@ -229,17 +229,24 @@ class ByteCnn:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(q) for k, q in self.p.items()}
-        t = 0
+        t, n, mean = 0, 0, {k: np.zeros_like(q) for k, q in self.p.items()}
         for epoch in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 s = order[i : i + batch]
                 t += 1
-                step = rate * 0.6**epoch
+                step = rate * 0.7**epoch
                 for k, g in self.gradients(x[s], y[s]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] -= step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                # the mean over the later steps is steadier than the last one
+                if 2 * epoch >= epochs:
+                    n += 1
+                    for k, q in self.p.items():
+                        mean[k] += q
+        if n:
+            self.p = {k: (q / n).astype(self.p[k].dtype) for k, q in mean.items()}
         return self
 
     def texts(self, texts: list[str]) -> np.ndarray:
@@ -287,7 +294,7 @@ def balanced(y: np.ndarray, n_out: int, per_class: int, seed: int) -> np.ndarray
     return np.concatenate([np.concatenate([rng.permutation(h) for _ in range(-(-per_class // len(h)))])[:per_class] for h in have if len(h)])
 
 
-def fit(texts: list[str], labels: list[int], groups: list, n_out: int, per_class: int = 2000, epochs: int = 4) -> ByteCnn:
+def fit(texts: list[str], labels: list[int], groups: list, n_out: int, per_class: int = 3000, epochs: int = 6) -> ByteCnn:
     """A network from texts whose labels belong to groups (books, runs) and are wrong for some groups.
 
     A first network, trained on the labels as given, says which language a group is in; the final one is trained on
