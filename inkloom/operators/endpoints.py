@@ -84,7 +84,7 @@ class Plain:
     markup: bool
 
     def translate(self, texts: list[str], context: Context) -> list[str]:
-        body = json.dumps([[texts, context.source or "auto", context.target], "te"], ensure_ascii=False)
+        body = json.dumps({"texts": texts, "source": context.source or "auto", "target": context.target}, ensure_ascii=False)
         got = aligned_answers(checked(self.post, self.url, {"Content-Type": "application/json"}, body), len(texts), self.markup)
         if got is None:
             raise Definitive("an answer of another shape")
