@@ -353,3 +353,19 @@ def prompt_texts(spark, d):
         system.alias("system"),
         messages.user_prompt(task, F.array(c("book_id"), F.lit("x"))).alias("request"),
     ).distinct()
+
+
+@query(
+    f"""WITH l AS (SELECT book_id, list(path ORDER BY chapter_idx, path) AS own FROM (SELECT DISTINCT book_id, chapter_idx, path FROM chapters WHERE path IS NOT NULL) GROUP BY book_id)
+    SELECT book_id, array_to_string(CASE WHEN {NUMBER} % 3 = 0 THEN own ELSE list_transform(own, lambda x: 'TR: ' || x) END, '|') AS labels FROM l"""
+)
+def kept_labels(spark, d):
+    """Translated labels of the contents, or a book's own where there is another number of them (in every third book
+    one is missing)."""
+    rows = table(spark, d, "chapters").where("path is not null").select("book_id", "chapter_idx", "path").distinct()
+    own = F.transform(F.sort_array(F.collect_list(F.struct("chapter_idx", "path"))), lambda x: x["path"])
+    books = rows.groupBy("book_id").agg(own.alias("labels"))
+    new = F.transform("labels", lambda x: F.concat(F.lit("TR: "), x))
+    short = F.regexp_extract("book_id", "([0-9]+)$", 1).cast("int") % 3 == 0
+    translated = books.select("book_id", F.when(short, F.slice(new, F.lit(1), F.size("labels") - 1)).otherwise(new).alias("labels"))
+    return loop.labels_or_own(books, translated).select("book_id", F.array_join("labels", "|").alias("labels"))
