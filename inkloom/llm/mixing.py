@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.bpe import TOKENIZER_DIR
+from inkloom.llm.counting import counts_of, form_of
 from inkloom.session import checked_broadcast, cut, spread
 
 #: Tokens of a block, and of a shard of the mixture; sub-blocks of the block on a boundary.
@@ -41,20 +42,6 @@ SEED = 20
 MAX_DRIVER_ROWS = 1_000_000
 
 
-def token_counter(name: str, blob: bytes):
-    """A function from texts to token counts, for a tokenizer file's bytes."""
-    if name.endswith(".model"):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
-        return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
-    from tokenizers import Tokenizer
-
-    tk = Tokenizer.from_str(blob.decode("utf-8"))
-    tk.encode_special_tokens = True
-    return lambda texts: [len(e.ids) for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
-
-
 def tokenizer_file(name: str, folder: str = TOKENIZER_DIR) -> Path:
     found = [p for p in (Path(folder, name), Path(folder, f"{name}.json"), Path(folder, f"{name}.model")) if p.is_file()]
     if not found:
@@ -67,20 +54,22 @@ def token_sizes(documents: DataFrame, tokenizers: list[str], folder: str = TOKEN
     spark = documents.sparkSession
     files = {n: tokenizer_file(n, folder) for n in tokenizers}
     blobs = {n: (f.name, f.read_bytes()) for n, f in files.items()}
+    forms = {n: form_of(*x) for n, x in blobs.items()}
     shared = checked_broadcast(spark, blobs, sum(len(b) for _, b in blobs.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = {n: token_counter(*x) for n, x in shared.value.items()}
+        count = counts_of(shared.value, forms)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [t or "" for t in part.column("text").to_pylist()]
+                counts = count(texts)
                 for n in tokenizers:
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), part.column("source"), pa.array([n] * len(texts)), pa.array(count[n](texts), pa.int64())],
+                        [part.column("doc_id"), part.column("source"), pa.array([n] * len(texts)), pa.array(counts[n], pa.int64())],
                         ["doc_id", "source", "tokenizer", "tokens"],
                     )
 
@@ -158,7 +147,8 @@ class Mixture:
             name = self.plans[plan][1]
             blocks = table.get((name, source), {})
             rest = want - passes * have if have and passes < self.targets[plan, source][1] else 0.0
-            order = [sorted(blocks)[i] for i in np.random.default_rng([self.seed, len(blocks)]).permutation(len(blocks))]
+            named = sorted(blocks)
+            order = [named[i] for i in np.random.default_rng([self.seed, len(blocks)]).permutation(len(named))]
             self.draws += [(plan, source, b, copy) for copy in range(passes) for b in order]
             got, partial = 0, None
             for b in order if rest > 0 else []:

@@ -9,7 +9,7 @@ import unicodedata as ud
 import pytest
 from pyspark.sql import functions as F
 
-from inkloom.llm import bpe, canonical, mixing, packing, spans
+from inkloom.llm import bpe, canonical, counting, mixing, packing, spans
 
 DOCS = "doc_id long, text string, source string, tokens int, h long, block int"
 
@@ -158,6 +158,74 @@ def test_mixture(spark):
     assert abs(coarse["big"].reached_of_target - 1) < 0.01
 
 
+def test_plan_of_many_blocks_takes_no_time_squared(spark):
+    import time
+
+    docs = spark.range(60_000).selectExpr("id doc_id", "'a' text", "if(id % 3 = 0, 's', 't') source")
+    plans = spark.createDataFrame([("p", 0.5, "byte_bpe_50k")], "plan_id string, size_ratio double, tokenizer string")
+    targets = spark.createDataFrame(
+        [("p", "s", 0.5, 1), ("p", "t", 0.5, 1)],
+        "plan_id string, source string, target_share double, max_repeats int",
+    )
+    began = time.time()
+    m = mixing.Mixture(docs, plans, targets, block_tokens=1)
+    assert m.blocks == 60_000
+    assert {(r.source, r.tokens) for r in m.shares().collect()} == {("s", 15_000), ("t", 15_000)}
+    assert time.time() - began < 60
+
+
+def tokenizer_counts():
+    files = {n: (f.name, f.read_bytes()) for n in ("byte_bpe_50k", "piece_bpe_32k", "word_bpe_49k") for f in [mixing.tokenizer_file(n)]}
+    return files, counting.Counts(files, {n: counting.form_of(*x) for n, x in files.items()})
+
+
+def test_counts_by_units_equal_the_libraries():
+    _, counts = tokenizer_counts()
+    assert list(counts.by_unit) == list(counts.whole)
+    rnd = random.Random(3)
+    parts = [*" \t\n\r'\"stmdlvreSTaZ_09.,([{<|>-é中²½ßİΣςK", "  ", "\n\n", "\n    ", "    ", "'s", " 'Ve", "'ſ", "the", " return", "don't"]
+    parts += ["<|endoftext|>", "<s>", "<0x0A>", "a" * 60, "e\u0301", "\u0301", "\u0345", "\xa0", "\u3000", "\u2581", "\x00", "\x1c", "\x85", "😀", "\u200d", "\ufeff"]
+    plain = [p for p in parts if not counting.ODD.search(p)]
+    texts = [""] + ["".join(rnd.choices(pool, k=rnd.randint(0, 14))) for pool in (parts, plain, plain) for _ in range(5000)]
+    got = counts(texts)
+    for n, whole in counts.whole.items():
+        assert [t for t, a, b in zip(texts, got[n], whole(texts)) if a != b] == []
+
+
+def test_counts_of_long_texts_and_full_memory(monkeypatch):
+    monkeypatch.setattr(counting, "STRIDE", 50)
+    monkeypatch.setattr(counting, "KEPT_UNITS", 30)
+    _, counts = tokenizer_counts()
+    rnd = random.Random(4)
+    texts = ["  lead", "", *(" ".join(f"{rnd.choice('ab')}{rnd.randint(0, 99)}-x" for _ in range(n)) for n in (5, 400, 0, 900, 1, 20))]
+    for _ in range(3):
+        got = counts(texts)
+        assert len(counts.now) <= 30 + 50 * len(texts)
+        for n, whole in counts.whole.items():
+            assert got[n] == whole(texts)
+
+
+def test_known_words_cost_no_library_call():
+    files, counts = tokenizer_counts()
+    counts(["the lamp and the harbour"])
+    counts.by_unit = dict.fromkeys(files)  # nothing to call
+    text = "the harbour and the lamp and"
+    assert counts([text]) == {n: whole([text]) for n, whole in counts.whole.items()}
+
+
+def test_tokenizers_of_another_form_count_whole_texts():
+    import json
+
+    files, _ = tokenizer_counts()
+    name, blob = files["word_bpe_49k"]
+    other = json.loads(blob)
+    other["normalizer"] = None
+    changed = {"other": (name, json.dumps(other).encode())}
+    assert counting.form_of(*changed["other"]) is None
+    counts = counting.Counts(changed, {"other": None})
+    assert counts(["Ab  cd", ""])["other"] == counts.whole["other"](["Ab  cd", ""])
+
+
 def test_mixture_of_nothing(spark):
     docs = documents(spark, [(1, "a", "s")]).limit(0)
     plans = spark.createDataFrame([("p", 0.5, "byte_bpe_50k")], "plan_id string, size_ratio double, tokenizer string")
