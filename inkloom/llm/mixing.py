@@ -85,6 +85,38 @@ def rows_of(df: DataFrame) -> list:
     return got
 
 
+def arrays_of(df: DataFrame) -> pa.Table:
+    """Like rows_of, as columns: what a plan has a row a block of never stands on the driver as objects."""
+    got = df.limit(MAX_DRIVER_ROWS + 1).toArrow()
+    if got.num_rows > MAX_DRIVER_ROWS:
+        raise ValueError("the plans name too many sources for the driver's block table; use fewer blocks")
+    return got
+
+
+def block_tables(sums: pa.Table) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    """By tokenizer and source: the numbers of its blocks, ascending, and their tokens."""
+    if not sums.num_rows:
+        return {}
+    names, codes = zip(*[(c.dictionary.to_pylist(), c.indices.to_numpy()) for k in ("tokenizer", "source") for c in [sums.column(k).combine_chunks().dictionary_encode()]])
+    block, tokens = (sums.column(k).to_numpy() for k in ("block", "tokens"))
+    line = np.lexsort((block, codes[1], codes[0]))
+    first, second = codes[0][line], codes[1][line]
+    starts = np.flatnonzero(np.r_[True, (np.diff(first) != 0) | (np.diff(second) != 0)])
+    return {(names[0][first[a]], names[1][second[a]]): (block[part], tokens[part]) for a, part in zip(starts, np.split(line, starts[1:]))}
+
+
+def frame_of(spark, parts: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame from parts (plan, source, arrays of the other columns); a block below 0 is null."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    tables = []
+    for plan, source, *columns in parts:
+        n = len(columns[0])
+        given = [pa.array([plan] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(columns[0], pa.int32(), mask=columns[0] < 0)]
+        tables.append(pa.table([*given, *(pa.array(c, pa.int32()) for c in columns[1:])], names=names))
+    rows = pa.concat_tables(tables).combine_chunks() if tables else None  # as separate chunks, rows were lost
+    return spark.createDataFrame(rows) if rows is not None and rows.num_rows else spark.createDataFrame([], schema)
+
+
 def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """Exact block quotas a source, split among shards: an array (shards, sources) whose columns add up to quotas."""
     if shards == 1:
@@ -138,25 +170,26 @@ class Mixture:
         self.blocks = max(1, min(max(total.values(), default=0) // self.block_tokens, MAX_DRIVER_ROWS // max(1, drawn_times, len(per))))
         block = F.pmod(F.xxhash64(F.lit(self.seed), "source", "doc_id"), F.lit(self.blocks)).cast("int")
         self.blocked = self.sizes.withColumn("block", block)
-        table: dict[tuple[str, str], dict[int, int]] = {}
-        for r in rows_of(self.blocked.where("source is not null").groupBy("tokenizer", "source", "block").agg(F.sum("tokens").alias("tokens"))):
-            table.setdefault((r.tokenizer, r.source), {})[r.block] = r.tokens
-        self.draws: list[tuple[str, str, int, int]] = []  # plan, source, block, copy
+        table = block_tables(arrays_of(self.blocked.where("source is not null").groupBy("tokenizer", "source", "block").agg(F.sum("tokens").alias("tokens"))))
+        nothing = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.draws: list[tuple[str, str, np.ndarray, np.ndarray]] = []  # plan, source, blocks, copies
         edges = []
         for (plan, source), (want, have, passes) in self.quota.items():
             name = self.plans[plan][1]
-            blocks = table.get((name, source), {})
+            named, tokens = table.get((name, source), nothing)
             rest = want - passes * have if have and passes < self.targets[plan, source][1] else 0.0
-            named = sorted(blocks)
-            order = [named[i] for i in np.random.default_rng([self.seed, len(blocks)]).permutation(len(named))]
-            self.draws += [(plan, source, b, copy) for copy in range(passes) for b in order]
+            line = np.random.default_rng([self.seed, len(named)]).permutation(len(named))
+            order = named[line]
+            drawn = np.zeros(len(order), bool)
             got, partial = 0, None
-            for b in order if rest > 0 else []:
-                if got + blocks[b] > rest:
-                    partial = b if partial is None else partial
+            for i, n in enumerate(tokens[line].tolist() if rest > 0 else []):
+                if got + n > rest:
+                    partial = int(order[i]) if partial is None else partial
                     continue
-                got += blocks[b]
-                self.draws.append((plan, source, b, passes))
+                got += n
+                drawn[i] = True
+            copies = np.r_[np.repeat(np.arange(passes), len(order)), np.full(drawn.sum(), passes)]
+            self.draws.append((plan, source, np.r_[np.tile(order, passes), order[drawn]], copies))
             edges.append((plan, source, name, passes, partial, rest - got))
         self._edge(edges)
         self._tree()
@@ -166,8 +199,8 @@ class Mixture:
         """(plan_id, source, doc_id, copy) of the records drawn one by one, from the blocks on a boundary."""
         spark = self.spark
         edge = spark.createDataFrame(edges, "plan_id string, source string, tokenizer string, copy int, partial int, gap double")
-        whole = [(p, s, b) for p, s, b, copy in self.draws if copy == self.quota[p, s][2]]
-        more = spark.createDataFrame(whole, "plan_id string, source string, block int").withColumn("more", F.lit(1))
+        whole = [(p, s, b[copy == self.quota[p, s][2]]) for p, s, b, copy in self.draws]
+        more = frame_of(spark, whole, "plan_id string, source string, block int").withColumn("more", F.lit(1))
         sub = F.pmod(F.xxhash64(F.lit(self.seed + 1), "doc_id"), F.lit(SUB_BLOCKS)).cast("int")
         inside = self.blocked.join(edge.where("partial is not null"), ["tokenizer", "source"]).where("block = partial").withColumn("sub", sub)
         sums: dict[tuple[str, str], dict[int, int]] = {}
@@ -211,21 +244,20 @@ class Mixture:
         partial = {(r.plan_id, r.source) for r in rows_of(self.edge.select("plan_id", "source").distinct())}
         rows = []
         for plan, (ratio, name) in sorted(self.plans.items()):
-            per: dict[str, list] = {}
-            for p, s, b, copy in self.draws:
-                if p == plan:
-                    per.setdefault(s, []).append((b, copy))
+            per = {s: (b, copy) for p, s, b, copy in self.draws if p == plan}
             for p, s in partial:
                 if p == plan:
-                    per.setdefault(s, []).append((None, self.quota[p, s][2]))
-            names = sorted(per)
-            quotas = np.array([len(per[s]) for s in names], dtype=np.int64)
+                    b, copy = per[s]
+                    per[s] = np.r_[b, -1], np.r_[copy, self.quota[p, s][2]]
+            names = sorted(s for s, (b, _) in per.items() if len(b))
+            quotas = np.array([len(per[s][0]) for s in names], dtype=np.int64)
             shards = max(1, min(math.ceil(ratio * self.total.get(name, 0) / self.shard_tokens), int(quotas.sum())))
             shares = split_tree(quotas, shards, rng) if names else np.zeros((shards, 0), int)
             for k, s in enumerate(names):
                 shard_of = np.repeat(np.arange(shards), shares[:, k])
-                rows += [(plan, s, b, copy, int(shard_of[i])) for i, (b, copy) in zip(rng.permutation(len(shard_of)), per[s])]
-        self.draw = self.spark.createDataFrame(rows, "plan_id string, source string, block int, copy int, shard int")
+                rows.append((plan, s, *per[s], shard_of[rng.permutation(len(shard_of))]))
+        del self.draws
+        self.draw = frame_of(self.spark, rows, "plan_id string, source string, block int, copy int, shard int")
 
     def _uses(self) -> None:
         """uses: plan_id, doc_id, source, tokens, block, times: how often the tree drew a record's block, or itself."""

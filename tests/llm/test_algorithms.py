@@ -174,6 +174,17 @@ def test_plan_of_many_blocks_takes_no_time_squared(spark):
     assert time.time() - began < 60
 
 
+def test_frame_of_parts_keeps_every_row(spark):
+    import numpy as np
+
+    parts = [("p", s, np.array([*range(n), -1]), np.arange(n + 1)) for s, n in (("a", 5), ("b", 0), ("c", 3))]
+    parts.insert(1, ("p", "none", np.zeros(0, int), np.zeros(0, int)))
+    got = mixing.frame_of(spark, parts, "plan_id string, source string, block int, copy int")
+    want = sorted((p, s, int(b), int(c)) for p, s, bs, cs in parts for b, c in zip(bs, cs))
+    assert sorted((r.plan_id, r.source, -1 if r.block is None else r.block, r.copy) for r in got.collect()) == want
+    assert mixing.frame_of(spark, [], "plan_id string, source string, block int").count() == 0
+
+
 def tokenizer_counts():
     files = {n: (f.name, f.read_bytes()) for n in ("byte_bpe_50k", "piece_bpe_32k", "word_bpe_49k") for f in [mixing.tokenizer_file(n)]}
     return files, counting.Counts(files, {n: counting.form_of(*x) for n, x in files.items()})
